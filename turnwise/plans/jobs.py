@@ -44,3 +44,14 @@ def two_step_state(preds: DataFrame, keys: Sequence[str], order: Sequence[str],
     wide = base.select("_row", *preds.columns).join(upd, "_row", "left").drop("_row")
     carried = ST.carry_forward(wide, keys, order, names, chunk)
     return carried.withColumn("state", ST.render_wide([(d, s, n) for (d, s), n in zip(cols, names)]))
+
+
+def e2e_rule_response(db: DataFrame, bookings: DataFrame, key: str = "request_id") -> DataFrame:
+    """End-to-end turn with a rule-based responder: DB result and booking result of the same
+    turn (equi-join on the turn key) rendered into the system response."""
+    j = db.join(bookings.select(key, "success", "ref"), key)
+    booking = (F.when(F.col("success"), F.concat(F.lit(", booked "), F.col("ref").cast("string")))
+                .when(~F.col("success"), F.lit(", booking failed")).otherwise(F.lit("")))
+    response = F.concat(F.lit("total "), F.col("total").cast("string"),
+                        F.coalesce(F.concat(F.lit(", recommend "), F.col("active_name")), F.lit("")), booking)
+    return j.select(key, response.alias("response"))
