@@ -55,3 +55,75 @@ def e2e_rule_response(db: DataFrame, bookings: DataFrame, key: str = "request_id
     response = F.concat(F.lit("total "), F.col("total").cast("string"),
                         F.coalesce(F.concat(F.lit(", recommend "), F.col("active_name")), F.lit("")), booking)
     return j.select(key, response.alias("response"))
+
+
+# ----------------------------------------------------------------------------- model calls
+
+def echo_predictor(texts):
+    """Rule responder used by the registered queries: "Re: " + the last user utterance."""
+    return "Re: " + texts.fillna("")
+
+
+def run_predictor(df: DataFrame, input_col: str, output_col: str, predictor) -> DataFrame:
+    """Apply a pandas ``Series[str] -> Series[str]`` model to Arrow batches (``mapInPandas``).
+
+    The function is called once per batch; a model loaded at module level or cached inside
+    the function is reused by every batch of the Python worker.
+    """
+    from pyspark.sql.types import StringType, StructField, StructType
+    schema = StructType([*df.schema.fields, StructField(output_col, StringType(), True)])
+
+    def fn(batches):
+        for pdf in batches:
+            pdf[output_col] = predictor(pdf[input_col]).astype(object)
+            yield pdf
+    return df.mapInPandas(fn, schema)
+
+
+def guarded(predictor, max_attempts: int = 3, retry_on: tuple = (Exception,), base_wait: float = 1.0):
+    """Wrap a per-text model call: bounded retries with random exponential backoff; a final
+    failure becomes the row's error instead of failing the job. Returns a pandas function
+    ``Series[str] -> DataFrame[value, error, attempts]``."""
+    import random
+    import time
+
+    import pandas as pd
+
+    def call(texts):
+        values, errors, attempts = [], [], []
+        for t in texts:
+            for a in range(1, max_attempts + 1):
+                try:
+                    values.append(str(predictor(t)).strip())
+                    errors.append(None)
+                    break
+                except retry_on as e:  # noqa: PERF203
+                    if a == max_attempts:
+                        values.append(None)
+                        errors.append(f"{type(e).__name__}: {e}")
+                        break
+                    time.sleep(random.uniform(0, base_wait * (2 ** (a - 1))))
+            attempts.append(a)
+        return pd.DataFrame({"value": values, "error": errors, "attempts": attempts})
+    return call
+
+
+def call_with_errors(df: DataFrame, raw_col: str, error_col: str, error_as_text: bool = True,
+                     name: str = "prediction") -> DataFrame:
+    """Keep model output and transport error apart; with ``error_as_text`` the prediction
+    becomes "Error: <message>" on failure (what downstream scoring then sees), otherwise NULL.
+    Successful outputs are stripped."""
+    from ..functions.text import py_strip
+    err = F.col(error_col)
+    failed = F.concat(F.lit("Error: "), err) if error_as_text else F.lit(None).cast("string")
+    return df.withColumn(name, F.when(err.isNotNull(), failed).otherwise(py_strip(F.col(raw_col))))
+
+
+def rg_turns(turns: DataFrame, predictor, k: int, keys: Sequence[str] = ("conv_id",), order: str = "turn") -> DataFrame:
+    """Response-only job: every system turn with its last-k context; the model input is the
+    last user utterance of that context; the model runs on Arrow batches."""
+    from ..operators.context import system_turns_with_context
+    t = system_turns_with_context(turns, k, keys, order)
+    last_user = F.element_at(F.filter("context", lambda x: x["speaker"] == "USER"), -1)["utterance"]
+    inp = t.select(*keys, order, last_user.alias("input_text"))
+    return run_predictor(inp, "input_text", "prediction", predictor).select(*keys, order, "prediction")

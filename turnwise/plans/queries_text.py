@@ -1 +1,280 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: training pairs, prompts, tokens, text helpers, BLEU."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .. import schemas as S
+from ..functions import text as TX
+from ..operators import bleu as BL
+from ..operators import context as ctx
+from ..operators import prompts as PR
+from ..operators import training as TR
+from ..sources import fixtures as FX
+from .registry import register
+
+EMPTY_DB_TEXT = "total 0, candidate [], selected []"
+TEMPLATES = {(d, k): t for d, k, t in PR.default_templates()}
+IN_CAP, OUT_CAP, PAD = 16, 8, 0
+TRAIN_CAP = 100
+ERROR_CHARS = 1500
+
+
+def q(s: str) -> str:
+    """SQL string literal (real newlines kept)."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _ctx_sql(k: int) -> str:
+    start = "unbounded preceding" if k == 0 else f"{k} preceding"
+    return f"""select conv_id, turn, speaker, utterance,
+  coalesce(array_to_string(list(case speaker when 'USER' then {q(S.USER_PREFIX)} else {q(S.SYSTEM_PREFIX)} end || ' ' || utterance)
+    over (partition by conv_id order by turn rows between {start} and 1 preceding), ' '), '') as ctx
+from v_turns"""
+
+
+# ----------------------------------------------------------------------------- training pairs
+
+def _pairs(spark, d):
+    t = ctx.context_strings(FX.v_turns(spark, d), 0)
+    t = t.join(FX.v_splits(spark, d).select("conv_id", "split"), "conv_id")
+    p = TR.training_pairs(t.select("split", "conv_id", "turn", "context_text", "utterance"), F.col("context_text"),
+                          F.lit(""), F.lit(EMPTY_DB_TEXT), F.lit(""), F.col("utterance"))
+    return p.select("split", "conv_id", "turn", "task", "input_text", "output_text")
+
+
+_PAIRS_SQL = f"""
+with c as ({_ctx_sql(0)}),
+s as (select sp.split, c.* from c join v_splits sp using (conv_id) where c.speaker = 'SYSTEM'),
+pairs as (
+  select split, conv_id, turn, 'dst' as task, {q(S.DST_TASK_PREFIX + ' ')} || ctx as input_text, '' as output_text from s
+  union all
+  select split, conv_id, turn, 'rg', {q(S.RG_TASK_PREFIX + ' ')} || ctx || {q(' ' + S.STATE_PREFIX + '  ' + S.DB_RESULT_PREFIX + ' ' + EMPTY_DB_TEXT + ' ' + S.BOOK_RESULT_PREFIX + ' ')}, utterance from s)
+"""
+
+
+@register("training_pairs", _PAIRS_SQL + "select split, conv_id, turn, task, input_text, output_text from pairs")
+def q_training_pairs(spark, d):
+    return _pairs(spark, d)
+
+
+@register("sample_counts", _PAIRS_SQL + f"select split, count(*) as n_rows, least({TRAIN_CAP}, count(*)) as n_used from pairs group by split")
+def q_sample_counts(spark, d):
+    return (_pairs(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+            .withColumn("n_used", F.least(F.lit(TRAIN_CAP).cast("bigint"), F.col("n_rows"))))
+
+
+# ----------------------------------------------------------------------------- prompts
+
+def _prompt_base(spark, d):
+    t = ctx.context_strings(FX.v_turns(spark, d), S.LLM_CONTEXT_TURNS)
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, -1)
+    ex = F.struct(F.col("context_text"), F.lit("").alias("state_text"), F.lit(EMPTY_DB_TEXT).alias("db_text"),
+                  F.lit("").alias("book_text"), F.col("utterance").alias("response"))
+    return t.withColumn("examples", F.collect_list(ex).over(w))
+
+
+_PROMPT_BASE_SQL = f"""
+with c as ({_ctx_sql(S.LLM_CONTEXT_TURNS)}),
+s as (select * from c where speaker = 'SYSTEM'),
+e as (select conv_id, turn, ctx, list({{'ctx': ctx, 'resp': utterance}}) over (partition by conv_id order by turn rows between 2 preceding and 1 preceding) as ex from s)
+"""
+
+
+def _ex_sql(body: str) -> str:
+    head = S.PROMPT_EXAMPLE_HEADER.split("{i}")
+    return (f"case when len(ex) > 0 then array_to_string(list_transform(ex, lambda x, i: {q(head[0])} || cast(i as string) || "
+            f"{q(head[1])} || {body}), '') || {q(S.PROMPT_EXAMPLES_END)} else '' end")
+
+
+@register("state_prompt", _PROMPT_BASE_SQL + f"""
+select conv_id, turn, {q(TEMPLATES[('general', 'state')])} ||
+  {_ex_sql(f"{q(S.PROMPT_INPUT)} || x.ctx || {q(chr(10) + S.PROMPT_OUTPUT + S.STATE_PREFIX + ' ')} || '' || {q(chr(10))}")} ||
+  {q(S.PROMPT_INPUT)} || ctx || {q(chr(10) + S.PROMPT_OUTPUT + S.STATE_PREFIX + ' ')} as prompt
+from e""")
+def q_state_prompt(spark, d):
+    b = _prompt_base(spark, d)
+    p = PR.state_prompt(F.lit(TEMPLATES[("general", "state")]), F.col("context_text"), F.col("examples"))
+    return b.select("conv_id", "turn", p.alias("prompt"))
+
+
+def _resp_block_sql(c: str) -> str:
+    return (f"{c} || {q(chr(10) + S.STATE_PREFIX + ' ')} || '' || {q(chr(10) + S.DB_RESULT_PREFIX + ' ' + EMPTY_DB_TEXT)} || "
+            f"{q(chr(10) + S.BOOK_RESULT_PREFIX + ' ')} || '' || {q(chr(10))}")
+
+
+@register("response_prompt", _PROMPT_BASE_SQL + f"""
+select conv_id, turn, {q(TEMPLATES[('general', 'response')])} ||
+  {_ex_sql(f"{q(S.PROMPT_INPUT)} || {_resp_block_sql('x.ctx')} || {q(S.PROMPT_OUTPUT + S.SYSTEM_PREFIX + ' ')} || x.resp || {q(chr(10))}")} ||
+  {q(S.PROMPT_INPUT)} || {_resp_block_sql('ctx')} || {q(S.PROMPT_OUTPUT + S.SYSTEM_PREFIX + ' ')} as prompt
+from e""")
+def q_response_prompt(spark, d):
+    b = _prompt_base(spark, d)
+    p = PR.response_prompt(F.lit(TEMPLATES[("general", "response")]), F.col("context_text"), F.lit(""),
+                           F.lit(EMPTY_DB_TEXT), F.lit(""), F.col("examples"))
+    return b.select("conv_id", "turn", p.alias("prompt"))
+
+
+# ----------------------------------------------------------------------------- tokens
+
+def _toks():
+    return TX.ws_tokens(F.col("utterance"))
+
+
+_TOK_SQL = """
+with tk as (select conv_id, turn, list_filter(regexp_split_to_array(utterance, '\\s+'), lambda t: t <> '') as toks from v_turns),
+"""
+
+
+@register("truncate_tokens", _TOK_SQL + f"""
+x as (select 1)
+select conv_id, turn, array_to_string(list_slice(toks, greatest(len(toks) - {IN_CAP - 1}, 1), len(toks)), ' ') as input_tokens,
+  array_to_string(list_slice(toks, 1, {OUT_CAP}), ' ') as target_tokens from tk""")
+def q_truncate_tokens(spark, d):
+    t = FX.v_turns(spark, d).withColumn("toks", _toks())
+    return t.select("conv_id", "turn", F.array_join(TR.truncate_left(F.col("toks"), IN_CAP), " ").alias("input_tokens"),
+                    F.array_join(TR.truncate_right(F.col("toks"), OUT_CAP), " ").alias("target_tokens"))
+
+
+_VOCAB_SQL = _TOK_SQL + """
+cnt as (select t as token, count(*) as n from (select unnest(toks) as t from tk) u group by t),
+vocab as (select token, n, row_number() over (order by n desc, token) as id from cnt)
+"""
+
+
+def _vocab(spark, d):
+    t = FX.v_turns(spark, d).select(F.explode(_toks()).alias("token"))
+    return TR.vocabulary(t)
+
+
+@register("token_table", _VOCAB_SQL + "select token, n, id from vocab")
+def q_token_table(spark, d):
+    return _vocab(spark, d).select("token", "n", F.col("id").cast("bigint").alias("id"))
+
+
+@register("pad_mask", _VOCAB_SQL + f""",
+tr as (select conv_id, turn, list_slice(toks, greatest(len(toks) - {IN_CAP - 1}, 1), len(toks)) as it, list_slice(toks, 1, {OUT_CAP}) as ot from tk),
+ii as (select conv_id, turn, list(v.id order by u.p) as ids from (select conv_id, turn, unnest(it) as tok, generate_subscripts(it, 1) as p from tr) u
+       join vocab v on v.token = u.tok group by conv_id, turn),
+oi as (select conv_id, turn, list(v.id order by u.p) as ids from (select conv_id, turn, unnest(ot) as tok, generate_subscripts(ot, 1) as p from tr) u
+       join vocab v on v.token = u.tok group by conv_id, turn)
+select tr.conv_id, tr.turn,
+  array_to_string(list_resize(coalesce(ii.ids, []::bigint[]), {IN_CAP}, {PAD}), ',') as input_ids,
+  array_to_string(list_resize(list_transform(coalesce(ii.ids, []::bigint[]), lambda x: 1), {IN_CAP}, 0), ',') as attention_mask,
+  array_to_string(list_transform(list_resize(coalesce(oi.ids, []::bigint[]), {OUT_CAP}, {PAD}), lambda x: case when x = {PAD} then -100 else x end), ',') as labels
+from tr left join ii using (conv_id, turn) left join oi using (conv_id, turn)""")
+def q_pad_mask(spark, d):
+    v = _vocab(spark, d)
+    t = FX.v_turns(spark, d).select("conv_id", "turn", _toks().alias("toks"))
+    t = t.select("conv_id", "turn", TR.truncate_left(F.col("toks"), IN_CAP).alias("it"),
+                 TR.truncate_right(F.col("toks"), OUT_CAP).alias("ot"))
+    ii = TR.token_ids(t, ["conv_id", "turn"], "it", v, "iids")
+    oi = TR.token_ids(t, ["conv_id", "turn"], "ot", v, "oids")
+    j = ii.join(oi, ["conv_id", "turn"])
+    return j.select(
+        "conv_id", "turn",
+        F.array_join(TR.pad(F.col("iids"), IN_CAP, PAD), ",").alias("input_ids"),
+        F.array_join(TR.attention_mask(F.col("iids"), IN_CAP), ",").alias("attention_mask"),
+        F.array_join(TR.mask_labels(TR.pad(F.col("oids"), OUT_CAP, PAD), PAD), ",").alias("labels"))
+
+
+# ----------------------------------------------------------------------------- text helpers
+
+@register("error_text", f"""
+select conv_id, turn,
+  case when length(utterance) > {ERROR_CHARS} then 'Error: context length exceeded' else regexp_replace(utterance, '^\\s+|\\s+$', '', 'g') end as prediction,
+  case when length(utterance) > {ERROR_CHARS} then 'context length exceeded' end as error
+from v_turns where speaker = 'SYSTEM'""")
+def q_error_text(spark, d):
+    from .jobs import call_with_errors
+    t = FX.v_turns(spark, d).filter(F.col("speaker") == "SYSTEM")
+    err = F.when(F.length("utterance") > ERROR_CHARS, F.lit("context length exceeded"))
+    out = call_with_errors(t.withColumn("_raw", F.col("utterance")).withColumn("error", err), "_raw", "error")
+    return out.select("conv_id", "turn", "prediction", "error")
+
+
+@register("rg_turns", """
+select conv_id, turn, 'Re: ' || coalesce(last_user, '') as prediction from (
+  select conv_id, turn, speaker,
+    last(case when speaker = 'USER' then utterance end ignore nulls) over (partition by conv_id order by turn rows between 5 preceding and 1 preceding) as last_user
+  from v_turns) x
+where speaker = 'SYSTEM' and conv_id in (select conv_id from v_splits where split = 'test')""")
+def q_rg_turns(spark, d):
+    from .jobs import echo_predictor, rg_turns
+    turns = FX.v_turns(spark, d)
+    test = FX.v_splits(spark, d).filter(F.col("split") == "test").select("conv_id")
+    return rg_turns(turns.join(test, "conv_id", "left_semi"), echo_predictor, S.LLM_CONTEXT_TURNS)
+
+
+@register("transcript_csv", f"""
+with l as (select conv_id, string_agg(case speaker when 'USER' then {q(S.TRANSCRIPT_USER)} else {q(S.TRANSCRIPT_SYSTEM)} end || ',' || utterance || chr(13) || chr(10), '' order by turn) as lines
+           from v_turns group by conv_id)
+select l.conv_id, l.lines || coalesce(s.q1 || ',' || s.q2 || ',' || s.q3 || ',', '') as csv_text
+from l left join v_session_scores s on s.session_id = l.conv_id""")
+def q_transcript_csv(spark, d):
+    from ..operators.sessions import transcript_csv
+    scores = FX.v_session_scores(spark, d).select(F.col("session_id").alias("conv_id"),
+                                                  F.array("q1", "q2", "q3").alias("scores"))
+    return transcript_csv(FX.v_turns(spark, d), scores, "conv_id")
+
+
+@register("punct_norm", """
+select conv_id, turn,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(utterance,
+    '，', '、'), ',', '、'), '．', '。'), '\\.', '。'), '!', '！'), '\\?', '？') as text
+from v_turns where speaker = 'SYSTEM'""")
+def q_punct_norm(spark, d):
+    t = FX.v_turns(spark, d).filter(F.col("speaker") == "SYSTEM")
+    return t.select("conv_id", "turn", TX.punct_normalize(F.col("utterance")).alias("text"))
+
+
+# ----------------------------------------------------------------------------- BLEU
+
+def _bleu_sql(view: str) -> str:
+    grams = """(select conv_id, turn, n, array_to_string(list_slice({t}, i + 1, i + n), ' ') as gram
+       from (select conv_id, turn, {t}, n, unnest(range(0, greatest(len({t}) - n + 1, 0))) as i
+             from p, (select unnest([1, 2, 3, 4]) as n) ns) x)"""
+    return f"""
+with p as (select conv_id, turn, list_filter(regexp_split_to_array(hyp_text, '\\s+'), lambda t: t <> '') as h,
+                  list_filter(regexp_split_to_array(ref_text, '\\s+'), lambda t: t <> '') as r from {view}),
+hg as (select conv_id, turn, n, gram, count(*) as hc from {grams.format(t='h')} g group by all),
+rg as (select conv_id, turn, n, gram, count(*) as rc from {grams.format(t='r')} g group by all),
+st as (select conv_id, turn, n, cast(sum(least(hc, coalesce(rc, 0))) as bigint) as matches, cast(sum(hc) as bigint) as total
+       from hg left join rg using (conv_id, turn, n, gram) group by conv_id, turn, n),
+w as (select conv_id, turn, {", ".join(f"sum(case when n = {n} then matches end) as m{n}, sum(case when n = {n} then total end) as t{n}" for n in range(1, 5))}
+      from st group by conv_id, turn),
+l as (select p.conv_id, p.turn, len(p.h) as hl, len(p.r) as rl, {", ".join(f"coalesce(m{n}, 0) as m{n}, coalesce(t{n}, 0) as t{n}" for n in range(1, 5))}
+      from p left join w using (conv_id, turn)),
+z as (select *, {", ".join(f"{' + '.join(f'cast(m{k} = 0 as int)' for k in range(1, n + 1))} as z{n}" for n in range(1, 5))},
+             {' + '.join(f'cast(t{n} > 0 as int)' for n in range(1, 5))} as eff from l),
+sc as (select conv_id, turn, case when m1 + m2 + m3 + m4 = 0 then 0.0 else
+         (case when hl >= rl then 1.0 when hl > 0 then exp(1 - rl / hl) else 0.0 end) *
+         exp(({' + '.join(f"case when t{n} > 0 then ln(case when m{n} = 0 then 100.0 / (pow(2, z{n}) * t{n}) else 100.0 * m{n} / t{n} end) else 0.0 end" for n in range(1, 5))}) / eff) end as bleu
+       from z)
+"""
+
+
+def _bleu_pairs(df):
+    return df.select("conv_id", "turn", TX.ws_tokens(F.col("hyp_text")).alias("h"), TX.ws_tokens(F.col("ref_text")).alias("r"))
+
+
+@register("bleu_ngrams", _bleu_sql("v_bleu_pairs") + "select conv_id, turn, n, matches, total from st")
+def q_bleu_ngrams(spark, d):
+    p = _bleu_pairs(FX.v_bleu_pairs(spark, d))
+    return BL.ngram_stats(p, ["conv_id", "turn"], F.col("h"), F.col("r")).select(
+        "conv_id", "turn", "n", "matches", "total")
+
+
+@register("response_bleu", _bleu_sql("v_bleu_pairs") + "select conv_id, turn, round(bleu, 6) as bleu from sc")
+def q_response_bleu(spark, d):
+    p = _bleu_pairs(FX.v_bleu_pairs(spark, d))
+    s = BL.sentence_bleu(p, ["conv_id", "turn"], F.col("h"), F.col("r"))
+    return s.select("conv_id", "turn", F.round("bleu", 6).alias("bleu"))
+
+
+@register("scores_rg", _bleu_sql("v_bleu_next") + "select conv_id, turn, round(bleu, 6) as bleu from sc")
+def q_scores_rg(spark, d):
+    p = _bleu_pairs(FX.v_bleu_next(spark, d))
+    s = BL.sentence_bleu(p, ["conv_id", "turn"], F.col("h"), F.col("r"))
+    return s.select("conv_id", "turn", F.round("bleu", 6).alias("bleu"))

@@ -79,6 +79,16 @@ PUNCT_REPLACEMENTS: list[tuple[str, str]] = [
 # Booking reference range when no oracle reference is given: 1 .. 99999.
 BOOK_REF_MODULUS = 99999
 
+# Prompt section markers (format of the few-shot prompts).
+PROMPT_EXAMPLE_HEADER = "\n=== 対話例 {i} ===\n"
+PROMPT_INPUT = "### 入力\n"
+PROMPT_OUTPUT = "### 出力\n"
+PROMPT_EXAMPLES_END = "======\nでは，以下の事例を完了してください:\n"
+
+# Transcript export: talker labels of the user and the system.
+TRANSCRIPT_USER = "U"
+TRANSCRIPT_SYSTEM = "S"
+
 # ---------------------------------------------------------------------------
 
 
