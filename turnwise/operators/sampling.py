@@ -94,3 +94,33 @@ def domain_counts(goal_domains: DataFrame, sample: DataFrame, domains: DataFrame
                .groupBy(domain).agg(F.count(F.lit(1)).alias("n")))
     return (domains.select(domain).distinct().join(counted, domain, "left")
             .select(domain, F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
+
+
+def md5_bucket(c, n):
+    """Reproducible bucket in [0, n): first 32 bits of md5 of the value's text."""
+    h = F.conv(F.substring(F.md5(c.cast("string")), 1, 8), 16, 10).cast("bigint")
+    return h % n
+
+
+def assign_by_hash(requests: DataFrame, choices: DataFrame, key: str, requested: str, choice: str,
+                   pos: str) -> DataFrame:
+    """Requested choice when it exists, else the choice at position hash(key) % n.
+
+    ``choices`` carries a dense position ``pos`` (0..n-1), so the fallback is an equi-join on
+    the position, not a product. Only the count n passes through the driver (one number).
+    """
+    n = choices.count()
+    known = requests.join(choices.select(F.col(choice).alias("_k")), F.col(requested) == F.col("_k"), "left")
+    fallback = choices.select(F.col(pos).alias("_p"), F.col(choice).alias("_f"))
+    j = known.withColumn("_p", md5_bucket(F.col(key), F.lit(n)) if n else F.lit(None).cast("bigint"))
+    j = j.join(fallback, "_p", "left")
+    return j.select(key, F.coalesce("_k", "_f").alias(choice),
+                    F.when(F.col("_k").isNotNull(), F.lit("selected")).otherwise(F.lit("sampled")).alias("how"))
+
+
+def pick_known_or_hash(requests: DataFrame, choices: DataFrame, key: str, requested: str, choice: str) -> DataFrame:
+    """As ``assign_by_hash`` for a small list of names: positions by sorted name."""
+    from .ordering import ordinal
+    ranked = ordinal(choices.select(choice).distinct(), [choice], [], "_pos")
+    out = assign_by_hash(requests, ranked, key, requested, choice, "_pos")
+    return out.withColumn("how", F.when(F.col("how") == "selected", F.lit("requested")).otherwise(F.col("how")))

@@ -19,3 +19,90 @@ def transcript_csv(turns: DataFrame, scores: DataFrame, key: str = "session_id",
     j = g.join(scores.select(key, "scores"), key, "left")
     score_line = F.coalesce(F.array_join(F.transform("scores", lambda s: F.concat(s, F.lit(","))), ""), F.lit(""))
     return j.select(key, F.concat(F.array_join(F.transform("_l", lambda x: x["l"]), ""), score_line).alias("csv_text"))
+
+
+def goal_min_turns(desc: DataFrame, key: str) -> DataFrame:
+    """Tasks of a goal = description items over all domains; minimum turns = 2 x tasks."""
+    return desc.groupBy(key).agg((2 * F.sum(F.size("items"))).cast("bigint").alias("min_turns"))
+
+
+def goal_list(desc: DataFrame, key: str, domain_order: str = "domain") -> DataFrame:
+    """Goal instructions as an ordered HTML list: one ``<li>`` per domain, items joined by
+    ``<br>`` (a goal has at most a handful of domains, so the per-key list is bounded)."""
+    li = F.concat(F.lit("<li>"), F.array_join("items", "<br>"), F.lit("</li>"))
+    g = desc.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(domain_order).alias("o"), li.alias("li")))).alias("_d"))
+    return g.select(key, F.concat(F.lit("<ol>"), F.array_join(F.transform("_d", lambda x: x["li"]), ""),
+                                  F.lit("</ol>")).alias("html"))
+
+
+def phrase_flags(inputs: DataFrame, text: str = "input_text", success: str = S.SUCCESS_PHRASE,
+                 failure: str = S.FAILURE_PHRASE) -> DataFrame:
+    return (inputs.withColumn("is_success", phrase_equals(F.col(text), success))
+                  .withColumn("is_failure", phrase_equals(F.col(text), failure)))
+
+
+def session_fold(inputs: DataFrame, max_turns: int = S.MAX_SESSION_TURNS, key: str = "session_id",
+                 seq: str = "seq", text: str = "input_text") -> DataFrame:
+    """Batch fold of session inputs (ordered by ``seq``): a success or failure phrase ends the
+    session without being logged; any other input is one exchange (user + system turn), and
+    the session ends after the exchange that brings the context to ``max_turns`` utterances.
+    Inputs after the end are marked ``after_end``.
+
+    No running scan over a session: the end is the earliest of (first phrase row) and (the
+    m-th exchange row, m = ceil(max_turns / 2)), found with partial aggregation and a
+    group-limited ``row_number() <= m`` (each task keeps at most m rows per session).
+    """
+    m = (max_turns + 1) // 2
+    f = phrase_flags(inputs, text)
+    phrase = f.filter(F.col("is_success") | F.col("is_failure"))
+    first_phrase = phrase.groupBy(key).agg(F.min(seq).alias("_phrase_end"))
+    w = Window.partitionBy(key).orderBy(seq)
+    mth = (f.filter(~(F.col("is_success") | F.col("is_failure")))
+           .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= m)
+           .groupBy(key).agg(F.max(seq).alias("_limit_seq"), F.count(F.lit(1)).alias("_n")))
+    mth = mth.select(key, F.when(F.col("_n") >= m, F.col("_limit_seq")).alias("_limit_end"))
+    ends = first_phrase.join(mth, key, "full_outer").select(
+        key, F.least("_phrase_end", "_limit_end").alias("end_seq"),
+        F.when(F.col("_limit_end").isNotNull() & ((F.col("_phrase_end").isNull()) | (F.col("_limit_end") < F.col("_phrase_end"))),
+               F.lit("limit")).alias("_limit_reason"))
+    j = f.join(ends, key, "left")
+    after = F.col("end_seq").isNotNull() & (F.col(seq) > F.col("end_seq"))
+    status = (F.when(after, F.lit("after_end"))
+               .when(F.col("is_success"), F.lit("success"))
+               .when(F.col("is_failure"), F.lit("failure"))
+               .otherwise(F.lit("exchange")))
+    ends_here = F.coalesce(F.col(seq) == F.col("end_seq"), F.lit(False))
+    return j.select(key, seq, status.alias("status"), ends_here.alias("ends_session"),
+                    *[c for c in inputs.columns if c not in (key, seq)])
+
+
+def session_summary(folded: DataFrame, key: str = "session_id", model: str = "model_name") -> DataFrame:
+    """One row per session: model, logged exchanges, subjective success, end reason."""
+    return folded.groupBy(key).agg(
+        F.first(model, ignorenulls=True).alias(model),
+        F.count(F.when(F.col("status") == "exchange", 1)).alias("n_exchanges"),
+        F.max((F.col("status") == "success") & F.col("ends_session")).alias("success"),
+        F.max(F.when(F.col("ends_session"), F.col("status"))).alias("_end"),
+    ).withColumn("end_reason", F.when(F.col("_end") == "exchange", F.lit("limit"))
+                 .otherwise(F.col("_end"))).drop("_end")
+
+
+def session_scores(sessions: DataFrame, scores: DataFrame, key: str = "session_id") -> DataFrame:
+    """Scores of known sessions; unknown sessions' scores are listed as 'orphan'."""
+    s = sessions.select(key).distinct().withColumn("_known", F.lit(True))
+    j = s.join(scores, key, "full_outer")
+    has = F.col("q1").isNotNull() | F.col("q2").isNotNull() | F.col("q3").isNotNull()
+    status = F.when(F.col("_known").isNull(), "orphan").when(has, "scored").otherwise("unscored")
+    return j.withColumn("status", status).drop("_known")
+
+
+def session_report(summary: DataFrame, scores: DataFrame, key: str = "session_id", model: str = "model_name",
+                   satisfaction: str = "q3") -> DataFrame:
+    """Per model: participants, success %, mean logged exchanges, mean satisfaction (scores
+    arrive as text; non-numbers are ignored)."""
+    j = summary.join(scores.select(key, satisfaction), key, "left")
+    return j.groupBy(F.col(model).alias("model")).agg(
+        F.count(F.lit(1)).alias("participants"),
+        F.round(F.avg(F.col("success").cast("double")) * 100, 6).alias("success_pct"),
+        F.round(F.avg("n_exchanges"), 6).alias("avg_turns"),
+        F.round(F.avg(F.expr(f"try_cast({satisfaction} as int)")), 6).alias("avg_satisfaction"))
