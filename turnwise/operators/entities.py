@@ -50,81 +50,99 @@ def _scalar(attrs: Column, slot: str) -> Column:
     return F.get(F.element_at(attrs, F.lit(slot)), 0)
 
 
-def _slot_matches(attrs: Column, slot: str, value: Column) -> Column:
-    """Inactive constraint passes; scalar equals scalar or is a member of a list value."""
-    return ~is_active(value) | F.coalesce(F.array_contains(F.element_at(attrs, F.lit(slot)), value), F.lit(False))
+def _prepare(entities: DataFrame, slots: Sequence[str] = ()) -> tuple[DataFrame, bool]:
+    """Broadcast side of the entity joins: flat columns only (domain, position, city, name and
+    one value array per constraint slot), so the join residual reads columns, not a map."""
+    a = F.col("attrs")
+    e = entities.select(F.col("domain").alias("_e_domain"), "entity_pos",
+                        _scalar(a, "city").alias("_e_city"), _scalar(a, "name").alias("_e_name"),
+                        *[F.element_at(a, F.lit(s)).alias(f"_e_{s}") for s in dict.fromkeys(slots)])
+    return broadcast_if_small(e)
 
 
-def _prepare(entities: DataFrame) -> tuple[DataFrame, bool]:
-    e = entities.select(F.col("domain").alias("_e_domain"), "entity_pos", "attrs",
-                        _scalar(F.col("attrs"), "city").alias("_e_city"))
-    return broadcast_if_small(e)
+def _all_match(cols: dict[str, str]) -> Column:
+    """Every active constraint matches: ``{slot: request column}``; the activity flag is a
+    request-side column computed once per request (``_a_<column>``)."""
+    out = F.lit(True)
+    for slot, c in cols.items():
+        out = out & (~F.col(f"_a_{c}") | F.coalesce(F.array_contains(F.col(f"_e_{slot}"), F.col(c)), F.lit(False)))
+    return out
+
+
+def candidates(requests: DataFrame, entities: DataFrame, constraint_cols: Sequence[str],
+               negative_cols: dict[str, str] | None = None, key: str = "request_id", domain: str = "domain",
+               city: str = "city", carry: Sequence[str] = ()) -> DataFrame:
+    """Conjunctive query with optional negative constraints: ``(key, entity_pos, name, carry...)``.
+
+    One plan for every request: the request first meets the (domain, city) list of the entity
+    table (its own city when active, every city of the domain when not; NULL-safe), then the
+    entities on (domain, city) equality. Both sides are size-checked broadcasts, so the
+    request side is never shuffled and keeps its partitioning (pre-partition requests by
+    ``key`` and every later per-request step runs without an exchange). Constraint columns
+    are named after their slot. The negative query shares the same (domain, city) candidates,
+    so "matches minus negative matches, by entity row" is a residual: keep rows that match
+    the constraints and, when the negative dict is non-empty (some negative column is not
+    NULL), do not match it; an all-inactive negative dict removes every entity of the city.
+    """
+    negative_cols = negative_cols or {}
+    e, small = _prepare(entities, [*constraint_cols, *negative_cols])
+    cities, small_cities = broadcast_if_small(
+        e.select(F.col("_e_domain").alias("_c_domain"), F.col("_e_city").alias("_c_city")).distinct())
+    cols = [key, domain, city, *constraint_cols, *negative_cols.values(), *carry]
+    r = requests.select(*dict.fromkeys(cols), *[is_active(F.col(c)).alias(f"_a_{c}")
+                                                for c in dict.fromkeys([*constraint_cols, *negative_cols.values()])])
+    city_ok = ~is_active(F.col(city)) | (F.col(city) == F.col("_c_city"))
+    if small_cities:
+        r = r.join(cities, (F.col(domain) == F.col("_c_domain")) & city_ok)
+    else:  # a domain is a hot key of this join: spread it over salts
+        r = salted_join(r.withColumn("_c_domain_k", F.col(domain)),
+                        cities.withColumn("_c_domain_k", F.col("_c_domain")), ["_c_domain_k"], DOMAIN_SALTS,
+                        residual=city_ok).drop("_c_domain_k")
+    # above the broadcast bound this is a shuffled equi-join on (domain, city); AQE splits hot keys
+    j = r.join(e, (F.col("_c_domain") == F.col("_e_domain")) & F.col("_c_city").eqNullSafe(F.col("_e_city")))
+    keep = _all_match({c: c for c in constraint_cols})
+    if negative_cols:
+        has_neg = F.coalesce(*[F.col(c).isNotNull() for c in negative_cols.values()], F.lit(False))
+        keep = keep & ~(has_neg & _all_match(negative_cols))
+    return j.filter(keep).select(key, "entity_pos", F.col("_e_name").alias("name"), *carry)
 
 
 def entity_query(requests: DataFrame, entities: DataFrame, constraint_cols: Sequence[str],
                  key: str = "request_id", domain: str = "domain", city: str = "city") -> DataFrame:
-    """Wide form of the conjunctive query: ``(key, entity_pos)`` for every match.
-
-    ``city`` is the first constraint; the others come from ``constraint_cols`` (column name =
-    slot name). Active city: equi-join on (domain, city) plus a residual. Inactive city: join on
-    domain plus the residual.
-    """
-    e, small = _prepare(entities)
-    r = requests.select(key, domain, city, *constraint_cols)
-
-    def residual():
-        out = F.lit(True)
-        for c in constraint_cols:
-            out = out & _slot_matches(F.col("attrs"), c, F.col(c))
-        return out
-
-    with_city = r.filter(is_active(F.col(city)))
-    a = with_city.join(e, (F.col(domain) == F.col("_e_domain")) & (F.col(city) == F.col("_e_city")) & residual())
-    no_city = r.filter(~is_active(F.col(city)))
-    if small:
-        b = no_city.join(e, (F.col(domain) == F.col("_e_domain")) & residual())
-    else:
-        b = salted_join(no_city.withColumn("_e_domain", F.col(domain)), e, ["_e_domain"], DOMAIN_SALTS,
-                        residual=residual())
-    return a.select(key, "entity_pos").unionByName(b.select(key, "entity_pos"))
+    """Wide form of the conjunctive query: ``(key, entity_pos)`` for every match. ``city`` is
+    the first constraint, the others come from ``constraint_cols`` (column name = slot)."""
+    return candidates(requests, entities, constraint_cols, None, key, domain, city).select(key, "entity_pos")
 
 
 def entity_query_long(requests: DataFrame, slots_long: DataFrame, constraint_cols: Sequence[str],
                       key: str = "request_id", domain: str = "domain", city: str = "city") -> DataFrame:
-    """Long form (relational division): explode active constraints, equi-join entity slots on
-    (domain, slot, value), keep entities matching every active slot; requests without active
-    constraints get every entity of their domain. Equal to ``entity_query``."""
+    """Long form (relational division) for open-ended slots: explode active constraints,
+    equi-join entity slots on (domain, slot, value), keep entities matching every active slot;
+    requests without active constraints get every entity of their domain. Equal to
+    ``entity_query``. The entity side is deduplicated first so a plain count replaces a
+    distinct count; with requests partitioned by ``key`` the per-(request, entity) count needs
+    no exchange."""
     cons = requests.select(key, domain, F.inline(F.array(*[
         F.struct(F.lit(s).alias("slot"), F.col(c).cast("string").alias("value"))
         for s, c in [("city", city), *[(c, c) for c in constraint_cols]]])))
     active = cons.filter(is_active(F.col("value")))
-    n_active = requests.select(key, domain).join(
-        active.groupBy(key).agg(F.countDistinct("slot").alias("_n")), key, "left").fillna(0, ["_n"])
-    es, _ = broadcast_if_small(slots_long.select("entity_pos", F.col("domain").alias(domain), "slot", "value"))
+    n_active = active.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    es = slots_long.select("entity_pos", F.col("domain").alias(domain), "slot", "value").distinct()
+    es, small = broadcast_if_small(es)
     hits = (active.join(es, [domain, "slot", "value"])
-            .groupBy(key, "entity_pos").agg(F.countDistinct("slot").alias("_m")))
-    matched = (hits.join(n_active.filter(F.col("_n") > 0), key)
-               .filter(F.col("_m") == F.col("_n")).select(key, "entity_pos"))
+            .groupBy(key, "entity_pos").agg(F.count(F.lit(1)).alias("_m")))
+    matched = hits.join(n_active, key).filter(F.col("_m") == F.col("_n")).select(key, "entity_pos")
     ents, _ = broadcast_if_small(slots_long.select("entity_pos", F.col("domain").alias(domain)).distinct())
-    everything = n_active.filter(F.col("_n") == 0).join(ents, domain).select(key, "entity_pos")
+    unconstrained = requests.select(key, domain).join(n_active, key, "left_anti")
+    everything = unconstrained.join(ents, domain).select(key, "entity_pos")
     return matched.unionByName(everything)
 
 
 def entity_names(requests: DataFrame, entities: DataFrame, constraint_cols: Sequence[str],
                  negative_cols: dict[str, str], key: str = "request_id", domain: str = "domain",
-                 city: str = "city") -> DataFrame:
-    """Candidates ``(key, entity_pos, name)``: matches minus matches of the negative
-    constraints (same city rule), by entity row. The negative query runs only for requests
-    whose negative dict is non-empty (some negative column is not NULL); an all-inactive
-    negative dict removes every entity of the city."""
-    pos = entity_query(requests, entities, constraint_cols, key, domain, city)
-    neg_req = requests.filter(F.coalesce(*[F.col(c).isNotNull() for c in negative_cols.values()], F.lit(False)))
-    neg_req = neg_req.select(key, domain, city, *[F.col(c).alias(s) for s, c in negative_cols.items()])
-    neg = entity_query(neg_req, entities, list(negative_cols), key, domain, city)
-    kept = pos.join(neg, [key, "entity_pos"], "left_anti")
-    names = entities.select("entity_pos", _scalar(F.col("attrs"), "name").alias("name"))
-    names, _ = broadcast_if_small(names)
-    return kept.join(names, "entity_pos")
+                 city: str = "city", carry: Sequence[str] = ()) -> DataFrame:
+    """Candidates ``(key, entity_pos, name, carry...)``: matches minus negative matches."""
+    return candidates(requests, entities, constraint_cols, negative_cols, key, domain, city, carry)
 
 
 def names_text(cands: DataFrame, requests: DataFrame, key: str = "request_id") -> DataFrame:
@@ -142,7 +160,6 @@ def entity_info(lookups: DataFrame, entities: DataFrame, key: str = "request_id"
     the domain. An inactive name skips the name constraint. ``entity_pos`` is NULL when
     nothing matches (the reference raises)."""
     e, _ = _prepare(entities)
-    e = e.withColumn("_e_name", _scalar(F.col("attrs"), "name"))
     lk = lookups.select(key, domain, name, city)
     same_domain = F.col(domain) == F.col("_e_domain")
     # active name: equi-join on (domain, name); inactive name: every entity of the domain
@@ -155,55 +172,74 @@ def entity_info(lookups: DataFrame, entities: DataFrame, key: str = "request_id"
     return best.select(key, F.col("_b.entity_pos").alias("entity_pos"), (~F.col("_b._far")).alias("in_city"))
 
 
-def db_result(requests: DataFrame, cands: DataFrame, entities: DataFrame, key: str = "request_id",
-              domain: str = "domain", city: str = "city", oracle_name: str | None = None,
-              drop_multi_domain: str = S.MULTI_CANDIDATE_DROP_DOMAIN) -> DataFrame:
-    """Per-turn DB result: total candidates, active entity name and row.
+_POS_BITS = 40  # entity positions are below 2^40; (far-from-city, position) packs into one long
 
-    The drop domain with more than one candidate gets none; the active entity is the oracle's
-    if it is a candidate, else the first candidate, then looked up by name (city first)."""
-    if oracle_name:
-        cands = cands.join(requests.select(key, oracle_name), key)
-    agg = cands.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_total"),
-        F.min_by("name", "entity_pos").alias("_first"),
-        *([F.max(F.col("name") == F.col(oracle_name)).alias("_has_oracle")] if oracle_name else []))
-    cols = [key, domain, city] + ([oracle_name] if oracle_name else [])
-    j = requests.select(*cols).join(agg.select(key, "_total", "_first", *(["_has_oracle"] if oracle_name else [])), key, "left")
-    total = F.coalesce(F.col("_total"), F.lit(0))
-    dropped = (F.col(domain) == drop_multi_domain) & (total > 1)
-    total = F.when(dropped, F.lit(0)).otherwise(total).cast("bigint")
-    chosen = F.col("_first")
+
+def _lookup_active(base: DataFrame, entities: DataFrame, key: str, domain: str, city: str, name: str) -> DataFrame:
+    """QRY3 for one active name per row: first entity (file order) with that name in the
+    row's city, else anywhere in the domain. One broadcast join and a fixed-width minimum,
+    grouped by the row key (the rows keep their partitioning)."""
+    e, _ = _prepare(entities)
+    j = base.join(e, (F.col(domain) == F.col("_e_domain")) & (F.col(name) == F.col("_e_name")), "left")
+    far = (is_active(F.col(city)) & ~F.col(city).eqNullSafe(F.col("_e_city"))).cast("long")
+    packed = F.when(F.col("entity_pos").isNotNull(), F.shiftleft(far, _POS_BITS) + F.col("entity_pos"))
+    keys = [key, *[c for c in base.columns if c != key]]
+    g = j.groupBy(*keys).agg(F.min(packed).alias("_packed"))
+    return g.withColumn("active_pos", F.col("_packed").bitwiseAND(F.lit((1 << _POS_BITS) - 1))).drop("_packed")
+
+
+def candidate_stats(cands: DataFrame, entities: DataFrame, key: str = "request_id", domain: str = "domain",
+                    oracle_name: str | None = None,
+                    drop_multi_domain: str = S.MULTI_CANDIDATE_DROP_DOMAIN) -> DataFrame:
+    """Per request with candidates: ``total`` (the drop domain with more than one candidate
+    gets none), ``sel_pos`` (first occurrence of the oracle's name if it is a candidate, else
+    the first candidate in file order) and ``active_name``. Fixed-width partial aggregates
+    only; with ``cands`` partitioned by ``key`` there is no exchange."""
+    aggs = [F.count(F.lit(1)).alias("_n"), F.min("entity_pos").alias("_first_pos")]
     if oracle_name:
-        chosen = F.when(F.coalesce(F.col("_has_oracle"), F.lit(False)), F.col(oracle_name)).otherwise(F.col("_first"))
-    j = j.withColumn("total", total).withColumn("active_name", F.when(F.col("total") > 0, chosen))
-    info = entity_info(j.filter(F.col("active_name").isNotNull()).select(
-        key, domain, F.col("active_name").alias("name"), city), entities, key, domain, "name", city)
-    return j.join(info.select(key, F.col("entity_pos").alias("active_pos")), key, "left").select(
-        key, domain, city, "total", "active_name", "active_pos")
-
-
-def sample_candidates(cands: DataFrame, db: DataFrame, cap: int = S.MAX_CANDIDATE_ENTITIES, seed: str = "0",
-                      key: str = "request_id") -> DataFrame:
-    """Candidate truncation: the selected entity first (its first occurrence by file order),
-    then a deterministic pseudo-random sample (md5 order) of the rest, ``cap`` names in all.
-    Returns ``(key, rank, entity_pos, name)``; rank 0 is the selected entity when present."""
+        aggs.append(F.min(F.when(F.col("name") == F.col(oracle_name), F.col("entity_pos"))).alias("_oracle_pos"))
+    g = cands.groupBy(key, domain).agg(*aggs)
+    total = F.when((F.col(domain) == drop_multi_domain) & (F.col("_n") > 1), F.lit(0)).otherwise(F.col("_n"))
+    sel = F.coalesce(F.col("_oracle_pos"), F.col("_first_pos")) if oracle_name else F.col("_first_pos")
+    g = g.select(key, total.cast("bigint").alias("total"), F.when(total > 0, sel).alias("sel_pos"))
+    names, _ = broadcast_if_small(entities.select(F.col("entity_pos").alias("sel_pos"),
+                                                  _scalar(F.col("attrs"), "name").alias("active_name")))
+    return g.join(names, "sel_pos", "left").select(key, "total", "sel_pos", "active_name")
+
+
+def rank_candidates(cands: DataFrame, stats: DataFrame, key: str = "request_id", cap: int = S.MAX_CANDIDATE_ENTITIES,
+                    seed: str = "0") -> DataFrame:
+    """Candidate truncation: the selected entity first, then a deterministic md5-ordered
+    sample of the rest, ``cap`` rows in all: ``(key, rank, entity_pos, name)``, rank 0 = the
+    selected entity. The per-request stats meet the candidates in a hash join on co-partitioned
+    inputs (no exchange, no sort of the big side); ``row_number() <= cap`` is planned with a
+    group limit."""
+    from pyspark.sql import Window
     if cap < 1:
         raise ValueError("cap must be >= 1")
-    c = cands.join(db.filter(F.col("total") > 0).select(key, "active_name"), key)
-    sel = (c.filter(F.col("name") == F.col("active_name")).groupBy(key)
-           .agg(F.min("entity_pos").alias("_sel_pos")))
-    c = c.join(sel, key, "left")
-    selected = c.filter(F.col("entity_pos") == F.col("_sel_pos")).select(key, F.lit(0).cast("bigint").alias("rank"),
-                                                                         "entity_pos", "name")
-    rest = c.filter(F.col("_sel_pos").isNull() | (F.col("entity_pos") != F.col("_sel_pos")))
-    take = F.when(F.col("_sel_pos").isNotNull(), F.lit(cap - 1)).otherwise(F.lit(cap))
+    st = stats.filter(F.col("total") > 0).select(key, "sel_pos").hint("shuffle_hash")
+    c = cands.select(key, "entity_pos", "name").join(st, key)
     h = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), F.col("entity_pos").cast("string")))
-    from pyspark.sql import Window
-    w = Window.partitionBy(key).orderBy(h, "entity_pos")
-    sampled = (rest.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= take)
-               .select(key, "rank", "entity_pos", "name"))
-    return selected.unionByName(sampled)
+    not_sel = F.col("entity_pos") != F.col("sel_pos")
+    w = Window.partitionBy(key).orderBy(not_sel, h, "entity_pos")
+    ranked = c.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap)
+    return ranked.select(key, (F.col("_rn") - 1).cast("bigint").alias("rank"), "entity_pos", "name")
+
+
+def db_result(requests: DataFrame, stats: DataFrame, entities: DataFrame, key: str = "request_id",
+              domain: str = "domain", city: str = "city", sample: DataFrame | None = None) -> DataFrame:
+    """Per-turn DB result: total candidates, active entity name and the entity row found by
+    name (city first). Requests without candidates get total 0. With ``sample`` the truncated
+    candidate list (``array<struct<rank, name>>``, at most ``cap`` entries) rides along."""
+    info = stats.select(key, "total", "active_name")
+    if sample is not None:
+        lists = sample.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("candidates"))
+        info = info.join(lists, key, "left")
+    base = requests.select(key, domain, city).join(info, key, "left")
+    base = base.withColumn("total", F.coalesce(F.col("total"), F.lit(0)).cast("bigint"))
+    out = _lookup_active(base, entities, key, domain, city, "active_name")
+    return out.withColumn("active_pos", F.when(F.col("active_name").isNotNull(), F.col("active_pos"))).select(
+        key, domain, city, "total", "active_name", "active_pos", *(["candidates"] if sample is not None else []))
 
 
 def render_record(record: Column, extra: Sequence[tuple[str, Column]] = ()) -> Column:
@@ -215,15 +251,14 @@ def render_record(record: Column, extra: Sequence[tuple[str, Column]] = ()) -> C
     return F.array_join(items, ", ")
 
 
-def db_result_text(db: DataFrame, sample: DataFrame, entities: DataFrame, key: str = "request_id",
-                   include_domain: bool = True) -> DataFrame:
-    """``total N, candidate [..], selected [slot value, ..]`` per request."""
-    cl = sample.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("_s"))
+def db_result_text(db: DataFrame, entities: DataFrame, key: str = "request_id", include_domain: bool = True) -> DataFrame:
+    """``total N, candidate [..], selected [slot value, ..]`` per request, from a DB result
+    built ``with_candidates``."""
     e, _ = broadcast_if_small(entities.select(F.col("entity_pos").alias("active_pos"), "record", F.col("domain").alias("_ed")))
-    j = db.join(cl, key, "left").join(e, "active_pos", "left")
+    j = db.join(e, "active_pos", "left")
     extra = [("domain", F.col("_ed"))] if include_domain else []
     selected = F.when(F.col("active_pos").isNotNull(), render_record(F.col("record"), extra)).otherwise(F.lit(""))
-    cand = F.coalesce(F.array_join(F.transform("_s", lambda x: x["name"]), ", "), F.lit(""))
+    cand = F.coalesce(F.array_join(F.transform("candidates", lambda x: x["name"]), ", "), F.lit(""))
     text = F.concat(F.lit("total "), F.col("total").cast("string"), F.lit(", candidate ["), cand,
                     F.lit("], selected ["), selected, F.lit("]"))
     return j.select(key, text.alias("db_text"))

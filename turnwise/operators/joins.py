@@ -36,3 +36,12 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], salts: int,
         cond.append(residual)
     out = b.join(s, cond, how)
     return out.drop(b["_salt"]).drop(s["_salt"])
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a reused dimension table once: a reliable checkpoint in the session's shared
+    checkpoint folder (survives executor loss, cuts lineage). Later size checks and
+    broadcasts read the checkpoint files instead of recomputing the aggregation."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

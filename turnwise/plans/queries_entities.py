@@ -25,18 +25,47 @@ INACTIVE_SQL = "('', 'dontcare', '非対応', '無し', '不明')"
 
 
 def _entities(spark, d):
-    return EN.entities_wide(FX.v_entity_slots(spark, d), ATTR_ORDER, LIST_SLOTS)
+    """Entity table (a dimension table): built once per query and materialized, so the size
+    checks and the several broadcasts of one query read it instead of recomputing it."""
+    from ..operators.joins import materialize
+    return materialize(EN.entities_wide(FX.v_entity_slots(spark, d), ATTR_ORDER, LIST_SLOTS))
 
 
-def _cands(spark, d):
-    return EN.entity_names(FX.v_requests(spark, d), _entities(spark, d), CONSTRAINTS, NEGATIVE)
+def _req(spark, d):
+    """Requests partitioned by request id once; every later per-request step reuses it. The
+    partition count is explicit: requests are small but each one fans out to its candidate
+    entities, so AQE must not coalesce this exchange into a few tasks."""
+    return FX.v_requests(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "request_id")
 
 
-def _db(spark, d, cands=None):
-    req = FX.v_requests(spark, d)
-    ents = _entities(spark, d)
-    cands = cands if cands is not None else EN.entity_names(req, ents, CONSTRAINTS, NEGATIVE)
-    return EN.db_result(req, cands, ents, oracle_name="name_hint", drop_multi_domain=DROP_DOMAIN)
+def _cands(spark, d, req=None, ents=None):
+    req = req if req is not None else _req(spark, d)
+    ents = ents if ents is not None else _entities(spark, d)
+    return EN.entity_names(req, ents, CONSTRAINTS, NEGATIVE, carry=["name_hint", "domain"])
+
+
+def _stats(spark, d, req, ents, cands=None):
+    cands = cands if cands is not None else _cands(spark, d, req, ents)
+    return EN.candidate_stats(cands, ents, oracle_name="name_hint", drop_multi_domain=DROP_DOMAIN)
+
+
+def _sample(spark, d, req, ents):
+    cands = _cands(spark, d, req, ents)
+    return EN.rank_candidates(cands, _stats(spark, d, req, ents, cands), cap=CAP)
+
+
+def _db(spark, d, req=None, ents=None, with_sample=False):
+    req = req if req is not None else _req(spark, d)
+    ents = ents if ents is not None else _entities(spark, d)
+    if not with_sample:
+        return EN.db_result(req, _stats(spark, d, req, ents), ents)
+    # stats feed both the ranking and the result: write them once (a narrow per-request
+    # table) instead of recomputing the candidate join for each use
+    from ..operators.joins import materialize
+    cands = _cands(spark, d, req, ents)
+    stats = materialize(_stats(spark, d, req, ents, cands))
+    sample = EN.rank_candidates(cands, stats, cap=CAP)
+    return EN.db_result(req, stats, ents, sample=sample)
 
 
 def _inactive(c: str) -> str:
@@ -123,19 +152,20 @@ def q_active_constraints(spark, d):
 
 @register("entity_query", _ENT + "select request_id, entity_pos from pos")
 def q_entity_query(spark, d):
-    return EN.entity_query(FX.v_requests(spark, d), _entities(spark, d), CONSTRAINTS)
+    return EN.entity_query(_req(spark, d), _entities(spark, d), CONSTRAINTS)
 
 
 @register("entity_query_long", _ENT + "select request_id, entity_pos from pos")
 def q_entity_query_long(spark, d):
-    return EN.entity_query_long(FX.v_requests(spark, d), FX.v_entity_slots(spark, d), CONSTRAINTS)
+    return EN.entity_query_long(_req(spark, d), FX.v_entity_slots(spark, d), CONSTRAINTS)
 
 
 @register("entity_names", _ENT + """
 select r.request_id, count(c.entity_pos) as n_names, coalesce(string_agg(c.name, ', ' order by c.entity_pos), '') as names
 from req r left join cands c using (request_id) group by r.request_id""")
 def q_entity_names(spark, d):
-    return EN.names_text(_cands(spark, d), FX.v_requests(spark, d))
+    req = _req(spark, d)
+    return EN.names_text(_cands(spark, d, req), req)
 
 
 @register("entity_info", _ENT + f"""
@@ -155,8 +185,8 @@ def q_db_result(spark, d):
 
 @register("candidate_sample", _ENT + "select request_id, rank, entity_pos, name from sampled")
 def q_candidate_sample(spark, d):
-    cands = _cands(spark, d)
-    return EN.sample_candidates(cands, _db(spark, d, cands), CAP)
+    req, ents = _req(spark, d), _entities(spark, d)
+    return _sample(spark, d, req, ents)
 
 
 @register("db_result_text", _ENT + """
@@ -165,9 +195,7 @@ select db.request_id, 'total ' || cast(db.total as string) || ', candidate [' ||
   coalesce(rec.body || ', domain ' || rec.domain, '') || ']' as db_text
 from db left join cl using (request_id) left join rec on rec.entity_pos = db.active_pos""")
 def q_db_result_text(spark, d):
-    cands = _cands(spark, d)
-    db = _db(spark, d, cands)
-    return EN.db_result_text(db, EN.sample_candidates(cands, db, CAP), _entities(spark, d))
+    return EN.db_result_text(_db(spark, d, with_sample=True), _entities(spark, d))
 
 
 # ----------------------------------------------------------------------------- bookings
