@@ -154,24 +154,6 @@ def names_text(cands: DataFrame, requests: DataFrame, key: str = "request_id") -
                     F.coalesce(F.array_join(F.transform("_c", lambda x: x["name"]), ", "), F.lit("")).alias("names")))
 
 
-def entity_info(lookups: DataFrame, entities: DataFrame, key: str = "request_id", domain: str = "domain",
-                name: str = "name", city: str = "city") -> DataFrame:
-    """Lookup by name: first entity (file order) with that name in the city, else anywhere in
-    the domain. An inactive name skips the name constraint. ``entity_pos`` is NULL when
-    nothing matches (the reference raises)."""
-    e, _ = _prepare(entities)
-    lk = lookups.select(key, domain, name, city)
-    same_domain = F.col(domain) == F.col("_e_domain")
-    # active name: equi-join on (domain, name); inactive name: every entity of the domain
-    by_name = lk.filter(is_active(F.col(name))).join(e, same_domain & (F.col(name) == F.col("_e_name")), "left")
-    any_name = lk.filter(~is_active(F.col(name))).join(e, same_domain, "left")
-    j = by_name.unionByName(any_name)
-    in_city = ~is_active(F.col(city)) | (F.col(city) == F.col("_e_city"))
-    best = j.groupBy(key).agg(F.min(F.when(F.col("entity_pos").isNotNull(),
-                                           F.struct((~in_city).alias("_far"), F.col("entity_pos")))).alias("_b"))
-    return best.select(key, F.col("_b.entity_pos").alias("entity_pos"), (~F.col("_b._far")).alias("in_city"))
-
-
 _POS_BITS = 40  # entity positions are below 2^40; (far-from-city, position) packs into one long
 
 
@@ -185,7 +167,27 @@ def _lookup_active(base: DataFrame, entities: DataFrame, key: str, domain: str,
     packed = F.when(F.col("entity_pos").isNotNull(), F.shiftleft(far, _POS_BITS) + F.col("entity_pos"))
     keys = [key, *[c for c in base.columns if c != key]]
     g = j.groupBy(*keys).agg(F.min(packed).alias("_packed"))
-    return g.withColumn("active_pos", F.col("_packed").bitwiseAND(F.lit((1 << _POS_BITS) - 1))).drop("_packed")
+    return (g.withColumn("active_pos", F.col("_packed").bitwiseAND(F.lit((1 << _POS_BITS) - 1)))
+             .withColumn("_far", F.shiftright("_packed", _POS_BITS)).drop("_packed"))
+
+
+def entity_info(lookups: DataFrame, entities: DataFrame, key: str = "request_id", domain: str = "domain",
+                name: str = "name", city: str = "city") -> DataFrame:
+    """Lookup by name: first entity (file order) with that name in the city, else anywhere in
+    the domain. An inactive name skips the name constraint (first entity of the city, else of
+    the domain). ``entity_pos`` is NULL when nothing matches (the reference raises)."""
+    lk = lookups.select(key, domain, name, city)
+    named = _lookup_active(lk.filter(is_active(F.col(name))), entities, key, domain, city, name)
+    e, _ = _prepare(entities)
+    anon = lk.filter(~is_active(F.col(name))).join(e, F.col(domain) == F.col("_e_domain"), "left")
+    far = (is_active(F.col(city)) & ~F.col(city).eqNullSafe(F.col("_e_city"))).cast("long")
+    packed = F.when(F.col("entity_pos").isNotNull(), F.shiftleft(far, _POS_BITS) + F.col("entity_pos"))
+    anon = (anon.groupBy(key, domain, name, city).agg(F.min(packed).alias("_packed"))
+            .withColumn("active_pos", F.col("_packed").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
+    both = named.select(key, "active_pos", "_far").unionByName(anon.select(
+        key, "active_pos", F.shiftright("_packed", _POS_BITS).alias("_far")))
+    return both.select(key, F.col("active_pos").alias("entity_pos"),
+                       F.when(F.col("active_pos").isNotNull(), F.col("_far") == 0).alias("in_city"))
 
 
 def candidate_stats(cands: DataFrame, entities: DataFrame, key: str = "request_id", domain: str = "domain",
@@ -237,7 +239,7 @@ def db_result(requests: DataFrame, stats: DataFrame, entities: DataFrame, key: s
         info = info.join(lists, key, "left")
     base = requests.select(key, domain, city).join(info, key, "left")
     base = base.withColumn("total", F.coalesce(F.col("total"), F.lit(0)).cast("bigint"))
-    out = _lookup_active(base, entities, key, domain, city, "active_name")
+    out = _lookup_active(base, entities, key, domain, city, "active_name").drop("_far")
     return out.withColumn("active_pos", F.when(F.col("active_name").isNotNull(), F.col("active_pos"))).select(
         key, domain, city, "total", "active_name", "active_pos", *(["candidates"] if sample is not None else []))
 

@@ -39,9 +39,14 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], salts: int,
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute a reused dimension table once: a reliable checkpoint in the session's shared
-    checkpoint folder (survives executor loss, cuts lineage). Later size checks and
-    broadcasts read the checkpoint files instead of recomputing the aggregation."""
+    """Compute a reused intermediate once and cut its lineage: write it as Parquet under the
+    session's shared checkpoint folder (``spark.checkpoint.dir`` on a cluster) and read it
+    back. Unlike ``Dataset.checkpoint`` this computes the input a single time, survives
+    executor loss, and the read-back carries real file sizes for broadcast decisions."""
+    import uuid
+
     from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/turnwise-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)

@@ -4,8 +4,8 @@
 handful of groups (splits, domains, one global order) that is one task per group at any scale.
 ``ordinal`` instead range-partitions on (group, order), numbers rows inside each range, and adds
 the sizes of the earlier ranges. The range layout comes from sampling, so the ranged data is
-checkpointed (reliable checkpoint in the session's checkpoint folder) before counting; all
-later steps read the same layout.
+written once to the session's checkpoint folder (``materialize``) before counting; all later
+steps read the same layout.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .joins import materialize
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition_id << 33 | row_in_partition
 
@@ -31,11 +32,10 @@ def ordinal(df: DataFrame, order_cols: Sequence[Column | str], partition_cols: S
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in partition_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    ranged = (df.repartitionByRange(n, *keys)
-                .sortWithinPartitions(*keys)
-                .withColumn("_mid", F.monotonically_increasing_id())
-                .checkpoint(eager=True)
-                .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
+    ranged = materialize(df.repartitionByRange(n, *keys)
+                         .sortWithinPartitions(*keys)
+                         .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = (ranged.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
                 .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
     # one row per (range partition, group): at most partitions + groups rows
     stats = ranged.groupBy("_pid", *partition_cols).agg(
@@ -60,9 +60,7 @@ def running_total(df: DataFrame, order_cols: Sequence[Column | str], partition_c
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     keys = [F.col(c) for c in partition_cols] + order
-    ranged = (df.repartitionByRange(n, *keys)
-                .withColumn("_pid", F.spark_partition_id())
-                .checkpoint(eager=True))
+    ranged = materialize(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()))
     w_local = (Window.partitionBy("_pid", *partition_cols).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, -1))
     ranged = ranged.withColumn("_local", F.coalesce(F.sum(weight).over(w_local), F.lit(0)))
