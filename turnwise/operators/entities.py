@@ -47,7 +47,7 @@ def entities_wide(slots_long: DataFrame, attr_order: Sequence[str], list_slots:
 
 
 def _scalar(attrs: Column, slot: str) -> Column:
-    return F.get(F.element_at(attrs, F.lit(slot)), 0)
+    return F.get(F.try_element_at(attrs, F.lit(slot)), 0)
 
 
 def _prepare(entities: DataFrame, slots: Sequence[str] = ()) -> tuple[DataFrame, bool]:
@@ -56,7 +56,7 @@ def _prepare(entities: DataFrame, slots: Sequence[str] = ()) -> tuple[DataFrame,
     a = F.col("attrs")
     e = entities.select(F.col("domain").alias("_e_domain"), "entity_pos",
                         _scalar(a, "city").alias("_e_city"), _scalar(a, "name").alias("_e_name"),
-                        *[F.element_at(a, F.lit(s)).alias(f"_e_{s}") for s in dict.fromkeys(slots)])
+                        *[F.try_element_at(a, F.lit(s)).alias(f"_e_{s}") for s in dict.fromkeys(slots)])
     return broadcast_if_small(e)
 
 

@@ -13,37 +13,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import state as ST
-from ..schemas import slot_catalogue
+
+
+def _items(text: Column) -> Column:
+    """"slot value, ..." -> array<struct<slot, value, ok>> (``split(" ", 1)`` per item);
+    an empty text has no items."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ", "), lambda x: F.split(x, " ", 2))
+    arr = F.transform(parts, lambda p: F.struct(F.get(p, 0).alias("slot"), F.get(p, 1).alias("value"),
+                                                (F.size(p) == 2).alias("ok")))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<struct<slot:string,value:string,ok:boolean>>")) \
+            .otherwise(arr)
+
+
+def _last_value(items: Column, slot: str, allowed: Sequence[str] | None) -> Column:
+    """Last accepted value of ``slot`` in an item array (repeated slot: last wins; a slot
+    with an allowed list keeps only listed values)."""
+    def keep(it):
+        cond = it["ok"] & (it["slot"] == slot)
+        if allowed is not None:
+            cond = cond & F.array_contains(F.array(*[F.lit(v) for v in allowed]), it["value"])
+        return cond
+    return F.try_element_at(F.filter(items, keep), F.lit(-1))["value"]
 
 
 def two_step_state(preds: DataFrame, keys: Sequence[str], order: Sequence[str], domain_slots: dict[str, list[str]],
                    general_text: str = "general_text", domain_text: str = "domain_text",
-                   chunk: Column | None = None) -> DataFrame:
+                   chunk: Column | None = None, allowed: dict[str, list[str]] | None = None,
+                   general_slots: Sequence[str] = ("active_domain", "city")) -> DataFrame:
     """Two-step tracking: parse the general-domain prediction, take its active domain
     (falsy -> 'general'), parse the active-domain prediction for that domain, then merge
     into the running memory (carry-forward per slot, reset per key) and render.
 
-    ``domain_slots`` is the belief catalogue of the non-general domains, in rendering order.
+    Both predictions are parsed with array expressions per row over the fixed slot catalogue
+    (``domain_slots``: belief slots of the non-general domains, in rendering order;
+    ``allowed``: the allowed-value lists of restricted slots, a fixed ontology value set), so
+    parsing needs no shuffle; only the carry-forward partitions by key.
     """
-    ev = [*keys, *order]
-    base = preds.withColumn("_row", F.struct(*ev))
-    empty = base.sparkSession.createDataFrame([], "slot string, value string")
-    gen_cat = slot_catalogue(base.sparkSession, {"general": ["active_domain", "city"]}, {})
-    g_parsed, _ = ST.parse_state(base, ["_row"], general_text, gen_cat, empty, 2, F.lit("general"))
-    active = (g_parsed.filter(F.col("slot") == "active_domain")
-              .select("_row", F.col("value").alias("_active")))
-    withact = base.join(active, "_row", "left").withColumn(
-        "_active", F.coalesce(ST.falsy_to_null(F.col("_active")), F.lit("general")))
-    dom_cat = slot_catalogue(base.sparkSession, domain_slots, {})
-    d_parsed, _ = ST.parse_state(withact, ["_row"], domain_text, dom_cat, empty, 2, F.col("_active"))
-    cols = [("general", "active_domain"), ("general", "city")] + [(d, s) for d, ss in domain_slots.items() for s in ss]
-    names = [f"{d}__{s}" for d, s in cols]
-    upd = g_parsed.unionByName(d_parsed).groupBy("_row").agg(*[
-        F.max(F.when((F.col("domain") == d) & (F.col("slot") == s), F.col("value"))).alias(n)
-        for (d, s), n in zip(cols, names)])
-    wide = base.select("_row", *preds.columns).join(upd, "_row", "left").drop("_row")
+    allowed = allowed or {}
+    g = _items(F.col(general_text))
+    d = _items(F.col(domain_text))
+    active = F.coalesce(F.nullif(_last_value(g, "active_domain", allowed.get("active_domain")), F.lit("")),
+                        F.lit("general"))
+    cols = [("general", s) for s in general_slots] + [(dom, s) for dom, ss in domain_slots.items() for s in ss]
+    names = [f"{dom}__{s}" for dom, s in cols]
+    upd = []
+    for (dom, s), n in zip(cols, names):
+        from_domain = F.when(F.col("_active") == dom, _last_value(d, s, allowed.get(s)))
+        if dom == "general":   # the general update precedes the active-domain update
+            v = F.coalesce(from_domain, _last_value(g, s, allowed.get(s)))
+        else:
+            v = from_domain
+        upd.append(v.alias(n))
+    wide = preds.withColumn("_active", active).select(*preds.columns, *upd)
     carried = ST.carry_forward(wide, keys, order, names, chunk)
-    return carried.withColumn("state", ST.render_wide([(d, s, n) for (d, s), n in zip(cols, names)]))
+    return carried.withColumn("state", ST.render_wide([(dom, s, n) for (dom, s), n in zip(cols, names)]))
 
 
 def e2e_rule_response(db: DataFrame, bookings: DataFrame, key: str = "request_id") -> DataFrame:
@@ -124,6 +147,6 @@ def rg_turns(turns: DataFrame, predictor, k: int, keys: Sequence[str] = ("conv_i
     last user utterance of that context; the model runs on Arrow batches."""
     from ..operators.context import system_turns_with_context
     t = system_turns_with_context(turns, k, keys, order)
-    last_user = F.element_at(F.filter("context", lambda x: x["speaker"] == "USER"), -1)["utterance"]
+    last_user = F.try_element_at(F.filter("context", lambda x: x["speaker"] == "USER"), F.lit(-1))["utterance"]
     inp = t.select(*keys, order, last_user.alias("input_text"))
     return run_predictor(inp, "input_text", "prediction", predictor).select(*keys, order, "prediction")

@@ -39,9 +39,12 @@ def _example_docs(spark, d):
     goals = FX.v_conv_goals(spark, d).join(splits, "conv_id")
     picked = SMP.balanced_sample(goals, EXAMPLE_QUOTA, key="conv_id", order="split_pos")
     turns = FX.v_turns(spark, d).join(picked, "conv_id", "left_semi")
+    # full-context length and the last-k context text come from one window pass
+    from pyspark.sql import Window
+    earlier = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("n_ctx", F.count(F.lit(1)).over(earlier).cast("bigint"))
     docs = ctx.context_strings(turns, S.INDEX_CONTEXT_TURNS)
-    full = ctx.system_turns_with_context(turns, 0).select("conv_id", "turn", F.size("context").cast("bigint").alias("n_ctx"))
-    return docs.join(full, ["conv_id", "turn"]).select("conv_id", "turn", F.col("context_text").alias("doc_text"), "n_ctx")
+    return docs.select("conv_id", "turn", F.col("context_text").alias("doc_text"), "n_ctx")
 
 
 @register("example_docs", f"""
