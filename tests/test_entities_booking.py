@@ -133,3 +133,19 @@ def test_booking_rules(spark):
                .select("request_id", BK.book_result_text(F.col("domain"), F.col("success"), F.col("ref")).alias("t")).collect())
     assert txt[2] == "hotel success True, hotel ref 77"
     assert txt[3] == "" and txt[1] == ""   # failed booking: success not printed
+
+
+def test_shuffled_fallback_equals_broadcast(spark, monkeypatch):
+    """Above the broadcast bound the joins shuffle (and the domain-only join is salted);
+    results must not change."""
+    from turnwise.operators import joins
+    data = [(1, "hotel", "kyoto", "dontcare", "", None, None), (2, "hotel", None, None, None, "spa", None),
+            (3, "hotel", "kyoto", "spa", None, None, None), (4, "weather", None, None, None, None, None)]
+    _, ents = _entities(spark)
+    want = sorted((r.request_id, r.entity_pos) for r in
+                  EN.entity_names(_req(spark, data), ents, ["genre", "size"], {"genre": "neg_genre"}).collect())
+    real = joins.broadcast_if_small
+    monkeypatch.setattr(EN, "broadcast_if_small", lambda df, max_rows=0: real(df, 0))
+    got = sorted((r.request_id, r.entity_pos) for r in
+                 EN.entity_names(_req(spark, data), ents, ["genre", "size"], {"genre": "neg_genre"}).collect())
+    assert got == want and len(want) > 0

@@ -122,9 +122,9 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
 
     Without ``chunk`` this is one window per key. With ``chunk`` (a column that grows with the
     order, e.g. a day bucket) it is a two-level scan that keeps a hot key from landing in one
-    task: (1) last value per (key, chunk) with partial aggregation, (2) carry-in per chunk from
-    a window over those small summaries, (3) a window per (key, chunk) completed by the
-    carry-in.
+    task: (1) a window per (key, chunk), (2) carry-in per chunk from a window over the chunk
+    summaries (the last row of each chunk; small), (3) the carry-in completes each row (only
+    the small side of that join moves).
     """
     vals = {c: falsy_to_null(F.col(c)) for c in value_cols}
     base = df.select(*df.columns, *[vals[c].alias(f"_u_{c}") for c in value_cols])
@@ -136,17 +136,21 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
         return out.drop(*[f"_u_{c}" for c in value_cols])
 
     base = base.withColumn("_chunk", chunk)
-    ordkey = F.struct(*order)
-    summ = base.groupBy(*keys, "_chunk").agg(*[
-        F.max_by(F.col(f"_u_{c}"), F.when(F.col(f"_u_{c}").isNotNull(), ordkey)).alias(f"_s_{c}")
-        for c in value_cols])
+    # (1) carry inside each (key, chunk): one window, one shuffle of the rows
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    local = base.select(*base.columns, *[F.last(f"_u_{c}", ignorenulls=True).over(run).alias(f"_l_{c}") for c in value_cols],
+                        (F.row_number().over(w) == F.count(F.lit(1)).over(
+                            Window.partitionBy(*keys, "_chunk"))).alias("_last"))
+    # (2) chunk summaries = the last row of each chunk (small); carry-in from earlier chunks
     wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summ.select(*keys, "_chunk", *[F.last(f"_s_{c}", ignorenulls=True).over(wc).alias(f"_in_{c}")
-                                           for c in value_cols])
-    w = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = base.join(carry, [*keys, "_chunk"], "left")
+    carry = local.filter("_last").select(
+        *keys, "_chunk", *[F.last(f"_l_{c}", ignorenulls=True).over(wc).alias(f"_in_{c}") for c in value_cols])
+    # (3) complete each row with the carry-in of its chunk (only the small side moves)
+    out = local.join(carry, [*keys, "_chunk"], "left")
     for c in value_cols:
-        out = out.withColumn(c, F.coalesce(F.last(f"_u_{c}", ignorenulls=True).over(w), F.col(f"_in_{c}")))
+        out = out.withColumn(c, F.coalesce(F.col(f"_l_{c}"), F.col(f"_in_{c}")))
+    out = out.drop("_last", *[f"_l_{c}" for c in value_cols])
     return out.drop("_chunk", *[f"_u_{c}" for c in value_cols], *[f"_in_{c}" for c in value_cols])
 
 
