@@ -122,3 +122,19 @@ def test_carry_forward_chunked_equals_plain(spark):
                 m[i] = v
         want.append((u, t, m[0], m[1]))
     assert rows(plain, ["u", "t", "s1", "s2"]) == sorted(want, key=lambda t: tuple((x is None, str(x)) for x in t))
+
+
+def test_chunked_context_equals_plain(spark):
+    import random
+    rnd = random.Random(12)
+    data = []
+    for conv in range(6):
+        n = rnd.randint(1, 40)
+        turns = sorted(rnd.sample(range(0, 80), n))      # gaps in turn numbers
+        data += [(conv, t, rnd.choice(["USER", "SYSTEM"]), f"u{conv}-{t}") for t in turns]
+    t = _turns(spark, data)
+    for k in (1, 2, 5):
+        for c in (1, 3, 7, 100):
+            a = {(r.conv_id, r.turn): r.context_text for r in ctx.context_strings(t, k).collect()}
+            b = {(r.conv_id, r.turn): r.context_text for r in ctx.context_strings(t, k, chunk_size=c).collect()}
+            assert a == b, (k, c)

@@ -17,26 +17,47 @@ from ..functions.text import context_text
 
 
 def with_context(turns: DataFrame, k: int = 0, keys: Sequence[str] = ("conv_id",), order: str = "turn",
-                 speaker: str = "speaker", utterance: str = "utterance", name: str = "context") -> DataFrame:
-    """Add the context of every turn: the ``k`` (0 = all) turns strictly before it."""
+                 speaker: str = "speaker", utterance: str = "utterance", name: str = "context",
+                 chunk_size: int | None = None) -> DataFrame:
+    """Add the context of every turn: the ``k`` (0 = all) turns strictly before it.
+
+    With ``chunk_size`` (in units of ``order``, for ``k > 0``) a dialogue is windowed per
+    chunk of ``floor(order / chunk_size)``, so a very long dialogue spreads over many tasks:
+    the last ``k`` rows of every chunk form a small tails table, a window over the tails of
+    the ``k`` previous chunks gives each chunk its carry-in, and each row's context is the
+    last ``k`` of (carry-in ++ its in-chunk predecessors). Equal to the plain window.
+    """
     if k < 0:
         raise ValueError("k must be >= 0 (0 means the whole history)")
-    start = Window.unboundedPreceding if k == 0 else -k
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(start, -1)
     item = F.struct(F.col(speaker).alias("speaker"), F.col(utterance).alias("utterance"))
-    return turns.withColumn(name, F.collect_list(item).over(w))
+    if chunk_size is None or k == 0:
+        start = Window.unboundedPreceding if k == 0 else -k
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(start, -1)
+        return turns.withColumn(name, F.collect_list(item).over(w))
+    t = turns.withColumn("_chunk", F.floor(F.col(order) / chunk_size))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    t = t.select(*t.columns,
+                 F.collect_list(item).over(w.rowsBetween(-k, -1)).alias("_local"),
+                 F.collect_list(item).over(w.rowsBetween(-(k - 1), 0)).alias("_tail"),
+                 (F.row_number().over(w) == F.count(F.lit(1)).over(Window.partitionBy(*keys, "_chunk"))).alias("_last"))
+    wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(-k, -1)
+    tails = t.filter("_last").select(*keys, "_chunk", F.flatten(F.collect_list("_tail").over(wc)).alias("_in"))
+    j = t.join(tails, [*keys, "_chunk"], "left")
+    full = F.concat(F.coalesce(F.col("_in"), F.array().cast(j.schema["_local"].dataType)), F.col("_local"))
+    ctx = F.slice(full, F.greatest(F.lit(1), F.size(full) - k + 1), k)
+    return j.withColumn(name, ctx).drop("_chunk", "_local", "_tail", "_last", "_in")
 
 
 def system_turns_with_context(turns: DataFrame, k: int = 0, keys: Sequence[str] = ("conv_id",),
-                              order: str = "turn", name: str = "context") -> DataFrame:
+                              order: str = "turn", name: str = "context", chunk_size: int | None = None) -> DataFrame:
     """Every non-USER turn with its context; window first, filter after (earlier system
     utterances stay in the context)."""
-    return with_context(turns, k, keys, order, name=name).filter(F.col("speaker") != "USER")
+    return with_context(turns, k, keys, order, name=name, chunk_size=chunk_size).filter(F.col("speaker") != "USER")
 
 
 def context_strings(turns: DataFrame, k: int = 0, keys: Sequence[str] = ("conv_id",), order: str = "turn",
                     user_prefix: str = S.USER_PREFIX, system_prefix: str = S.SYSTEM_PREFIX,
-                    name: str = "context_text") -> DataFrame:
+                    name: str = "context_text", chunk_size: int | None = None) -> DataFrame:
     """System turns with their rendered context text (bounded frame when ``k > 0``)."""
-    out = system_turns_with_context(turns, k, keys, order, name="_ctx")
+    out = system_turns_with_context(turns, k, keys, order, name="_ctx", chunk_size=chunk_size)
     return out.withColumn(name, context_text(F.col("_ctx"), 0, user_prefix, system_prefix)).drop("_ctx")

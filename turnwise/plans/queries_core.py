@@ -12,6 +12,9 @@ from ..sources import fixtures as FX
 from .registry import register
 
 R6 = 6  # scores are rounded to 6 digits on both engines (summation order differs)
+# Turn chunk of the bounded-context windows. Fixture dialogues are short, so a small chunk
+# makes every context cross chunk borders (the carry-in path is what gets checked).
+CTX_CHUNK = 3
 
 
 def _r(c):
@@ -142,12 +145,12 @@ def q_ctx_text(spark, d):
 
 @register("ctx_last2", f"select conv_id, turn, context_text from ({_ctx_sql(2)}) x where speaker <> 'USER'")
 def q_ctx_last2(spark, d):
-    return ctx.context_strings(FX.v_turns(spark, d), 2).select("conv_id", "turn", "context_text")
+    return ctx.context_strings(FX.v_turns(spark, d), 2, chunk_size=CTX_CHUNK).select("conv_id", "turn", "context_text")
 
 
 @register("ctx_last5", f"select conv_id, turn, context_text from ({_ctx_sql(5)}) x where speaker <> 'USER'")
 def q_ctx_last5(spark, d):
-    return ctx.context_strings(FX.v_turns(spark, d), 5).select("conv_id", "turn", "context_text")
+    return ctx.context_strings(FX.v_turns(spark, d), 5, chunk_size=CTX_CHUNK).select("conv_id", "turn", "context_text")
 
 
 # ----------------------------------------------------------------------------- scoring
