@@ -89,3 +89,24 @@ def test_index_round_trip(spark):
     back, args = FL.read_index(spark, os.path.join(d, "idx"))
     assert back.count() == 1 and args["context_turns"] == 2 and args["user_utterance_prefix"] == "U"
     assert spark.read.json(os.path.join(d, "idx.domain_counter")).filter(F.col("n") == 3).count() == 1
+
+
+def test_fewshot_retrieval_with_hashed_embeddings(spark):
+    import numpy as np
+
+    from turnwise.functions.embed import embed_hashed
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(
+        ["book a hotel in kyoto", "taxi to the station", "cheap italian restaurant", "weather tomorrow in osaka",
+         "hotel with parking", "restaurant near the station"])], "example_id long, context_text string")
+    qs = spark.createDataFrame([(100, "i need a hotel"), (101, "a restaurant please"), (102, "taxi")],
+                               "query_id long, context_text string")
+    got = {(r.query_id, r.rank): r.example_id for r in J.fewshot_retrieval(docs, qs, 2).collect()}
+    dv = {r.example_id: np.array(r.embedding, dtype=np.float64) for r in embed_hashed(docs, "context_text").collect()}
+    for r in embed_hashed(qs, "context_text").collect():
+        q = np.array(r.embedding, dtype=np.float64)
+        assert abs(np.linalg.norm(q) - 1) < 1e-5
+        ids = sorted(dv)
+        d = np.array([((dv[i] - q) ** 2).sum() for i in ids])
+        order = [ids[j] for j in np.lexsort((np.array(ids), d))[:2]]
+        assert [got[(r.query_id, 1)], got[(r.query_id, 2)]] == order
+    assert got[(100, 1)] in (0, 4)

@@ -150,3 +150,17 @@ def rg_turns(turns: DataFrame, predictor, k: int, keys: Sequence[str] = ("conv_i
     last_user = F.try_element_at(F.filter("context", lambda x: x["speaker"] == "USER"), F.lit(-1))["utterance"]
     inp = t.select(*keys, order, last_user.alias("input_text"))
     return run_predictor(inp, "input_text", "prediction", predictor).select(*keys, order, "prediction")
+
+
+def fewshot_retrieval(index_docs: DataFrame, queries: DataFrame, k: int, key: str = "query_id",
+                      doc_key: str = "example_id", text: str = "context_text", embed=None) -> DataFrame:
+    """Few-shot example retrieval (KNN1-KNN5): embed index documents and query contexts with
+    the same function (the index's own context rendering, see ``read_index``), then exact
+    blocked top-k. Returns ``(key, rank, doc_key, dist)``."""
+    from ..functions.embed import embed_hashed
+    from ..operators.knn import knn_exact
+    embed = embed or (lambda df: embed_hashed(df, text))
+    docs = embed(index_docs).select(F.col(doc_key).alias("cid"), F.col("embedding").alias("vec"))
+    qs = embed(queries).select(F.col(key).alias("qid"), F.col("embedding").alias("vec"))
+    out = knn_exact(qs, docs, k, "qid", "cid", "vec")
+    return out.select(F.col("qid").alias(key), "rank", F.col("cid").alias(doc_key), "dist")
