@@ -140,10 +140,20 @@ def test_progress_last_line_wins(spark):
 def test_ordinal_equals_row_number(spark):
     rnd = random.Random(4)
     df = spark.createDataFrame([(rnd.choice("xyz"), rnd.random()) for _ in range(500)], "g string, v double")
-    a = {(r.g, r.v): r.pos for r in ordinal(df, ["v"], ["g"], "pos", num_partitions=7).collect()}
     w = Window.partitionBy("g").orderBy("v")
     b = {(r.g, r.v): r.rn - 1 for r in df.withColumn("rn", F.row_number().over(w)).collect()}
-    assert a == b
+    for small in (0, 10_000):   # range-partitioned path and the small-input window path
+        a = {(r.g, r.v): r.pos for r in ordinal(df, ["v"], ["g"], "pos", num_partitions=7, small_rows=small).collect()}
+        assert a == b
+
+
+def test_running_total_paths_agree(spark):
+    from turnwise.operators.ordering import running_total
+    rnd = random.Random(6)
+    df = spark.createDataFrame([(rnd.choice("ab"), float(i), rnd.randint(1, 5)) for i in range(300)], "g string, v double, w long")
+    big = {(r.g, r.v): r.before for r in running_total(df, ["v"], ["g"], "w", small_rows=0, num_partitions=5).collect()}
+    small = {(r.g, r.v): r.before for r in running_total(df, ["v"], ["g"], "w").collect()}
+    assert big == small
 
 
 def test_work_parts_like_array_split(spark):

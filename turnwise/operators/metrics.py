@@ -73,36 +73,44 @@ def describe(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25,
     """``pandas.DataFrame.describe`` per column, long form, exact linear quantiles.
 
     Output: metric, n, mean, std (n-1; NULL for one row), min, p25, p50, p75, max.
-    Quantiles never gather a column into one task: values are counted (partial aggregation),
-    cumulative counts come from a range-partitioned running total, and the needed ranks are
-    picked with an equi-join on the metric name against a one-row-per-metric table.
+    The input is reduced once to value counts per metric (partial aggregation) and written
+    once; every statistic comes from that table. The standard deviation is two-pass (mean
+    first, then squared deviations weighted by counts). Quantiles never gather a column into
+    one task: cumulative counts come from a range-partitioned running total, and the needed
+    ranks are picked with an equi-join on the metric name against a one-row-per-metric table.
     """
+    from .joins import materialize
     long = (df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols])).alias("m"))
         .select("m.*").filter(F.col("value").isNotNull()))
-    basic = long.groupBy("metric").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+    counts = materialize(long.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("c")))
+    first = counts.groupBy("metric").agg(
+        F.sum("c").alias("n"), (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("mean"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    counts = long.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("c"))
-    counts = running_total(counts, ["value"], ["metric"], weight="c", name="before")
+    dev = (counts.join(first.select("metric", "mean"), "metric")
+           .groupBy("metric").agg(F.sum(F.col("c") * (F.col("value") - F.col("mean")) ** 2).alias("_ss")))
+    basic = first.join(dev, "metric").withColumn(
+        "std", F.when(F.col("n") > 1, F.sqrt(F.col("_ss") / (F.col("n") - 1)))).drop("_ss")
+    ranked = running_total(counts, ["value"], ["metric"], weight="c", name="before")
     names = [f"p{int(round(p * 100))}" for p in probs]
     # 0-based interpolation positions (n - 1) * p, one row per metric
     need = basic.select("metric", *[
         ((F.col("n") - 1) * F.lit(p)).alias(f"_pos_{nm}") for p, nm in zip(probs, names)])
-    picked = counts.join(need, "metric")
+    picked = ranked.join(need, "metric")
     aggs = []
     for nm in names:
         pos = F.col(f"_pos_{nm}")
         for tag, r in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             inside = (r >= F.col("before")) & (r < F.col("before") + F.col("c"))
             aggs.append(F.max(F.when(inside, F.col("value"))).alias(f"_{tag}_{nm}"))
-        aggs.append(F.first(pos - F.floor(pos)).alias(f"_frac_{nm}"))
+        aggs.append(F.max(pos - F.floor(pos)).alias(f"_frac_{nm}"))
     q = picked.groupBy("metric").agg(*aggs)
     for nm in names:
         lo, hi, fr = F.col(f"_lo_{nm}"), F.col(f"_hi_{nm}"), F.col(f"_frac_{nm}")
         q = q.withColumn(nm, lo + (hi - lo) * fr)
     q = q.select("metric", *names)
-    return basic.join(q, "metric").select("metric", "n", "mean", "std", "min", *names, "max")
+    return basic.join(q, "metric").select("metric", F.col("n").cast("bigint").alias("n"), "mean", "std", "min",
+                                          *names, "max")
 
 
 def eval_join(ref: DataFrame, hyp: DataFrame, keys: Sequence[str]) -> DataFrame:

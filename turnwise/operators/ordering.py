@@ -19,16 +19,27 @@ from ..session import ensure_checkpoint_dir
 from .joins import materialize
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition_id << 33 | row_in_partition
+# Up to this many rows a plain window (one task per group) is cheaper than the range
+# layout; the row count is checked first, like a broadcast bound.
+SMALL_ROWS = 1_000_000
+
+
+def _is_small(df: DataFrame, small_rows: int) -> bool:
+    return df.limit(small_rows + 1).count() <= small_rows
 
 
 def ordinal(df: DataFrame, order_cols: Sequence[Column | str], partition_cols: Sequence[str] = (),
-            name: str = "pos", num_partitions: int | None = None) -> DataFrame:
+            name: str = "pos", num_partitions: int | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Add a 0-based BIGINT position ``name`` ordered by ``order_cols`` inside ``partition_cols``.
 
     Ties get distinct, arbitrary positions (as ``row_number`` does); callers pass a unique
-    order key when positions must be reproducible.
+    order key when positions must be reproducible. Inputs of at most ``small_rows`` rows
+    (checked by a count) use a plain window.
     """
     spark = df.sparkSession
+    if small_rows and _is_small(df, small_rows):
+        w = Window.partitionBy(*partition_cols).orderBy(*order_cols)
+        return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in partition_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
@@ -49,16 +60,20 @@ def ordinal(df: DataFrame, order_cols: Sequence[Column | str], partition_cols: S
 
 
 def running_total(df: DataFrame, order_cols: Sequence[Column | str], partition_cols: Sequence[str] = (),
-                  weight: str = "w", name: str = "before", num_partitions: int | None = None) -> DataFrame:
+                  weight: str = "w", name: str = "before", num_partitions: int | None = None,
+                  small_rows: int = SMALL_ROWS) -> DataFrame:
     """Add ``name`` = sum of ``weight`` over strictly earlier rows (by ``order_cols``) in the group.
 
     Same range-partition + checkpoint layout as ``ordinal``; meant for pre-aggregated input
     (for example value counts), where order keys are distinct and ranges stay balanced.
     """
     spark = df.sparkSession
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    if small_rows and _is_small(df, small_rows):
+        w = Window.partitionBy(*partition_cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum(weight).over(w), F.lit(0)))
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     keys = [F.col(c) for c in partition_cols] + order
     ranged = materialize(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()))
     w_local = (Window.partitionBy("_pid", *partition_cols).orderBy(*order)
