@@ -166,3 +166,13 @@ def test_slot_memory_stream_equals_batch(spark):
     got = rows(spark.table("memory_stream"), cols)
     want = rows(ST.carry_forward(wide, ["user_id"], ["ts", "event_id"], EV_SLOTS), cols)
     assert got == want
+
+
+def test_record_renders_null_as_none(spark):
+    from turnwise.operators.entities import render_record
+    d = _tmp()
+    os.makedirs(os.path.join(d, "db"))
+    for dom in ["hotel"]:
+        _write(os.path.join(d, "db", f"{dom}_db.json"), [{"name": "x", "wifi": None, "genre": ["a"]}])
+    e = FL.read_entities(spark, os.path.join(d, "db"), ["hotel"])
+    assert e.select(render_record(F.col("record"))).first()[0] == "name x, wifi None, genre [a]"

@@ -244,10 +244,15 @@ def db_result(requests: DataFrame, stats: DataFrame, entities: DataFrame, key: s
         key, domain, city, "total", "active_name", "active_pos", *(["candidates"] if sample is not None else []))
 
 
+def _render_value(a: Column) -> Column:
+    """One attribute value as printed: lists as "[a, b]", a NULL (absent) value as "None"."""
+    return F.coalesce(F.when(a["is_list"], F.concat(F.lit("["), F.array_join(a["values"], ", "), F.lit("]")))
+                       .otherwise(F.get(a["values"], 0)), F.lit("None"))
+
+
 def render_record(record: Column, extra: Sequence[tuple[str, Column]] = ()) -> Column:
     """Entity record as "slot value, ..." with list values as "[a, b]"."""
-    items = F.transform(record, lambda a: F.concat(a["slot"], F.lit(" "), F.when(
-        a["is_list"], F.concat(F.lit("["), F.array_join(a["values"], ", "), F.lit("]"))).otherwise(F.get(a["values"], 0))))
+    items = F.transform(record, lambda a: F.concat(a["slot"], F.lit(" "), _render_value(a)))
     for slot, value in extra:
         items = F.array_append(items, F.concat(F.lit(slot + " "), value))
     return F.array_join(items, ", ")
@@ -268,9 +273,7 @@ def db_result_text(db: DataFrame, entities: DataFrame, key: str = "request_id",
 
 def flatten_record(record: Column) -> Column:
     """Nested record value rendered as ``[a, [b, c], d]``."""
-    return F.concat(F.lit("["), F.array_join(F.transform(record, lambda a: F.when(
-        a["is_list"], F.concat(F.lit("["), F.array_join(a["values"], ", "), F.lit("]"))).otherwise(F.get(a["values"], 0))),
-        ", "), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(record, _render_value), ", "), F.lit("]"))
 
 
 __all__ = ["entity_query", "entity_query_long", "entity_names", "entity_info", "db_result", "sample_candidates",
