@@ -176,3 +176,23 @@ def test_record_renders_null_as_none(spark):
         _write(os.path.join(d, "db", f"{dom}_db.json"), [{"name": "x", "wifi": None, "genre": ["a"]}])
     e = FL.read_entities(spark, os.path.join(d, "db"), ["hotel"])
     assert e.select(render_record(F.col("record"))).first()[0] == "name x, wifi None, genre [a]"
+
+
+def test_sinks_round_trip(spark):
+    d = _tmp()
+    turns = spark.createDataFrame([("a", 3, "SYSTEM", "x"), ("a", 1, "SYSTEM", "y"), ("b", 1, "SYSTEM", "z")],
+                                  "dialogue_name string, turn_id int, speaker string, utterance string")
+    docs = SK.pack_dialogues(turns)
+    SK.write_dialogues(docs, os.path.join(d, "pred"))
+    back = {r.dialogue_name: [t.turn_id for t in r.turns] for r in spark.read.json(os.path.join(d, "pred")).collect()}
+    assert back == {"a": [1, 3], "b": [1]}
+    SK.append_progress(docs, os.path.join(d, "log"), "run1")
+    SK.append_progress(docs.filter(F.col("dialogue_name") == "a"), os.path.join(d, "log"), "run2")
+    assert spark.read.json(os.path.join(d, "log")).groupBy("run_id").count().count() == 2
+    scores = spark.createDataFrame([("a", 1, 0.5)], "dialogue_name string, turn_id int, slot_f1 double")
+    SK.write_scores_csv(scores, os.path.join(d, "scores"))
+    assert spark.read.option("header", True).csv(os.path.join(d, "scores")).first()["slot_f1"] == "0.5"
+    sessions = spark.createDataFrame([("s1", ["3", "4", "5"]), ("s2", None)], "session_id string, eval_scores array<string>")
+    SK.export_sessions(sessions, os.path.join(d, "done"), os.path.join(d, "open"))
+    assert [r.session_id for r in spark.read.json(os.path.join(d, "done")).collect()] == ["s1"]
+    assert [r.session_id for r in spark.read.json(os.path.join(d, "open")).collect()] == ["s2"]
