@@ -131,7 +131,8 @@ def entity_query_long(requests: DataFrame, slots_long: DataFrame, constraint_col
     es, small = broadcast_if_small(es)
     hits = (active.join(es, [domain, "slot", "value"])
             .groupBy(key, "entity_pos").agg(F.count(F.lit(1)).alias("_m")))
-    matched = hits.join(n_active, key).filter(F.col("_m") == F.col("_n")).select(key, "entity_pos")
+    # both sides are partitioned by key: hash the small per-request side instead of sorting hits
+    matched = hits.join(n_active.hint("shuffle_hash"), key).filter(F.col("_m") == F.col("_n")).select(key, "entity_pos")
     ents, _ = broadcast_if_small(slots_long.select("entity_pos", F.col("domain").alias(domain)).distinct())
     unconstrained = requests.select(key, domain).join(n_active, key, "left_anti")
     everything = unconstrained.join(ents, domain).select(key, "entity_pos")

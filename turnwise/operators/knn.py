@@ -111,8 +111,8 @@ def knn_lsh(vectors: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embe
     sig = base.mapInPandas(_simhash(planes, bits), "id long, tbl long, sig long, vec array<float>")
     sizes = sig.groupBy("tbl", "sig").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.withColumn("subs", F.greatest(F.lit(1), F.ceil(F.col("n") / max_block)).cast("int"))
-    sizes, _ = broadcast_if_small(sizes, tables * (1 << bits))
-    s = sig.join(sizes.select("tbl", "sig", "subs"), ["tbl", "sig"])
+    sizes, _ = broadcast_if_small(sizes.select("tbl", "sig", "subs"), tables * (1 << bits))
+    s = sig.join(sizes, ["tbl", "sig"])
     qs = s.select("id", "vec", "tbl", "sig", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
     # corpus side under other names: both sides share one lineage
     cs = s.select(F.col("id").alias("c_id"), F.col("vec").alias("c_vec"), F.col("tbl").alias("c_tbl"),

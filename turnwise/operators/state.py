@@ -79,12 +79,11 @@ def classify_items(items: DataFrame, catalogue: DataFrame, informable: DataFrame
     """Add ``kind`` (belief preferred over book) and ``reason``: NULL when accepted, else
     'malformed', 'value_not_allowed' (slot has an allowed list without this value; checked by
     slot name only, before the slot lookup) or 'unknown_slot'."""
-    inf, _ = broadcast_if_small(informable.select("slot", "value").distinct())
-    inf_slots = inf.select("slot").distinct().withColumn("_restricted", F.lit(True))
-    inf_vals = inf.withColumn("_allowed", F.lit(True))
-    cat = (catalogue.groupBy("domain", "slot")
-           .agg(F.min(F.when(F.col("kind") == "belief", 0).otherwise(1)).alias("_k")))
-    cat, _ = broadcast_if_small(cat)
+    inf = informable.select("slot", "value").distinct()
+    inf_slots, _ = broadcast_if_small(inf.select("slot").distinct().withColumn("_restricted", F.lit(True)))
+    inf_vals, _ = broadcast_if_small(inf.withColumn("_allowed", F.lit(True)))
+    cat, _ = broadcast_if_small(catalogue.groupBy("domain", "slot")
+                                .agg(F.min(F.when(F.col("kind") == "belief", 0).otherwise(1)).alias("_k")))
     j = (items.join(inf_slots, "slot", "left").join(inf_vals, ["slot", "value"], "left")
               .join(cat, ["domain", "slot"], "left"))
     reason = (F.when(~F.col("ok"), "malformed")
@@ -156,7 +155,9 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
 
 def informable_filter(df: DataFrame, informable: DataFrame, slot: str = "slot", value: str = "value") -> DataFrame:
     """Keep rows whose slot has no allowed-value list, or whose value is on the list."""
-    inf, _ = broadcast_if_small(informable.select(F.col("slot").alias(slot), F.col("value").alias(value)).distinct())
-    free = df.join(inf.select(slot).distinct(), slot, "left_anti")
-    listed = df.join(inf, [slot, value], "left_semi")
+    inf = informable.select(F.col("slot").alias(slot), F.col("value").alias(value)).distinct()
+    slots, _ = broadcast_if_small(inf.select(slot).distinct())
+    vals, _ = broadcast_if_small(inf)
+    free = df.join(slots, slot, "left_anti")
+    listed = df.join(vals, [slot, value], "left_semi")
     return free.unionByName(listed)
