@@ -162,3 +162,30 @@ def test_work_parts_like_array_split(spark):
     got = [r.part for r in SMP.work_parts(df, 4).orderBy("split_pos").collect()]
     want = [p for p, chunk in enumerate(np.array_split(names, 4)) for _ in chunk]
     assert got == want
+
+
+def test_corpus_bleu_matches_direct(spark):
+    rnd = random.Random(21)
+    words = "a b c d e".split()
+    pairs = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(3, 15))),
+              " ".join(rnd.choice(words) for _ in range(rnd.randint(3, 15)))) for i in range(40)]
+    df = spark.createDataFrame(pairs, "k long, hyp string, ref string")
+    got = BL.corpus_bleu(df, ["k"], ws_tokens(F.col("hyp")), ws_tokens(F.col("ref"))).first()["bleu"]
+    correct, total, hl, rl = [0] * 4, [0] * 4, 0, 0
+    for _, hyp, ref in pairs:
+        h, r = hyp.split(), ref.split()
+        hl, rl = hl + len(h), rl + len(r)
+        for n in range(1, 5):
+            hc = Counter(tuple(h[i:i + n]) for i in range(len(h) - n + 1))
+            rc = Counter(tuple(r[i:i + n]) for i in range(len(r) - n + 1))
+            correct[n - 1] += sum(min(c, rc[g]) for g, c in hc.items())
+            total[n - 1] += sum(hc.values())
+    bp = 1.0 if hl >= rl else math.exp(1 - rl / hl)
+    smooth, logs = 1.0, []
+    for n in range(4):
+        if correct[n] == 0:
+            smooth *= 2
+            logs.append(math.log(100.0 / (smooth * total[n])))
+        else:
+            logs.append(math.log(100.0 * correct[n] / total[n]))
+    assert abs(got - bp * math.exp(sum(logs) / 4)) < 1e-9

@@ -77,6 +77,36 @@ def sentence_bleu(pairs: DataFrame, keys: Sequence[str], hyp_tokens: Column, ref
     return j.select(*keys, score.alias(name))
 
 
+def corpus_bleu(pairs: DataFrame, keys: Sequence[str], hyp_tokens: Column, ref_tokens: Column,
+                max_order: int = MAX_ORDER) -> DataFrame:
+    """Corpus BLEU (one row): clipped matches and totals summed over all pairs per order,
+    lengths summed, exponential smoothing, all orders used (no effective order; an order with
+    no n-gram at all contributes log 0). Every step is a partial aggregate."""
+    stats = ngram_stats(pairs, keys, hyp_tokens, ref_tokens, max_order)
+    zero = F.lit(0).cast("bigint")
+    rows = (stats.select("n", "matches", "total", zero.alias("hl"), zero.alias("rl"))
+            .unionByName(pairs.select(zero.alias("n"), zero.alias("matches"), zero.alias("total"),
+                                      F.size(hyp_tokens).cast("bigint").alias("hl"),
+                                      F.size(ref_tokens).cast("bigint").alias("rl"))))
+    j = rows.groupBy().agg(*[
+        F.sum(F.when(F.col("n") == n, F.col(c))).alias(f"{c[0]}{n}")
+        for n in range(1, max_order + 1) for c in ("matches", "total")],
+        F.sum("hl").alias("hyp_len"), F.sum("rl").alias("ref_len"))
+    m = [F.coalesce(F.col(f"m{n}"), F.lit(0)) for n in range(1, max_order + 1)]
+    t = [F.coalesce(F.col(f"t{n}"), F.lit(0)) for n in range(1, max_order + 1)]
+    zeros = F.lit(0)
+    logs = []
+    for i in range(max_order):
+        zeros = zeros + (m[i] == 0).cast("int")
+        p = F.when(m[i] == 0, F.lit(100.0) / (F.pow(F.lit(2.0), zeros) * t[i])).otherwise(100.0 * m[i] / t[i])
+        logs.append(F.when(t[i] > 0, F.log(p)).otherwise(F.lit(LOG_ZERO)))
+    hl, rl = F.col("hyp_len"), F.col("ref_len")
+    bp = F.when(hl >= rl, F.lit(1.0)).when(hl > 0, F.exp(1 - rl / hl)).otherwise(F.lit(0.0))
+    score = F.when(sum(m) > 0, bp * F.exp(sum(logs) / max_order)).otherwise(F.lit(0.0))
+    return j.select(score.alias("bleu"), *[F.col(f"m{n}").cast("bigint").alias(f"m{n}") for n in range(1, max_order + 1)],
+                    *[F.col(f"t{n}").cast("bigint").alias(f"t{n}") for n in range(1, max_order + 1)])
+
+
 def corpus_counts(stats: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
     """Corpus sums of matches and totals per order (input of a corpus-level BLEU)."""
     return stats.groupBy("n").agg(F.sum("matches").alias("matches"), F.sum("total").alias("total"))

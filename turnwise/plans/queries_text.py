@@ -278,3 +278,18 @@ def q_scores_rg(spark, d):
     p = _bleu_pairs(FX.v_bleu_next(spark, d))
     s = BL.sentence_bleu(p, ["conv_id", "turn"], F.col("h"), F.col("r"))
     return s.select("conv_id", "turn", F.round("bleu", 6).alias("bleu"))
+
+
+@register("corpus_bleu", _bleu_sql("v_bleu_next") + """,
+tot as (select """ + ", ".join(f"cast(sum(m{n}) as bigint) as m{n}, cast(sum(t{n}) as bigint) as t{n}" for n in range(1, 5)) + """,
+               sum(hl) as hl, sum(rl) as rl from l),
+zz as (select *, """ + ", ".join(f"{' + '.join(f'cast(m{k} = 0 as int)' for k in range(1, n + 1))} as z{n}" for n in range(1, 5)) + """ from tot)
+select round(case when m1 + m2 + m3 + m4 = 0 then 0.0 else
+  (case when hl >= rl then 1.0 when hl > 0 then exp(1 - rl / hl) else 0.0 end) *
+  exp((""" + " + ".join(f"case when t{n} > 0 then ln(case when m{n} = 0 then 100.0 / (pow(2, z{n}) * t{n}) else 100.0 * m{n} / t{n} end) else {BL.LOG_ZERO} end" for n in range(1, 5)) + """) / 4) end, 6) as bleu,
+  """ + ", ".join(f"m{n}, t{n}" for n in range(1, 5)) + """
+from zz""")
+def q_corpus_bleu(spark, d):
+    p = _bleu_pairs(FX.v_bleu_next(spark, d))
+    out = BL.corpus_bleu(p, ["conv_id", "turn"], F.col("h"), F.col("r"))
+    return out.select(F.round("bleu", 6).alias("bleu"), *[c for c in out.columns if c != "bleu"])
