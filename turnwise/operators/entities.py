@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.text import lit_str
 from .joins import broadcast_if_small, salted_join
 
 INACTIVE = [v for v in S.NOT_QUERY_VALUES if v is not None]
@@ -277,5 +276,6 @@ def flatten_record(record: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(record, _render_value), ", "), F.lit("]"))
 
 
-__all__ = ["entity_query", "entity_query_long", "entity_names", "entity_info", "db_result", "sample_candidates",
-           "db_result_text", "entities_wide", "names_text", "flatten_record", "lit_str"]
+__all__ = ["is_active", "entities_wide", "candidates", "entity_query", "entity_query_long", "entity_names",
+           "names_text", "entity_info", "candidate_stats", "rank_candidates", "db_result", "render_record",
+           "db_result_text", "flatten_record"]
