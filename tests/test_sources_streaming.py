@@ -196,3 +196,24 @@ def test_sinks_round_trip(spark):
     SK.export_sessions(sessions, os.path.join(d, "done"), os.path.join(d, "open"))
     assert [r.session_id for r in spark.read.json(os.path.join(d, "done")).collect()] == ["s1"]
     assert [r.session_id for r in spark.read.json(os.path.join(d, "open")).collect()] == ["s2"]
+
+
+def test_score_predictions_end_to_end(spark, corpus):
+    from turnwise.plans.jobs import score_predictions
+    from turnwise.schemas import slot_catalogue
+    d = _tmp()
+    pred_state = json.loads(json.dumps(STATE))
+    pred_state["belief_state"]["hotel"]["area"] = "south"
+    _write(os.path.join(d, "e2e.inference.json"), {
+        "d2": {"dialogue_name": "d2", "turns": [{"turn_id": 1, "speaker": "SYSTEM", "utterance": "hi", "dialogue_state": pred_state}]},
+        "d1": {"dialogue_name": "d1", "turns": [{"turn_id": 0, "speaker": "SYSTEM", "utterance": "welcome to", "dialogue_state": STATE}]},
+    })
+    gold = FL.explode_turns(FL.read_dialogues(spark, os.path.join(corpus, "dialogues.json")))
+    pred = FL.explode_turns(FL.read_predictions(spark, os.path.join(d, "e2e.inference.json")))
+    scores, summary = score_predictions(gold, pred, slot_catalogue(spark))
+    got = {r.dialogue_name: (r.joint_goal_accuracy, round(r.slot_f1, 6), round(r.response_bleu, 6)) for r in scores.collect()}
+    assert got["d2"] == (0, 0.75, 100.0)        # 3 of 4 items shared; identical one-token response
+    assert got["d1"][0] == 0                     # gold turn has no state, the prediction has one
+    assert {r.metric for r in summary.collect()} == {"joint_goal_accuracy", "slot_f1", "response_bleu"}
+    with pytest.raises(ValueError):
+        score_predictions(gold, pred, slot_catalogue(spark), task="xx")

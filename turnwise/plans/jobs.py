@@ -164,3 +164,39 @@ def fewshot_retrieval(index_docs: DataFrame, queries: DataFrame, k: int, key: st
     qs = embed(queries).select(F.col(key).alias("qid"), F.col("embedding").alias("vec"))
     out = knn_exact(qs, docs, k, "qid", "cid", "vec")
     return out.select(F.col("qid").alias(key), "rank", F.col("cid").alias(doc_key), "dist")
+
+
+def score_predictions(gold_turns: DataFrame, pred_turns: DataFrame, catalogue: DataFrame, task: str = "e2e",
+                      key: str = "dialogue_name", tokenizer=None) -> tuple[DataFrame, DataFrame]:
+    """Scoring job: flattened gold and predicted turns (``sources.files.explode_turns``) ->
+    per-turn scores and their summary.
+
+    Non-USER turns of both sides meet in an inner join on (dialogue, turn id); unmatched turns
+    drop out, duplicate predictions repeat rows. ``e2e`` scores JGA, slot F1 and BLEU, ``rg``
+    only BLEU; any other task is rejected. States are rendered once per side."""
+    from ..functions.text import ws_tokens
+    from ..operators.bleu import sentence_bleu
+    from ..operators.metrics import describe, state_metrics
+    from ..sources.files import flatten_turns, state_long
+    if task not in ("e2e", "rg"):
+        raise ValueError(f"Invalid task name: {task}")
+    tok = tokenizer or ws_tokens
+
+    def side(turns, prefix):
+        flat = flatten_turns(turns, key)
+        rendered = ST.render_state(state_long(flat, key), [key, "turn_id"], catalogue, name="state")
+        out = flat.select(key, "turn_id", "response").join(rendered, [key, "turn_id"], "left")
+        return out.select(key, "turn_id", F.coalesce("state", F.lit("")).alias(f"{prefix}state"),
+                          F.col("response").alias(f"{prefix}response"))
+
+    j = side(gold_turns, "").join(side(pred_turns, "hyp_"), [key, "turn_id"], "inner")
+    j = j.withColumn("_pair", F.struct(key, "turn_id"))
+    bleu = sentence_bleu(j.select("_pair", "hyp_response", "response"), ["_pair"],
+                         tok(F.col("hyp_response")), tok(F.col("response")), name="response_bleu")
+    scored = j.join(bleu, "_pair")
+    cols = ["response_bleu"]
+    if task == "e2e":
+        scored = state_metrics(scored, "state", "hyp_state")
+        cols = ["joint_goal_accuracy", "slot_f1", "response_bleu"]
+    scores = scored.select(key, "turn_id", *cols)
+    return scores, describe(scores, cols)
