@@ -24,11 +24,12 @@ CAP = 3
 INACTIVE_SQL = "('', 'dontcare', '非対応', '無し', '不明')"
 
 
-def _entities(spark, d):
-    """Entity table (a dimension table): built once per query and materialized, so the size
-    checks and the several broadcasts of one query read it instead of recomputing it."""
+def _entities(spark, d, reused: bool = True):
+    """Entity table (a dimension table). When a query reuses it (size checks and several
+    broadcasts) it is built once and materialized; a single use reads it directly."""
     from ..operators.joins import materialize
-    return materialize(EN.entities_wide(FX.v_entity_slots(spark, d), ATTR_ORDER, LIST_SLOTS))
+    e = EN.entities_wide(FX.v_entity_slots(spark, d), ATTR_ORDER, LIST_SLOTS)
+    return materialize(e) if reused else e
 
 
 def _req(spark, d):
@@ -117,7 +118,7 @@ rec as (select e.entity_pos, 'city ' || e.city || ', name ' || e.name || ', genr
 select e.entity_pos, e.domain, e.city, e.name, (select string_agg(g.value, ', ' order by g.value) from genres g where g.entity_pos = e.entity_pos) as genres, e.size
 from ent e""")
 def q_src_entities(spark, d):
-    e = _entities(spark, d)
+    e = _entities(spark, d, reused=False)
     a = F.col("attrs")
     return e.select("entity_pos", "domain", F.get(a["city"], 0).alias("city"), F.get(a["name"], 0).alias("name"),
                     F.array_join(a["genre"], ", ").alias("genres"), F.get(a["size"], 0).alias("size"))
@@ -134,7 +135,7 @@ select e.entity_pos, '[' || e.city || ', ' || e.name || ', [' ||
   (select string_agg(g.value, ', ' order by g.value) from genres g where g.entity_pos = e.entity_pos) || '], ' || e.size || ']' as value_text
 from ent e""")
 def q_flatten_value(spark, d):
-    return _entities(spark, d).select("entity_pos", EN.flatten_record(F.col("record")).alias("value_text"))
+    return _entities(spark, d, reused=False).select("entity_pos", EN.flatten_record(F.col("record")).alias("value_text"))
 
 
 @register("active_constraints", f"""
