@@ -88,7 +88,7 @@ def test_db_result_and_sampling(spark):
         (3, "weather", "kyoto", None, None, None, None),       # weather with 2 candidates: emptied
         (4, "hotel", "nara", None, None, None, None),          # no candidates
     ])
-    cands = EN.entity_names(req, ents, ["genre", "size"], {}, carry=["oracle", "domain"])
+    cands = EN.entity_names(req, ents, ["genre", "size"], {}, carry=["oracle", "domain"], sample_seed="0")
     stats = EN.candidate_stats(cands, ents, oracle_name="oracle")
     db = {r.request_id: (r.total, r.active_name, r.active_pos) for r in EN.db_result(req, stats, ents).collect()}
     assert db[1] == (3, "inn b", 2)

@@ -49,13 +49,20 @@ def _scalar(attrs: Column, slot: str) -> Column:
     return F.get(F.try_element_at(attrs, F.lit(slot)), 0)
 
 
-def _prepare(entities: DataFrame, slots: Sequence[str] = ()) -> tuple[DataFrame, bool]:
+def hash60(c: Column, seed: str) -> Column:
+    """First 60 bits of md5("seed:value") as a long: a reproducible pseudo-random key."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), c.cast("string"))), 1, 15), 16, 10).cast("long")
+
+
+def _prepare(entities: DataFrame, slots: Sequence[str] = (), seed: str | None = None) -> tuple[DataFrame, bool]:
     """Broadcast side of the entity joins: flat columns only (domain, position, city, name and
-    one value array per constraint slot), so the join residual reads columns, not a map."""
+    one value array per constraint slot), so the join residual reads columns, not a map. With
+    ``seed`` each entity also carries its sampling hash, computed once per entity."""
     a = F.col("attrs")
     e = entities.select(F.col("domain").alias("_e_domain"), "entity_pos",
                         _scalar(a, "city").alias("_e_city"), _scalar(a, "name").alias("_e_name"),
-                        *[F.try_element_at(a, F.lit(s)).alias(f"_e_{s}") for s in dict.fromkeys(slots)])
+                        *[F.try_element_at(a, F.lit(s)).alias(f"_e_{s}") for s in dict.fromkeys(slots)],
+                        *([hash60(F.col("entity_pos"), seed).alias("_ent_hash")] if seed is not None else []))
     return broadcast_if_small(e)
 
 
@@ -70,7 +77,7 @@ def _all_match(cols: dict[str, str]) -> Column:
 
 def candidates(requests: DataFrame, entities: DataFrame, constraint_cols: Sequence[str],
                negative_cols: dict[str, str] | None = None, key: str = "request_id", domain: str = "domain",
-               city: str = "city", carry: Sequence[str] = ()) -> DataFrame:
+               city: str = "city", carry: Sequence[str] = (), sample_seed: str | None = None) -> DataFrame:
     """Conjunctive query with optional negative constraints: ``(key, entity_pos, name, carry...)``.
 
     One plan for every request: the request first meets the (domain, city) list of the entity
@@ -84,12 +91,13 @@ def candidates(requests: DataFrame, entities: DataFrame, constraint_cols: Sequen
     NULL), do not match it; an all-inactive negative dict removes every entity of the city.
     """
     negative_cols = negative_cols or {}
-    e, small = _prepare(entities, [*constraint_cols, *negative_cols])
+    e, small = _prepare(entities, [*constraint_cols, *negative_cols], sample_seed)
     cities, small_cities = broadcast_if_small(
         e.select(F.col("_e_domain").alias("_c_domain"), F.col("_e_city").alias("_c_city")).distinct())
     cols = [key, domain, city, *constraint_cols, *negative_cols.values(), *carry]
     r = requests.select(*dict.fromkeys(cols), *[is_active(F.col(c)).alias(f"_a_{c}")
-                                                for c in dict.fromkeys([*constraint_cols, *negative_cols.values()])])
+                                                for c in dict.fromkeys([*constraint_cols, *negative_cols.values()])],
+                        *([hash60(F.col(key), sample_seed).alias("_req_hash")] if sample_seed is not None else []))
     city_ok = ~is_active(F.col(city)) | (F.col(city) == F.col("_c_city"))
     if small_cities:
         r = r.join(cities, (F.col(domain) == F.col("_c_domain")) & city_ok)
@@ -103,7 +111,8 @@ def candidates(requests: DataFrame, entities: DataFrame, constraint_cols: Sequen
     if negative_cols:
         has_neg = F.coalesce(*[F.col(c).isNotNull() for c in negative_cols.values()], F.lit(False))
         keep = keep & ~(has_neg & _all_match(negative_cols))
-    return j.filter(keep).select(key, "entity_pos", F.col("_e_name").alias("name"), *carry)
+    sample = [F.col("_req_hash").bitwiseXOR(F.col("_ent_hash")).alias("_sample_key")] if sample_seed is not None else []
+    return j.filter(keep).select(key, "entity_pos", F.col("_e_name").alias("name"), *carry, *sample)
 
 
 def entity_query(requests: DataFrame, entities: DataFrame, constraint_cols: Sequence[str],
@@ -140,9 +149,11 @@ def entity_query_long(requests: DataFrame, slots_long: DataFrame, constraint_col
 
 def entity_names(requests: DataFrame, entities: DataFrame, constraint_cols: Sequence[str],
                  negative_cols: dict[str, str], key: str = "request_id", domain: str = "domain",
-                 city: str = "city", carry: Sequence[str] = ()) -> DataFrame:
-    """Candidates ``(key, entity_pos, name, carry...)``: matches minus negative matches."""
-    return candidates(requests, entities, constraint_cols, negative_cols, key, domain, city, carry)
+                 city: str = "city", carry: Sequence[str] = (), sample_seed: str | None = None) -> DataFrame:
+    """Candidates ``(key, entity_pos, name, carry...)``: matches minus negative matches. With
+    ``sample_seed`` each row also gets ``_sample_key``, the sampling order of
+    ``rank_candidates``."""
+    return candidates(requests, entities, constraint_cols, negative_cols, key, domain, city, carry, sample_seed)
 
 
 def names_text(cands: DataFrame, requests: DataFrame, key: str = "request_id") -> DataFrame:
@@ -209,21 +220,23 @@ def candidate_stats(cands: DataFrame, entities: DataFrame, key: str = "request_i
     return g.join(names, "sel_pos", "left").select(key, "total", "sel_pos", "active_name")
 
 
-def rank_candidates(cands: DataFrame, stats: DataFrame, key: str = "request_id", cap: int = S.MAX_CANDIDATE_ENTITIES,
-                    seed: str = "0") -> DataFrame:
-    """Candidate truncation: the selected entity first, then a deterministic md5-ordered
+def rank_candidates(cands: DataFrame, stats: DataFrame, key: str = "request_id",
+                    cap: int = S.MAX_CANDIDATE_ENTITIES) -> DataFrame:
+    """Candidate truncation: the selected entity first, then a deterministic pseudo-random
     sample of the rest, ``cap`` rows in all: ``(key, rank, entity_pos, name)``, rank 0 = the
-    selected entity. The per-request stats meet the candidates in a hash join on co-partitioned
+    selected entity. The order is ``_sample_key`` (from ``candidates(sample_seed=...)``): the
+    XOR of a per-request and a per-entity 60-bit md5 prefix, each hashed once, so no
+    per-candidate hash is computed and the sort key is a long; for a fixed request the XOR is
+    a bijection, i.e. a pseudo-random permutation of its candidates. The per-request stats meet the candidates in a hash join on co-partitioned
     inputs (no exchange, no sort of the big side); ``row_number() <= cap`` is planned with a
     group limit."""
     from pyspark.sql import Window
     if cap < 1:
         raise ValueError("cap must be >= 1")
     st = stats.filter(F.col("total") > 0).select(key, "sel_pos").hint("shuffle_hash")
-    c = cands.select(key, "entity_pos", "name").join(st, key)
-    h = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), F.col("entity_pos").cast("string")))
+    c = cands.select(key, "entity_pos", "name", "_sample_key").join(st, key)
     not_sel = F.col("entity_pos") != F.col("sel_pos")
-    w = Window.partitionBy(key).orderBy(not_sel, h, "entity_pos")
+    w = Window.partitionBy(key).orderBy(not_sel, "_sample_key", "entity_pos")
     ranked = c.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap)
     return ranked.select(key, (F.col("_rn") - 1).cast("bigint").alias("rank"), "entity_pos", "name")
 
