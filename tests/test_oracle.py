@@ -7,11 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from turnwise.plans import registry
 from turnwise.sources.fixtures import TABLES
 
 from .conftest import SF_SMALL
 
-SQL = entry.oracle_sql()
+SQL = registry.oracle_sql()
 QUERIES = entry.queries()
 
 
@@ -38,7 +39,7 @@ def duck():
 
 
 def test_every_query_has_oracle_or_is_rows_only():
-    rows_only = set(QUERIES) - set(SQL)
+    rows_only = set(registry.queries()) - set(SQL)
     assert rows_only == {"knn_lsh"}
 
 
