@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("secret_scan", "simhash", "sharding", "exact_dedup", "license_scan", "fingerprints")
+MODULES = ("secret_scan", "bpe_codec", "simhash", "sharding", "exact_dedup", "license_scan", "fingerprints")
 
 _QUERIES: dict[str, QueryFn] = {}
 _SQL: dict[str, str] = {}
