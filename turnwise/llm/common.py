@@ -50,11 +50,11 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], off - off[0]
 
 
-def row_slices(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes each (a longer row is a range of its own)."""
+def row_slices(off: np.ndarray, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``limit`` bytes and ``rows`` rows each (a longer row is a range of its own)."""
     i, n = 0, len(off) - 1
     while i < n:
         j = int(np.searchsorted(off, off[i] + limit, side="right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), i + rows, n)
         yield i, j
         i = j

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("secret_scan", "bpe_codec", "language_id", "simhash", "sharding", "exact_dedup", "license_scan",
-           "fingerprints")
+MODULES = ("secret_scan", "bpe_codec", "language_id", "simhash", "sharding", "quality", "exact_dedup", "mixing",
+           "license_scan", "fingerprints")
 
 _QUERIES: dict[str, QueryFn] = {}
 _SQL: dict[str, str] = {}
