@@ -295,12 +295,12 @@ def decode(df: DataFrame, ids_col: str = "ids", vocabulary: str | None = None) -
 
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                vocabulary: str | None = None) -> DataFrame:
-    """``id, n_tokens, ids_sha256, decoded_sha256`` of every row, through ``encode`` and ``decode``."""
+    """``id, n_tokens, ids, ids_sha256, decoded_sha256`` of every row, through ``encode`` and ``decode``."""
     d = decode(encode(df, id_col, text_col, vocabulary), vocabulary=vocabulary)
-    return d.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+    return d.select(id_col, "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
                     F.sha2("text", 256).alias("decoded_sha256"))
 
 
 @register("op2_bpe_codec")
 def op2_bpe_codec(spark, sf_dir):
-    return round_trip(documents(spark, sf_dir))
+    return round_trip(documents(spark, sf_dir)).drop("ids")
