@@ -10,7 +10,8 @@ different lengths from places that the hash picks. Every text is then scored who
 windows, by the tasks.
 
 Edge cases: text that is null or has no letter is ``und`` with score 0; with no labelled row all
-texts are; ties of the softmax go to the language that sorts first; repeated rows get equal results;
+texts are; ties of the softmax go to the language that sorts first; repeated rows get equal results
+(scores up to the rounding of 32-bit sums);
 an empty table gives an empty result; columns beyond id, text and language are not read. A text is
 held whole by one task.
 """

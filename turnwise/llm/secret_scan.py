@@ -156,12 +156,13 @@ def scan_paths(df: DataFrame, ledger: BlobLedger, rules=RULES, id_col: str = "do
 
 def _sql_kind(kind: str, order: int, pattern: str, group: int, least: int) -> str:
     return f"""
-select doc_id, {order} as k, '{kind}' as kind, unnest(list_transform(range(1, len(m) + 1), lambda i: struct_pack(
-         s := list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0),
-         w := length(m[i]), g := length(g[i])))) as x, {least} as least
-from (select doc_id, string_split_regex(t, '{pattern}') as p, regexp_extract_all(t, '{pattern}', 0) as m,
-             regexp_extract_all(t, '{pattern}', {group}) as g
-      from (select doc_id, coalesce(text, '') as t from documents))"""
+select doc_id, {order} as k, '{kind}' as kind, w, g, {least} as least,
+       sum(gap + w) over (partition by doc_id, line order by i) as e
+from (select doc_id, line, i, length(before) as gap, length(whole) as w, length(part) as g
+      from (select doc_id, line, unnest(range(len(m))) as i, unnest(p[1:len(m)]) as before, unnest(m) as whole, unnest(g) as part
+            from (select doc_id, line, string_split_regex(t, '{pattern}') as p, regexp_extract_all(t, '{pattern}', 0) as m,
+                         regexp_extract_all(t, '{pattern}', {group}) as g
+                  from (select doc_id, row_number() over () as line, coalesce(text, '') as t from documents))))"""
 
 
 _ASSIGN_SQL = (r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
@@ -171,12 +172,12 @@ SQL = f"""
 with hits as ({_sql_kind('assign', 0, _ASSIGN_SQL, 2, 8)}
 union all {_sql_kind('access', 1, 'AKIA[A-Z0-9]+', 0, 16)}
 union all {_sql_kind('hex', 2, '[0-9a-f]+', 0, 32)}),
-kept as (select doc_id, k, kind, x.s as s, x.s + x.w as e from hits where x.g >= least),
+kept as (select doc_id, k, kind, e - w as s, e from hits where g >= least),
 per_doc as (
 select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
        count(*) filter (kind = 'hex') as n_hex,
        string_agg(kind || ':' || cast(s as bigint) || ':' || cast(e as bigint), ',' order by s, k) as spans
-from kept group by doc_id)
+from (select distinct * from kept) group by doc_id)
 select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
        sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
 from documents d left join per_doc using (doc_id)
