@@ -88,8 +88,10 @@ def test_db_result_and_sampling(spark):
         (3, "weather", "kyoto", None, None, None, None),       # weather with 2 candidates: emptied
         (4, "hotel", "nara", None, None, None, None),          # no candidates
     ])
-    cands = EN.entity_names(req, ents, ["genre", "size"], {}, carry=["oracle", "domain"], sample_seed="0")
-    stats = EN.candidate_stats(cands, ents, oracle_name="oracle")
+    req, sets = EN.constraint_sets(req, ["domain", "city", "genre", "size"])
+    assert sorted(r.n_requests for r in sets.collect()) == [1, 1, 2]
+    cands = EN.entity_names(sets, ents, ["genre", "size"], {}, key="set_id")
+    stats = EN.candidate_stats(req, cands, oracle_name="oracle")
     db = {r.request_id: (r.total, r.active_name, r.active_pos) for r in EN.db_result(req, stats, ents).collect()}
     assert db[1] == (3, "inn b", 2)
     assert db[2] == (3, "inn a", 1)
@@ -135,17 +137,25 @@ def test_booking_rules(spark):
     assert txt[3] == "" and txt[1] == ""   # failed booking: success not printed
 
 
-def test_shuffled_fallback_equals_broadcast(spark, monkeypatch):
-    """Above the broadcast bound the joins shuffle (and the domain-only join is salted);
-    results must not change."""
-    from turnwise.operators import joins
-    data = [(1, "hotel", "kyoto", "dontcare", "", None, None), (2, "hotel", None, None, None, "spa", None),
-            (3, "hotel", "kyoto", "spa", None, None, None), (4, "weather", None, None, None, None, None)]
+def test_unknown_slot_is_an_error(spark):
+    import pytest
     _, ents = _entities(spark)
-    want = sorted((r.request_id, r.entity_pos) for r in
-                  EN.entity_names(_req(spark, data), ents, ["genre", "size"], {"genre": "neg_genre"}).collect())
-    real = joins.broadcast_if_small
-    monkeypatch.setattr(EN, "broadcast_if_small", lambda df, max_rows=0: real(df, 0))
-    got = sorted((r.request_id, r.entity_pos) for r in
-                 EN.entity_names(_req(spark, data), ents, ["genre", "size"], {"genre": "neg_genre"}).collect())
-    assert got == want and len(want) > 0
+    req = _req(spark, [(1, "hotel", "kyoto", None, None, None, None)]).withColumn("sauna", F.lit("yes"))
+    with pytest.raises(ValueError, match="unknown slot: sauna"):
+        EN.entity_query(req, ents, ["genre", "sauna"])
+    with pytest.raises(ValueError, match="list-valued constraint: genre"):
+        EN.entity_query(req.withColumn("genre", F.array("genre")), ents, ["genre"])
+
+
+def test_sample_numbers_go_round(spark):
+    """Every request gets ``cap`` different candidates, and all candidates get their turn."""
+    _, ents = _entities(spark)
+    req, sets = EN.constraint_sets(_req(spark, [(i, "hotel", None, None, None, None, None) for i in range(40)]),
+                                   ["domain", "city", "genre", "size"])
+    cands = EN.entity_names(sets, ents, ["genre", "size"], {}, key="set_id")
+    sample = EN.rank_candidates(cands, EN.candidate_stats(req, cands), cap=3).collect()
+    per = {}
+    for r in sample:
+        per.setdefault(r.request_id, {})[r.rank] = r.entity_pos
+    assert all(sorted(x) == [0, 1, 2] and x[0] == 1 and len(set(x.values())) == 3 for x in per.values())
+    assert {p for x in per.values() for p in x.values()} == {1, 2, 3, 4} and len(per) == 40

@@ -17,37 +17,35 @@ from turnwise.operators import sessions as SE
 from turnwise.operators.ordering import ordinal
 
 
-def _greedy(dialogues, quota, domains):
-    counter = {d: 0 for d in domains}
-    picked = []
-    for pos, goal in dialogues:
-        if all(c >= quota for c in counter.values()):
-            break
-        if all(counter[d] >= quota for d in goal):
-            continue
-        for d in goal:
-            counter[d] += 1
-        picked.append(pos)
-    return picked, counter
+def _sample(spark, goals, quota):
+    rows = [(p, d) for p, ds in goals.items() for d in ds]
+    got = SMP.balanced_sample(spark.createDataFrame(rows, "pos long, domain string"), quota)
+    return sorted(r.pos for r in got.collect())
+
+
+def test_balanced_sample_by_hand(spark):
+    goals = {0: ["a"], 1: ["a", "b"], 2: ["a"], 3: ["b"], 4: ["c"], 5: ["a", "c"]}
+    # quota 1: 0 fills a; 1 is the first of b; 4 is the first of c; 2, 3 and 5 have only filled domains
+    assert _sample(spark, goals, 1) == [0, 1, 4]
+    # quota 2: 2 has only a, which 0 and 1 have filled; 3 is the second of b, 4 and 5 those of c
+    assert _sample(spark, goals, 2) == [0, 1, 3, 4, 5]
+    assert _sample(spark, goals, 0) == []
+    assert _sample(spark, goals, 9) == [0, 1, 2, 3, 4, 5]
 
 
-def test_balanced_sample_equals_greedy_walk(spark):
+def test_balanced_sample_properties(spark):
     rnd = random.Random(11)
-    domains = ["a", "b", "c", "d"]
-    for quota in (0, 1, 3):
-        dialogues = [(i, sorted(set(rnd.sample(domains, rnd.randint(0, 3))))) for i in range(60)]
-        rows_ = [(p, d) for p, g in dialogues for d in g]
-        gd = spark.createDataFrame(rows_, "pos long, domain string")
-        got = sorted(r.pos for r in SMP.balanced_sample(gd, quota).collect())
-        want, counter = _greedy(dialogues, quota, domains)
-        if quota == 0:
-            assert got == []
-            continue
-        # a goal without domains is never taken by either (all() of nothing is True)
-        assert got == sorted(want)
-        cnt = {r.domain: r.n for r in SMP.domain_counts(gd, SMP.balanced_sample(gd, quota),
-                                                         spark.createDataFrame([(d,) for d in domains], "domain string")).collect()}
-        assert cnt == counter
+    goals = {i: sorted(set(rnd.sample("abcd", rnd.randint(1, 3)))) for i in range(60)}
+    for quota in (1, 3):
+        taken = _sample(spark, goals, quota)
+        for pos, domains in goals.items():
+            # taken if and only if fewer than quota earlier dialogues with one of its domains were taken
+            open_ = [d for d in domains if sum(d in goals[p] for p in taken if p < pos) < quota]
+            assert (pos in taken) == bool(open_)
+        gd = spark.createDataFrame([(p, d) for p, ds in goals.items() for d in ds], "pos long, domain string")
+        domains = spark.createDataFrame([(d,) for d in "abcd"], "domain string")
+        counts = {r.domain: r.n for r in SMP.domain_counts(gd, SMP.balanced_sample(gd, quota), domains).collect()}
+        assert counts == {d: sum(d in goals[p] for p in taken) for d in "abcd"}
 
 
 def test_knn_exact_matches_numpy(spark):
@@ -142,18 +140,20 @@ def test_ordinal_equals_row_number(spark):
     df = spark.createDataFrame([(rnd.choice("xyz"), rnd.random()) for _ in range(500)], "g string, v double")
     w = Window.partitionBy("g").orderBy("v")
     b = {(r.g, r.v): r.rn - 1 for r in df.withColumn("rn", F.row_number().over(w)).collect()}
-    for small in (0, 10_000):   # range-partitioned path and the small-input window path
-        a = {(r.g, r.v): r.pos for r in ordinal(df, ["v"], ["g"], "pos", num_partitions=7, small_rows=small).collect()}
+    for parts in (1, 7):
+        a = {(r.g, r.v): r.pos for r in ordinal(df, ["v"], ["g"], "pos", num_partitions=parts).collect()}
         assert a == b
 
 
-def test_running_total_paths_agree(spark):
+def test_running_total_counts_strictly_earlier_rows(spark):
     from turnwise.operators.ordering import running_total
     rnd = random.Random(6)
-    df = spark.createDataFrame([(rnd.choice("ab"), float(i), rnd.randint(1, 5)) for i in range(300)], "g string, v double, w long")
-    big = {(r.g, r.v): r.before for r in running_total(df, ["v"], ["g"], "w", small_rows=0, num_partitions=5).collect()}
-    small = {(r.g, r.v): r.before for r in running_total(df, ["v"], ["g"], "w").collect()}
-    assert big == small
+    rows = [(rnd.choice("ab"), float(i), rnd.randint(1, 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, v double, w long")
+    want = {(g, v): sum(x[2] for x in rows if x[0] == g and x[1] < v) for g, v, _ in rows}
+    for parts in (1, 5):
+        got = running_total(df, ["v"], ["g"], "w", num_partitions=parts).collect()
+        assert {(r.g, r.v): r.before for r in got} == want
 
 
 def test_work_parts_like_array_split(spark):

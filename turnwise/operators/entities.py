@@ -1,10 +1,10 @@
 """Entity database queries as batch joins: constraint query (wide and long form), names with
 negative constraints, lookup by name, per-turn DB result, candidate sampling and rendering.
 
-Entities are a dimension table (thousands of records per domain). Every join against them
-uses a size-checked broadcast; above the bound the equi-join shuffles, and the join on domain
-alone (requests without an active city) is salted because a handful of domains would
-otherwise be a handful of tasks.
+Many requests ask the same thing. ``constraint_sets`` reduces them to their distinct constraint
+sets; candidates, counts and numbering are worked out once per set, and requests join back by
+``set_id``. So the work grows with the number of sets, not with requests times entities. Lookups by
+name go through the first entity per (domain, name, city) and per (domain, name), one row each.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from .joins import broadcast_if_small, salted_join
+from .joins import salted_join
 
 INACTIVE = [v for v in S.NOT_QUERY_VALUES if v is not None]
-DOMAIN_SALTS = 64
+DOMAIN_SALTS = 16
 
 
 def is_active(c: Column, inactive: Sequence[str] = tuple(INACTIVE)) -> Column:
@@ -54,16 +54,33 @@ def hash60(c: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), c.cast("string"))), 1, 15), 16, 10).cast("long")
 
 
-def _prepare(entities: DataFrame, slots: Sequence[str] = (), seed: str | None = None) -> tuple[DataFrame, bool]:
-    """Broadcast side of the entity joins: flat columns only (domain, position, city, name and
-    one value array per constraint slot), so the join residual reads columns, not a map. With
-    ``seed`` each entity also carries its sampling hash, computed once per entity."""
+def constraint_sets(requests: DataFrame, cols: Sequence[str], name: str = "set_id") -> tuple[DataFrame, DataFrame]:
+    """Requests with the id of their constraint set, and the distinct sets ``(set_id, cols..., n_requests)``."""
+    key = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    r = requests.withColumn(name, key)
+    return r, r.groupBy(name, *cols).agg(F.count(F.lit(1)).alias("n_requests"))
+
+
+def _prepare(entities: DataFrame, slots: Sequence[str] = ()) -> DataFrame:
+    """Flat entity columns (domain, position, city, name and one value array per constraint slot),
+    so that join conditions read columns and not a map."""
     a = F.col("attrs")
-    e = entities.select(F.col("domain").alias("_e_domain"), "entity_pos",
-                        _scalar(a, "city").alias("_e_city"), _scalar(a, "name").alias("_e_name"),
-                        *[F.try_element_at(a, F.lit(s)).alias(f"_e_{s}") for s in dict.fromkeys(slots)],
-                        *([hash60(F.col("entity_pos"), seed).alias("_ent_hash")] if seed is not None else []))
-    return broadcast_if_small(e)
+    return entities.select(F.col("domain").alias("_e_domain"), "entity_pos",
+                           _scalar(a, "city").alias("_e_city"), _scalar(a, "name").alias("_e_name"),
+                           *[F.try_element_at(a, F.lit(s)).alias(f"_e_{s}") for s in dict.fromkeys(slots)])
+
+
+def check_constraints(requests: DataFrame, constraint_cols: Sequence[str], entities: DataFrame) -> None:
+    """Refuse a constraint on a slot that no record has, and a constraint that is a list.
+
+    Slot names are like column names, a handful; they are found by a map-side combined aggregate."""
+    lists = [c for c in constraint_cols if requests.schema[c].dataType.typeName() == "array"]
+    if lists:
+        raise ValueError(f"list-valued constraint: {', '.join(lists)}")
+    known = {r.slot for r in entities.select(F.explode(F.map_keys("attrs")).alias("slot")).distinct().collect()}
+    unknown = [c for c in constraint_cols if known and c not in known]
+    if unknown:
+        raise ValueError(f"unknown slot: {', '.join(unknown)}")
 
 
 def _all_match(cols: dict[str, str]) -> Column:
@@ -77,42 +94,33 @@ def _all_match(cols: dict[str, str]) -> Column:
 
 def candidates(requests: DataFrame, entities: DataFrame, constraint_cols: Sequence[str],
                negative_cols: dict[str, str] | None = None, key: str = "request_id", domain: str = "domain",
-               city: str = "city", carry: Sequence[str] = (), sample_seed: str | None = None) -> DataFrame:
+               city: str = "city", carry: Sequence[str] = ()) -> DataFrame:
     """Conjunctive query with optional negative constraints: ``(key, entity_pos, name, carry...)``.
 
-    One plan for every request: the request first meets the (domain, city) list of the entity
-    table (its own city when active, every city of the domain when not; NULL-safe), then the
-    entities on (domain, city) equality. Both sides are size-checked broadcasts, so the
-    request side is never shuffled and keeps its partitioning (pre-partition requests by
-    ``key`` and every later per-request step runs without an exchange). Constraint columns
-    are named after their slot. The negative query shares the same (domain, city) candidates,
-    so "matches minus negative matches, by entity row" is a residual: keep rows that match
-    the constraints and, when the negative dict is non-empty (some negative column is not
-    NULL), do not match it; an all-inactive negative dict removes every entity of the city.
+    ``requests`` are best distinct constraint sets (``constraint_sets``). A request with an active
+    city meets the entities of its domain and city; one without meets those of its domain, which
+    are spread over salts since there are few domains. Constraint columns are named after their
+    slot; a slot that no entity has is an error. The negative query has the same candidates, so
+    "matches minus negative matches" is a condition on each row; an all-inactive negative dict
+    removes every entity of the city.
     """
     negative_cols = negative_cols or {}
-    e, small = _prepare(entities, [*constraint_cols, *negative_cols], sample_seed)
-    cities, small_cities = broadcast_if_small(
-        e.select(F.col("_e_domain").alias("_c_domain"), F.col("_e_city").alias("_c_city")).distinct())
-    cols = [key, domain, city, *constraint_cols, *negative_cols.values(), *carry]
-    r = requests.select(*dict.fromkeys(cols), *[is_active(F.col(c)).alias(f"_a_{c}")
-                                                for c in dict.fromkeys([*constraint_cols, *negative_cols.values()])],
-                        *([hash60(F.col(key), sample_seed).alias("_req_hash")] if sample_seed is not None else []))
-    city_ok = ~is_active(F.col(city)) | (F.col(city) == F.col("_c_city"))
-    if small_cities:
-        r = r.join(cities, (F.col(domain) == F.col("_c_domain")) & city_ok)
-    else:  # a domain is a hot key of this join: spread it over salts
-        r = salted_join(r.withColumn("_c_domain_k", F.col(domain)),
-                        cities.withColumn("_c_domain_k", F.col("_c_domain")), ["_c_domain_k"], DOMAIN_SALTS,
-                        residual=city_ok).drop("_c_domain_k")
-    # above the broadcast bound this is a shuffled equi-join on (domain, city); AQE splits hot keys
-    j = r.join(e, (F.col("_c_domain") == F.col("_e_domain")) & F.col("_c_city").eqNullSafe(F.col("_e_city")))
+    check_constraints(requests, constraint_cols, entities)
+    e = _prepare(entities, [*constraint_cols, *negative_cols])
+    cols = dict.fromkeys([key, domain, city, *constraint_cols, *negative_cols.values(), *carry])
+    r = requests.select(*cols, *[is_active(F.col(c)).alias(f"_a_{c}")
+                                 for c in dict.fromkeys([*constraint_cols, *negative_cols.values()])])
+    located = r.filter(is_active(F.col(city))).join(
+        e, (F.col(domain) == F.col("_e_domain")) & (F.col(city) == F.col("_e_city")))
+    anywhere = salted_join(e.withColumn("_domain", F.col("_e_domain")),
+                           r.filter(~is_active(F.col(city))).withColumn("_domain", F.col(domain)),
+                           ["_domain"], DOMAIN_SALTS).drop("_domain")
     keep = _all_match({c: c for c in constraint_cols})
     if negative_cols:
         has_neg = F.coalesce(*[F.col(c).isNotNull() for c in negative_cols.values()], F.lit(False))
         keep = keep & ~(has_neg & _all_match(negative_cols))
-    sample = [F.col("_req_hash").bitwiseXOR(F.col("_ent_hash")).alias("_sample_key")] if sample_seed is not None else []
-    return j.filter(keep).select(key, "entity_pos", F.col("_e_name").alias("name"), *carry, *sample)
+    out = [key, "entity_pos", F.col("_e_name").alias("name"), *carry]
+    return located.filter(keep).select(*out).unionByName(anywhere.filter(keep).select(*out))
 
 
 def entity_query(requests: DataFrame, entities: DataFrame, constraint_cols: Sequence[str],
@@ -126,34 +134,29 @@ def entity_query_long(requests: DataFrame, slots_long: DataFrame, constraint_col
                       key: str = "request_id", domain: str = "domain", city: str = "city") -> DataFrame:
     """Long form (relational division) for open-ended slots: explode active constraints,
     equi-join entity slots on (domain, slot, value), keep entities matching every active slot;
-    requests without active constraints get every entity of their domain. Equal to
-    ``entity_query``. The entity side is deduplicated first so a plain count replaces a
-    distinct count; with requests partitioned by ``key`` the per-(request, entity) count needs
-    no exchange."""
+    requests without active constraints get every entity of their domain (spread over salts).
+    Equal to ``entity_query``. The entity side is deduplicated first so a plain count replaces a
+    distinct count."""
     cons = requests.select(key, domain, F.inline(F.array(*[
         F.struct(F.lit(s).alias("slot"), F.col(c).cast("string").alias("value"))
         for s, c in [("city", city), *[(c, c) for c in constraint_cols]]])))
     active = cons.filter(is_active(F.col("value")))
     n_active = active.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     es = slots_long.select("entity_pos", F.col("domain").alias(domain), "slot", "value").distinct()
-    es, small = broadcast_if_small(es)
     hits = (active.join(es, [domain, "slot", "value"])
             .groupBy(key, "entity_pos").agg(F.count(F.lit(1)).alias("_m")))
-    # both sides are partitioned by key: hash the small per-request side instead of sorting hits
-    matched = hits.join(n_active.hint("shuffle_hash"), key).filter(F.col("_m") == F.col("_n")).select(key, "entity_pos")
-    ents, _ = broadcast_if_small(slots_long.select("entity_pos", F.col("domain").alias(domain)).distinct())
+    matched = hits.join(n_active, key).filter(F.col("_m") == F.col("_n")).select(key, "entity_pos")
+    ents = slots_long.select("entity_pos", F.col("domain").alias(domain)).distinct()
     unconstrained = requests.select(key, domain).join(n_active, key, "left_anti")
-    everything = unconstrained.join(ents, domain).select(key, "entity_pos")
+    everything = salted_join(ents, unconstrained, [domain], DOMAIN_SALTS).select(key, "entity_pos")
     return matched.unionByName(everything)
 
 
 def entity_names(requests: DataFrame, entities: DataFrame, constraint_cols: Sequence[str],
                  negative_cols: dict[str, str], key: str = "request_id", domain: str = "domain",
-                 city: str = "city", carry: Sequence[str] = (), sample_seed: str | None = None) -> DataFrame:
-    """Candidates ``(key, entity_pos, name, carry...)``: matches minus negative matches. With
-    ``sample_seed`` each row also gets ``_sample_key``, the sampling order of
-    ``rank_candidates``."""
-    return candidates(requests, entities, constraint_cols, negative_cols, key, domain, city, carry, sample_seed)
+                 city: str = "city", carry: Sequence[str] = ()) -> DataFrame:
+    """Candidates ``(key, entity_pos, name, carry...)``: matches minus negative matches."""
+    return candidates(requests, entities, constraint_cols, negative_cols, key, domain, city, carry)
 
 
 def names_text(cands: DataFrame, requests: DataFrame, key: str = "request_id") -> DataFrame:
@@ -165,21 +168,29 @@ def names_text(cands: DataFrame, requests: DataFrame, key: str = "request_id") -
                     F.coalesce(F.array_join(F.transform("_c", lambda x: x["name"]), ", "), F.lit("")).alias("names")))
 
 
-_POS_BITS = 40  # entity positions are below 2^40; (far-from-city, position) packs into one long
-
-
-def _lookup_active(base: DataFrame, entities: DataFrame, key: str, domain: str, city: str, name: str) -> DataFrame:
-    """QRY3 for one active name per row: first entity (file order) with that name in the
-    row's city, else anywhere in the domain. One broadcast join and a fixed-width minimum,
-    grouped by the row key (the rows keep their partitioning)."""
-    e, _ = _prepare(entities)
-    j = base.join(e, (F.col(domain) == F.col("_e_domain")) & (F.col(name) == F.col("_e_name")), "left")
-    far = (is_active(F.col(city)) & ~F.col(city).eqNullSafe(F.col("_e_city"))).cast("long")
-    packed = F.when(F.col("entity_pos").isNotNull(), F.shiftleft(far, _POS_BITS) + F.col("entity_pos"))
-    keys = [key, *[c for c in base.columns if c != key]]
-    g = j.groupBy(*keys).agg(F.min(packed).alias("_packed"))
-    return (g.withColumn("active_pos", F.col("_packed").bitwiseAND(F.lit((1 << _POS_BITS) - 1)))
-             .withColumn("_far", F.shiftright("_packed", _POS_BITS)).drop("_packed"))
+def _lookup_active(base: DataFrame, entities: DataFrame, domain: str, city: str, name: str) -> DataFrame:
+    """QRY3 per row: first entity (file order) of that name in the row's city, else of that name in
+    the domain; an inactive name leaves the name out. Adds ``active_pos`` and ``_far``.
+
+    Each join meets a table of one row per key, so no row fans out."""
+    e = _prepare(entities)
+    named, located = is_active(F.col(name)), is_active(F.col(city))
+    firsts = {}
+    for tag, cols in (("nc", ["_e_name", "_e_city"]), ("n", ["_e_name"]), ("c", ["_e_city"]), ("d", [])):
+        firsts[tag] = e.groupBy("_e_domain", *cols).agg(F.min("entity_pos").alias(f"_first_{tag}"))
+    of = {"_e_name": name, "_e_city": city}
+    out = base
+    for tag, cols in (("nc", ["_e_name", "_e_city"]), ("n", ["_e_name"]), ("c", ["_e_city"]), ("d", [])):
+        f = firsts[tag].withColumnsRenamed({c: f"{c}_{tag}" for c in ["_e_domain", *cols]})
+        on = F.col(domain) == F.col(f"_e_domain_{tag}")
+        for c in cols:
+            on = on & (F.col(of[c]) == F.col(f"{c}_{tag}"))
+        out = out.join(f, on, "left").drop(*[f"{c}_{tag}" for c in ["_e_domain", *cols]])
+    near = F.when(located, F.when(named, F.col("_first_nc")).otherwise(F.col("_first_c")))
+    far = F.when(named, F.col("_first_n")).otherwise(F.col("_first_d"))
+    return (out.withColumn("active_pos", F.coalesce(near, far))
+            .withColumn("_far", located & near.isNull())
+            .drop(*[f"_first_{t}" for t in firsts]))
 
 
 def entity_info(lookups: DataFrame, entities: DataFrame, key: str = "request_id", domain: str = "domain",
@@ -187,58 +198,63 @@ def entity_info(lookups: DataFrame, entities: DataFrame, key: str = "request_id"
     """Lookup by name: first entity (file order) with that name in the city, else anywhere in
     the domain. An inactive name skips the name constraint (first entity of the city, else of
     the domain). ``entity_pos`` is NULL when nothing matches (the reference raises)."""
-    lk = lookups.select(key, domain, name, city)
-    named = _lookup_active(lk.filter(is_active(F.col(name))), entities, key, domain, city, name)
-    e, _ = _prepare(entities)
-    anon = lk.filter(~is_active(F.col(name))).join(e, F.col(domain) == F.col("_e_domain"), "left")
-    far = (is_active(F.col(city)) & ~F.col(city).eqNullSafe(F.col("_e_city"))).cast("long")
-    packed = F.when(F.col("entity_pos").isNotNull(), F.shiftleft(far, _POS_BITS) + F.col("entity_pos"))
-    anon = (anon.groupBy(key, domain, name, city).agg(F.min(packed).alias("_packed"))
-            .withColumn("active_pos", F.col("_packed").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
-    both = named.select(key, "active_pos", "_far").unionByName(anon.select(
-        key, "active_pos", F.shiftright("_packed", _POS_BITS).alias("_far")))
-    return both.select(key, F.col("active_pos").alias("entity_pos"),
-                       F.when(F.col("active_pos").isNotNull(), F.col("_far") == 0).alias("in_city"))
-
-
-def candidate_stats(cands: DataFrame, entities: DataFrame, key: str = "request_id", domain: str = "domain",
-                    oracle_name: str | None = None,
-                    drop_multi_domain: str = S.MULTI_CANDIDATE_DROP_DOMAIN) -> DataFrame:
-    """Per request with candidates: ``total`` (the drop domain with more than one candidate
-    gets none), ``sel_pos`` (first occurrence of the oracle's name if it is a candidate, else
-    the first candidate in file order) and ``active_name``. Fixed-width partial aggregates
-    only; with ``cands`` partitioned by ``key`` there is no exchange."""
-    aggs = [F.count(F.lit(1)).alias("_n"), F.min("entity_pos").alias("_first_pos")]
+    found = _lookup_active(lookups.select(key, domain, name, city), entities, domain, city, name)
+    return found.select(key, F.col("active_pos").alias("entity_pos"),
+                        F.when(F.col("active_pos").isNotNull(), ~F.col("_far")).alias("in_city"))
+
+
+def candidate_stats(requests: DataFrame, cands: DataFrame, key: str = "request_id", domain: str = "domain",
+                    oracle_name: str | None = None, drop_multi_domain: str = S.MULTI_CANDIDATE_DROP_DOMAIN,
+                    set_id: str = "set_id") -> DataFrame:
+    """Per request whose set has candidates: ``total`` (the drop domain with more than one candidate
+    gets none), ``sel_pos`` (first occurrence of the oracle's name if it is a candidate, else the
+    first candidate in file order), ``active_name`` and ``n_all`` (candidates before the drop).
+
+    ``cands`` are candidates per set (``set_id, entity_pos, name``); counts and firsts are taken per
+    set, and requests join one row each."""
+    per_set = cands.groupBy(set_id).agg(F.count(F.lit(1)).alias("n_all"),
+                                        F.min(F.struct("entity_pos", "name")).alias("_first"))
+    r = requests.select(key, set_id, domain, *([F.col(oracle_name).alias("_oracle")] if oracle_name else []))
+    g = r.join(per_set, set_id)
+    sel, name = F.col("_first.entity_pos"), F.col("_first.name")
     if oracle_name:
-        aggs.append(F.min(F.when(F.col("name") == F.col(oracle_name), F.col("entity_pos"))).alias("_oracle_pos"))
-    g = cands.groupBy(key, domain).agg(*aggs)
-    total = F.when((F.col(domain) == drop_multi_domain) & (F.col("_n") > 1), F.lit(0)).otherwise(F.col("_n"))
-    sel = F.coalesce(F.col("_oracle_pos"), F.col("_first_pos")) if oracle_name else F.col("_first_pos")
-    g = g.select(key, total.cast("bigint").alias("total"), F.when(total > 0, sel).alias("sel_pos"))
-    names, _ = broadcast_if_small(entities.select(F.col("entity_pos").alias("sel_pos"),
-                                                  _scalar(F.col("attrs"), "name").alias("active_name")))
-    return g.join(names, "sel_pos", "left").select(key, "total", "sel_pos", "active_name")
+        per_name = cands.groupBy(F.col(set_id).alias("_set"), F.col("name").alias("_name")).agg(
+            F.min("entity_pos").alias("_oracle_pos"))
+        g = g.join(per_name, (F.col(set_id) == F.col("_set")) & (F.col("_oracle") == F.col("_name")), "left")
+        name = F.when(F.col("_oracle_pos").isNotNull(), F.col("_oracle")).otherwise(name)
+        sel = F.coalesce(F.col("_oracle_pos"), sel)
+    total = F.when((F.col(domain) == drop_multi_domain) & (F.col("n_all") > 1), F.lit(0)).otherwise(F.col("n_all"))
+    return g.select(key, set_id, total.cast("bigint").alias("total"), F.when(total > 0, sel).alias("sel_pos"),
+                    F.when(total > 0, name).alias("active_name"), "n_all")
 
 
 def rank_candidates(cands: DataFrame, stats: DataFrame, key: str = "request_id",
-                    cap: int = S.MAX_CANDIDATE_ENTITIES) -> DataFrame:
+                    cap: int = S.MAX_CANDIDATE_ENTITIES, seed: str = "0", set_id: str = "set_id") -> DataFrame:
     """Candidate truncation: the selected entity first, then a deterministic pseudo-random
     sample of the rest, ``cap`` rows in all: ``(key, rank, entity_pos, name)``, rank 0 = the
-    selected entity. The order is ``_sample_key`` (from ``candidates(sample_seed=...)``): the
-    XOR of a per-request and a per-entity 60-bit md5 prefix, each hashed once, so no
-    per-candidate hash is computed and the sort key is a long; for a fixed request the XOR is
-    a bijection, i.e. a pseudo-random permutation of its candidates. The per-request stats meet the candidates in a hash join on co-partitioned
-    inputs (no exchange, no sort of the big side); ``row_number() <= cap`` is planned with a
-    group limit."""
+    selected entity.
+
+    The candidates of a set are numbered once, in the order of a hash of their position. A request
+    takes ``cap`` numbers in a row, from a place that the hash of its key picks (past the last
+    number it goes on at the first), so only the rows taken are joined."""
     from pyspark.sql import Window
     if cap < 1:
         raise ValueError("cap must be >= 1")
-    st = stats.filter(F.col("total") > 0).select(key, "sel_pos").hint("shuffle_hash")
-    c = cands.select(key, "entity_pos", "name", "_sample_key").join(st, key)
-    not_sel = F.col("entity_pos") != F.col("sel_pos")
-    w = Window.partitionBy(key).orderBy(not_sel, "_sample_key", "entity_pos")
-    ranked = c.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap)
-    return ranked.select(key, (F.col("_rn") - 1).cast("bigint").alias("rank"), "entity_pos", "name")
+    order = Window.partitionBy(set_id).orderBy(hash60(F.col("entity_pos"), seed), "entity_pos")
+    numbered = cands.select(F.col(set_id).alias("_set"), "entity_pos", "name",
+                            (F.row_number().over(order) - 1).alias("_at"))
+    st = stats.filter(F.col("total") > 0)
+    take = st.select(key, F.col(set_id).alias("_r_set"), "sel_pos", "n_all", F.posexplode(F.sequence(
+        F.lit(0), (F.least(F.col("n_all"), F.lit(cap)) - 1).cast("int"))).alias("_i", "_step"))
+    take = take.withColumn("_want", F.pmod(hash60(F.col(key), seed) + F.col("_i"), F.col("n_all")).cast("int"))
+    got = (take.join(numbered, (F.col("_r_set") == F.col("_set")) & (F.col("_want") == F.col("_at")))
+           .filter(F.col("entity_pos") != F.col("sel_pos")))
+    w = Window.partitionBy(key).orderBy("_i")
+    rest = (got.select(key, "entity_pos", "name", F.row_number().over(w).cast("bigint").alias("rank"))
+            .filter(F.col("rank") < cap))
+    first = st.select(key, F.col("sel_pos").alias("entity_pos"), F.col("active_name").alias("name"),
+                      F.lit(0).cast("bigint").alias("rank"))
+    return first.unionByName(rest).select(key, "rank", "entity_pos", "name")
 
 
 def db_result(requests: DataFrame, stats: DataFrame, entities: DataFrame, key: str = "request_id",
@@ -252,7 +268,7 @@ def db_result(requests: DataFrame, stats: DataFrame, entities: DataFrame, key: s
         info = info.join(lists, key, "left")
     base = requests.select(key, domain, city).join(info, key, "left")
     base = base.withColumn("total", F.coalesce(F.col("total"), F.lit(0)).cast("bigint"))
-    out = _lookup_active(base, entities, key, domain, city, "active_name").drop("_far")
+    out = _lookup_active(base, entities, domain, city, "active_name").drop("_far")
     return out.withColumn("active_pos", F.when(F.col("active_name").isNotNull(), F.col("active_pos"))).select(
         key, domain, city, "total", "active_name", "active_pos", *(["candidates"] if sample is not None else []))
 
@@ -274,7 +290,7 @@ def render_record(record: Column, extra: Sequence[tuple[str, Column]] = ()) -> C
 def db_result_text(db: DataFrame, entities: DataFrame, key: str = "request_id", include_domain: bool = True) -> DataFrame:
     """``total N, candidate [..], selected [slot value, ..]`` per request, from a DB result
     built ``with_candidates``."""
-    e, _ = broadcast_if_small(entities.select(F.col("entity_pos").alias("active_pos"), "record", F.col("domain").alias("_ed")))
+    e = entities.select(F.col("entity_pos").alias("active_pos"), "record", F.col("domain").alias("_ed"))
     j = db.join(e, "active_pos", "left")
     extra = [("domain", F.col("_ed"))] if include_domain else []
     selected = F.when(F.col("active_pos").isNotNull(), render_record(F.col("record"), extra)).otherwise(F.lit(""))
@@ -289,6 +305,6 @@ def flatten_record(record: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(record, _render_value), ", "), F.lit("]"))
 
 
-__all__ = ["is_active", "entities_wide", "candidates", "entity_query", "entity_query_long", "entity_names",
+__all__ = ["is_active", "entities_wide", "constraint_sets", "candidates", "entity_query", "entity_query_long", "entity_names",
            "names_text", "entity_info", "candidate_stats", "rank_candidates", "db_result", "render_record",
            "db_result_text", "flatten_record"]

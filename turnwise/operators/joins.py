@@ -7,18 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Largest dimension table (rows) that is broadcast after an explicit count.
-BROADCAST_MAX_ROWS = 2_000_000
+# Largest planned size of a table that is broadcast on request.
+BROADCAST_MAX_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only when a count proves it has at most ``max_rows`` rows.
+def planned_bytes(df: DataFrame) -> int:
+    """Size that the optimizer expects of ``df`` (file sizes for scans); runs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    The count is one cheap job over a dimension table (slot catalogue, allowed values, entity
-    database). Above the bound the plain DataFrame is returned and the caller's join shuffles.
-    """
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
+    """Broadcast ``df`` if its planned size is at most ``max_bytes``; else the plain DataFrame, whose
+    joins shuffle (or are broadcast by AQE from measured sizes)."""
+    if planned_bytes(df) <= max_bytes:
         return F.broadcast(df), True
     return df, False
 

@@ -33,40 +33,25 @@ def _entities(spark, d, reused: bool = True):
     return materialize(e) if reused else e
 
 
-def _req(spark, d):
-    """Requests partitioned by request id once; every later per-request step reuses it. The
-    partition count is explicit: requests are small but each one fans out to its candidate
-    entities, so AQE must not coalesce this exchange into a few tasks."""
-    return FX.v_requests(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "request_id")
+SET_COLS = ["domain", "city", *CONSTRAINTS, *NEGATIVE.values()]
 
 
-def _cands(spark, d, req=None, ents=None):
-    req = req if req is not None else _req(spark, d)
-    ents = ents if ents is not None else _entities(spark, d)
-    return EN.entity_names(req, ents, CONSTRAINTS, NEGATIVE, carry=["name_hint", "domain"], sample_seed=SEED)
-
-
-def _stats(spark, d, req, ents, cands=None):
-    cands = cands if cands is not None else _cands(spark, d, req, ents)
-    return EN.candidate_stats(cands, ents, oracle_name="name_hint", drop_multi_domain=DROP_DOMAIN)
+def _cands(spark, d, ents):
+    """Requests with their set, the sets, and the candidates per set (written: several steps read them)."""
+    from ..operators.joins import materialize
+    req, sets = EN.constraint_sets(FX.v_requests(spark, d), SET_COLS)
+    return req, sets, materialize(EN.entity_names(sets, ents, CONSTRAINTS, NEGATIVE, key="set_id"))
 
 
-def _sample(spark, d, req, ents):
-    cands = _cands(spark, d, req, ents)
-    return EN.rank_candidates(cands, _stats(spark, d, req, ents, cands), cap=CAP)
+def _stats(req, cands):
+    return EN.candidate_stats(req, cands, oracle_name="name_hint", drop_multi_domain=DROP_DOMAIN)
 
 
-def _db(spark, d, req=None, ents=None, with_sample=False):
-    req = req if req is not None else _req(spark, d)
+def _db(spark, d, ents=None, with_sample=False):
     ents = ents if ents is not None else _entities(spark, d)
-    if not with_sample:
-        return EN.db_result(req, _stats(spark, d, req, ents), ents)
-    # stats feed both the ranking and the result: write them once (a narrow per-request
-    # table) instead of recomputing the candidate join for each use
-    from ..operators.joins import materialize
-    cands = _cands(spark, d, req, ents)
-    stats = materialize(_stats(spark, d, req, ents, cands))
-    sample = EN.rank_candidates(cands, stats, cap=CAP)
+    req, _, cands = _cands(spark, d, ents)
+    stats = _stats(req, cands)
+    sample = EN.rank_candidates(cands, stats, cap=CAP, seed=SEED) if with_sample else None
     return EN.db_result(req, stats, ents, sample=sample)
 
 
@@ -102,14 +87,16 @@ db as (select a.request_id, a.domain, a.city, a.total, a.active_name, l.entity_p
 c as (select k.request_id, k.entity_pos, k.name, a.active_name from cands k join act a using (request_id) where a.total > 0),
 sel as (select request_id, min(entity_pos) as sel_pos from c where name = active_name group by request_id),
 c2 as (select c.*, sel.sel_pos from c left join sel using (request_id)),
+numbered as (select c2.*, count(*) over (partition by request_id) as n,
+    row_number() over (partition by request_id order by ('0x' || substr(md5('0:' || cast(entity_pos as string)), 1, 15))::bigint, entity_pos) - 1 as nr
+  from c2),
+drawn as (select *, (nr - ('0x' || substr(md5('0:' || cast(request_id as string)), 1, 15))::bigint % n + n) % n as i from numbered),
 sampled as (select request_id, cast(0 as bigint) as rank, entity_pos, name from c2 where entity_pos = sel_pos
   union all
   select request_id, rank, entity_pos, name from (
-    select request_id, entity_pos, name, sel_pos,
-      cast(row_number() over (partition by request_id order by xor(('0x' || substr(md5('0:' || cast(request_id as string)), 1, 15))::bigint,
-                                                                  ('0x' || substr(md5('0:' || cast(entity_pos as string)), 1, 15))::bigint), entity_pos) as bigint) as rank
-    from c2 where sel_pos is null or entity_pos <> sel_pos) x
-  where rank <= case when sel_pos is not null then {CAP - 1} else {CAP} end),
+    select request_id, entity_pos, name, cast(row_number() over (partition by request_id order by i) as bigint) as rank
+    from drawn where i < {CAP} and entity_pos <> sel_pos) x
+  where rank < {CAP}),
 rec as (select e.entity_pos, 'city ' || e.city || ', name ' || e.name || ', genre [' ||
           (select string_agg(g.value, ', ' order by g.value) from genres g where g.entity_pos = e.entity_pos) ||
           '], size ' || e.size as body, e.domain from ent e)
@@ -153,22 +140,30 @@ def q_active_constraints(spark, d):
     return long.filter(EN.is_active(F.col("value")))
 
 
-@register("entity_query", _ENT + "select request_id, entity_pos from pos")
+@register("entity_query", _ENT + """
+select r.domain, r.city, r.genre, r.size, p.entity_pos, count(*) as n_requests
+from pos p join req r using (request_id) group by all""")
 def q_entity_query(spark, d):
-    return EN.entity_query(_req(spark, d), _entities(spark, d), CONSTRAINTS)
+    _, sets = EN.constraint_sets(FX.v_requests(spark, d), ["domain", "city", *CONSTRAINTS])
+    hits = EN.entity_query(sets, _entities(spark, d), CONSTRAINTS, key="set_id")
+    return hits.join(sets, "set_id").select("domain", "city", *CONSTRAINTS, "entity_pos", "n_requests")
 
 
-@register("entity_query_long", _ENT + "select request_id, entity_pos from pos")
+@register("entity_query_long", _ENT + """
+select r.domain, r.city, r.genre, r.size, p.entity_pos, count(*) as n_requests
+from pos p join req r using (request_id) group by all""")
 def q_entity_query_long(spark, d):
-    return EN.entity_query_long(_req(spark, d), FX.v_entity_slots(spark, d), CONSTRAINTS)
+    _, sets = EN.constraint_sets(FX.v_requests(spark, d), ["domain", "city", *CONSTRAINTS])
+    hits = EN.entity_query_long(sets, FX.v_entity_slots(spark, d), CONSTRAINTS, key="set_id")
+    return hits.join(sets, "set_id").select("domain", "city", *CONSTRAINTS, "entity_pos", "n_requests")
 
 
 @register("entity_names", _ENT + """
 select r.request_id, count(c.entity_pos) as n_names, coalesce(string_agg(c.name, ', ' order by c.entity_pos), '') as names
 from req r left join cands c using (request_id) group by r.request_id""")
 def q_entity_names(spark, d):
-    req = _req(spark, d)
-    return EN.names_text(_cands(spark, d, req), req)
+    req, sets, cands = _cands(spark, d, _entities(spark, d))
+    return req.select("request_id", "set_id").join(EN.names_text(cands, sets, key="set_id"), "set_id").drop("set_id")
 
 
 @register("entity_info", _ENT + f"""
@@ -188,8 +183,8 @@ def q_db_result(spark, d):
 
 @register("candidate_sample", _ENT + "select request_id, rank, entity_pos, name from sampled")
 def q_candidate_sample(spark, d):
-    req, ents = _req(spark, d), _entities(spark, d)
-    return _sample(spark, d, req, ents)
+    req, _, cands = _cands(spark, d, _entities(spark, d))
+    return EN.rank_candidates(cands, _stats(req, cands), cap=CAP, seed=SEED)
 
 
 @register("db_result_text", _ENT + """
@@ -198,7 +193,8 @@ select db.request_id, 'total ' || cast(db.total as string) || ', candidate [' ||
   coalesce(rec.body || ', domain ' || rec.domain, '') || ']' as db_text
 from db left join cl using (request_id) left join rec on rec.entity_pos = db.active_pos""")
 def q_db_result_text(spark, d):
-    return EN.db_result_text(_db(spark, d, with_sample=True), _entities(spark, d))
+    ents = _entities(spark, d)
+    return EN.db_result_text(_db(spark, d, ents, with_sample=True), ents)
 
 
 # ----------------------------------------------------------------------------- bookings

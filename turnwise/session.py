@@ -37,8 +37,9 @@ def build_session(master: str | None = None, app: str = "turnwise",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
-    A cluster names it in ``spark.checkpoint.dir``; that setting always wins. Only when
-    nothing is configured (local tests) a private folder under the system temp dir is used.
+    A cluster names it in ``spark.checkpoint.dir``; that setting always wins. With nothing
+    configured a local master (tests) gets a private folder under the system temp dir, and any
+    other master is refused: its executors could not read a folder of the driver's machine.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -48,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="turnwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
