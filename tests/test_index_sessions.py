@@ -62,15 +62,13 @@ def test_knn_exact_matches_numpy(spark):
         assert [got[(i, r + 1)] for r in range(3)] == order.tolist()
 
 
-def test_knn_lsh_recall(spark):
-    rng = np.random.default_rng(9)
-    centers = rng.normal(size=(10, 16))
-    v = np.concatenate([c + 0.05 * rng.normal(size=(30, 16)) for c in centers])
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(len(v))], "vec_id long, embedding array<float>")
-    exact = {(r.vec_id, r.nn_vec_id) for r in KN.knn_exact(df, df, 2, "vec_id", "vec_id", "embedding", True).collect()}
-    approx = {(r.vec_id, r.nn_vec_id) for r in KN.knn_lsh(df, 2, tables=6, bits=4, max_block=50).collect()}
-    assert len(exact & approx) / len(exact) > 0.8
+def test_knn_ties_and_copies(spark):
+    rows = [(i, [1.0, 2.0] if i % 2 else [0.0, float(i)]) for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = KN.knn_exact(df.filter("vec_id = 3"), df, 4, qid="vec_id", cid="vec_id", vec="embedding", exclude_self=True,
+                       q_blocks=1, c_blocks=3)
+    assert [(r["rank"], r.nn_vec_id, r.dist) for r in got.orderBy("rank").collect()] == [
+        (1, 1, 0.0), (2, 5, 0.0), (3, 7, 0.0), (4, 9, 0.0)]
 
 
 def _bleu_direct(hyp, ref):

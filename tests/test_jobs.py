@@ -22,7 +22,7 @@ def test_guarded_retries_and_errors():
             raise RuntimeError("transient")
         return f"  ok {text} "
 
-    out = J.guarded(flaky, max_attempts=3, base_wait=0.0)(pd.Series(["once", "boom", "x"]))
+    out = J.guarded(flaky, max_attempts=3, retry_on=(RuntimeError,), base_wait=0.0)(pd.Series(["once", "boom", "x"]))
     assert out["value"].tolist() == ["ok once", None, "ok x"]
     assert out["error"].tolist()[1].startswith("RuntimeError")
     assert out["attempts"].tolist() == [2, 3, 1]

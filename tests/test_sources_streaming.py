@@ -189,6 +189,12 @@ def test_sinks_round_trip(spark):
     SK.append_progress(docs, os.path.join(d, "log"), "run1")
     SK.append_progress(docs.filter(F.col("dialogue_name") == "a"), os.path.join(d, "log"), "run2")
     assert spark.read.json(os.path.join(d, "log")).groupBy("run_id").count().count() == 2
+    # a later run wins over an earlier, longer one, whatever the files are called
+    SK.append_progress(docs.filter(F.col("dialogue_name") == "b").withColumn("turns", F.slice("turns", 1, 0)),
+                       os.path.join(d, "log"), "run0")
+    from turnwise.operators.sampling import latest_per_key
+    log = latest_per_key(FL.read_progress(spark, os.path.join(d, "log")), ["dialogue_name"], "line_no").collect()
+    assert {r.dialogue_name: (r.run_id, len(r.turns)) for r in log} == {"a": ("run2", 2), "b": ("run0", 0)}
     scores = spark.createDataFrame([("a", 1, 0.5)], "dialogue_name string, turn_id int, slot_f1 double")
     SK.write_scores_csv(scores, os.path.join(d, "scores"))
     assert spark.read.option("header", True).csv(os.path.join(d, "scores")).first()["slot_f1"] == "0.5"
@@ -217,3 +223,40 @@ def test_score_predictions_end_to_end(spark, corpus):
     assert {r.metric for r in summary.collect()} == {"joint_goal_accuracy", "slot_f1", "response_bleu"}
     with pytest.raises(ValueError):
         score_predictions(gold, pred, slot_catalogue(spark), task="xx")
+
+
+def test_repeated_turn_keys_and_slots_outside_the_catalogue(spark):
+    from turnwise.plans.jobs import score_predictions
+    from turnwise.schemas import slot_catalogue
+    schema = ("dialogue_name string, pos long, turn_id int, speaker string, utterance string, "
+              "dialogue_state struct<belief_state:map<string,map<string,string>>,book_state:map<string,map<string,string>>>")
+    row = lambda text, slots: ("d", 0, 1, "SYSTEM", text, ({"hotel": slots}, {}))
+    gold = spark.createDataFrame([row("one two three four five", {"name": "x", "sauna": "yes"})], schema)
+    pred = spark.createDataFrame([row("one two three four five", {"name": "x"}),
+                                  row("six seven eight nine ten", {"name": "x", "sauna": "yes"})], schema)
+    scores, _ = score_predictions(gold, pred, slot_catalogue(spark))
+    got = sorted((r.joint_goal_accuracy, round(r.response_bleu)) for r in scores.collect())
+    assert got == [(0, 100), (1, 0)]
+
+
+def test_entity_values_that_look_like_lists(spark):
+    vals = ["[A] inn", '["a","b"]', '["a",["b",["c","d"]]]', "plain", '[]']
+    df = spark.createDataFrame([(v,) for v in vals], "v string").select(FL._values_of(F.col("v")).alias("x"))
+    assert [r.x for r in df.collect()] == [["[A] inn"], ["a", "b"], ["a", "[b, [c, d]]"], ["plain"], []]
+
+
+def test_strip_of_unicode_white_space(spark):
+    from turnwise.functions import text as TX
+    texts = ["\u3000success\u3000", "\xa0a b\x1c", "\u2003", " x\u200b ", "a\u3000b\x85c"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", TX.py_strip(F.col("t")).alias("s"), TX.ws_tokens(F.col("t")).alias("w")).collect()
+    assert [(r.s, r.w) for r in rows] == [(t.strip(), t.split()) for t in texts]
+
+
+def test_guarded_model_in_a_job(spark):
+    from turnwise.plans import jobs as J
+    from turnwise.plans.queries_text import strict_responder
+    df = spark.createDataFrame([(1, " fine "), (2, "a@b")], "k long, t string")
+    out = J.call_with_errors(J.run_predictor(df, "t", "raw", J.guarded(strict_responder)), "raw", "error")
+    got = {r.k: (r.prediction, r.error, r.attempts) for r in out.collect()}
+    assert got == {1: ("fine", None, 1), 2: ("Error: ValueError: address in text", "ValueError: address in text", 1)}

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 
 
-def lit_str(v: str | None) -> Column:
-    return F.lit(v).cast("string")
+# The characters that Python's ``str.strip`` and ``str.split`` take for white space.
+SPACE = ("[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}"
+         "\\x{205F}\\x{3000}]")
 
 
 def py_strip(c: Column) -> Column:
     """Python ``str.strip()``: remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def falsy_to_null(c: Column) -> Column:
@@ -80,12 +81,12 @@ def flatten_value(c: Column, depth: int = 1) -> Column:
 
 def ws_tokens(c: Column) -> Column:
     """Whitespace tokens (``str.split()``): split on runs of whitespace, drop empties."""
-    return F.filter(F.split(c, r"\s+"), lambda t: t != "")
+    return F.filter(F.split(c, f"{SPACE}+"), lambda t: t != "")
 
 
 def char_tokens(c: Column) -> Column:
     """Every non-space character as a token (a tokenizer for unsegmented scripts)."""
-    return F.filter(F.split(c, ""), lambda t: F.length(F.regexp_replace(t, r"\s", "")) > 0)
+    return F.filter(F.split(c, ""), lambda t: F.length(F.regexp_replace(t, SPACE, "")) > 0)
 
 
 def python_bool(c: Column) -> Column:

@@ -1,10 +1,9 @@
-"""Nearest-neighbour example retrieval: exact blocked top-k and an LSH variant.
+"""Nearest-neighbour example retrieval: exact top-k of a stated query set against all rows.
 
 Exact search never builds the query x corpus product as rows. Both sides are cut into hash
-blocks; a query block meets a corpus block in one cogroup (an equi-join on the block pair),
-NumPy computes that block's distances in memory, and only the k best per query leave the
-task. The k x (corpus blocks) candidates per query are then ranked once more. Work is
-(Q + N) x blocks rows of shuffle and Q x N / blocks^2 distances per task.
+blocks; a query block meets a corpus block in one cogroup (an equi-join on the block pair), one
+matrix product gives that block's distances, and only the k best per query leave the task. The
+k x (corpus blocks) candidates per query are then ranked once more.
 """
 
 from __future__ import annotations
@@ -17,12 +16,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import broadcast_if_small
-
 OUT_SCHEMA = "qid long, cid long, dist double"
 ROWS_PER_BLOCK = 4096  # target vectors per block side
 
 
+def _best(qid, qv, cid, cv, k: int, exclude_self: bool) -> pd.DataFrame:
+    """The k nearest corpus vectors per query, ties by corpus id. A matrix product finds all that can be
+    among them (the k-th distance plus its rounding error); their distances are then taken exactly."""
+    d = (qv ** 2).sum(axis=1)[:, None] + (cv ** 2).sum(axis=1)[None] - 2 * (qv @ cv.T)
+    error = 1e-9 * (1 + np.abs(d).max(initial=0.0))
+    if exclude_self:
+        d[qid[:, None] == cid[None]] = np.inf
+    kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+    row, col = np.nonzero((d <= kth[:, None] + error) & np.isfinite(d))
+    exact = ((qv[row] - cv[col]) ** 2).sum(axis=1)
+    order = np.lexsort((cid[col], exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return pd.DataFrame({"qid": qid[row[keep]], "cid": cid[col[keep]], "dist": exact[keep]})
+
+
 def _topk_block(k: int, exclude_self: bool, c_id: str = "id", c_vec: str = "vec"):
     def fn(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         c = c.rename(columns={c_id: "id", c_vec: "vec"})
@@ -33,28 +46,11 @@ def _topk_block(k: int, exclude_self: bool, c_id: str = "id", c_vec: str = "vec"
         cv = np.stack(c["vec"].to_numpy()).astype(np.float64)
         qid = q["id"].to_numpy(np.int64)
         cid = c["id"].to_numpy(np.int64)
-        out_q, out_c, out_d = [], [], []
-        # slice queries so a slice x corpus-block difference tensor stays small
-        step = max(1, int(8_000_000 // max(1, cv.shape[0] * cv.shape[1])))
-        for s in range(0, qv.shape[0], step):
-            diff = qv[s:s + step, None, :] - cv[None, :, :]
-            d = np.einsum("ijk,ijk->ij", diff, diff)
-            if exclude_self:
-                d = np.where(qid[s:s + step, None] == cid[None, :], np.inf, d)
-            for r in range(d.shape[0]):
-                row = d[r]
-                kk = min(k, int(np.isfinite(row).sum()))
-                if kk == 0:
-                    continue
-                kth = np.partition(row, kk - 1)[kk - 1]
-                cand = np.nonzero(row <= kth)[0]
-                order = np.lexsort((cid[cand], row[cand]))[:kk]
-                sel = cand[order]
-                out_q.extend([qid[s + r]] * len(sel))
-                out_c.extend(cid[sel].tolist())
-                out_d.extend(row[sel].tolist())
-        return pd.DataFrame({"qid": np.array(out_q, dtype=np.int64), "cid": np.array(out_c, dtype=np.int64),
-                             "dist": np.array(out_d, dtype=np.float64)})
+        parts = []
+        step = max(1, 8_000_000 // max(1, len(cv)))  # rows of distances held at once
+        for s in range(0, len(qv), step):
+            parts.append(_best(qid[s:s + step], qv[s:s + step], cid, cv, k, exclude_self))
+        return pd.concat(parts, ignore_index=True)
     return fn
 
 
@@ -83,49 +79,6 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "qid", c
                          F.col("cid").alias(f"nn_{cid}" if cid == qid else cid), "dist")
 
 
-def _simhash(planes: np.ndarray, bits: int):
-    """pandas function: one signature per hash table from the signs of random projections."""
-    def fn(batches):
-        for pdf in batches:
-            v = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-            proj = np.einsum("nd,tbd->ntb", v, planes) >= 0
-            weights = (1 << np.arange(bits)).astype(np.int64)
-            sig = (proj.astype(np.int64) * weights).sum(axis=2)
-            out = pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(np.int64), planes.shape[0]),
-                                "tbl": np.tile(np.arange(planes.shape[0], dtype=np.int64), len(pdf)),
-                                "sig": sig.reshape(-1)})
-            out["vec"] = np.repeat(pdf["vec"].to_numpy(), planes.shape[0])
-            yield out[["id", "tbl", "sig", "vec"]]
-    return fn
-
-
-def knn_lsh(vectors: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", tables: int = 4,
-            bits: int = 6, seed: int = 7, max_block: int = ROWS_PER_BLOCK, exclude_self: bool = True) -> DataFrame:
-    """Approximate self top-k: random-hyperplane buckets per table, exact re-rank inside a
-    bucket. A bucket larger than ``max_block`` is split into corpus sub-blocks with its
-    queries copied to each, so no bucket is one task. Bucket sizes live in a table of at most
-    tables x 2^bits rows (a parameter bound), which is broadcast."""
-    dim = len(vectors.select(vec).first()[0])
-    planes = np.random.RandomState(seed).normal(size=(tables, bits, dim))
-    base = vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
-    sig = base.mapInPandas(_simhash(planes, bits), "id long, tbl long, sig long, vec array<float>")
-    sizes = sig.groupBy("tbl", "sig").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.withColumn("subs", F.greatest(F.lit(1), F.ceil(F.col("n") / max_block)).cast("int"))
-    sizes, _ = broadcast_if_small(sizes.select("tbl", "sig", "subs"), tables * (1 << bits))
-    s = sig.join(sizes, ["tbl", "sig"])
-    qs = s.select("id", "vec", "tbl", "sig", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
-    # corpus side under other names: both sides share one lineage
-    cs = s.select(F.col("id").alias("c_id"), F.col("vec").alias("c_vec"), F.col("tbl").alias("c_tbl"),
-                  F.col("sig").alias("c_sig"), F.pmod(F.xxhash64("id"), F.col("subs")).cast("int").alias("c_sub"))
-    part = qs.groupBy("tbl", "sig", "sub").cogroup(cs.groupBy("c_tbl", "c_sig", "c_sub")).applyInPandas(
-        _topk_block(k, exclude_self, "c_id", "c_vec"), OUT_SCHEMA)
-    best = part.groupBy("qid", "cid").agg(F.min("dist").alias("dist"))
-    w = Window.partitionBy("qid").orderBy("dist", "cid")
-    ranked = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("qid").alias(id_col), F.col("rank").cast("bigint").alias("rank"),
-                         F.col("cid").alias(f"nn_{id_col}"), "dist")
-
-
 def examples_text(ranked: DataFrame, payload: DataFrame, key: str, nn: str, cols: Sequence[str]) -> DataFrame:
     """Reshape ranked neighbours into one examples string per query (rank order): each
     example is its payload columns joined by ':'; k is small, so the group is bounded."""

@@ -27,13 +27,16 @@ def items_to_state_text(items: DataFrame, keys: Sequence[str], item: str = "item
 
 def render_state(long: DataFrame, keys: Sequence[str], catalogue: DataFrame, with_domain: bool = True,
                  name: str = "state", sep: str = SEP) -> DataFrame:
-    """``state_dict2str``: "domain slot value" items in catalogue order, falsy values skipped.
-    Slots outside the catalogue (for example book slots of a domain without belief slots) are
-    not rendered. Keys without any rendered item do not appear (their text is '')."""
+    """``state_dict2str``: "domain slot value" items, falsy values skipped. Slots of the catalogue
+    come first, in catalogue order; slots outside it (for example book slots of a domain without
+    belief slots) follow, by domain and slot. Keys without any rendered item do not appear
+    (their text is '')."""
     cat, _ = broadcast_if_small(catalogue.select("domain", "domain_pos", "slot", "slot_pos"))
-    j = long.join(cat, ["domain", "slot"]).filter(falsy_to_null(F.col("value")).isNotNull())
+    j = long.join(cat, ["domain", "slot"], "left").filter(falsy_to_null(F.col("value")).isNotNull())
     text = (F.concat_ws(" ", "domain", "slot", "value") if with_domain else F.concat_ws(" ", "slot", "value"))
-    g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("domain_pos", "slot_pos", text.alias("t")))).alias("_items"))
+    order = F.struct(F.col("domain_pos").isNull().alias("outside"), "domain_pos", "slot_pos",
+                     F.when(F.col("domain_pos").isNull(), F.struct("domain", "slot")).alias("named"), text.alias("t"))
+    g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("_items"))
     return g.select(*keys, F.array_join(F.transform("_items", lambda x: x["t"]), sep).alias(name))
 
 

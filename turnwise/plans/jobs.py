@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import state as ST
@@ -88,25 +88,37 @@ def echo_predictor(texts):
 
 
 def run_predictor(df: DataFrame, input_col: str, output_col: str, predictor) -> DataFrame:
-    """Apply a pandas ``Series[str] -> Series[str]`` model to Arrow batches (``mapInPandas``).
+    """Apply a pandas model to Arrow batches (``mapInPandas``).
 
-    The function is called once per batch; a model loaded at module level or cached inside
+    ``predictor`` takes a Series of texts and gives a Series of texts, or, like the result of
+    ``guarded``, a frame ``value, error, attempts``, which adds these columns (value as
+    ``output_col``). It is called once per batch; a model loaded at module level or cached inside
     the function is reused by every batch of the Python worker.
     """
-    from pyspark.sql.types import StringType, StructField, StructType
-    schema = StructType([*df.schema.fields, StructField(output_col, StringType(), True)])
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+    extra = [StructField(output_col, StringType())]
+    if getattr(predictor, "guarded", False):
+        extra += [StructField("error", StringType()), StructField("attempts", LongType())]
+    schema = StructType([*df.schema.fields, *extra])
 
     def fn(batches):
         for pdf in batches:
-            pdf[output_col] = predictor(pdf[input_col]).astype(object)
+            out = predictor(pdf[input_col])
+            if len(extra) == 1:
+                pdf[output_col] = out.astype(object)
+            else:
+                for name, col in zip([output_col, "error", "attempts"], ["value", "error", "attempts"]):
+                    pdf[name] = out[col].to_numpy()
             yield pdf
     return df.mapInPandas(fn, schema)
 
 
-def guarded(predictor, max_attempts: int = 3, retry_on: tuple = (Exception,), base_wait: float = 1.0):
-    """Wrap a per-text model call: bounded retries with random exponential backoff; a final
-    failure becomes the row's error instead of failing the job. Returns a pandas function
-    ``Series[str] -> DataFrame[value, error, attempts]``."""
+def guarded(predictor, max_attempts: int = 3, retry_on: tuple = (ConnectionError, TimeoutError),
+            base_wait: float = 1.0, most_wait: float = 60.0):
+    """Wrap a per-text model call: errors of ``retry_on`` (rate limits, broken connections) are tried
+    again after a random exponential wait of at most ``most_wait`` seconds; any other error, and the
+    last of these, becomes the row's error instead of failing the job. Returns a pandas function
+    ``Series[str] -> DataFrame[value, error, attempts]``, which ``run_predictor`` takes."""
     import random
     import time
 
@@ -115,19 +127,22 @@ def guarded(predictor, max_attempts: int = 3, retry_on: tuple = (Exception,), ba
     def call(texts):
         values, errors, attempts = [], [], []
         for t in texts:
+            value = error = None
             for a in range(1, max_attempts + 1):
                 try:
-                    values.append(str(predictor(t)).strip())
-                    errors.append(None)
+                    value, error = str(predictor(t)).strip(), None
                     break
-                except retry_on as e:  # noqa: PERF203
-                    if a == max_attempts:
-                        values.append(None)
-                        errors.append(f"{type(e).__name__}: {e}")
+                except Exception as e:  # noqa: BLE001  the row's error is kept, the job goes on
+                    error = f"{type(e).__name__}: {e}"
+                    if not isinstance(e, retry_on) or a == max_attempts:
                         break
-                    time.sleep(random.uniform(0, base_wait * (2 ** (a - 1))))
+                    time.sleep(min(most_wait, random.uniform(0, base_wait * (2 ** (a - 1)))))
+            values.append(value)
+            errors.append(error)
             attempts.append(a)
-        return pd.DataFrame({"value": values, "error": errors, "attempts": attempts})
+        return pd.DataFrame({"value": pd.Series(values, dtype=object), "error": pd.Series(errors, dtype=object),
+                             "attempts": attempts})
+    call.guarded = True
     return call
 
 
@@ -183,14 +198,17 @@ def score_predictions(gold_turns: DataFrame, pred_turns: DataFrame, catalogue: D
     tok = tokenizer or ws_tokens
 
     def side(turns, prefix):
-        flat = flatten_turns(turns, key)
-        rendered = ST.render_state(state_long(flat, key), [key, "turn_id"], catalogue, name="state")
-        out = flat.select(key, "turn_id", "response").join(rendered, [key, "turn_id"], "left")
-        return out.select(key, "turn_id", F.coalesce("state", F.lit("")).alias(f"{prefix}state"),
+        # a turn key may repeat: rows are numbered per key, so that each keeps its own state
+        flat = flatten_turns(turns, key).withColumn("_row", F.row_number().over(
+            Window.partitionBy(key, "turn_id").orderBy("response", F.to_json("belief_state"), F.to_json("book_state"))))
+        rendered = ST.render_state(state_long(flat, key, ["_row"]), [key, "turn_id", "_row"], catalogue, name="state")
+        out = flat.select(key, "turn_id", "_row", "response").join(rendered, [key, "turn_id", "_row"], "left")
+        return out.select(key, "turn_id", F.col("_row").alias(f"{prefix}row"),
+                          F.coalesce("state", F.lit("")).alias(f"{prefix}state"),
                           F.col("response").alias(f"{prefix}response"))
 
     j = side(gold_turns, "").join(side(pred_turns, "hyp_"), [key, "turn_id"], "inner")
-    j = j.withColumn("_pair", F.struct(key, "turn_id"))
+    j = j.withColumn("_pair", F.struct(key, "turn_id", "row", "hyp_row"))
     bleu = sentence_bleu(j.select("_pair", "hyp_response", "response"), ["_pair"],
                          tok(F.col("hyp_response")), tok(F.col("response")), name="response_bleu")
     scored = j.join(bleu, "_pair")

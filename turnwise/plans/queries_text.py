@@ -18,7 +18,6 @@ EMPTY_DB_TEXT = "total 0, candidate [], selected []"
 TEMPLATES = {(d, k): t for d, k, t in PR.default_templates()}
 IN_CAP, OUT_CAP, PAD = 16, 8, 0
 TRAIN_CAP = 100
-ERROR_CHARS = 1500
 
 
 def q(s: str) -> str:
@@ -181,17 +180,23 @@ def q_pad_mask(spark, d):
 
 # ----------------------------------------------------------------------------- text helpers
 
+def strict_responder(text: str) -> str:
+    """Rule model that refuses texts with an e-mail address; used by ``error_text``."""
+    if "@" in text:
+        raise ValueError("address in text")
+    return text
+
+
 @register("error_text", f"""
 select conv_id, turn,
-  case when length(utterance) > {ERROR_CHARS} then 'Error: context length exceeded' else regexp_replace(utterance, '^\\s+|\\s+$', '', 'g') end as prediction,
-  case when length(utterance) > {ERROR_CHARS} then 'context length exceeded' end as error
+  case when contains(utterance, '@') then 'Error: ValueError: address in text' else regexp_replace(utterance, {q(f'^{TX.SPACE}+|{TX.SPACE}+$')}, '', 'g') end as prediction,
+  case when contains(utterance, '@') then 'ValueError: address in text' end as error
 from v_turns where speaker = 'SYSTEM'""")
 def q_error_text(spark, d):
-    from .jobs import call_with_errors
-    t = FX.v_turns(spark, d).filter(F.col("speaker") == "SYSTEM")
-    err = F.when(F.length("utterance") > ERROR_CHARS, F.lit("context length exceeded"))
-    out = call_with_errors(t.withColumn("_raw", F.col("utterance")).withColumn("error", err), "_raw", "error")
-    return out.select("conv_id", "turn", "prediction", "error")
+    from .jobs import call_with_errors, guarded, run_predictor
+    t = FX.v_turns(spark, d).filter(F.col("speaker") == "SYSTEM").select("conv_id", "turn", "utterance")
+    called = run_predictor(t, "utterance", "raw", guarded(strict_responder, max_attempts=2, retry_on=(TimeoutError,)))
+    return call_with_errors(called, "raw", "error").select("conv_id", "turn", "prediction", "error")
 
 
 @register("rg_turns", """

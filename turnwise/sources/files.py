@@ -10,6 +10,7 @@ operator starts from Parquet.
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,14 +107,14 @@ def flatten_turns(turns: DataFrame, key: str = "dialogue_name") -> DataFrame:
         F.col("dialogue_state.book_state").alias("book_state"), F.col("utterance").alias("response"))
 
 
-def state_long(turns: DataFrame, key: str = "dialogue_name") -> DataFrame:
-    """Belief and book states of flattened turns in long form ``(key, turn_id, kind, domain,
+def state_long(turns: DataFrame, key: str = "dialogue_name", more: Sequence[str] = ()) -> DataFrame:
+    """Belief and book states of flattened turns in long form ``(key, turn_id, more..., kind, domain,
     slot, value)`` (input of ``state.render_state``)."""
     out = None
     for kind in ("belief", "book"):
         col = f"{kind}_state"
-        x = (turns.select(key, "turn_id", F.explode_outer(col).alias("domain", "_slots"))
-             .select(key, "turn_id", F.lit(kind).alias("kind"), "domain", F.explode_outer("_slots").alias("slot", "value"))
+        x = (turns.select(key, "turn_id", *more, F.explode_outer(col).alias("domain", "_slots"))
+             .select(key, "turn_id", *more, F.lit(kind).alias("kind"), "domain", F.explode_outer("_slots").alias("slot", "value"))
              .filter(F.col("slot").isNotNull()))
         out = x if out is None else out.unionByName(x)
     return out
@@ -138,16 +139,31 @@ def read_informable(spark: SparkSession, path: str) -> DataFrame:
     return d.select(F.col("name").alias("slot"), F.explode("value").alias("v")).select("slot", F.col("v.value").alias("value"))
 
 
+VALUE_DEPTH = 4
+
+
+def _is_list(raw):
+    """Whether the text is a JSON array; a scalar such as ``[A] inn`` is not."""
+    return F.startswith(F.ltrim(raw), F.lit("[")) & F.try_parse_json(raw).isNotNull()
+
+
+def _render_nested(raw, depth: int):
+    """A JSON array printed as ``[a, [b, c]]`` down to ``depth`` levels; other text as it is."""
+    if depth == 0:
+        return raw
+    elems = F.from_json(raw, T.ArrayType(T.StringType()))
+    inner = F.array_join(F.transform(elems, lambda x: _render_nested(x, depth - 1)), ", ")
+    return F.when(_is_list(raw), F.concat(F.lit("["), inner, F.lit("]"))).otherwise(raw)
+
+
 def _values_of(raw):
     """Attribute value as an array: a JSON list becomes its elements, a scalar a one-element
-    array. An element that is itself a list (documented depth is 2) is rendered once here as
-    "[a, b]", so record rendering prints nested lists the way the benchmark does."""
-    is_list = F.startswith(F.ltrim(raw), F.lit("["))
+    array. An element that is itself a list is rendered once here as "[a, b]" (nested lists
+    inside it too, to ``VALUE_DEPTH`` levels), so record rendering prints nested lists the way
+    the benchmark does."""
     elems = F.from_json(raw, T.ArrayType(T.StringType()))
-    rendered = F.transform(elems, lambda x: F.when(
-        F.startswith(F.ltrim(x), F.lit("[")),
-        F.concat(F.lit("["), F.array_join(F.from_json(x, T.ArrayType(T.StringType())), ", "), F.lit("]"))).otherwise(x))
-    return F.when(is_list, rendered).otherwise(F.array(raw))
+    rendered = F.transform(elems, lambda x: _render_nested(x, VALUE_DEPTH - 1))
+    return F.when(_is_list(raw), rendered).otherwise(F.array(raw))
 
 
 def read_entities(spark: SparkSession, db_dir: str, domains: list[str] = S.ENTITY_DOMAINS) -> DataFrame:
@@ -166,7 +182,7 @@ def read_entities(spark: SparkSession, db_dir: str, domains: list[str] = S.ENTIT
         df = df.unionByName(p)
     entries = F.transform(F.map_entries("rec"), lambda e: F.struct(
         e["key"].alias("slot"), _values_of(e["value"]).alias("values"),
-        F.startswith(F.ltrim(e["value"]), F.lit("[")).alias("is_list")))
+        _is_list(e["value"]).alias("is_list")))
     df = df.select("domain", "entity_pos", entries.alias("record"))
     return df.select("domain", "entity_pos",
                      F.map_from_entries(F.transform("record", lambda a: F.struct(a["slot"], a["values"]))).alias("attrs"),
@@ -180,9 +196,13 @@ def entity_slots_long(entities: DataFrame) -> DataFrame:
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
-    """Progress log (JSON Lines, one finished dialogue per line) with ``line_no`` growing
-    with file position (SRC7); later lines win via ``sampling.latest_per_key``."""
-    return spark.read.schema(PREDICTION).json(path).withColumn("line_no", F.monotonically_increasing_id())
+    """Progress log (JSON Lines, one finished dialogue per line) with ``line_no``, a struct that
+    orders lines by run time and then by position in the run's files (SRC7); later lines win via
+    ``sampling.latest_per_key``. Lines of a log without run times come first."""
+    schema = T.StructType([*PREDICTION.fields, T.StructField("run_at", T.LongType())])
+    log = spark.read.schema(schema).json(path)
+    return log.withColumn("line_no", F.struct(F.coalesce("run_at", F.lit(0)).alias("run_at"),
+                                              F.monotonically_increasing_id().alias("at"))).drop("run_at")
 
 
 def read_training_pairs(spark: SparkSession, path: str, input_col: str = "input_text",

@@ -31,8 +31,13 @@ def write_dialogues(docs: DataFrame, path: str, fmt: str = "json", mode: str = "
 
 
 def append_progress(docs: DataFrame, path: str, run_id: str) -> None:
-    """Append finished dialogues to the progress log; Spark's commit protocol replaces a file lock."""
-    docs.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").json(path)
+    """Append finished dialogues to the progress log; Spark's commit protocol replaces a file lock.
+
+    Each line carries ``run_at`` (microseconds at the start of the append), so that readers know
+    which run is the later one whatever its file names are."""
+    import time
+    (docs.withColumn("run_id", F.lit(run_id)).withColumn("run_at", F.lit(time.time_ns() // 1000))
+         .write.mode("append").partitionBy("run_id").json(path))
 
 
 def write_scores_csv(scores: DataFrame, path: str, mode: str = "overwrite") -> None:
