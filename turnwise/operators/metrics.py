@@ -29,19 +29,32 @@ def f1_from_counts(tp: Column, fp: Column, fn: Column) -> Column:
     return F.when(tp == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r))
 
 
-def state_metrics_long(items: DataFrame, keys: Sequence[str], side: str = "side", item: str = "item",
-                       ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """Per key on both sides (inner-join semantics): tp, fp, fn, joint_goal_accuracy, slot_f1."""
-    flags = (items.groupBy(*keys, item)
+def state_metrics_long(items: DataFrame, keys: Sequence[str], turns: DataFrame | None = None, side: str = "side",
+                       item: str = "item", ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """Per key on both sides (inner-join semantics): tp, fp, fn, joint_goal_accuracy, slot_f1.
+
+    ``turns`` ``(side, keys)`` tells which turns each side has; a turn without items has the empty
+    state, which is the one item '' (as splitting an empty text gives). Without ``turns`` a side
+    has a turn if it has items of it."""
+    rows = items.select(*keys, side, item)
+    if turns is not None:
+        rows = rows.unionByName(turns.select(*keys, side, F.lit(None).cast("string").alias(item)))
+    flags = (rows.groupBy(*keys, item)
              .agg(F.max((F.col(side) == ref).cast("int")).alias("in_ref"),
                   F.max((F.col(side) == hyp).cast("int")).alias("in_hyp")))
+    real = F.col(item).isNotNull().cast("int")
+    both, only_hyp, only_ref = (F.col("in_ref") * F.col("in_hyp"), (1 - F.col("in_ref")) * F.col("in_hyp"),
+                                F.col("in_ref") * (1 - F.col("in_hyp")))
+    no_ref = F.col("_tp") + F.col("_fn") == 0
+    no_hyp = F.col("_tp") + F.col("_fp") == 0
     per_key = (flags.groupBy(*keys)
-               .agg(F.sum(F.col("in_ref") * F.col("in_hyp")).alias("tp"),
-                    F.sum((1 - F.col("in_ref")) * F.col("in_hyp")).alias("fp"),
-                    F.sum(F.col("in_ref") * (1 - F.col("in_hyp"))).alias("fn"),
-                    F.max("in_ref").alias("_has_ref"), F.max("in_hyp").alias("_has_hyp"))
+               .agg(F.sum(both * real).alias("_tp"), F.sum(only_hyp * real).alias("_fp"),
+                    F.sum(only_ref * real).alias("_fn"), F.max("in_ref").alias("_has_ref"),
+                    F.max("in_hyp").alias("_has_hyp"))
                .filter((F.col("_has_ref") == 1) & (F.col("_has_hyp") == 1))
-               .drop("_has_ref", "_has_hyp"))
+               .select(*keys, (F.col("_tp") + (no_ref & no_hyp).cast("int")).alias("tp"),
+                       (F.col("_fp") + (~no_ref & no_hyp).cast("int")).alias("fp"),
+                       (F.col("_fn") + (no_ref & ~no_hyp).cast("int")).alias("fn")))
     return (per_key
             .withColumn("joint_goal_accuracy", ((F.col("fp") == 0) & (F.col("fn") == 0)).cast("bigint"))
             .withColumn("slot_f1", f1_from_counts(F.col("tp"), F.col("fp"), F.col("fn"))))

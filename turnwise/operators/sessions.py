@@ -21,18 +21,21 @@ def transcript_csv(turns: DataFrame, scores: DataFrame, key: str = "session_id",
     return j.select(key, F.concat(F.array_join(F.transform("_l", lambda x: x["l"]), ""), score_line).alias("csv_text"))
 
 
-def goal_min_turns(desc: DataFrame, key: str) -> DataFrame:
-    """Tasks of a goal = description items over all domains; minimum turns = 2 x tasks."""
-    return desc.groupBy(key).agg((2 * F.sum(F.size("items"))).cast("bigint").alias("min_turns"))
-
-
-def goal_list(desc: DataFrame, key: str, domain_order: str = "domain") -> DataFrame:
-    """Goal instructions as an ordered HTML list: one ``<li>`` per domain, items joined by
-    ``<br>`` (a goal has at most a handful of domains, so the per-key list is bounded)."""
-    li = F.concat(F.lit("<li>"), F.array_join("items", "<br>"), F.lit("</li>"))
-    g = desc.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(domain_order).alias("o"), li.alias("li")))).alias("_d"))
-    return g.select(key, F.concat(F.lit("<ol>"), F.array_join(F.transform("_d", lambda x: x["li"]), ""),
-                                  F.lit("</ol>")).alias("html"))
+def goal_min_turns(goals: DataFrame, key: str, desc: str = "desc") -> DataFrame:
+    """Tasks of a goal = description items over all domains; minimum turns = 2 x tasks.
+
+    ``desc`` is ``array<struct<domain, items>>``, a goal's description in one row: no shuffle."""
+    tasks = F.aggregate(desc, F.lit(0), lambda n, x: n + F.size(x["items"]))
+    return goals.select(key, (2 * tasks).cast("bigint").alias("min_turns"))
+
+
+def goal_list(goals: DataFrame, key: str, desc: str = "desc") -> DataFrame:
+    """Goal instructions as an ordered HTML list: one ``<li>`` per domain in order, items joined by
+    ``<br>``. ``desc`` as in ``goal_min_turns``: a map of one row, so no text is shuffled."""
+    ordered = F.array_sort(desc, lambda a, b: F.when(a["domain"] < b["domain"], -1).when(a["domain"] > b["domain"], 1)
+                           .otherwise(0))
+    li = F.transform(ordered, lambda x: F.concat(F.lit("<li>"), F.array_join(x["items"], "<br>"), F.lit("</li>")))
+    return goals.select(key, F.concat(F.lit("<ol>"), F.array_join(li, ""), F.lit("</ol>")).alias("html"))
 
 
 def phrase_flags(inputs: DataFrame, text: str = "input_text", success: str = S.SUCCESS_PHRASE,

@@ -156,17 +156,20 @@ def q_ctx_last5(spark, d):
 # ----------------------------------------------------------------------------- scoring
 
 _STATES_SQL = """
-with r as (select turn_key, string_agg(item, ', ' order by item) as s from v_state_items where side = 'ref' group by turn_key),
-     h as (select turn_key, string_agg(item, ', ' order by item) as s from v_state_items where side = 'hyp' group by turn_key)
+with st as (select t.side, t.turn_key, coalesce(string_agg(i.item, ', ' order by i.item), '') as s
+            from v_state_turns t left join v_state_items i on i.side = t.side and i.turn_key = t.turn_key group by t.side, t.turn_key),
+     r as (select turn_key, s from st where side = 'ref'),
+     h as (select turn_key, s from st where side = 'hyp')
 """
 
 
 def _eval_join(spark, d):
     from ..operators.state import items_to_state_text
-    items = FX.v_state_items(spark, d)
-    ref = items_to_state_text(items.filter(F.col("side") == "ref"), ["turn_key"]).withColumnRenamed("state", "ref_state")
-    hyp = items_to_state_text(items.filter(F.col("side") == "hyp"), ["turn_key"]).withColumnRenamed("state", "hyp_state")
-    return M.eval_join(ref, hyp, ["turn_key"])
+    state = items_to_state_text(FX.v_state_items(spark, d), ["side", "turn_key"])
+    turns = FX.v_state_turns(spark, d).join(state, ["side", "turn_key"], "left").select(
+        "side", "turn_key", F.coalesce("state", F.lit("")).alias("state"))
+    side = lambda x: turns.filter(F.col("side") == x).select("turn_key", F.col("state").alias(f"{x}_state"))
+    return M.eval_join(side("ref"), side("hyp"), ["turn_key"])
 
 
 @register("eval_join", _STATES_SQL + "select r.turn_key, r.s as ref_state, h.s as hyp_state from r join h using (turn_key)")
@@ -175,34 +178,31 @@ def q_eval_join(spark, d):
 
 
 @register("eval_coverage", """
-with r as (select distinct turn_key from v_state_items where side = 'ref'),
-     h as (select distinct turn_key from v_state_items where side = 'hyp')
+with r as (select turn_key from v_state_turns where side = 'ref'),
+     h as (select turn_key from v_state_turns where side = 'hyp')
 select (select count(*) from r) as n_ref, (select count(*) from h) as n_hyp,
   (select count(*) from r join h using (turn_key)) as n_matched,
   (select count(*) from r where turn_key not in (select turn_key from h)) as n_missing,
   (select count(*) from h where turn_key not in (select turn_key from r)) as n_extra""")
 def q_eval_coverage(spark, d):
-    items = FX.v_state_items(spark, d)
-    ref = items.filter(F.col("side") == "ref").select("turn_key")
-    hyp = items.filter(F.col("side") == "hyp").select("turn_key")
+    turns = FX.v_state_turns(spark, d)
+    ref = turns.filter(F.col("side") == "ref").select("turn_key")
+    hyp = turns.filter(F.col("side") == "hyp").select("turn_key")
     return M.coverage(ref, hyp, ["turn_key"])
 
 
-_LONG_METRICS_SQL = """
-with flags as (select turn_key, item, max(case when side = 'ref' then 1 else 0 end) as in_ref,
-                      max(case when side = 'hyp' then 1 else 0 end) as in_hyp
-               from v_state_items group by turn_key, item),
-cnt as (select turn_key, cast(sum(in_ref * in_hyp) as bigint) as tp, cast(sum((1 - in_ref) * in_hyp) as bigint) as fp,
-               cast(sum(in_ref * (1 - in_hyp)) as bigint) as fn
-        from flags group by turn_key having max(in_ref) = 1 and max(in_hyp) = 1),
+_LONG_METRICS_SQL = _STATES_SQL + """,
+x as (select r.turn_key, list_distinct(string_split(r.s, ', ')) as a, list_distinct(string_split(h.s, ', ')) as b from r join h using (turn_key)),
+c as (select turn_key, cast(len(list_intersect(a, b)) as bigint) as tp, cast(len(list_filter(b, lambda v: not list_contains(a, v))) as bigint) as fp,
+             cast(len(list_filter(a, lambda v: not list_contains(b, v))) as bigint) as fn from x),
 m as (select turn_key, tp, fp, fn, cast(fp = 0 and fn = 0 as bigint) as joint_goal_accuracy,
         case when tp = 0 then 0.0 else 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / ((tp / (tp + fp)) + (tp / (tp + fn))) end as slot_f1
-      from cnt)
+      from c)
 """
 
 
 def _metrics_long(spark, d):
-    return M.state_metrics_long(FX.v_state_items(spark, d), ["turn_key"])
+    return M.state_metrics_long(FX.v_state_items(spark, d), ["turn_key"], FX.v_state_turns(spark, d))
 
 
 @register("jga", _LONG_METRICS_SQL + "select turn_key, tp, fp, fn, joint_goal_accuracy from m")

@@ -96,11 +96,9 @@ def q_fewshot_examples(spark, d):
 def _goal_desc(spark, d):
     """Goal description per document: the language domain has one item, the source domain
     one item per line of the whole text."""
-    doc = FX.table(spark, d, "documents")
-    return (doc.select(F.col("doc_id").alias("pos"), F.concat(F.lit("lang:"), "lang").alias("domain"),
-                       F.array("lang").alias("items"))
-            .unionByName(doc.select(F.col("doc_id").alias("pos"), F.concat(F.lit("source:"), "source").alias("domain"),
-                                    F.split("text", "\n").alias("items"))))
+    part = lambda name, col, items: F.struct(F.concat(F.lit(f"{name}:"), col).alias("domain"), items.alias("items"))
+    return FX.table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.array(
+        part("lang", F.col("lang"), F.array("lang")), part("source", F.col("source"), F.split("text", "\n"))).alias("desc"))
 
 
 @register("goal_min_turns", """

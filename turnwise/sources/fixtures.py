@@ -80,13 +80,20 @@ def v_state_items(spark, d):
     head = F.concat(F.lower("l_returnflag"), F.lit(" "), F.lower("l_linestatus"), F.lit(" "))
     ref = li.select(F.lit("ref").alias("side"), F.col("l_orderkey").alias("turn_key"),
                     F.concat(head, F.col("l_quantity").cast("int").cast("string")).alias("item")).distinct()
-    hyp = (li.filter(F.col("l_partkey") % 11 != 0)
+    hyp = (li.filter((F.col("l_partkey") % 11 != 0) & (F.col("l_orderkey") % 97 != 0))
              .select(F.lit("hyp").alias("side"), F.col("l_orderkey").alias("turn_key"),
                      F.concat(head, F.when(F.col("l_suppkey") % 7 == 0, F.lit("0"))
                               .otherwise(F.col("l_quantity").cast("int").cast("string"))).alias("item")).distinct())
     return ref.unionByName(hyp)
 
 
+def v_state_turns(spark, d):
+    """Turns that have a gold state, and turns that were predicted; a state may have no items."""
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("turn_key")).distinct()
+    return li.withColumn("side", F.explode(F.when(F.col("turn_key") % 97 != 0, F.array(F.lit("ref"), F.lit("hyp")))
+                                           .otherwise(F.array(F.lit("ref"))))).select("side", "turn_key")
+
+
 def v_updates(spark, d):
     e = table(spark, d, "events")
     return e.select("user_id", "event_id", "ts", F.col("event_type").alias("slot"),
@@ -177,7 +184,7 @@ def v_bleu_next(spark, d):
 
 BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "v_turns": v_turns, "v_splits": v_splits, "v_entity_slots": v_entity_slots, "v_requests": v_requests,
-    "v_state_items": v_state_items, "v_updates": v_updates, "v_bookings": v_bookings,
+    "v_state_items": v_state_items, "v_state_turns": v_state_turns, "v_updates": v_updates, "v_bookings": v_bookings,
     "v_goal_domains": v_goal_domains, "v_conv_goals": v_conv_goals, "v_progress": v_progress,
     "v_session_inputs": v_session_inputs, "v_session_scores": v_session_scores,
     "v_informable": v_informable, "v_bleu_pairs": v_bleu_pairs, "v_bleu_next": v_bleu_next,
@@ -208,7 +215,10 @@ union all select p_partkey, lower(p_type), 'size', cast(p_size as string) from p
 from orders left join part on p_partkey = o_custkey""",
     "v_state_items": """select distinct 'ref' as side, l_orderkey as turn_key, lower(l_returnflag) || ' ' || lower(l_linestatus) || ' ' || cast(cast(l_quantity as int) as string) as item from lineitem
 union all
-select distinct 'hyp', l_orderkey, lower(l_returnflag) || ' ' || lower(l_linestatus) || ' ' || case when l_suppkey % 7 = 0 then '0' else cast(cast(l_quantity as int) as string) end from lineitem where l_partkey % 11 <> 0""",
+select distinct 'hyp', l_orderkey, lower(l_returnflag) || ' ' || lower(l_linestatus) || ' ' || case when l_suppkey % 7 = 0 then '0' else cast(cast(l_quantity as int) as string) end from lineitem where l_partkey % 11 <> 0 and l_orderkey % 97 <> 0""",
+    "v_state_turns": """select distinct 'ref' as side, l_orderkey as turn_key from lineitem
+union all
+select distinct 'hyp', l_orderkey from lineitem where l_orderkey % 97 <> 0""",
     "v_updates": """select user_id, event_id, ts, event_type as slot, case when event_id % 4 = 0 then '' else props end as raw from events""",
     "v_bookings": """select o_orderkey as request_id, case o_orderkey % 3 when 0 then 'taxi' when 1 then 'hotel' else 'restaurant' end as domain,
   case when o_orderkey % 5 = 0 then null else o_orderpriority end as people,
