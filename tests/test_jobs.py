@@ -110,3 +110,40 @@ def test_fewshot_retrieval_with_hashed_embeddings(spark):
         order = [ids[j] for j in np.lexsort((np.array(ids), d))[:2]]
         assert [got[(r.query_id, 1)], got[(r.query_id, 2)]] == order
     assert got[(100, 1)] in (0, 4)
+
+
+def test_missing_dialogue_is_reported(spark):
+    import pytest
+
+    from turnwise.operators import sampling as SMP
+    splits = spark.createDataFrame([("test", 0, 1), ("test", 1, 9)], "split string, split_pos long, conv_id long")
+    turns = spark.createDataFrame([(1, 0), (1, 1)], "conv_id long, turn long")
+    assert [r.conv_id for r in SMP.split_missing(splits, turns).collect()] == [9]
+    assert SMP.split_assign(splits.filter("conv_id = 1"), turns).first().n_turns == 2
+    with pytest.raises(Exception, match="dialogue not in the corpus: 9"):
+        SMP.split_assign(splits, turns).collect()
+
+
+def test_prompts_with_retrieved_examples(spark):
+    """Index rows and queries are rendered with the stored arguments; the examples are the nearest rows."""
+    from turnwise.operators import prompts as PR
+    folder = tempfile.mkdtemp()
+    turns = spark.createDataFrame([(c, t, "USER" if t % 2 == 0 else "SYSTEM", f"{w} {w}{t}") for c, w in
+                                   ((1, "rooms"), (2, "trains"), (3, "rooms")) for t in range(6)],
+                                  "conv_id long, turn long, speaker string, utterance string")
+    args = {"context_turns": 2, "user_prefix": "U", "system_prefix": "V"}
+    ctx = J.query_contexts(turns, args).withColumn("id", F.col("conv_id") * 10 + F.col("turn"))
+    docs = ctx.filter("conv_id <> 3").select(F.col("id").alias("example_id"), "context_text",
+                                             F.concat(F.lit("#"), "id").alias("state_text"), F.lit("d").alias("db_text"),
+                                             F.lit("").alias("book_text"), F.col("utterance").alias("response"))
+    FL.write_index(docs, os.path.join(folder, "index"), args)
+    index, stored = FL.read_index(spark, os.path.join(folder, "index"))
+    queries = J.query_contexts(turns.filter("conv_id = 3"), stored).select(F.col("turn").alias("query_id"), "context_text")
+    assert queries.filter("query_id = 3").first().context_text == "V rooms rooms1 U rooms rooms2"
+    got = {r.query_id: r for r in J.with_examples(queries, index, 2).collect()}
+    # the same context stands in dialogue 1, so it is the first example
+    assert all(r.examples[0].context_text == r.context_text and len(r.examples) == 2 for r in got.values())
+    assert all(e.context_text.startswith(("U rooms", "V rooms")) for r in got.values() for e in r.examples)
+    few = J.with_examples(queries, index, 1).select(PR.state_prompt(F.lit("T\n"), F.col("context_text"), F.col("examples")).alias("p"))
+    zero = J.with_examples(queries, index, 0).select(PR.state_prompt(F.lit("T\n"), F.col("context_text"), F.col("examples")).alias("p"))
+    assert all("#1" in r.p for r in few.collect()) and not any("#1" in r.p for r in zero.collect())

@@ -13,14 +13,22 @@ def split_members(splits: DataFrame, split: str) -> DataFrame:
     return splits.filter(F.col("split") == split)
 
 
-def split_assign(splits: DataFrame, turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Join split lists with the corpus; ``split_missing`` lists names absent from the corpus."""
+def split_assign(splits: DataFrame, turns: DataFrame, key: str = "conv_id", missing: str = "error") -> DataFrame:
+    """Join split lists with the corpus. A listed name that the corpus does not have is an error
+    (``missing="error"``, raised when the row is read) or a row with ``n_turns`` NULL (``"keep"``)."""
+    if missing not in ("error", "keep"):
+        raise ValueError("missing must be 'error' or 'keep'")
     sizes = turns.groupBy(key).agg(F.count(F.lit(1)).alias("n_turns"))
-    return splits.join(sizes, key, "inner").select("split", "split_pos", key, "n_turns")
+    out = splits.join(sizes, key, "left").select("split", "split_pos", key, "n_turns")
+    if missing == "keep":
+        return out
+    unknown = F.raise_error(F.concat(F.lit("dialogue not in the corpus: "), F.col(key).cast("string"))).cast("bigint")
+    return out.withColumn("n_turns", F.coalesce("n_turns", unknown))
 
 
 def split_missing(splits: DataFrame, turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    return splits.join(turns.select(key).distinct(), key, "left_anti")
+    """The listed names that the corpus does not have."""
+    return split_assign(splits, turns, key, missing="keep").filter("n_turns is null").drop("n_turns")
 
 
 def bad_speakers(turns: DataFrame, role: str = "speaker", allowed: Sequence[str] = ("USER", "SYSTEM")) -> DataFrame:

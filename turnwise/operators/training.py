@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -23,6 +23,13 @@ def training_pairs(turns: DataFrame, context_text: Column, state_text: Column, d
     return turns.select(*keep, F.inline(F.array(dst, rg)))
 
 
+def first_rows(df: DataFrame, n: int, groups: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first ``n`` rows of each group: the row limit of a training run. Planned with a group limit, so
+    a task keeps only its first ``n`` rows of a group."""
+    w = Window.partitionBy(*groups).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
 def truncate_left(tokens: Column, n: int) -> Column:
     """Keep the last ``n`` tokens (left truncation)."""
     return F.slice(tokens, F.greatest(F.lit(1), F.size(tokens) - n + 1), n)

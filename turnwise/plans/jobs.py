@@ -181,6 +181,32 @@ def fewshot_retrieval(index_docs: DataFrame, queries: DataFrame, k: int, key: st
     return out.select(F.col("qid").alias(key), "rank", F.col("cid").alias(doc_key), "dist")
 
 
+def query_contexts(turns: DataFrame, args: dict, keys: Sequence[str] = ("conv_id",), order: str = "turn") -> DataFrame:
+    """Query contexts rendered as the index's own: number of utterances and speaker prefixes come from the
+    build arguments stored beside the index (``sources.files.read_index``)."""
+    from .. import schemas as S
+    from ..operators.context import context_strings
+    return context_strings(turns, int(args["context_turns"]), keys, order,
+                           user_prefix=args.get("user_prefix", S.USER_PREFIX),
+                           system_prefix=args.get("system_prefix", S.SYSTEM_PREFIX))
+
+
+def with_examples(queries: DataFrame, index_docs: DataFrame, k: int, key: str = "query_id",
+                  doc_key: str = "example_id", embed=None) -> DataFrame:
+    """``queries`` with ``examples``, the array that the prompts take: the ``k`` nearest index documents
+    in rank order, with their context, state, database, booking and response texts. ``k = 0`` is the
+    zero-shot prompt, an empty array."""
+    cols = ["context_text", "state_text", "db_text", "book_text", "response"]
+    kind = "array<struct<" + ",".join(f"{c}:string" for c in cols) + ">>"
+    if k == 0:
+        return queries.withColumn("examples", F.array().cast(kind))
+    near = fewshot_retrieval(index_docs, queries, k, key, doc_key, embed=embed)
+    docs = index_docs.select(doc_key, F.struct(*cols).alias("_e"))
+    found = near.join(docs, doc_key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "_e"))).alias("_f"))
+    return (queries.join(found, key, "left")
+            .withColumn("examples", F.coalesce(F.transform("_f", lambda x: x["_e"]), F.array().cast(kind))).drop("_f"))
+
+
 def score_predictions(gold_turns: DataFrame, pred_turns: DataFrame, catalogue: DataFrame, task: str = "e2e",
                       key: str = "dialogue_name", tokenizer=None) -> tuple[DataFrame, DataFrame]:
     """Scoring job: flattened gold and predicted turns (``sources.files.explode_turns``) ->

@@ -15,7 +15,6 @@ from ..sources import fixtures as FX
 from .registry import register
 
 EMPTY_DB_TEXT = "total 0, candidate [], selected []"
-TEMPLATES = {(d, k): t for d, k, t in PR.default_templates()}
 IN_CAP, OUT_CAP, PAD = 16, 8, 0
 TRAIN_CAP = 100
 
@@ -33,23 +32,66 @@ def _ctx_sql(k: int) -> str:
 from v_turns"""
 
 
+# ----------------------------------------------------------------------------- annotated turns
+# A system turn's state, database result and booking are those of the request
+# conv_id * 32 + turn % 8 (orders have keys of that form); a turn without one has empty texts. Its
+# active domain is the booking's domain.
+
+def _annotations(spark, d):
+    from .queries_entities import CONSTRAINTS, _bookings, _db, _entities
+    from ..operators import booking as BK
+    from ..operators import entities as EN
+    r = FX.v_requests(spark, d)
+    part = lambda s: F.when(EN.is_active(F.col(s)), F.concat_ws(" ", "domain", F.lit(s), s))
+    ents = _entities(spark, d)
+    db = EN.db_result_text(_db(spark, d, ents, with_sample=True), ents)
+    book = _bookings(spark, d).select("request_id", F.col("domain").alias("active_domain"), BK.book_result_text(
+        F.col("domain"), F.col("success"), F.col("ref")).alias("book_text"))
+    state = r.select("request_id", F.concat_ws(", ", part("city"), *[part(s) for s in CONSTRAINTS]).alias("state_text"))
+    return state.join(db, "request_id").join(book, "request_id")
+
+
+def _annotated(spark, d, k):
+    t = ctx.context_strings(FX.v_turns(spark, d), k)
+    t = t.withColumn("request_id", (F.col("conv_id") * 32 + F.col("turn") % 8).cast("bigint"))
+    t = t.join(_annotations(spark, d), "request_id", "left")
+    return t.fillna({"state_text": "", "db_text": EMPTY_DB_TEXT, "book_text": "", "active_domain": "general"})
+
+
+def _annotated_sql(k: int) -> str:
+    from .queries_entities import _BOOK, _ENT, _inactive
+    item = lambda s: f"case when not {_inactive('r.' + s)} then r.domain || ' {s} ' || r.{s} end"
+    return _ENT + ", " + _BOOK.strip()[5:] + f""",
+cl as (select request_id, string_agg(name, ', ' order by rank) as names from sampled group by request_id),
+ann as (select r.request_id, br.domain as active_domain, concat_ws(', ', {item('city')}, {item('genre')}, {item('size')}) as state_text,
+    'total ' || cast(db.total as string) || ', candidate [' || coalesce(cl.names, '') || '], selected [' || coalesce(rec.body || ', domain ' || rec.domain, '') || ']' as db_text,
+    coalesce(concat_ws(', ', case when br.success then br.domain || ' success True' end,
+      case when br.ref is not null and br.ref <> 0 then br.domain || ' ref ' || cast(br.ref as string) end), '') as book_text
+  from req r join db using (request_id) left join cl using (request_id) left join rec on rec.entity_pos = db.active_pos join br using (request_id)),
+said as ({_ctx_sql(k)}),
+turns as (select s.*, coalesce(a.state_text, '') as state_text, coalesce(a.db_text, '{EMPTY_DB_TEXT}') as db_text,
+    coalesce(a.book_text, '') as book_text, coalesce(a.active_domain, 'general') as active_domain
+  from said s left join ann a on a.request_id = s.conv_id * 32 + s.turn % 8 where s.speaker = 'SYSTEM')
+"""
+
+
 # ----------------------------------------------------------------------------- training pairs
 
 def _pairs(spark, d):
-    t = ctx.context_strings(FX.v_turns(spark, d), 0)
-    t = t.join(FX.v_splits(spark, d).select("conv_id", "split"), "conv_id")
-    p = TR.training_pairs(t.select("split", "conv_id", "turn", "context_text", "utterance"), F.col("context_text"),
-                          F.lit(""), F.lit(EMPTY_DB_TEXT), F.lit(""), F.col("utterance"))
+    t = _annotated(spark, d, 0).join(FX.v_splits(spark, d).select("conv_id", "split"), "conv_id")
+    p = TR.training_pairs(t, F.col("context_text"), F.col("state_text"), F.col("db_text"), F.col("book_text"),
+                          F.col("utterance"))
     return p.select("split", "conv_id", "turn", "task", "input_text", "output_text")
 
 
-_PAIRS_SQL = f"""
-with c as ({_ctx_sql(0)}),
-s as (select sp.split, c.* from c join v_splits sp using (conv_id) where c.speaker = 'SYSTEM'),
+_PAIRS_SQL = _annotated_sql(0) + f""",
 pairs as (
-  select split, conv_id, turn, 'dst' as task, {q(S.DST_TASK_PREFIX + ' ')} || ctx as input_text, '' as output_text from s
+  select sp.split, t.conv_id, t.turn, 'dst' as task, {q(S.DST_TASK_PREFIX + ' ')} || ctx as input_text, state_text as output_text
+  from turns t join v_splits sp using (conv_id)
   union all
-  select split, conv_id, turn, 'rg', {q(S.RG_TASK_PREFIX + ' ')} || ctx || {q(' ' + S.STATE_PREFIX + '  ' + S.DB_RESULT_PREFIX + ' ' + EMPTY_DB_TEXT + ' ' + S.BOOK_RESULT_PREFIX + ' ')}, utterance from s)
+  select sp.split, t.conv_id, t.turn, 'rg', {q(S.RG_TASK_PREFIX + ' ')} || ctx || {q(' ' + S.STATE_PREFIX + ' ')} || state_text ||
+    {q(' ' + S.DB_RESULT_PREFIX + ' ')} || db_text || {q(' ' + S.BOOK_RESULT_PREFIX + ' ')} || book_text, utterance
+  from turns t join v_splits sp using (conv_id))
 """
 
 
@@ -64,20 +106,31 @@ def q_sample_counts(spark, d):
             .withColumn("n_used", F.least(F.lit(TRAIN_CAP).cast("bigint"), F.col("n_rows"))))
 
 
+@register("train_rows", _PAIRS_SQL + f"""
+select split, conv_id, turn, task, input_text, output_text from pairs
+qualify row_number() over (partition by split order by conv_id, turn, task) <= {TRAIN_CAP}""")
+def q_train_rows(spark, d):
+    """The first rows of every split, as many as a training run takes."""
+    return TR.first_rows(_pairs(spark, d), TRAIN_CAP, ["split"], ["conv_id", "turn", "task"])
+
+
 # ----------------------------------------------------------------------------- prompts
 
-def _prompt_base(spark, d):
-    t = ctx.context_strings(FX.v_turns(spark, d), S.LLM_CONTEXT_TURNS)
+def _prompt_base(spark, d, kind):
+    """Turns with the template of their active domain; the examples are the two turns before."""
+    t = _annotated(spark, d, S.LLM_CONTEXT_TURNS)
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, -1)
-    ex = F.struct(F.col("context_text"), F.lit("").alias("state_text"), F.lit(EMPTY_DB_TEXT).alias("db_text"),
-                  F.lit("").alias("book_text"), F.col("utterance").alias("response"))
-    return t.withColumn("examples", F.collect_list(ex).over(w))
+    ex = F.struct("context_text", "state_text", "db_text", "book_text", F.col("utterance").alias("response"))
+    t = t.withColumn("examples", F.collect_list(ex).over(w))
+    templates = PR.template_table(spark).filter(F.col("kind") == kind).select(
+        F.col("domain").alias("active_domain"), F.col("text").alias("template"))
+    return t.join(F.broadcast(templates), "active_domain")  # a few rows per domain
 
 
-_PROMPT_BASE_SQL = f"""
-with c as ({_ctx_sql(S.LLM_CONTEXT_TURNS)}),
-s as (select * from c where speaker = 'SYSTEM'),
-e as (select conv_id, turn, ctx, list({{'ctx': ctx, 'resp': utterance}}) over (partition by conv_id order by turn rows between 2 preceding and 1 preceding) as ex from s)
+_PROMPT_BASE_SQL = _annotated_sql(S.LLM_CONTEXT_TURNS) + f""",
+tpl(domain, kind, text) as (values {", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in PR.default_templates())}),
+e as (select t.*, list({{'ctx': ctx, 'st': state_text, 'db': db_text, 'bk': book_text, 'resp': utterance}})
+        over (partition by conv_id order by turn rows between 2 preceding and 1 preceding) as ex from turns t)
 """
 
 
@@ -88,31 +141,29 @@ def _ex_sql(body: str) -> str:
 
 
 @register("state_prompt", _PROMPT_BASE_SQL + f"""
-select conv_id, turn, {q(TEMPLATES[('general', 'state')])} ||
-  {_ex_sql(f"{q(S.PROMPT_INPUT)} || x.ctx || {q(chr(10) + S.PROMPT_OUTPUT + S.STATE_PREFIX + ' ')} || '' || {q(chr(10))}")} ||
+select conv_id, turn, tpl.text ||
+  {_ex_sql(f"{q(S.PROMPT_INPUT)} || x.ctx || {q(chr(10) + S.PROMPT_OUTPUT + S.STATE_PREFIX + ' ')} || x.st || {q(chr(10))}")} ||
   {q(S.PROMPT_INPUT)} || ctx || {q(chr(10) + S.PROMPT_OUTPUT + S.STATE_PREFIX + ' ')} as prompt
-from e""")
+from e join tpl on tpl.domain = e.active_domain and tpl.kind = 'state'""")
 def q_state_prompt(spark, d):
-    b = _prompt_base(spark, d)
-    p = PR.state_prompt(F.lit(TEMPLATES[("general", "state")]), F.col("context_text"), F.col("examples"))
-    return b.select("conv_id", "turn", p.alias("prompt"))
+    p = PR.state_prompt(F.col("template"), F.col("context_text"), F.col("examples"))
+    return _prompt_base(spark, d, "state").select("conv_id", "turn", p.alias("prompt"))
 
 
-def _resp_block_sql(c: str) -> str:
-    return (f"{c} || {q(chr(10) + S.STATE_PREFIX + ' ')} || '' || {q(chr(10) + S.DB_RESULT_PREFIX + ' ' + EMPTY_DB_TEXT)} || "
-            f"{q(chr(10) + S.BOOK_RESULT_PREFIX + ' ')} || '' || {q(chr(10))}")
+def _resp_block_sql(c: str, x: str, st: str = "state_text", db: str = "db_text", bk: str = "book_text") -> str:
+    return (f"{c} || {q(chr(10) + S.STATE_PREFIX + ' ')} || {x}{st} || {q(chr(10) + S.DB_RESULT_PREFIX + ' ')} || {x}{db} || "
+            f"{q(chr(10) + S.BOOK_RESULT_PREFIX + ' ')} || {x}{bk} || {q(chr(10))}")
 
 
 @register("response_prompt", _PROMPT_BASE_SQL + f"""
-select conv_id, turn, {q(TEMPLATES[('general', 'response')])} ||
-  {_ex_sql(f"{q(S.PROMPT_INPUT)} || {_resp_block_sql('x.ctx')} || {q(S.PROMPT_OUTPUT + S.SYSTEM_PREFIX + ' ')} || x.resp || {q(chr(10))}")} ||
-  {q(S.PROMPT_INPUT)} || {_resp_block_sql('ctx')} || {q(S.PROMPT_OUTPUT + S.SYSTEM_PREFIX + ' ')} as prompt
-from e""")
+select conv_id, turn, tpl.text ||
+  {_ex_sql(f"{q(S.PROMPT_INPUT)} || {_resp_block_sql('x.ctx', 'x.', 'st', 'db', 'bk')} || {q(S.PROMPT_OUTPUT + S.SYSTEM_PREFIX + ' ')} || x.resp || {q(chr(10))}")} ||
+  {q(S.PROMPT_INPUT)} || {_resp_block_sql('ctx', '')} || {q(S.PROMPT_OUTPUT + S.SYSTEM_PREFIX + ' ')} as prompt
+from e join tpl on tpl.domain = e.active_domain and tpl.kind = 'response'""")
 def q_response_prompt(spark, d):
-    b = _prompt_base(spark, d)
-    p = PR.response_prompt(F.lit(TEMPLATES[("general", "response")]), F.col("context_text"), F.lit(""),
-                           F.lit(EMPTY_DB_TEXT), F.lit(""), F.col("examples"))
-    return b.select("conv_id", "turn", p.alias("prompt"))
+    p = PR.response_prompt(F.col("template"), F.col("context_text"), F.col("state_text"), F.col("db_text"),
+                           F.col("book_text"), F.col("examples"))
+    return _prompt_base(spark, d, "response").select("conv_id", "turn", p.alias("prompt"))
 
 
 # ----------------------------------------------------------------------------- tokens
