@@ -39,6 +39,7 @@ from .common import documents, row_slices, text_buffer, without
 from .registry import register
 
 SHARED_CHUNKS = 16_384
+SLICE_ROWS = 512
 LEAST, MOST = 128, 1024
 CUT = np.uint32(0xFF << 20)  # one cut in 256 bytes beyond LEAST
 # Fixed value: the pre-token pattern of byte-level BPE.
@@ -58,30 +59,27 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Ranks of the byte strings and ids of the special tokens of a ``tokenizer.json``."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    letters = _byte_letters()
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    return {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items()
+            if word not in special}, special
+
+
 class Codec:
-    """Encoder and decoder of one vocabulary file."""
+    """Encoder of one vocabulary file."""
 
     def __init__(self, path: str):
         import tiktoken
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        letters = _byte_letters()
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items()
-                 if word not in special}
+        ranks, special = _vocabulary(path)
         self._tiktoken = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.bytes = [b""] * (max([*ranks.values(), *special.values()]) + 1)
-        for word, i in ranks.items():
-            self.bytes[i] = word
-        for word, i in special.items():
-            self.bytes[i] = word.encode()
 
-    def ids(self, text: bytes) -> list[int]:
-        return self._tiktoken.encode(text.decode(), allowed_special="all")
-
-    def text(self, ids: list[int]) -> str:
-        known = self.bytes
-        return b"".join([known[i] for i in ids]).decode("utf-8", errors="replace")
+    def ids(self, text: bytes) -> bytes:
+        """Ids as little-endian unsigned 32-bit numbers."""
+        return np.array(self._tiktoken.encode(text.decode(), allowed_special="all"), "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -89,6 +87,16 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id."""
+    ranks, special = _vocabulary(path)
+    out = [b""] * (max([*ranks.values(), *special.values()]) + 1)
+    for word, i in [*ranks.items(), *((w.encode(), i) for w, i in special.items())]:
+        out[i] = word
+    return out
+
+
 def chunk_ends(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ends of all chunks and the index of each row's first chunk (rows + 1 numbers)."""
     cut = np.flatnonzero((gear(data) & CUT) == 0) + 1
@@ -130,11 +138,11 @@ class Shared(NamedTuple):
     chunk: bytes
     start: int
     end: int
-    ids: list[int]
+    ids: bytes
     head: int
-    head_ids: list[int]
+    head_ids: bytes
     tail: int
-    tail_ids: list[int]
+    tail_ids: bytes
 
 
 def encode_chunk(chunk: bytes, codec: Codec) -> Shared | None:
@@ -147,48 +155,46 @@ def encode_chunk(chunk: bytes, codec: Codec) -> Shared | None:
                   tail, codec.ids(chunk[tail:end]))
 
 
-def assemble(text: bytes, found: list[tuple[int, Shared]], codec: Codec) -> list[int]:
+def assemble(text: bytes, found: list[tuple[int, Shared]], codec: Codec) -> bytes:
     """Ids of ``text``, of which ``found`` are shared chunks and the places where they begin."""
-    out: list[int] = []
+    out: list[bytes] = []
     done, last = 0, None   # text up to ``done`` is in ``out``; it ends with the inner part of ``last``
     back = []              # the states before each chunk was taken: (done, last, length of out)
 
-    def stretch(end: int) -> list[int]:
+    def stretch(end: int) -> bytes:
         """Ids of the text from ``done`` to ``end``; chunks whose last word comes out differently are given up."""
         nonlocal done, last
         while last:
             ids = codec.ids(text[done - (last.end - last.tail):end])
-            n = len(last.tail_ids)
-            if ids[:n] == last.tail_ids:
-                return ids[n:]
+            if ids.startswith(last.tail_ids):
+                return ids[len(last.tail_ids):]
             done, last, size = back.pop()
             del out[size:]
         return codec.ids(text[done:end])
 
     for at, x in found:
         ids = stretch(at + x.head)
-        n = len(x.head_ids)
-        if ids[-n:] != x.head_ids:
+        if not ids.endswith(x.head_ids):
             continue  # the chunk's ids do not stand here; its text goes to the next stretch
         back.append((done, last, len(out)))
-        out += ids[:-n]
-        out += x.ids
+        out += [ids[:len(ids) - len(x.head_ids)], x.ids]
         done, last = at + x.end, x
     rest = stretch(len(text))
-    return out + rest
+    return b"".join([*out, rest])
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """Bytes, offsets and rows of small parts of the batch."""
     data, off = text_buffer(batch.column(column))
-    for i, j in row_slices(off):
-        yield data[off[i]:off[j]], off[i:j + 1] - off[i]
+    for i, j in row_slices(off, rows=SLICE_ROWS):
+        yield data[off[i]:off[j]], off[i:j + 1] - off[i], batch.slice(i, j - i)
 
 
 def shared_digests(df: DataFrame, text_col: str = "text", most: int = SHARED_CHUNKS) -> list[int]:
     """Digests of the chunks whose reuse saves most bytes (at most ``most``)."""
     def count(batches):
         for batch in batches:
-            for data, off in _slices(batch, 0):
+            for data, off, _ in _slices(batch, 0):
                 digest, start, end, _ = chunks(data, off)
                 if len(digest):
                     each, at, n = np.unique(digest, return_index=True, return_counts=True)
@@ -209,7 +215,7 @@ def shared_chunks(df: DataFrame, digests: list[int], path: str, text_col: str =
     def fetch(batches):
         known, given = wanted.value, set()
         for batch in batches:
-            for data, off in _slices(batch, 0):
+            for data, off, _ in _slices(batch, 0):
                 digest, start, end, _ = chunks(data, off)
                 at = np.minimum(np.searchsorted(known, digest), len(known) - 1)
                 fresh = {int(digest[i]): i for i in np.flatnonzero(known[at] == digest).tolist()
@@ -225,10 +231,7 @@ def shared_chunks(df: DataFrame, digests: list[int], path: str, text_col: str =
         for batch in batches:
             each = [(d, encode_chunk(x, codec(path))) for d, x in zip(*(c.to_pylist() for c in batch.columns))]
             each = [(d, x) for d, x in each if x]
-            packed = lambda ids: np.array(ids, "<u4").tobytes()
-            yield pa.RecordBatch.from_pylist(
-                [{"digest": d} | x._asdict() | {k: packed(getattr(x, k)) for k in ("ids", "head_ids", "tail_ids")}
-                 for d, x in each], schema=schema)
+            yield pa.RecordBatch.from_pylist([{"digest": d} | x._asdict() for d, x in each], schema=schema)
     schema = pa.schema([("digest", pa.int64()), ("chunk", pa.binary()), ("start", pa.int32()), ("end", pa.int32()),
                         ("ids", pa.binary()), ("head", pa.int32()), ("head_ids", pa.binary()),
                         ("tail", pa.int32()), ("tail_ids", pa.binary())])
@@ -249,30 +252,21 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     def run(batches):
         c, shared = codec(path), table.value
         known = np.sort(np.fromiter(shared, np.int64, len(shared)))
-        unpacked: dict[int, Shared] = {}
-
-        def look_up(digest: int) -> Shared:
-            if digest not in unpacked:
-                unpacked[digest] = Shared(*[np.frombuffer(v, "<u4").tolist() if k.endswith("ids") else v
-                                            for k, v in zip(Shared._fields, shared[digest])])
-            return unpacked[digest]
-
         for batch in batches:
-            out: list[bytes] = []
-            for data, off in _slices(batch, 1):
+            for data, off, rows in _slices(batch, 1):
                 digest, start, _, first = chunks(data, off)
                 hit = np.zeros(len(digest), bool)
                 if len(known):
                     hit = known[np.minimum(np.searchsorted(known, digest), len(known) - 1)] == digest
+                out = []
                 for i, (a, b) in enumerate(zip(off.tolist(), off[1:].tolist())):
                     text = data[a:b].tobytes()
                     at = (first[i] + np.flatnonzero(hit[first[i]:first[i + 1]])).tolist()
-                    use = [(int(start[j]) - a, look_up(int(digest[j]))) for j in at]
-                    use = [(s, x) for s, x in use if text.startswith(x.chunk, s)]
-                    out.append(np.array(assemble(text, use, c), "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())],
-                ["id", "n_tokens", "ids"])
+                    use = [(int(start[j]) - a, Shared(*shared[int(digest[j])])) for j in at]
+                    out.append(assemble(text, [(s, x) for s, x in use if text.startswith(x.chunk, s)], c))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())],
+                    ["id", "n_tokens", "ids"])
     return (df.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary")
             .withColumnRenamed("id", id_col))
 
@@ -285,11 +279,14 @@ def decode(df: DataFrame, ids_col: str = "ids", vocabulary: str | None = None) -
     at = df.columns.index(ids_col)
 
     def run(batches):
+        known = token_bytes(path)
         for batch in batches:
-            texts = [codec(path).text(np.frombuffer(x.as_buffer(), "<u4").tolist()) if x.is_valid else ""
-                     for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
-                                             [*batch.schema.names, "text"])
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(i, SLICE_ROWS)
+                texts = [b"".join([known[t] for t in np.frombuffer(x.as_buffer(), "<u4").tolist()])
+                         .decode("utf-8", errors="replace") if x.is_valid else "" for x in rows.column(at)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())],
+                                                 [*rows.schema.names, "text"])
     return df.mapInArrow(run, f"{schema}, text string")
 
 

@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..operators.joins import materialize
 
-__all__ = ["documents", "labels", "materialize", "text_buffer", "row_slices", "without"]
+__all__ = ["documents", "labels", "materialize", "smallest_hashes", "text_buffer", "row_slices", "without"]
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+MAX_GROUPS = 10_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,3 +60,18 @@ def row_slices(off: np.ndarray, limit: int = SLICE_BYTES, rows: int = 1 << 30) -
         j = min(max(j, i + 1), i + rows, n)
         yield i, j
         i = j
+
+
+def smallest_hashes(df: DataFrame, by: str, h: Column, per: int) -> DataFrame:
+    """A training sample: of each group of ``by`` the ``per`` rows with the smallest hash ``h``, numbered
+    from 1 in ``at``.
+
+    Groups are counted first (the ``MAX_GROUPS`` most frequent ones, a bounded broadcast). A row whose
+    hash, as a share of all hashes, lies far beyond ``per`` in its group's size cannot be chosen and
+    is left out where it is read, so a task sorts a few times ``per`` rows of a group, however many
+    the group has."""
+    d = df.withColumn("_u", F.shiftrightunsigned(h, 1).cast("double") / float(1 << 63))
+    sizes = d.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), by).limit(MAX_GROUPS)
+    near = d.join(F.broadcast(sizes), by).filter(F.col("_u") * F.col("_n") < 2 * per + 100)
+    ranked = near.withColumn("at", F.row_number().over(Window.partitionBy(by).orderBy("_u")))
+    return ranked.filter(F.col("at") <= per).drop("_u", "_n")
