@@ -8,6 +8,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from turnwise import schemas as S
 from turnwise.operators import sessions as SE
 from turnwise.operators import state as ST
 from turnwise.sources import files as FL
@@ -142,14 +143,20 @@ def test_session_fold_stream_equals_batch(spark):
     d = _tmp()
     # one session's inputs must arrive in order across micro-batches: split by session
     stream = _stream_from(spark, inp.repartition(3, "session_id"), d)
-    out = STR.session_fold_stream(stream, 6)
+    out = STR.session_fold_stream(stream, 6, answer="answer", idle_ms=3_600_000)
     q = out.writeStream.format("memory").queryName("fold_stream").outputMode("append") \
         .option("checkpointLocation", os.path.join(d, "ckpt")).start()
     q.processAllAvailable()
     q.stop()
-    got = rows(spark.table("fold_stream"), ["session_id", "seq", "status", "ends_session"])
-    want = rows(SE.session_fold(inp, 6), ["session_id", "seq", "status", "ends_session"])
-    assert got == want
+    cols = ["session_id", "seq", "status", "ends_session", "response"]
+    folded = SE.session_fold(inp, 6, answer="answer")
+    assert rows(spark.table("fold_stream"), cols) == rows(folded, cols)
+    # the log holds the exchanges, the context the answers without added texts
+    logs = {r.session_id: r for r in SE.session_log(folded).collect()}
+    for r in folded.filter("status = 'exchange' and ends_session").collect():
+        x = logs[r.session_id]
+        assert x.log[-1].response == r.answer + S.SESSION_LIMIT_TEXT and x.log[-1].session_over
+        assert x.context[-1] == ["SYSTEM", r.answer] and len(x.context) == 2 * len(x.log)
 
 
 def test_slot_memory_stream_equals_batch(spark):

@@ -45,12 +45,16 @@ def phrase_flags(inputs: DataFrame, text: str = "input_text", success: str = S.S
 
 
 def session_fold(inputs: DataFrame, max_turns: int = S.MAX_SESSION_TURNS, key: str = "session_id",
-                 seq: str = "seq", text: str = "input_text") -> DataFrame:
+                 seq: str = "seq", text: str = "input_text", answer: str | None = None) -> DataFrame:
     """Batch fold of session inputs (ordered by ``seq``): a success or failure phrase ends the
     session without being logged; any other input is one exchange (user + system turn), and
     the session ends after the exchange that brings the context to ``max_turns`` utterances.
     Inputs after the end are marked ``after_end``.
 
+    With ``answer`` (the column of the system's answers) each row also gets its ``response``: the end
+    text for a phrase, the answer for an exchange, with the limit text after it when the exchange
+    reaches the limit, and none after the end.
+
     No running scan over a session: the end is the earliest of (first phrase row) and (the
     m-th exchange row, m = ceil(max_turns / 2)), found with partial aggregation and a
     group-limited ``row_number() <= m`` (each task keeps at most m rows per session).
@@ -75,10 +79,29 @@ def session_fold(inputs: DataFrame, max_turns: int = S.MAX_SESSION_TURNS, key: s
                .when(F.col("is_failure"), F.lit("failure"))
                .otherwise(F.lit("exchange")))
     ends_here = F.coalesce(F.col(seq) == F.col("end_seq"), F.lit(False))
-    return j.select(key, seq, status.alias("status"), ends_here.alias("ends_session"),
+    extra = []
+    if answer:
+        limit = F.concat(F.col(answer), F.lit(S.SESSION_LIMIT_TEXT))
+        extra = [F.when(status.isin("success", "failure"), F.lit(S.SESSION_END_TEXT))
+                 .when(status == "exchange", F.when(ends_here, limit).otherwise(F.col(answer))).alias("response")]
+    return j.select(key, seq, status.alias("status"), ends_here.alias("ends_session"), *extra,
                     *[c for c in inputs.columns if c not in (key, seq)])
 
 
+def session_log(folded: DataFrame, key: str = "session_id", seq: str = "seq", text: str = "input_text",
+                answer: str = "answer") -> DataFrame:
+    """Per session its ``log`` (one entry per exchange) and ``context`` (speaker and utterance, the answers
+    without added texts). Both are bounded by the turn limit."""
+    entry = F.struct(F.col(seq).alias("seq"), F.col(text).alias("input_text"), F.col(answer).alias("answer"), "response",
+                     F.col("ends_session").alias("session_over"))
+    g = folded.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("status") == "exchange", entry))).alias("_l"))
+    pair = lambda who, x: F.array(F.lit(who), x)
+    return g.select(key, F.transform("_l", lambda x: F.struct(x["input_text"].alias("input_text"), x["response"].alias("response"),
+                                                              x["session_over"].alias("session_over"))).alias("log"),
+                    F.flatten(F.transform("_l", lambda x: F.array(pair("USER", x["input_text"]), pair("SYSTEM", x["answer"]))))
+                    .alias("context"))
+
+
 def session_summary(folded: DataFrame, key: str = "session_id", model: str = "model_name") -> DataFrame:
     """One row per session: model, logged exchanges, subjective success, end reason."""
     return folded.groupBy(key).agg(

@@ -24,8 +24,10 @@ c as (select *, count(*) filter (where not (is_success or is_failure)) over (par
 e as (select session_id, min(case when is_success or is_failure then seq when ex_no * 2 >= {MAX_TURNS} and not (is_success or is_failure) then seq end) as end_seq from c group by session_id),
 folded as (select c.session_id, c.seq,
      case when e.end_seq is not null and c.seq > e.end_seq then 'after_end' when is_success then 'success' when is_failure then 'failure' else 'exchange' end as status,
-     coalesce(c.seq = e.end_seq, false) as ends_session, c.model_name, c.input_text
+     coalesce(c.seq = e.end_seq, false) as ends_session, c.model_name, c.input_text, c.answer
    from c left join e using (session_id)),
+said as (select *, case when status in ('success', 'failure') then '{S.SESSION_END_TEXT}'
+     when status = 'exchange' then answer || case when ends_session then '{S.SESSION_LIMIT_TEXT}' else '' end end as response from folded),
 summary as (select session_id, first(model_name) as model_name, count(*) filter (where status = 'exchange') as n_exchanges,
      bool_or(status = 'success' and ends_session) as success,
      max(case when ends_session then (case when status = 'exchange' then 'limit' else status end) end) as end_reason
@@ -34,7 +36,7 @@ summary as (select session_id, first(model_name) as model_name, count(*) filter
 
 
 def _folded(spark, d):
-    return SE.session_fold(FX.v_session_inputs(spark, d), MAX_TURNS)
+    return SE.session_fold(FX.v_session_inputs(spark, d), MAX_TURNS, answer="answer")
 
 
 @register("session_phrases", f"""
@@ -44,9 +46,9 @@ def q_session_phrases(spark, d):
     return SE.phrase_flags(FX.v_session_inputs(spark, d)).select("session_id", "seq", "is_success", "is_failure")
 
 
-@register("session_fold", _FOLD_SQL + "select session_id, seq, status, ends_session from folded")
+@register("session_fold", _FOLD_SQL + "select session_id, seq, status, ends_session, response from said")
 def q_session_fold(spark, d):
-    return _folded(spark, d).select("session_id", "seq", "status", "ends_session")
+    return _folded(spark, d).select("session_id", "seq", "status", "ends_session", "response")
 
 
 @register("session_scores", """
@@ -67,17 +69,25 @@ def q_session_report(spark, d):
     return SE.session_report(summ, FX.v_session_scores(spark, d))
 
 
-@register("sessions_export", _FOLD_SQL + """
+@register("sessions_export", _FOLD_SQL + """,
+logs as (select session_id, string_agg(input_text || chr(9) || response || chr(9) || cast(ends_session as string), chr(10) order by seq) as log_text,
+    string_agg('USER ' || input_text || chr(10) || 'SYSTEM ' || answer, chr(10) order by seq) as context_text
+  from said where status = 'exchange' group by session_id)
 select s.session_id, s.model_name, case when sc.session_id is not null then 'finished' else 'unfinished' end as export_dir,
-  s.n_exchanges as n_log, s.success, s.end_reason
-from summary s left join v_session_scores sc using (session_id)""")
+  s.n_exchanges as n_log, s.success, s.end_reason, coalesce(l.log_text, '') as log_text, coalesce(l.context_text, '') as context_text,
+  sc.q1 || ',' || sc.q2 || ',' || sc.q3 as answers
+from summary s left join v_session_scores sc using (session_id) left join logs l using (session_id)""")
 def q_sessions_export(spark, d):
-    summ = SE.session_summary(_folded(spark, d))
-    scored = FX.v_session_scores(spark, d).select("session_id").withColumn("_s", F.lit(True))
-    j = summ.join(scored, "session_id", "left")
+    folded = _folded(spark, d)
+    scores = FX.v_session_scores(spark, d).select("session_id", F.concat_ws(",", "q1", "q2", "q3").alias("answers"))
+    j = SE.session_summary(folded).join(SE.session_log(folded), "session_id").join(scores, "session_id", "left")
+    line = lambda x: F.concat_ws("\t", x["input_text"], x["response"], x["session_over"].cast("string"))
     return j.select("session_id", "model_name",
-                    F.when(F.col("_s"), F.lit("finished")).otherwise(F.lit("unfinished")).alias("export_dir"),
-                    F.col("n_exchanges").alias("n_log"), "success", "end_reason")
+                    F.when(F.col("answers").isNotNull(), F.lit("finished")).otherwise(F.lit("unfinished")).alias("export_dir"),
+                    F.col("n_exchanges").alias("n_log"), "success", "end_reason",
+                    F.array_join(F.transform("log", line), "\n").alias("log_text"),
+                    F.array_join(F.transform("context", lambda x: F.array_join(x, " ")), "\n").alias("context_text"),
+                    "answers")
 
 
 # ----------------------------------------------------------------------------- assignment

@@ -140,13 +140,18 @@ def v_progress(spark, d):
 
 
 def v_session_inputs(spark, d):
-    c = table(spark, d, "conversations").filter(F.col("role") == "user")
+    """User turns as session inputs; the answer is the assistant turn that follows at once, else '...'."""
+    c = table(spark, d, "conversations")
+    answers = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
+                                                            F.col("text").alias("answer"))
+    c = c.filter(F.col("role") == "user").join(answers, ["conv_id", "turn"], "left")
     sid, turn = F.col("conv_id"), F.col("turn")
     return c.select(
         sid.alias("session_id"), turn.alias("seq"),
         F.when(sid % 2 == 0, "model_a").otherwise("model_b").alias("model_name"),
         F.when((turn == 4) & (sid % 3 == 0), F.lit(" Success "))
-         .when((turn == 4) & (sid % 3 == 1), F.lit("FAIL")).otherwise(F.col("text")).alias("input_text"))
+         .when((turn == 4) & (sid % 3 == 1), F.lit("FAIL")).otherwise(F.col("text")).alias("input_text"),
+        F.coalesce("answer", F.lit("...")).alias("answer"))
 
 
 def v_session_scores(spark, d):
@@ -235,9 +240,11 @@ union all select conv_id, 'weather' from (select distinct conv_id from conversat
     "v_progress": """select conv_id, conv_id * 10 as line_no, 'old' as payload from (select distinct conv_id from conversations) a where conv_id % 5 <> 0
 union all
 select conv_id, conv_id * 10 + 5, 'new' from (select distinct conv_id from conversations) b where conv_id % 10 = 3""",
-    "v_session_inputs": """select conv_id as session_id, turn as seq, case when conv_id % 2 = 0 then 'model_a' else 'model_b' end as model_name,
-  case when turn = 4 and conv_id % 3 = 0 then ' Success ' when turn = 4 and conv_id % 3 = 1 then 'FAIL' else text end as input_text
-from conversations where role = 'user'""",
+    "v_session_inputs": """select u.conv_id as session_id, u.turn as seq, case when u.conv_id % 2 = 0 then 'model_a' else 'model_b' end as model_name,
+  case when u.turn = 4 and u.conv_id % 3 = 0 then ' Success ' when u.turn = 4 and u.conv_id % 3 = 1 then 'FAIL' else u.text end as input_text,
+  coalesce(a.text, '...') as answer
+from conversations u left join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant'
+where u.role = 'user'""",
     "v_session_scores": """select distinct conv_id as session_id, cast(conv_id % 5 + 1 as string) as q1, cast(conv_id % 4 + 1 as string) as q2, cast(conv_id % 3 + 3 as string) as q3
 from conversations where conv_id % 4 <> 0""",
     "v_informable": """select distinct 'size' as slot, cast(p_size as string) as value from part where p_size <= 25""",
