@@ -52,6 +52,13 @@ def test_long_and_string_metrics_agree(spark):
          ("ref", 2, "x y z"), ("hyp", 2, "x y z"), ("ref", 3, "only ref")], "side string, k long, item string")
     long = {r.k: (r.tp, r.fp, r.fn, r.joint_goal_accuracy) for r in M.state_metrics_long(items, ["k"]).collect()}
     assert long == {1: (1, 1, 1, 0), 2: (1, 0, 0, 1)}   # key 3 has no prediction: dropped
+    # with the turns of each side an empty state is the one item '', a missing prediction is dropped
+    turns = spark.createDataFrame([(s, k) for s in ("ref", "hyp") for k in (1, 2, 3, 4)] + [("ref", 5)], "side string, k long")
+    items = items.unionByName(spark.createDataFrame([("ref", 5, "a b c")], "side string, k long, item string"))
+    got = {r.k: (r.tp, r.fp, r.fn, r.joint_goal_accuracy, r.slot_f1) for r in M.state_metrics_long(items, ["k"], turns).collect()}
+    want = {1: ("a b 1, a c 2", "a b 1, a c 3"), 2: ("x y z", "x y z"), 3: ("only ref", ""), 4: ("", "")}
+    text = spark.createDataFrame([(k, *v) for k, v in want.items()], "k long, ref string, hyp string")
+    assert got == {r.k: (r.tp, r.fp, r.fn, r.joint_goal_accuracy, r.slot_f1) for r in M.state_metrics(text, "ref", "hyp").collect()}
 
 
 def test_describe_matches_pandas(spark):

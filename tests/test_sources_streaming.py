@@ -267,3 +267,16 @@ def test_guarded_model_in_a_job(spark):
     out = J.call_with_errors(J.run_predictor(df, "t", "raw", J.guarded(strict_responder)), "raw", "error")
     got = {r.k: (r.prediction, r.error, r.attempts) for r in out.collect()}
     assert got == {1: ("fine", None, 1), 2: ("Error: ValueError: address in text", "ValueError: address in text", 1)}
+
+
+def test_dialogues_as_json_lines_and_parquet(spark, corpus):
+    want = FL.read_dialogues(spark, os.path.join(corpus, "dialogues.json"))
+    d = _tmp()
+    want.coalesce(1).write.json(os.path.join(d, "a.jsonl"))
+    FL.ingest_dialogues(spark, os.path.join(corpus, "dialogues.json"), os.path.join(d, "b.parquet"), 2)
+    for name in ("a.jsonl", "b.parquet"):
+        got = FL.read_dialogues(spark, os.path.join(d, name))
+        cols = ["file_pos", "dialogue_name", "dialogue_id", "turns"]
+        assert got.columns == want.columns and rows(got, cols) == rows(want, cols)
+    with pytest.raises(ValueError):
+        FL.read_dialogues(spark, os.path.join(d, "c.txt"))

@@ -2,9 +2,9 @@
 
 JSON objects keyed by name (dialogues, ontology, split lists, allowed values) are read with
 ``read.text(wholetext=True)`` + ``from_json`` into a map, and exploded with ``posexplode``
-so file order becomes an explicit position column. A single JSON document is one task, so
-``ingest_*`` helpers write the result once as Parquet partitioned for the later jobs; every
-operator starts from Parquet.
+so file order becomes an explicit position column. A single JSON document is one task; large
+corpora come as JSON Lines or Parquet (``read_dialogues`` takes all three), which are split over
+tasks, and ``ingest_dialogues`` writes any of them as Parquet partitioned for the later jobs.
 """
 
 from __future__ import annotations
@@ -81,10 +81,22 @@ def _keyed_object(spark: SparkSession, path: str, value_type: T.DataType) -> Dat
 
 
 def read_dialogues(spark: SparkSession, path: str) -> DataFrame:
-    """Dialogue corpus: one row per dialogue with its file position (SRC1)."""
+    """Dialogue corpus: one row per dialogue with its file position (SRC1).
+
+    ``*.json`` is one object keyed by dialogue name (one task); ``*.jsonl`` has one dialogue a line, and
+    ``*.parquet`` one a row (a folder of either is read whole), both split over tasks. Their file
+    position is the stored ``file_pos``, or else the order of lines in the files."""
+    cols = ["dialogue_name", "dialogue_id", "system_name", "user_name", "goal", "goal_description", "turns"]
+    ext = os.path.splitext(path.rstrip("/"))[1].lower()
+    if ext in (".jsonl", ".parquet"):
+        lines = T.StructType([*DIALOGUE.fields, T.StructField("file_pos", T.LongType())])
+        d = spark.read.parquet(path) if ext == ".parquet" else spark.read.schema(lines).json(path)
+        at = F.monotonically_increasing_id()
+        return d.select((F.coalesce("file_pos", at) if "file_pos" in d.columns else at).alias("file_pos"), *cols)
+    if ext != ".json":
+        raise ValueError(f"dialogues must be .json, .jsonl or .parquet, got {path!r}")
     d = _keyed_object(spark, path, DIALOGUE)
-    return d.select("file_pos", F.col("name").alias("dialogue_name"), "value.dialogue_id", "value.system_name",
-                    "value.user_name", "value.goal", "value.goal_description", "value.turns")
+    return d.select("file_pos", F.col("name").alias("dialogue_name"), *[f"value.{c}" for c in cols[1:]])
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
