@@ -163,7 +163,9 @@ def v_session_scores(spark, d):
 
 def v_informable(spark, d):
     p = table(spark, d, "part").filter(F.col("p_size") <= 25)
-    return p.select(F.lit("size").alias("slot"), F.col("p_size").cast("string").alias("value")).distinct()
+    # not a literal: a constant slot would turn the equi-joins on it into filters over a nested loop
+    slot = F.when(F.col("p_size") <= 25, F.lit("size"))
+    return p.select(slot.alias("slot"), F.col("p_size").cast("string").alias("value")).distinct()
 
 
 def _ws_tokens(c: F.Column) -> F.Column:
