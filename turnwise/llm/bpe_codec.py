@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import Spans, gear
-from .common import documents, row_slices, text_buffer, without
+from .common import documents, row_slices, small_batches, text_buffer, without
 from .registry import register
 
 SHARED_CHUNKS = 16_384
@@ -244,6 +244,7 @@ def shared_chunks(df: DataFrame, digests: list[int], path: str, text_col: str =
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None,
            most: int = SHARED_CHUNKS) -> DataFrame:
     """``id, n_tokens, ids``; ``ids`` are little-endian unsigned 32-bit numbers in one binary."""
+    small_batches(df.sparkSession)
     path = vocabulary or default_vocabulary()
     kind = df.schema[id_col].dataType.simpleString()
     table = df.sparkSession.sparkContext.broadcast(

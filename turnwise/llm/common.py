@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import materialize
 
-__all__ = ["documents", "labels", "materialize", "smallest_hashes", "text_buffer", "row_slices", "without"]
+__all__ = ["documents", "labels", "materialize", "small_batches", "smallest_hashes", "text_buffer", "row_slices", "without"]
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+BATCH_ROWS = 1_000
 MAX_GROUPS = 10_000
 
 
@@ -31,6 +32,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in low])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows from now on in this session. Rows here are whole
+    texts, so Spark's 10,000 a batch would hold tens of megabytes in each Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a whole string column and its row offsets (null rows are empty).
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytehash import GEAR_WINDOW, Spans, gear
-from .common import documents, row_slices, text_buffer
+from .common import documents, row_slices, small_batches, text_buffer
 from .registry import register
 
 LEAST, NORMAL, MOST = 16, 32, 128
@@ -113,6 +113,7 @@ def _chunked(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, fingerprint, weight`` (bytes in distinct chunks) for every row of ``df``."""
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -155,6 +156,7 @@ def next_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def compare_edits(pairs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """For ``id, text, edited, next_text, ...``: the fingerprints and the likeness of text to the other two."""
+    small_batches(pairs.sparkSession)
     plain = [f for f in pairs.schema.fields if f.name not in ("text", "edited", "next_text")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plain] + [
         "fingerprint string", "edited_fingerprint string", "near_edited double", "near_next double"])

@@ -20,10 +20,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, row_slices, text_buffer
+from .common import documents, row_slices, small_batches, smallest_hashes, text_buffer
 from .registry import register
 
 WINDOW, STRIDE = 256, 2
@@ -135,14 +135,14 @@ def has_letter(text: Column) -> Column:
 
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCNN | None:
     """Fit on labelled ``rows`` (those with a language and a letter); None if there are none."""
+    small_batches(rows.sparkSession)
     d = rows.filter(F.col(lang_col).isNotNull() & has_letter(F.col(text_col)))
     h = F.xxhash64(F.col(id_col))
     n = F.length(text_col)
     cut = [F.col(text_col).substr((F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.greatest(n - k, F.lit(1))) + 1)
                                   .cast("int"), F.lit(k)) for k in EXCERPTS]
     d = d.select(F.col(lang_col).alias("lang"), h.alias("h"), F.array(*cut).alias("parts"))
-    ranked = d.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    sample = (ranked.filter(F.col("at") <= PER_LANGUAGE).orderBy("at", "lang").limit(TRAIN_ROWS)
+    sample = (smallest_hashes(d, "lang", F.col("h"), PER_LANGUAGE).orderBy("at", "lang").limit(TRAIN_ROWS)
               .select("lang", "parts").collect())
     if not sample:
         return None

@@ -21,11 +21,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import Spans, mix, words
-from .common import documents, materialize, row_slices, text_buffer
+from .common import documents, materialize, row_slices, small_batches, smallest_hashes, text_buffer
 from .registry import register
 
 BUCKETS, STEPS = 4096, 12
@@ -193,6 +193,7 @@ def vote(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Scorer, dict[int, float]] | None:
     """The scorer and the posterior of each vote pattern; None for a table without words."""
+    small_batches(df.sparkSession)
     votes = materialize(vote(df, id_col, text_col))
     counted = votes.filter("n_words > 0").groupBy("pattern").count().collect()  # at most 3 ** 7 rows
     if not counted:
@@ -204,8 +205,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     table = F.broadcast(spark.createDataFrame(list(posterior.items()), "pattern bigint, good double"))
     sided = (votes.filter("n_words > 0").join(table, "pattern")
              .select("id", "good", (F.col("good") >= 0.5).alias("side"), F.xxhash64("id").alias("h")))
-    by_hash = Window.partitionBy("side").orderBy("h", "id")
-    chosen = sided.withColumn("at", F.row_number().over(by_hash)).filter(F.col("at") <= PER_SIDE)
+    chosen = smallest_hashes(sided, "side", F.col("h"), PER_SIDE)
     sample = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
         F.broadcast(chosen.select("id", "good")), "id")
 
@@ -249,6 +249,7 @@ def _scores(col: pa.Array, scorer: Scorer | None) -> tuple[np.ndarray, np.ndarra
 def score(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, score, kept, weak_label`` for every row; the weak label is the posterior of its votes."""
     kind = df.schema[id_col].dataType.simpleString()
+    small_batches(df.sparkSession)
     scorer, posterior = model or (None, {})
 
     def run(batches):
@@ -265,13 +266,16 @@ def score(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_good(df: DataFrame, model, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that the scorer keeps, all columns, without a shuffle."""
+    small_batches(df.sparkSession)
     scorer = model[0] if model else None
     at = df.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            p, _ = _scores(batch.column(at), scorer)
-            yield batch.filter(pa.array(p >= THRESHOLD))
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(i, SLICE_ROWS)
+                p, _ = _scores(rows.column(at), scorer)
+                yield rows.filter(pa.array(p >= THRESHOLD))
     return df.mapInArrow(run, df.schema)
 
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, text_buffer
+from .common import documents, materialize, small_batches, text_buffer
 from .registry import register
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -66,6 +66,7 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``id, fp`` (the 64 bits as a bigint) for every row."""
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
