@@ -13,8 +13,9 @@
 3. ``most`` bounds the rates from above as well (1 by default: no document is repeated). A document
    with rate r is taken floor(r + u) times, u uniform from a hash of its row.
 
-The target is a share per domain. The total is the largest for which no domain needs more words than
-it has (times ``ROOM``), so that the domain in shortest supply is used in full.
+The target is a share per domain, and the total is that of the table. With a bound on the rates the
+total is set by the domain with the largest share, which is used in full (times ``ROOM``); a domain
+that has fewer words than its share of that gives what it has.
 
 Edge cases: null text counts as empty, has no words and keeps rate 1; a target for a domain without
 labelled rows is left out and the other shares are scaled up; without any labelled row all rates are
@@ -29,17 +30,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import Spans, words
-from .common import documents, labels, materialize, row_slices, text_buffer
+from .common import documents, labels, materialize, row_slices, small_batches, smallest_hashes, text_buffer
 from .registry import register
 
 BUCKETS = 1 << 15
 PER_DOMAIN = 1_500
 EPOCHS, RATE, DECAY, SEED = 12, 0.02, 3e-4, 42
-ROUNDS, TOLERANCE, ROOM = 25, 1e-3, 0.98
+ROUNDS, TOLERANCE, ROOM = 25, 1e-3, 0.99
 SLICE_ROWS = 2_000
 
 #: Domains of the labelled table, and the shares of words wanted.
@@ -81,8 +82,7 @@ def train(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on ``labelled`` (id, domain) joined to the texts of ``df``; None without a labelled text."""
     named = labelled.select(F.col(id_col).alias("id"), "domain").filter("id is not null and domain is not null")
     counts = {r["domain"]: r["count"] for r in named.groupBy("domain").count().collect()}
-    by_hash = Window.partitionBy("domain").orderBy(F.xxhash64("id"), "id")
-    chosen = named.withColumn("at", F.row_number().over(by_hash)).filter(F.col("at") <= PER_DOMAIN).drop("at")
+    chosen = smallest_hashes(named, "domain", F.xxhash64("id"), PER_DOMAIN).drop("at")
     sample = (df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
               .join(F.broadcast(chosen), "id").select("text", "domain"))
 
@@ -192,9 +192,11 @@ def fit_rates(member: DataFrame, domains: list[str], targets: dict[str, float],
     if not now.sum() or not share.sum():
         return []
     share /= share.sum()
-    supply = now * (np.inf if most is None else most)
-    whole = now.sum() if most is None else (supply[share > 0] / share[share > 0]).min() * ROOM
-    want = share * whole
+    want = share * now.sum()
+    if most is not None:
+        # the domain with the largest share is used nearly in full; no domain gives more than it has
+        main = int(share.argmax())
+        want = np.minimum(share * now[main] * most * ROOM / share[main], now * most)
     scale = np.linalg.pinv(cross + 1e-9 * np.trace(cross) * np.eye(k))
     steps: list[np.ndarray] = []
     for _ in range(ROUNDS):
@@ -215,6 +217,7 @@ def _draw(df: DataFrame) -> Column:
 def plan(df: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, most: float | None = 1.0,
          id_col: str = "doc_id", text_col: str = "text") -> tuple[Posterior | None, list[np.ndarray], DataFrame | None]:
     """The classifier, the gradient steps, and the written table of memberships."""
+    small_batches(df.sparkSession)
     model = train(df, labelled, id_col, text_col)
     if model is None:
         return None, [], None
@@ -242,16 +245,18 @@ def apply_rates(df: DataFrame, model: Posterior | None, steps: list[np.ndarray],
     """The rows of ``df``, each as often as it is taken, all columns, without a shuffle."""
     if model is None or not steps:
         return df
+    small_batches(df.sparkSession)
     names = df.columns
     at = names.index(text_col)
 
     def run(batches):
         for batch in batches:
-            p, n = _posteriors(batch.column(at), model)
-            u = batch.column(len(names)).to_numpy()
-            copies = np.floor(rates(p, n, steps, most) + u).astype(np.int64)
-            rows = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), copies)))
-            yield pa.RecordBatch.from_arrays(rows.columns[:len(names)], names)
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(i, SLICE_ROWS)
+                p, n = _posteriors(part.column(at), model)
+                copies = np.floor(rates(p, n, steps, most) + part.column(len(names)).to_numpy()).astype(np.int64)
+                rows = part.take(pa.array(np.repeat(np.arange(part.num_rows), copies)))
+                yield pa.RecordBatch.from_arrays(rows.columns[:len(names)], names)
     return df.select("*", _draw(df.select(id_col)).alias("_draw_u")).mapInArrow(run, df.schema)
 
 
