@@ -158,6 +158,23 @@ def test_mixing_meets_targets(spark):
     assert max(x["copies"] for x in rows) > 1 and np.allclose((total / total.sum())[[0, 2]], 0.5, atol=0.02)
 
 
+def test_mixing_learns_from_the_labels_of_its_input(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PER_DOMAIN", 10)
+    texts = {"clean": "good words here", "junk": "xx yy zz"}
+    rows = [(i, "junk" if i % 2 else "clean") for i in range(400)]
+    named = spark.createDataFrame(rows, "doc_id bigint, domain string")
+    # a stage before has dropped all but 20 of the 200 labelled junk rows
+    left = [(i, texts[d]) for i, d in rows if d == "clean" or i < 40]
+    docs = spark.createDataFrame(left, "doc_id bigint, text string")
+    seen = []
+    fit = mixing._fit
+    monkeypatch.setattr(mixing, "_fit", lambda x, y, k: seen.append(np.bincount(y).tolist()) or fit(x, y, k))
+    model = mixing.train(docs, named)
+    alone = mixing.train(docs, named.join(docs, "doc_id", "left_semi"))
+    assert model.domains == ["clean", "junk"] and seen == [[10, 10], [10, 10]]
+    assert np.allclose(model.bias, alone.bias) and np.allclose(model.weights, alone.weights)
+
+
 def test_mixing_copies_whole_rows(spark):
     docs = edge_docs(spark)
     weights = np.zeros((mixing.BUCKETS, 2))

@@ -1,9 +1,10 @@
 """Mixing to target weights with soft domain membership.
 
 1. A classifier (multinomial logistic regression on hashed words, numpy) is trained on a bounded
-   sample of the rows that the table ``labels`` covers: of each domain the ``PER_DOMAIN`` rows with the
+   sample of the labelled rows of the table it is given (labels of other documents, such as those that
+   earlier stages dropped, are left out first): of each domain the ``PER_DOMAIN`` rows with the
    smallest id hashes. It gives every document a posterior over the domains; its intercepts are set
-   back from the balanced sample to the shares in the whole labelled table.
+   back from the balanced sample to the shares among those labelled rows.
 2. With t_d the words of document d and p_dk its posteriors, the rates r_d solve the nonnegative least
    squares problem  min over r >= 0 of || sum_d r_d t_d p_d - target ||^2  by projected gradient from
    r = 1, in the metric in which document d weighs t_d and the residual is scaled by the inverse of
@@ -81,6 +82,8 @@ class Posterior:
 def train(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Posterior | None:
     """Fit on ``labelled`` (id, domain) joined to the texts of ``df``; None without a labelled text."""
     named = labelled.select(F.col(id_col).alias("id"), "domain").filter("id is not null and domain is not null")
+    # sample and counts both describe df: ids alone meet, before any row is chosen
+    named = materialize(named.join(df.select(F.col(id_col).alias("id")), "id", "left_semi"))
     counts = {r["domain"]: r["count"] for r in named.groupBy("domain").count().collect()}
     chosen = smallest_hashes(named, "domain", F.xxhash64("id"), PER_DOMAIN).drop("at")
     sample = (df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
