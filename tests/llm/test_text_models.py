@@ -175,6 +175,25 @@ def test_mixing_learns_from_the_labels_of_its_input(spark, monkeypatch):
     assert np.allclose(model.bias, alone.bias) and np.allclose(model.weights, alone.weights)
 
 
+def test_mixing_repeats_scarce_domains_up_to_a_bound(spark):
+    kinds = {"clean": ([0.9995, 0.0001, 0.0004], 3000), "junk": ([0.01, 0.98, 0.01], 4), "toxic": ([0.02, 0.0, 0.98], 200)}
+    rows = [(100, p, random.Random(k + str(i)).random()) for k, (p, m) in kinds.items() for i in range(m)]
+    member = spark.createDataFrame(rows, "n_words bigint, p array<double>, u double").repartition(3)
+    steps = mixing.fit_rates(member, list(kinds), mixing.TARGETS)
+    out = mixing.with_rates(member, steps).toPandas()
+    p, n = np.stack(out.p), out.n_words.to_numpy(float)
+    for times in (out.rate, out.copies):
+        total = (times.to_numpy() * n) @ p
+        assert np.allclose(total / total.sum(), list(mixing.TARGETS.values())[:1] + [0.02, 0.02], atol=0.003)
+    assert np.allclose(list(steps.reached.values()), (out.rate.to_numpy() * n) @ p)
+    # the largest domain keeps all its words, and only the scarce one is repeated
+    assert steps.reached["clean"] > 0.998 * n @ p[:, 0]
+    assert out.copies[p[:, 1] > 0.5].min() > 5 and out.copies[p[:, 2] > 0.5].max() == 1
+    with pytest.warns(UserWarning, match="junk wants .* words and reaches"):
+        steps = mixing.fit_rates(member, list(kinds), mixing.TARGETS, repeats=2.0)
+    assert mixing.with_rates(member, steps).agg(F.max("rate")).first()[0] <= 2 and steps.reached["junk"] < steps.wanted["junk"]
+
+
 def test_mixing_copies_whole_rows(spark):
     docs = edge_docs(spark)
     weights = np.zeros((mixing.BUCKETS, 2))

@@ -11,12 +11,16 @@
    sum_d t_d p_d p_d' (a matrix of domains x domains). A gradient is a sum over all documents: each
    round is one distributed aggregate whose result has one number per domain. Rates need no table
    of their own: a document's rate follows from its posteriors and the list of past gradients.
-3. ``most`` bounds the rates from above as well (1 by default: no document is repeated). A document
-   with rate r is taken floor(r + u) times, u uniform from a hash of its row.
+3. ``most`` bounds the rates from above as well (1 by default). Domains with fewer words than their
+   target, and only those, have the bound ``repeats`` (``REPEATS`` by default) instead, and a document's
+   bound is the mean of its domains' bounds by its posteriors: documents are repeated as far as they
+   belong to a scarce domain. A document with rate r is taken floor(r + u) times, u uniform from a
+   hash of its row.
 
-The target is a share per domain, and the total is that of the table. With a bound on the rates the
-total is set by the domain with the largest share, which is used in full (times ``ROOM``); a domain
-that has fewer words than its share of that gives what it has.
+The target is a share per domain. Without a bound the total is that of the table; with one it is set
+by the domain with the largest share, whose words are all used, but for those in documents that are
+thinned for another domain. ``Steps`` holds the words wanted and reached per domain; a target that
+the bounds do not allow is met as far as they go, with a warning that names the words.
 
 Edge cases: null text counts as empty, has no words and keeps rate 1; a target for a domain without
 labelled rows is left out and the other shares are scaled up; without any labelled row all rates are
@@ -27,6 +31,7 @@ result. A text is held whole by one task.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,8 +46,11 @@ from .registry import register
 BUCKETS = 1 << 15
 PER_DOMAIN = 1_500
 EPOCHS, RATE, DECAY, SEED = 12, 0.02, 3e-4, 42
-ROUNDS, TOLERANCE, ROOM = 25, 1e-3, 0.99
-SLICE_ROWS = 2_000
+ROUNDS, TOLERANCE, GAIN = 25, 1e-3, 1e-4
+SLICE_ROWS, OUT_BYTES = 2_000, 8 << 20
+
+#: Bound of the rates of a domain that has fewer words than its target.
+REPEATS = 128.0
 
 #: Domains of the labelled table, and the shares of words wanted.
 TARGETS = {"clean": 0.96, "toxic": 0.02, "junk": 0.02}
@@ -156,23 +164,38 @@ def _posteriors(col: pa.Array, model: Posterior) -> tuple[np.ndarray, np.ndarray
     return p, n.astype(np.int64)
 
 
-def rates(p: np.ndarray, n: np.ndarray, steps: list[np.ndarray], most: float | None) -> np.ndarray:
+class Steps(list):
+    """Gradient steps, the bound of the rates they were found with (one for all documents, one per domain,
+    or None), and the words per domain that were wanted and that the rates reach."""
+
+    def __init__(self, steps=(), most: float | np.ndarray | None = None,
+                 wanted: dict[str, float] | None = None, reached: dict[str, float] | None = None):
+        super().__init__(steps)
+        self.most, self.wanted, self.reached = most, wanted or {}, reached or {}
+
+
+def _bound(steps: list[np.ndarray], most: float | np.ndarray | None) -> float | np.ndarray | None:
+    return steps.most if isinstance(steps, Steps) else most
+
+
+def rates(p: np.ndarray, n: np.ndarray, steps: list[np.ndarray], most: float | np.ndarray | None) -> np.ndarray:
     """Rates after the given steps: each a gradient step, and the projection to 0 <= r (<= most)."""
     r = np.ones(len(p))
+    top = p @ most if isinstance(most, np.ndarray) else most
     for g in steps:
-        r = np.clip(r - np.where(n > 0, p @ g, 0.0), 0.0, most)
+        r = np.clip(r - np.where(n > 0, p @ g, 0.0), 0.0, top)
     return r
 
 
-def fit_rates(member: DataFrame, domains: list[str], targets: dict[str, float], most: float | None = 1.0
-              ) -> list[np.ndarray]:
+def fit_rates(member: DataFrame, domains: list[str], targets: dict[str, float], most: float | None = 1.0,
+              repeats: float = REPEATS) -> Steps:
     """The gradient steps whose rates bring the expected words per domain to the targets.
 
     ``member`` is read once per round, so pass a written table.
     """
     k = len(domains)
 
-    def totals(steps):
+    def totals(steps, most):
         def run(batches):
             for batch in batches:
                 if batch.num_rows:
@@ -190,24 +213,51 @@ def fit_rates(member: DataFrame, domains: list[str], targets: dict[str, float],
             cross[r["k"]] = [r[f"c{i}"] for i in range(k)]
         return total, cross
 
-    now, cross = totals([])
+    full, cross = totals([], most)
     share = np.array([targets.get(d, 0.0) for d in domains])
-    if not now.sum() or not share.sum():
-        return []
+    if not full.sum() or not share.sum():
+        return Steps(most=most)
     share /= share.sum()
-    want = share * now.sum()
-    if most is not None:
-        # the domain with the largest share is used nearly in full; no domain gives more than it has
-        main = int(share.argmax())
-        want = np.minimum(share * now[main] * most * ROOM / share[main], now * most)
+    main = int(share.argmax())
     scale = np.linalg.pinv(cross + 1e-9 * np.trace(cross) * np.eye(k))
-    steps: list[np.ndarray] = []
-    for _ in range(ROUNDS):
-        off = now - want
-        if np.abs(off).max() <= TOLERANCE * want.sum():
-            break
-        steps.append(scale @ off)
-        now, _ = totals(steps)
+
+    def solve(bound, reach):
+        now, before, steps = full, full[main], []
+        while True:
+            # the largest domain is asked for all its words; the others follow the words it reaches
+            want = share * full.sum() if most is None else share / share[main] * now[main]
+            aim = np.minimum(want, reach)
+            off = now - aim
+            gain, before = abs(now[main] - before), now[main]
+            done = np.abs(off).max() <= TOLERANCE * want.sum() and (most is None or gain <= GAIN * want.sum())
+            if len(steps) == ROUNDS or done:
+                return steps, want, now
+            if most is not None:
+                off[main] = now[main] - reach[main]
+            steps.append(scale @ off)
+            now, _ = totals(steps, bound)
+
+    if most is None:
+        bound = None
+        steps, want, now = solve(None, np.full(k, np.inf))
+    else:
+        short = share / share[main] * full[main] > full
+        while True:
+            # one number where no domain is short: no document is repeated
+            each = np.where(short, max(most, repeats), most)
+            bound = each if short.any() else most
+            # with its own bound alone, a domain reaches sum of n p (most + p (bound - most))
+            steps, want, now = solve(bound, most * full + (each - most) * np.diag(cross))
+            found = (want - now > TOLERANCE * want.sum()) & ~short
+            found[main] = False
+            if not found.any():
+                break
+            short |= found
+    steps = Steps(steps, bound, dict(zip(domains, want.tolist())), dict(zip(domains, now.tolist())))
+    missed = [d for d in domains if abs(steps.wanted[d] - steps.reached[d]) > TOLERANCE * want.sum()]
+    if missed:
+        warnings.warn("mixing targets not met: " + ", ".join(
+            f"{d} wants {steps.wanted[d]:.0f} words and reaches {steps.reached[d]:.0f}" for d in missed), stacklevel=2)
     return steps
 
 
@@ -218,18 +268,20 @@ def _draw(df: DataFrame) -> Column:
 
 
 def plan(df: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, most: float | None = 1.0,
-         id_col: str = "doc_id", text_col: str = "text") -> tuple[Posterior | None, list[np.ndarray], DataFrame | None]:
+         id_col: str = "doc_id", text_col: str = "text", repeats: float = REPEATS
+         ) -> tuple[Posterior | None, list[np.ndarray], DataFrame | None]:
     """The classifier, the gradient steps, and the written table of memberships."""
     small_batches(df.sparkSession)
     model = train(df, labelled, id_col, text_col)
     if model is None:
         return None, [], None
     member = materialize(memberships(df, model, id_col, text_col).withColumn("u", _draw(df.select(id_col))))
-    return model, fit_rates(member, model.domains, targets or TARGETS, most), member
+    return model, fit_rates(member, model.domains, targets or TARGETS, most, repeats), member
 
 
 def with_rates(member: DataFrame, steps: list[np.ndarray], most: float | None = 1.0) -> DataFrame:
-    """``member`` plus ``rate`` and ``copies``."""
+    """``member`` plus ``rate`` and ``copies``; ``most`` is for steps that do not come from ``plan``."""
+    most = _bound(steps, most)
     kept = [c for c in member.columns]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in member.schema.fields)
     n_at, p_at = kept.index("n_words"), kept.index("p")
@@ -245,7 +297,9 @@ def with_rates(member: DataFrame, steps: list[np.ndarray], most: float | None =
 
 def apply_rates(df: DataFrame, model: Posterior | None, steps: list[np.ndarray], most: float | None = 1.0,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, each as often as it is taken, all columns, without a shuffle."""
+    """The rows of ``df``, each as often as it is taken, all columns, without a shuffle; ``most`` is for
+    steps that do not come from ``plan``."""
+    most = _bound(steps, most)
     if model is None or not steps:
         return df
     small_batches(df.sparkSession)
@@ -258,8 +312,12 @@ def apply_rates(df: DataFrame, model: Posterior | None, steps: list[np.ndarray],
                 part = batch.slice(i, SLICE_ROWS)
                 p, n = _posteriors(part.column(at), model)
                 copies = np.floor(rates(p, n, steps, most) + part.column(len(names)).to_numpy()).astype(np.int64)
-                rows = part.take(pa.array(np.repeat(np.arange(part.num_rows), copies)))
-                yield pa.RecordBatch.from_arrays(rows.columns[:len(names)], names)
+                size = np.diff(text_buffer(part.column(at))[1])
+                taken = np.repeat(np.arange(part.num_rows), copies)
+                # a repeated text is held a few megabytes at a time
+                for a, b in row_slices(np.concatenate([[0], np.cumsum(size[taken])]), OUT_BYTES):
+                    rows = part.take(pa.array(taken[a:b]))
+                    yield pa.RecordBatch.from_arrays(rows.columns[:len(names)], names)
     return df.select("*", _draw(df.select(id_col)).alias("_draw_u")).mapInArrow(run, df.schema)
 
 
