@@ -91,6 +91,23 @@ def test_licenses_against_brute_force(spark):
     assert got[0]["text_license"] == "MIT" and got[1]["license_lines"] == "1:Apache-2.0" and hits > 5
 
 
+def test_known_texts_without_a_trigger(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that:"
+    known = [("BSD-2-Clause", bsd + "\n1. Redistributions retain the above copyright notice."), ("PD", "Dedicated to the public domain."),
+             ("URL", "See creativecommons.org"), ("none", "Copyright 2020 A"), ("MIT", "Released under the MIT License.")]
+    texts = [known[0][1].upper(), "code\nDEDICATED to the *public* domain\nmore", "see creativehttps://commons.org", "Copyright 1999 B",
+             "released under the MIT licence", "plain words", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    table = lambda rows: spark.createDataFrame(rows, "license_id string, text string")
+    # a known text without a plain word has all lines digested
+    for more in ([], [("short", "gpl 2")]):
+        got = {r["doc_id"]: (r["text_license"], r["license_lines"]) for r in
+               license_scan.scan_licenses(d, table(known + more)).collect()}
+        assert got == {0: ("BSD-2-Clause", ""), 1: (None, "2:PD"), 2: ("URL", "1:URL"), 3: (None, ""), 4: ("MIT", "1:MIT"),
+                       5: (None, ""), 6: (None, "")}
+    assert license_scan.line_pattern(table([("short", "gpl 2")])) == ""
+
+
 def test_shards_against_brute_force(spark):
     docs = edge_docs(spark)
     topology = sharding.Topology.grid(2, 2, 2)

@@ -5,16 +5,18 @@ copyright lines, punctuation as white space, single spaces. Its SHA-256 is hash-
 digests of the known licence texts, brought to the same form. Entire texts are looked up: the whole
 text of a row, and each of its lines as a text of its own (notices stand on lines of their own).
 
-Known texts are a table ``license_id, text`` (``KNOWN`` by default, or the caller's). A known text
-has to hold one of ``TRIGGERS``; a line without any of them cannot equal a known text, so only
-lines with one are digested. The table of known digests is the caller's catalogue; it is broadcast
-while it has at most ``BROADCAST_ROWS`` rows (checked), beyond that the join shuffles.
+Known texts are a table ``license_id, text`` (``KNOWN`` by default, or the caller's). Whole texts meet
+all of them. Which lines are digested follows from the catalogue: those with one of ``TRIGGERS``, and
+those with a word of each known text that holds none (``line_pattern``); where such a text has no
+usable word, or there are more than ``MAX_WORDS`` words, all lines are. The table of known digests is
+the caller's catalogue; it is broadcast while it has at most ``BROADCAST_ROWS`` rows (checked), beyond
+that the join shuffles.
 
 Only DataFrame functions are used.
 
 Edge cases: null text counts as empty and has no licence; repeated rows are looked up each; a text
-of copyright lines and punctuation alone has the empty canonical form, which no licence has; an
-empty table gives an empty result; columns beyond id and text are not read.
+of copyright lines and punctuation alone has the empty canonical form, which no licence has (a known
+text of that form equals nothing); an empty table gives an empty result; columns beyond id and text are not read.
 """
 
 from __future__ import annotations
@@ -71,8 +73,14 @@ KNOWN = (
             "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
             "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
 )
-# Every known text holds one of these, in any case.
-TRIGGERS = r"(?i)licen[cs]|permission"
+# Most known texts hold one of these, in any case; the rest add a word of their own. An address
+# counts, as its scheme goes from the canonical form and may join what stands on both sides.
+TRIGGERS = r"(?i)licen[cs]|permission|https?://"
+MAX_WORDS = 1_000
+# Words that a line holds as they stand in its canonical form: ASCII (without k, the lower case of a sign beyond
+# ASCII too), and none that SPELLINGS makes.
+PLAIN_WORD = r"[a-jl-z]{4,}"
+MADE_WORD = r"version|favor|noninfringement|copyright|holder"
 # Spellings that count as equal, in the order of their replacement.
 SPELLINGS = (
     (r"licen[cs]e(?=[sd]?\b)", "license"),
@@ -100,11 +108,23 @@ def canonical(text: Column) -> Column:
 
 def known_digests(known: DataFrame) -> DataFrame:
     """``license_id, digest`` of the known texts; one row per digest (the smallest id wins a tie)."""
-    return (known.filter(F.col("text").rlike(TRIGGERS))
-            .groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    return (known.select("license_id", canonical(F.col("text")).alias("text")).filter("text != ''")
+            .groupBy(F.sha2("text", 256).alias("digest"))
             .agg(F.min("license_id").alias("license_id")))
 
 
+def line_pattern(known: DataFrame) -> str:
+    """A pattern that every line equal to a known text (in canonical form) holds: ``TRIGGERS``, and the
+    longest plain word of each known text without a trigger."""
+    t = known.select(canonical(F.col("text")).alias("text")).filter("text != ''").filter(~F.col("text").rlike(TRIGGERS))
+    plain = F.filter(F.split("text", " "), lambda w: w.rlike(f"^{PLAIN_WORD}$") & ~w.rlike(MADE_WORD))
+    longest = F.array_max(F.transform(plain, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    words = [r["w"] for r in t.select(longest.alias("w")).distinct().limit(MAX_WORDS + 1).collect()]
+    if None in words or len(words) > MAX_WORDS:
+        return ""
+    return "|".join([TRIGGERS, *sorted(words)])
+
+
 def default_known(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(KNOWN), "license_id string, text string")
 
@@ -118,19 +138,20 @@ def scan_licenses(df: DataFrame, known: DataFrame, id_col: str = "doc_id", text_
         digests = F.broadcast(digests)
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = df.select(F.col(id_col).alias("_id"), text.alias("_text"))
-    has = F.col("_text").rlike(TRIGGERS)
+    pattern = line_pattern(known)
+    has = F.col("_text").rlike(pattern)
     whole = digests.withColumnsRenamed({"digest": "_whole", "license_id": "text_license"})
 
     def with_whole(x: DataFrame) -> DataFrame:
         return x.withColumn("_whole", F.sha2(canonical(F.col("_text")), 256)).join(whole, "_whole", "left")
 
-    # texts without a trigger have no licence line and need no regrouping of lines
+    # texts without the pattern have no licence line and need no regrouping of lines
     plain = with_whole(d.filter(~has)).select(
         "_id", "text_license", F.lit("").alias("line_licenses"), F.lit(0).cast("long").alias("n_license_lines"),
         F.lit("").alias("license_lines"))
     lines = F.filter(F.transform(F.split("_text", r"\r\n|\n|\r", -1),
                                  lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))),
-                     lambda x: x["text"].rlike(TRIGGERS))
+                     lambda x: x["text"].rlike(pattern))
     units = (with_whole(d.filter(has).withColumn("_row", F.monotonically_increasing_id()))
              .select("_id", "_row", "text_license", F.explode(lines).alias("u"))
              .select("_id", "_row", "text_license", F.col("u.line").alias("line"),
