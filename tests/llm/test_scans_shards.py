@@ -1,6 +1,7 @@
 """Secret scans, license scans and sharding against brute force."""
 
 import hashlib
+import os
 import re
 import uuid
 import zlib
@@ -108,6 +109,25 @@ def test_known_texts_without_a_trigger(spark):
     assert license_scan.line_pattern(table([("short", "gpl 2")])) == ""
 
 
+def test_entire_licence_files_are_known(spark):
+    mit = next(t for i, t in license_scan.KNOWN if i == "MIT" and len(t) > 500)
+    texts = [("MIT", "MIT License\n\nCopyright (c) 2024 X\n\n" + mit), ("MIT", "The MIT License (MIT)\n" + mit)]
+    folder = os.path.join(os.path.dirname(license_scan.__file__), "licenses")
+    for name, license_id in license_scan.FULL.items():
+        with open(f"{folder}/{name}.txt", encoding="utf-8") as f:
+            text = f.read()
+        texts += [(license_id, text), (license_id, text.lstrip().split("\n\n", 1)[1])]
+        if name == "Apache-2.0":
+            texts.append((license_id, text.replace("[yyyy] [name of copyright owner]", "2024 X")))
+    with open(f"{folder}/BSD.txt", encoding="utf-8") as f:
+        bsd = f.read().replace("The Regents of the University of California.", "2024, X")
+    two = bsd[:bsd.index("3. Neither")] + bsd[bsd.index("THIS SOFTWARE"):]
+    texts += [("BSD-3-Clause", bsd), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + bsd), ("BSD-2-Clause", two)]
+    d = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text_license"] for r in license_scan.scan_licenses(d, license_scan.default_known(spark)).collect()}
+    assert [got[k] for k in range(len(texts))] == [i for i, _ in texts]
+
+
 def test_shards_against_brute_force(spark):
     docs = edge_docs(spark)
     topology = sharding.Topology.grid(2, 2, 2)

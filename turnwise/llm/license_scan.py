@@ -5,7 +5,9 @@ copyright lines, punctuation as white space, single spaces. Its SHA-256 is hash-
 digests of the known licence texts, brought to the same form. Entire texts are looked up: the whole
 text of a row, and each of its lines as a text of its own (notices stand on lines of their own).
 
-Known texts are a table ``license_id, text`` (``KNOWN`` by default, or the caller's). Whole texts meet
+Known texts are a table ``license_id, text`` (``default_known``, or the caller's). The default has the
+notices of ``KNOWN`` and the full texts and header notices of the files in ``licenses``, with and without
+their title lines. Whole texts meet
 all of them. Which lines are digested follows from the catalogue: those with one of ``TRIGGERS``, and
 those with a word of each known text that holds none (``line_pattern``); where such a text has no
 usable word, or there are more than ``MAX_WORDS`` words, all lines are. The table of known digests is
@@ -21,6 +23,9 @@ text of that form equals nothing); an empty table gives an empty result; columns
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +78,20 @@ KNOWN = (
             "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
             "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
 )
+# Files in ``licenses`` and their ids.
+FULL = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2",
+        "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0",
+        "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+# The header notice inside a full text.
+HEADERS = {"Apache-2.0": r"Licensed under the Apache License, Version 2\.0 \(the.*?limitations under the License\.",
+           "GPL-1": r"This program is free software;.*?USA\.?", "GPL-2": r"This program is free software;.*?USA\.",
+           "GPL-3": r"This program is free software:.*?<https://www\.gnu\.org/licenses/>\.",
+           "LGPL-2": r"This library is free software;.*?USA\.?", "LGPL-2.1": r"This library is free software;.*?USA\.?",
+           "MPL-2.0": r"This Source Code Form is subject.*?https?://mozilla\.org/MPL/2\.0/\."}
+# Title lines of the short licences.
+TITLES = {"MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"),
+          "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License"),
+          "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License")}
 # Most known texts hold one of these, in any case; the rest add a word of their own. An address
 # counts, as its scheme goes from the canonical form and may join what stands on both sides.
 TRIGGERS = r"(?i)licen[cs]|permission|https?://"
@@ -125,8 +144,40 @@ def line_pattern(known: DataFrame) -> str:
     return "|".join([TRIGGERS, *sorted(words)])
 
 
+def catalogue() -> list[tuple[str, str]]:
+    """Id and text of the known texts: ``KNOWN``, and from the files in ``licenses`` the full texts with and
+    without title lines, without an appendix or with its copyright line filled in, and the header notices."""
+    read = lambda name: files(__package__).joinpath("licenses", f"{name}.txt").read_text("utf-8")
+    out = list(KNOWN)
+    for name, license_id in FULL.items():
+        text = read(name).strip()
+        texts = [text]
+        # a title is the lines before the first blank one; CC0 has a second
+        for _ in range(2 if name == "CC0-1.0" else 1):
+            texts.append(re.split(r"\n[ \t]*\n", texts[-1], maxsplit=1)[1])
+        # of the terms alone, and with the line of the appendix where owners put their names
+        texts += [t[:t.index(end) + len(end)] for t in texts for end in ["END OF TERMS AND CONDITIONS"] if end in t]
+        texts += [t.replace("Copyright [yyyy] [name of copyright owner]", "") for t in texts if "[yyyy]" in t]
+        if name in HEADERS:
+            texts.append(re.search(HEADERS[name], text, re.S)[0])
+        out += [(license_id, t) for t in texts]
+    short = [(i, t) for i, t in KNOWN if i in ("MIT", "ISC") and len(t) > 500]
+    regents = read("BSD").split("All rights reserved.", 1)[1].strip()
+    third = re.search(r"3\. Neither.*?\n(?=THIS|\s*\n)", regents, re.S)[0]
+    holder = (regents.replace("the University", "the copyright holder").replace("REGENTS AND", "COPYRIGHT HOLDERS AND")
+              .replace("REGENTS OR", "COPYRIGHT HOLDER OR"))
+    holder_third = third.replace("the University", "the copyright holder")
+    for body, clause in ((regents, third), (holder, holder_third), (holder.replace("HOLDER OR", "HOLDERS OR"), holder_third)):
+        short += [("BSD-3-Clause", body), ("BSD-2-Clause", body.replace(clause, ""))]
+    # with numbers or without (lists of stars), with the line on rights or without
+    short += [(i, re.sub(r"(?m)^[123]\. ", "", t)) for i, t in short if i.startswith("BSD")]
+    short += [(i, "All rights reserved.\n" + t) for i, t in short]
+    out += short + [(i, f"{title}\n{t}") for i, t in short for title in TITLES[i]]
+    return out
+
+
 def default_known(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "license_id string, text string")
+    return spark.createDataFrame(catalogue(), "license_id string, text string")
 
 
 def scan_licenses(df: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
