@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 MODULES = ("secret_scan", "bpe_codec", "language_id", "simhash", "sharding", "quality", "exact_dedup", "mixing",
-           "license_scan", "fingerprints", "vector_codes")
+           "license_scan", "fingerprints", "vector_codes",
+           "prefix_trie")
 
 _QUERIES: dict[str, QueryFn] = {}
 _SQL: dict[str, str] = {}
