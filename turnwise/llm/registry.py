@@ -11,7 +11,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 MODULES = ("secret_scan", "bpe_codec", "language_id", "simhash", "sharding", "quality", "exact_dedup", "mixing",
            "license_scan", "fingerprints", "vector_codes",
-           "prefix_trie")
+           "prefix_trie", "ppm")
 
 _QUERIES: dict[str, QueryFn] = {}
 _SQL: dict[str, str] = {}
