@@ -103,6 +103,9 @@ def test_render_parse_round_trip(spark):
          (1, "hotel", "area", ""), (1, "hotel", "area2", "x")], "k long, domain string, slot string, value string")
     cat = slot_catalogue(spark, CAT_BELIEF, CAT_BOOK)
     text = ST.render_state(long, ["k"], cat).collect()[0].state
+    assert text == "general city kyoto, hotel name grand hotel, hotel area2 x, hotel people 2"
+    listed = long.filter("slot <> 'area2'")
+    text = ST.render_state(listed, ["k"], cat).collect()[0].state
     assert text == "general city kyoto, hotel name grand hotel, hotel people 2"
     parsed, rejects = _parse(spark, text)
     assert parsed == {("general", "city"): ("belief", "kyoto"), ("hotel", "name"): ("belief", "grand hotel"),
@@ -110,6 +113,17 @@ def test_render_parse_round_trip(spark):
     assert rejects == []
 
 
+def test_render_drops_book_slots_of_domains_without_belief(spark):
+    rows = [(1, "hotel", "belief", "name", "x"), (1, "taxi", "book", "people", "2"),
+            (2, "taxi", "belief", "time", ""), (2, "taxi", "book", "people", "2"), (2, "taxi", "book", "day", None),
+            (3, "taxi", "book", "people", "2"),
+            (4, "spa", "belief", "zz", "1"), (4, "spa", "book", "aa", "2"), (4, "hotel", "belief", "name", "y")]
+    long = spark.createDataFrame(rows, "k long, domain string, kind string, slot string, value string")
+    cat = slot_catalogue(spark, CAT_BELIEF, CAT_BOOK)
+    got = {r["k"]: r["state"] for r in ST.render_state(long, ["k"], cat).collect()}
+    assert got == {1: "hotel name x", 2: "taxi people 2", 4: "hotel name y, spa zz 1, spa aa 2"}
+
+
 def test_carry_forward_chunked_equals_plain(spark):
     import random
     rnd = random.Random(3)

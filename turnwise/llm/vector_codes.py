@@ -200,7 +200,7 @@ def with_group_sum(df: DataFrame, by: str, value: Column, name: str) -> DataFram
     if planned_bytes(sums) <= BROADCAST_MAX_BYTES:
         return df.join(F.broadcast(sums), df[by].eqNullSafe(sums["_g"]), "left").drop("_g")
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS)))
-    copies = sums.withColumn("_salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    copies = sums.withColumn("_salt_", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
     return salted.join(copies, salted[by].eqNullSafe(copies["_g"]) & (salted["_salt"] == copies["_salt_"]),
                        "left").drop("_g", "_salt", "_salt_")
 

@@ -27,17 +27,31 @@ def items_to_state_text(items: DataFrame, keys: Sequence[str], item: str = "item
 
 def render_state(long: DataFrame, keys: Sequence[str], catalogue: DataFrame, with_domain: bool = True,
                  name: str = "state", sep: str = SEP) -> DataFrame:
-    """``state_dict2str``: "domain slot value" items, falsy values skipped. Slots of the catalogue
-    come first, in catalogue order; slots outside it (for example book slots of a domain without
-    belief slots) follow, by domain and slot. Keys without any rendered item do not appear
-    (their text is '')."""
-    cat, _ = broadcast_if_small(catalogue.select("domain", "domain_pos", "slot", "slot_pos"))
-    j = long.join(cat, ["domain", "slot"], "left").filter(falsy_to_null(F.col("value")).isNotNull())
-    text = (F.concat_ws(" ", "domain", "slot", "value") if with_domain else F.concat_ws(" ", "slot", "value"))
-    order = F.struct(F.col("domain_pos").isNull().alias("outside"), "domain_pos", "slot_pos",
-                     F.when(F.col("domain_pos").isNull(), F.struct("domain", "slot")).alias("named"), text.alias("t"))
-    g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("_items"))
-    return g.select(*keys, F.array_join(F.transform("_items", lambda x: x["t"]), sep).alias(name))
+    """``state_dict2str``: "domain slot value" items, falsy values skipped.
+
+    Only domains of the belief state are rendered: book slots of a domain without any belief row (of whatever
+    value) are dropped. Order: domains of the catalogue, then others by name; in a domain its belief slots, then
+    its book slots, each in catalogue order and then by name. ``kind`` ('belief', 'book') is a column of
+    ``long`` or comes from the catalogue; slots outside the catalogue count as belief slots. Keys without any
+    rendered item do not appear (their text is '')."""
+    if "kind" not in long.columns:
+        kinds, _ = broadcast_if_small(catalogue.groupBy("domain", "slot").agg(F.min("kind").alias("kind")))
+        long = long.join(kinds, ["domain", "slot"], "left")  # 'belief' sorts first where a slot has both kinds
+    cat, _ = broadcast_if_small(catalogue.groupBy("domain", "slot").agg(F.min("slot_pos").alias("slot_pos")))
+    domains, _ = broadcast_if_small(catalogue.groupBy("domain").agg(F.min("domain_pos").alias("domain_pos")))
+    j = long.join(cat, ["domain", "slot"], "left").join(domains, "domain", "left")
+    value = falsy_to_null(F.col("value"))
+    text = (F.concat_ws(" ", "domain", "slot", value) if with_domain else F.concat_ws(" ", "slot", value))
+    item = F.struct(F.col("domain_pos").isNull().alias("other"), "domain_pos", "domain",
+                    (F.coalesce("kind", F.lit("belief")) != "belief").alias("book"),
+                    F.col("slot_pos").isNull().alias("unlisted"), "slot_pos", "slot",
+                    F.when(value.isNotNull(), text).alias("t"))
+    # one state: bounded by its slots
+    g = j.groupBy(*keys).agg(F.array_sort(F.collect_set(item)).alias("_items"))
+    believed = F.transform(F.filter("_items", lambda x: ~x["book"]), lambda x: x["domain"])
+    shown = F.filter("_items", lambda x: x["t"].isNotNull() & F.array_contains(believed, x["domain"]))
+    return (g.select(*keys, F.transform(shown, lambda x: x["t"]).alias("_texts")).filter(F.size("_texts") > 0)
+            .select(*keys, F.array_join("_texts", sep).alias(name)))
 
 
 def render_wide(slots: Sequence[tuple[str, str, str]], with_domain: bool = True, sep: str = SEP) -> Column:
