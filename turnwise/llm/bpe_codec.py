@@ -25,6 +25,7 @@ and text are not read. A text is held whole by one task.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -45,6 +46,9 @@ CUT = np.uint32(0xFF << 20)  # one cut in 256 bytes beyond LEAST
 # Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+# White space of that pattern, in runs that its look-ahead would remember character by character.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -76,10 +80,20 @@ class Codec:
         import tiktoken
         ranks, special = _vocabulary(path)
         self._tiktoken = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self._special = tuple(special)
 
     def ids(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        return np.array(self._tiktoken.encode(text.decode(), allowed_special="all"), "<u4").tobytes()
+        """Ids as little-endian unsigned 32-bit numbers.
+
+        A long run of white space is cut out and merged as the one pre-token that it is: all of the run, but
+        for its last character if a text follows that is not white space or a special token."""
+        s, out, done = text.decode(), [], 0
+        for m in LONG_RUN.finditer(s):
+            end = m.end() - (m.end() < len(s) and not s.startswith(self._special, m.end()))
+            out += self._tiktoken.encode(s[done:m.start()], allowed_special="all")
+            out += self._tiktoken._encode_single_piece(s[m.start():end])
+            done = end
+        return np.array(out + self._tiktoken.encode(s[done:], allowed_special="all"), "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)

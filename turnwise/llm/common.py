@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import materialize
 
-__all__ = ["documents", "labels", "materialize", "small_batches", "smallest_hashes", "text_buffer", "row_slices", "without"]
+__all__ = ["documents", "labels", "materialize", "one_text_each", "small_batches", "smallest_hashes", "text_buffer", "row_slices", "without"]
 
 SLICE_BYTES = 1 << 19
 BATCH_ROWS = 1_000
@@ -72,15 +72,26 @@ def row_slices(off: np.ndarray, limit: int = SLICE_BYTES, rows: int = 1 << 30) -
 
 
 def smallest_hashes(df: DataFrame, by: str, h: Column, per: int) -> DataFrame:
-    """A training sample: of each group of ``by`` the ``per`` rows with the smallest hash ``h``, numbered
-    from 1 in ``at``.
-
-    Groups are counted first (the ``MAX_GROUPS`` most frequent ones, a bounded broadcast). A row whose
-    hash, as a share of all hashes, lies far beyond ``per`` in its group's size cannot be chosen and
-    is left out where it is read, so a task sorts a few times ``per`` rows of a group, however many
-    the group has."""
-    d = df.withColumn("_u", F.shiftrightunsigned(h, 1).cast("double") / float(1 << 63))
-    sizes = d.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), by).limit(MAX_GROUPS)
-    near = d.join(F.broadcast(sizes), by).filter(F.col("_u") * F.col("_n") < 2 * per + 100)
-    ranked = near.withColumn("at", F.row_number().over(Window.partitionBy(by).orderBy("_u")))
-    return ranked.filter(F.col("at") <= per).drop("_u", "_n")
+    """A training sample: of each group of ``by`` the ``per`` smallest distinct hashes ``h``, one row each
+    (of rows that share group and hash the least value of every other column), numbered from 1 in ``at``.
+
+    Distinct hashes are first estimated per group, so that rows repeated under one id count once. A row whose
+    hash, as a share of all hashes, lies beyond twice ``per`` in its group's estimate is left out where it
+    is read (the estimate is good to a few percent), so a task sorts a few times ``per`` rows of a group, however
+    many the group has. Estimates of the ``MAX_GROUPS`` largest groups are broadcast; rows of smaller groups
+    are all kept for the sort."""
+    others = [c for c in df.columns if c != by]
+    d = df.withColumn("_h", h).withColumn("_u", F.shiftrightunsigned("_h", 1).cast("double") / float(1 << 63))
+    sizes = (d.groupBy(by).agg(F.approx_count_distinct("_h", 0.03).alias("_n"))
+             .orderBy(F.desc("_n"), by).limit(MAX_GROUPS))
+    near = d.join(F.broadcast(sizes), by, "left").filter(
+        F.coalesce(F.col("_u") * F.col("_n") < 2 * per + 100, F.lit(True)))
+    one = near.groupBy(by, "_h", "_u").agg(*[F.min(c).alias(c) for c in others])
+    ranked = one.withColumn("at", F.row_number().over(Window.partitionBy(by).orderBy("_u", "_h")))
+    return ranked.filter(F.col("at") <= per).drop("_u", "_h")
+
+
+def one_text_each(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, text`` of the given ids (a bounded table without repeats): of an id that repeats the least text."""
+    named = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return named.join(F.broadcast(ids), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))

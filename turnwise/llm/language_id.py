@@ -4,13 +4,16 @@ Bytes are embedded; filters of several widths slide over a window of fixed lengt
 each filter over the window goes through a rectifier to a softmax over the languages. A text is all
 its windows; their log probabilities are averaged, weighted by bytes, and normalised again.
 
-The network is fitted on a bounded sample of labelled rows: per language the ``PER_LANGUAGE`` rows
-with the smallest id hashes, ``TRAIN_ROWS`` rows in all, and of each row three excerpts of
-different lengths from places that the hash picks. Every text is then scored whole, in batches of
-windows, by the tasks.
+Filters move by ``STRIDE`` bytes. Windows do not overlap.
+
+The network is fitted on a bounded sample of labelled rows: per language the ``PER_LANGUAGE`` ids
+with the smallest hashes, ``TRAIN_ROWS`` in all (with more than ``TRAIN_ROWS`` languages those that sort
+first), and of each three excerpts of different lengths from places that the hash picks. Every text is
+then scored whole, in batches of windows, by the tasks.
 
 Edge cases: text that is null or has no letter is ``und`` with score 0; with no labelled row all
-texts are; ties of the softmax go to the language that sorts first; repeated rows get equal results
+texts are; ties of the softmax go to the language that sorts first; a null id counts as the empty string
+(held out); an id that repeats is drawn once for a language; repeated rows get equal results
 (scores up to the rounding of 32-bit sums);
 an empty table gives an empty result; columns beyond id, text and language are not read. A text is
 held whole by one task.
@@ -137,12 +140,11 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on labelled ``rows`` (those with a language and a letter); None if there are none."""
     small_batches(rows.sparkSession)
     d = rows.filter(F.col(lang_col).isNotNull() & has_letter(F.col(text_col)))
-    h = F.xxhash64(F.col(id_col))
     n = F.length(text_col)
     cut = [F.col(text_col).substr((F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.greatest(n - k, F.lit(1))) + 1)
                                   .cast("int"), F.lit(k)) for k in EXCERPTS]
-    d = d.select(F.col(lang_col).alias("lang"), h.alias("h"), F.array(*cut).alias("parts"))
-    sample = (smallest_hashes(d, "lang", F.col("h"), PER_LANGUAGE).orderBy("at", "lang").limit(TRAIN_ROWS)
+    d = d.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.array(*cut).alias("parts"))
+    sample = (smallest_hashes(d, "lang", F.xxhash64("id"), PER_LANGUAGE).orderBy("at", "lang").limit(TRAIN_ROWS)
               .select("lang", "parts").collect())
     if not sample:
         return None
@@ -189,6 +191,6 @@ def predict(df: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_c
 @register("op3_language_id")
 def op3_language_id(spark, sf_dir):
     d = documents(spark, sf_dir)
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     model = train(d.filter(~held_out))
     return predict(d, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -2,8 +2,8 @@
 
 1. A classifier (multinomial logistic regression on hashed words, numpy) is trained on a bounded
    sample of the labelled rows of the table it is given (labels of other documents, such as those that
-   earlier stages dropped, are left out first): of each domain the ``PER_DOMAIN`` rows with the
-   smallest id hashes. It gives every document a posterior over the domains; its intercepts are set
+   earlier stages dropped, are left out first): of each domain the ``PER_DOMAIN`` ids with the
+   smallest hashes, one text each. It gives every document a posterior over the domains; its intercepts are set
    back from the balanced sample to the shares among those labelled rows.
 2. With t_d the words of document d and p_dk its posteriors, the rates r_d solve the nonnegative least
    squares problem  min over r >= 0 of || sum_d r_d t_d p_d - target ||^2  by projected gradient from
@@ -24,7 +24,7 @@ the bounds do not allow is met as far as they go, with a warning that names the
 
 Edge cases: null text counts as empty, has no words and keeps rate 1; a target for a domain without
 labelled rows is left out and the other shares are scaled up; without any labelled row all rates are
-1; repeated rows get equal rates and draws; a document labelled twice counts once for each label;
+1; repeated rows get equal rates and draws; a document counts once for each different label, and an id that repeats is drawn once;
 extra columns are carried by ``apply_rates`` and not read otherwise; an empty table gives an empty
 result. A text is held whole by one task.
 """
@@ -40,7 +40,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import Spans, words
-from .common import documents, labels, materialize, row_slices, small_batches, smallest_hashes, text_buffer
+from .common import (documents, labels, materialize, one_text_each, row_slices, small_batches, smallest_hashes,
+                     text_buffer)
 from .registry import register
 
 BUCKETS = 1 << 15
@@ -91,11 +92,11 @@ def train(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on ``labelled`` (id, domain) joined to the texts of ``df``; None without a labelled text."""
     named = labelled.select(F.col(id_col).alias("id"), "domain").filter("id is not null and domain is not null")
     # sample and counts both describe df: ids alone meet, before any row is chosen
-    named = materialize(named.join(df.select(F.col(id_col).alias("id")), "id", "left_semi"))
+    named = materialize(named.join(df.select(F.col(id_col).alias("id")), "id", "left_semi").distinct())
     counts = {r["domain"]: r["count"] for r in named.groupBy("domain").count().collect()}
-    chosen = smallest_hashes(named, "domain", F.xxhash64("id"), PER_DOMAIN).drop("at")
-    sample = (df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-              .join(F.broadcast(chosen), "id").select("text", "domain"))
+    chosen = materialize(smallest_hashes(named, "domain", F.xxhash64("id"), PER_DOMAIN).select("id", "domain"))
+    texts = one_text_each(df, chosen.select("id").distinct(), id_col, text_col)
+    sample = texts.join(F.broadcast(chosen), "id").select("text", "domain")
 
     def run(batches):
         for batch in batches:

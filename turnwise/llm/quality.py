@@ -8,11 +8,12 @@
    posterior. No human label is used.
 3. The posteriors train a hashed linear scorer (logistic regression on byte pairs and on the classes
    of the text's statistics, hashed to ``BUCKETS`` buckets) on a bounded sample: of each of the two
-   sides the ``PER_SIDE`` rows with the smallest id hashes.
+   sides the ``PER_SIDE`` ids with the smallest hashes, one text each.
 4. The scorer scores every text; texts below ``THRESHOLD`` are rejected.
 
 Edge cases: a text that is null or has no word is rejected with score 0; texts of few words get few
-votes and lean on the scorer; repeated rows get equal results; with no row at all there is no model
+votes and lean on the scorer; repeated rows get equal results and an id is drawn once, however often
+it repeats; with no row at all there is no model
 and nothing to score; extra columns of any name are carried by the filter and not read by the
 scorer. A text is held whole by one task.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import Spans, mix, words
-from .common import documents, materialize, row_slices, small_batches, smallest_hashes, text_buffer
+from .common import documents, materialize, one_text_each, row_slices, small_batches, smallest_hashes, text_buffer
 from .registry import register
 
 BUCKETS, STEPS = 4096, 12
@@ -204,24 +205,20 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     spark = df.sparkSession
     table = F.broadcast(spark.createDataFrame(list(posterior.items()), "pattern bigint, good double"))
     sided = (votes.filter("n_words > 0").join(table, "pattern")
-             .select("id", "good", (F.col("good") >= 0.5).alias("side"), F.xxhash64("id").alias("h")))
-    chosen = smallest_hashes(sided, "side", F.col("h"), PER_SIDE)
-    sample = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-        F.broadcast(chosen.select("id", "good")), "id")
+             .select("id", (F.col("good") >= 0.5).alias("side")))
+    chosen = smallest_hashes(sided, "side", F.xxhash64("id"), PER_SIDE).select("id").distinct()
+    sample = one_text_each(df, chosen, id_col, text_col)
 
     def run(batches):
         for batch in batches:
-            y = batch.column(1).to_numpy()
-            at = 0
             for d, o, s, n in _sliced(batch.column(0)):
-                x = features(d, o, s)
-                for i in range(len(n)):
+                x, pattern = features(d, o, s), _pattern(labellers(s, n)).tolist()
+                for i in np.flatnonzero(n > 0).tolist():
                     hot = np.flatnonzero(x[i])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([y[at + i]]), pa.array([hot.astype("<i4").tobytes()]),
+                        [pa.array([posterior[pattern[i]]]), pa.array([hot.astype("<i4").tobytes()]),
                          pa.array([x[i][hot].astype("<f4").tobytes()])], ["good", "at", "value"])
-                at += len(n)
-    rows = sample.select("text", "good").mapInArrow(run, "good double, at binary, value binary").collect()
+    rows = sample.select("text").mapInArrow(run, "good double, at binary, value binary").collect()
     rows.sort(key=lambda r: (r["good"], bytes(r["at"]), bytes(r["value"])))
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for i, r in enumerate(rows):
