@@ -12,11 +12,16 @@ Fingerprints are 64-bit SimHashes of the XXH64 values (seed 42) of word shingles
   the other end as well, so each link meets at some anchor.
 * Per anchor the whole fingerprints are compared by their bit distance. Members already joined are
   taken out of the comparison, so a dense family costs about its size, and no list of pairs is
-  made: each task gives out a spanning forest of the links that it found. Very large anchors are
-  first divided by the four 16-bit blocks (3 bits cannot touch all four), which loses nothing.
+  made: each task gives out a spanning forest of the links that it found.
+* Members are counted per anchor before they are dealt. Those of an anchor with more than ``HOT_ANCHOR``
+  are dealt by the pieces of the other half: 3 bits cannot touch all four bytes of it, so both ends of a
+  link share one, and a hot anchor is spread over up to 1,024 groups. Within a task, groups of
+  more than ``WALK`` are divided likewise by every three of six pieces of a half. Neither loses a link.
 
 Equal fingerprints are one node from the start. Components come from large-star and small-star
 rounds, each written to the checkpoint folder; each node ends at the smallest node of its component.
+Joins on a node take nodes with more than 1 / ``HEAVY`` of all rows from a broadcast table (of fewer than
+``HEAVY`` rows) and shuffle the others.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; a text of fewer
 words than a shingle is one shingle; repeated rows share a node; a null id is never a component's id
@@ -26,19 +31,23 @@ read. A text is held whole by one task.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import broadcast_if_small
 from .common import documents, materialize, small_batches, text_buffer
 from .registry import register
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 HALF_BITS = 31
-BLOCK = 16
-SMALL_GROUP, LARGE_GROUP = 24, 20_000
+HOT_ANCHOR, HEAVY = 10_000, 1_000
+SMALL_GROUP, WALK = 24, 2_000
+PIECES = ((0, 6), (6, 6), (12, 5), (17, 5), (22, 5), (27, 5))  # of a half: first bit and width
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -109,23 +118,55 @@ def replicas(fps: DataFrame) -> DataFrame:
         "fp")
 
 
+def dealt_replicas(fps: DataFrame) -> DataFrame:
+    """``deal, fp``: the replicas by anchor; those of hot anchors once for each byte of the other half."""
+    each = replicas(fps)
+    hot = materialize(each.groupBy("anchor").count().filter(F.col("count") > HOT_ANCHOR).select("anchor"))
+    if hot.isEmpty():
+        return each.select(F.col("anchor").alias("deal"), "fp")
+    table, _ = broadcast_if_small(hot.withColumn("hot", F.lit(True)))
+    # an anchor of half 1 (the upper 32 bits) has bit HALF_BITS set: its members are dealt by the lower half
+    shift = F.when(F.shiftright("anchor", HALF_BITS) == 0, 32).otherwise(0)
+    other = F.shiftrightunsigned("fp", 32).bitwiseAND(F.lit((1 << 32) - 1))
+    other = F.when(shift == 32, other).otherwise(F.col("fp").bitwiseAND(F.lit((1 << 32) - 1)))
+    pieces = F.array(*[F.shiftrightunsigned(other, 8 * k).bitwiseAND(F.lit(255)) + (k << 8) for k in range(4)])
+    whole = F.array(F.lit(-1).cast("long"))
+    named = each.join(table, "anchor", "left").select(
+        "anchor", "fp", F.explode(F.when(F.col("hot"), pieces).otherwise(whole)).alias("piece"))
+    # two groups that share a hash are compared as one, which finds no false link
+    return named.select(F.xxhash64("anchor", "piece").alias("deal"), "fp")
+
+
+def join_heavy(left: DataFrame, right: DataFrame, on: str, weight: str, total: int) -> DataFrame:
+    """Inner join with ``right`` (one row per key, ``weight`` = rows of ``left`` with that key, ``total`` = rows of
+    ``left``): heavy keys from a broadcast table, the others by a shuffle. Both are read twice."""
+    heavy = F.col(weight) * HEAVY > total
+    values = [c for c in right.columns if c not in (on, weight)]
+    few = F.broadcast(right.filter(heavy).select(on, *values))
+    rest = left.join(few.select(on), on, "left_anti").join(right.filter(~heavy).select(on, *values), on)
+    return left.join(few, on).unionByName(rest)
+
+
 def _near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= bits
 
 
-def _group_links(fp: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that join what is within ``bits`` of each other, over any number of steps."""
-    if len(fp) > LARGE_GROUP and bits < 64 // BLOCK:
-        out = []
-        for k in range(0, 64, BLOCK):
-            part = (fp >> np.uint64(k)) & np.uint64((1 << BLOCK) - 1)
-            order = np.argsort(part, kind="stable")
-            edges = np.flatnonzero(np.diff(part[order])) + 1
-            for piece in np.split(fp[order], edges):
-                if len(piece) > 1:
-                    out += _walk(piece, bits)
-        return out
-    return _walk(fp, bits)
+def _group_links(fp: np.ndarray, bits: int, level: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that join what is within ``bits`` of each other, over any number of steps.
+
+    A large group is divided by three pieces of the half in which it differs most, then of the other half:
+    at most three of the six pieces hold differing bits, so the ends of a link are equal in some three."""
+    if len(fp) <= WALK or level == 2:
+        return _walk(fp, bits)
+    halves = [(fp >> np.uint64(32 * k)) & np.uint64(0xFFFFFFFF) for k in (0, 1)]
+    halves.sort(key=lambda h: -len(np.unique(h)))
+    half, out = halves[level], []
+    masks = [np.uint64(((1 << width) - 1) << at) for at, width in PIECES]
+    for three in combinations(masks, 3):
+        key = half & (three[0] | three[1] | three[2])
+        order = np.argsort(key, kind="stable")
+        out.append(anchor_links(key[order], fp[order], bits, level + 1))
+    return out
 
 
 def _walk(fp: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -144,7 +185,7 @@ def _walk(fp: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def anchor_links(anchor: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def anchor_links(anchor: np.ndarray, fp: np.ndarray, bits: int, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Links inside the groups of equal ``anchor`` (sorted)."""
     edges = np.flatnonzero(np.diff(anchor)) + 1
     start = np.concatenate(([0], edges))
@@ -161,7 +202,7 @@ def anchor_links(anchor: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndar
         k += 1
         live = live[room[live] > k]
     for i in np.flatnonzero(size > SMALL_GROUP):
-        for a, b in _group_links(fp[start[i]:start[i] + size[i]], bits):
+        for a, b in _group_links(fp[start[i]:start[i] + size[i]], bits, level):
             left.append(a)
             right.append(b)
     if not left:
@@ -197,11 +238,11 @@ def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """``a, b``: links that span the same components as all links at ``bits`` or fewer differing bits."""
     if not 0 <= bits <= MAX_BITS:
         raise ValueError(f"the covering holds for 0 to {MAX_BITS} bits")
-    dealt = replicas(fps).repartition("anchor").sortWithinPartitions("anchor")
+    dealt = dealt_replicas(fps).repartition("deal").sortWithinPartitions("deal")
 
     def run(batches):
         forest = Forest()
-        kept = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        kept = []  # the pieces of the last group, which may go on in the next batch
 
         def forest_links(anchor, fp):
             a, b = anchor_links(anchor, fp, bits)
@@ -212,15 +253,18 @@ def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(new[:, 0].copy()), pa.array(new[:, 1].copy())], ["a", "b"])
 
         for batch in batches:
-            anchor = np.concatenate([kept[0], batch.column(0).to_numpy()])
-            fp = np.concatenate([kept[1], batch.column(1).to_numpy().view(np.uint64)])
-            if not len(anchor):
+            deal, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            if not len(deal):
+                continue
+            if kept and deal[-1] == kept[0][0][0]:
+                kept.append((deal, fp))
                 continue
-            done = int(np.searchsorted(anchor, anchor[-1]))  # the last group may go on in the next batch
-            if done and (out := forest_links(anchor[:done], fp[:done])) is not None:
+            last = int(np.searchsorted(deal, deal[-1]))
+            kept.append((deal[:last], fp[:last]))
+            if (out := forest_links(*(np.concatenate(x) for x in zip(*kept)))) is not None:
                 yield out
-            kept = (anchor[done:], fp[done:])
-        if len(kept[0]) and (out := forest_links(*kept)) is not None:
+            kept = [(deal[last:], fp[last:])]
+        if kept and (out := forest_links(*(np.concatenate(x) for x in zip(*kept)))) is not None:
             yield out
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
@@ -236,8 +280,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")))
+        up = both.filter("v > u")
+        large = join_heavy(up, low, "u", "n", 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
@@ -249,13 +294,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     shingle: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
     """One row per row of ``df``: id, ``fp``, ``component_id`` (smallest id reachable over links)."""
     docs = materialize(fingerprints(df, id_col, text_col, shingle))
-    nodes = materialize(docs.groupBy("fp").agg(F.min("id").alias("first_id")))
+    nodes = materialize(docs.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")))
     roots = components(links(nodes.select("fp"), bits))
     linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "first_id")
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = linked.join(smallest, "root").select("fp", "component_id")
-    every = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return docs.join(every, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    every = materialize(nodes.join(named, "fp", "left").select(
+        "fp", "n", F.coalesce("component_id", "first_id").alias("component_id")))
+    return join_heavy(docs, every, "fp", "n", docs.count()).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
