@@ -5,10 +5,12 @@ content-addressed: the blob id is the SHA-256 of its UTF-8 bytes. The ledger is
 one row per scanned (blob, rule, rule version), holding the spans found (often none). A scan
 
 1. digests every path (written once, ids and digests only),
-2. keeps one text per blob (a map-side combined aggregate, so a blob with a third of the paths
-   leaves each task once),
-3. takes away the (blob, rule, version) triples that the ledger has already,
-4. scans what is left and appends it to the ledger in one write,
+2. asks the ledger with the distinct blob ids: what is left are the (blob, rule) pairs whose rule version
+   it has not seen, written,
+3. fetches the texts of those blobs alone. If the ids left fit a broadcast they are met where the texts are
+   read, so no text of a blob that the ledger knows is shuffled; beyond it they meet in a shuffle. One text per
+   blob is kept (a map-side combined aggregate, so a blob with a third of the paths leaves each task once),
+4. scans them and appends the rows to the ledger in one write,
 5. joins the spans back to all paths by blob.
 
 Span positions come from Spark's own functions: ``split`` gives the text between matches and
@@ -33,6 +35,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import broadcast_if_small
 from ..session import ensure_checkpoint_dir
 from .common import documents, materialize
 from .registry import register
@@ -107,19 +110,29 @@ class BlobLedger:
     def rows(self) -> DataFrame:
         return self.spark.read.schema(LEDGER_SCHEMA).parquet(self.path)
 
-    def scan(self, texts: DataFrame, rules=RULES) -> DataFrame:
-        """Scan the blobs among ``texts`` (blob, text) that some rule version has not seen; append; return them."""
+    def unseen(self, blobs: DataFrame, rules=RULES) -> DataFrame:
+        """``blob, todo``: of the distinct ``blobs`` those with rules whose version the ledger has not, and these rules."""
         wanted = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
-        blobs = texts.groupBy("blob").agg(F.first("text").alias("text"))
+        none = F.array().cast("array<struct<rule:string,version:int>>")
         seen = (self.rows().select("blob", F.struct("rule", "version").alias("r"))
                 .groupBy("blob").agg(F.collect_set("r").alias("seen")))
+        left = blobs.select("blob").distinct().join(seen, "blob", "left").select(
+            "blob", F.array_except(wanted, F.coalesce("seen", none)).alias("left"))
+        return left.filter(F.size("left") > 0).select("blob", F.transform("left", lambda x: x["rule"]).alias("todo"))
+
+    def pending(self, texts: DataFrame, blobs: DataFrame, rules=RULES) -> DataFrame:
+        """``blob, text, todo``: one text for each unseen blob among ``texts`` (blob, text)."""
+        first = lambda d: d.groupBy("blob").agg(F.first("text").alias("text"))
         if self.rows().isEmpty():
-            todo = blobs.withColumn("todo", F.lit([r.name for r in rules]))
-        else:
-            left = F.array_except(wanted, F.coalesce("seen", F.array().cast("array<struct<rule:string,version:int>>")))
-            todo = (blobs.join(seen, "blob", "left").withColumn("left", left).filter(F.size("left") > 0)
-                    .select("blob", "text", F.transform("left", lambda x: x["rule"]).alias("todo")))
-        fresh = materialize(scan_blobs(todo, rules))
+            return first(texts).withColumn("todo", F.lit([r.name for r in rules]))
+        todo = materialize(self.unseen(blobs, rules))
+        ids, small = broadcast_if_small(todo.select("blob"))
+        return first(texts.join(ids, "blob", "left_semi") if small else texts).join(todo, "blob")
+
+    def scan(self, texts: DataFrame, rules=RULES, blobs: DataFrame | None = None) -> DataFrame:
+        """Scan the blobs among ``texts`` (blob, text) that some rule version has not seen; append; return them.
+        ``blobs`` are their ids, if they lie written already."""
+        fresh = materialize(scan_blobs(self.pending(texts, texts if blobs is None else blobs, rules), rules))
         fresh.write.mode("append").parquet(self.path)
         return fresh
 
@@ -146,7 +159,7 @@ def scan_paths(df: DataFrame, ledger: BlobLedger, rules=RULES, id_col: str = "do
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = df.select(F.col(id_col), text.alias("text")).withColumn("blob", blob_id(F.col("text")))
     paths = materialize(d.select(id_col, "blob"))
-    ledger.scan(d.select("blob", "text"), rules)
+    ledger.scan(d.select("blob", "text"), rules, paths)
     found = report(ledger.findings(rules), rules)
     # only blobs with findings join; AQE splits a blob with very many paths
     return paths.join(found, "blob", "left").select(
