@@ -202,7 +202,8 @@ def test_ppm_equals_a_plain_model(spark, order, monkeypatch):
     rows += [(100 + i, " ".join(random.Random(i).choices(["the", "cat", "sat", "Ünder"], k=i))) for i in range(40)]
     rows += [rows[3], (None, "unseen ~~ words"), (None, None)]
     d = spark.createDataFrame([(i, t, 0.5, 1) for i, t in rows], "doc_id bigint, text string, score double, `Key` int")
-    _same_scores(ppm.score(d.repartition(3), order=order).collect(), slow_ppm(rows, order))
+    for head in (ppm.HEAD, 40, 0):  # all, some and none of the pairs are broadcast
+        _same_scores(ppm.score(d.repartition(3), order=order, head=head).collect(), slow_ppm(rows, order))
 
 
 def test_ppm_awkward_table(spark):
@@ -221,7 +222,7 @@ def test_ppm_probabilities_of_a_context_sum_to_one(spark):
     """All 257 symbols after one context, most of them never seen there."""
     text = "abracadabra abrupt cadaver"
     d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
-    seen = {r["key"]: r["n"] for r in ppm.wanted(ppm.blocks(d), 2).filter("kind = 1").collect()}
+    seen = {r["key"]: r["n"] for r in ppm.wanted(ppm.blocks(d), 2).filter("key >= 0").collect()}
     for context in (b"ab", b"ra", b"zz", b" a"):
         head = (context[0] << 18) | (context[1] << 9)
         table = dict(seen) | {head | x: seen.get(head | x, 0) for x in range(257)}

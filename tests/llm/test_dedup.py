@@ -122,11 +122,47 @@ def test_large_anchor_is_divided_without_loss(monkeypatch):
                 forest.join(x, y)
         return [forest.root(x) for x in fps.tolist()]
     plain = partition()
-    monkeypatch.setattr(simhash, "LARGE_GROUP", 10)
+    monkeypatch.setattr(simhash, "WALK", 10)
     assert partition() == plain
     assert plain == slow_components(fps.tolist(), fps.tolist())
 
 
+def _clustered(rng, n, near):
+    """``n`` fingerprints that share their lower half up to a bit; the first ``near`` of them in chains of links."""
+    fps = {rng.getrandbits(32) << 32 | 0x1234567 for _ in range(n - 3 * near)}
+    for x in sorted(fps)[:near]:
+        for _ in range(3):
+            for b in rng.sample(range(64) if rng.random() < 0.5 else range(32, 64), rng.choice([1, 2, 3, 4])):
+                x ^= 1 << b
+            fps.add(x)
+    return np.array(sorted(fps), np.uint64)
+
+
+def test_hot_anchors_are_dealt_without_loss(spark, monkeypatch):
+    fps = _clustered(random.Random(8), 1500, 200)
+    df = spark.createDataFrame([(x,) for x in fps.view(np.int64).tolist()], "fp bigint")
+    monkeypatch.setattr(simhash, "HOT_ANCHOR", 100)
+    monkeypatch.setattr(simhash, "WALK", 20)
+    monkeypatch.setattr(simhash, "HEAVY", 20)
+    assert simhash.dealt_replicas(df).count() > simhash.replicas(df).count()
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df)).collect()}
+    signed = fps.view(np.int64).tolist()
+    assert [roots.get(x, x) for x in signed] == slow_components(signed, fps.tolist())
+
+
+def test_very_hot_half_is_many_tasks(spark):
+    """200,000 fingerprints that share a half: no group comes near that, and links equal brute force on a part."""
+    rng = random.Random(4)
+    fps = _clustered(rng, 200_000, 500)
+    df = spark.createDataFrame([(x,) for x in fps.view(np.int64).tolist()], "fp bigint").repartition(8)
+    largest = simhash.dealt_replicas(df).groupBy("deal").count().agg({"count": "max"}).head()[0]
+    assert largest < len(fps) / 50
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df)).collect()}
+    for x in [*fps[:150], *fps[rng.randrange(len(fps)):][:150]]:
+        near = fps[np.bitwise_count(fps ^ x) <= 3].view(np.int64).tolist()
+        assert len({roots.get(y, y) for y in near}) == 1
+
+
 def test_every_word_has_its_anchors_within_two_bits(spark):
     masks = simhash._flip_masks()
     assert all(len(m) == (16 if s else 1) and max(x.bit_count() for x in m) <= 2 for s, m in enumerate(masks))

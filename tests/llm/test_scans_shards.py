@@ -62,6 +62,27 @@ def test_ledger_scans_only_unseen_blobs_and_rule_versions(spark, tmp_path):
     assert out == {k: slow_spans(t) for k, t in first + later}
 
 
+def test_second_scan_moves_no_text(spark, tmp_path):
+    """Of two versions, the second scan asks the ledger first: the texts of known blobs meet no shuffle."""
+    folder = f"{tmp_path}/docs"
+    spark.createDataFrame([(f"a{i}@1", f"text {i % 50}") for i in range(300)], "doc_id string, text string").write.parquet(folder)
+    d = spark.read.parquet(folder)
+    ledger = _ledger(spark, tmp_path)
+    secret_scan.scan_paths(d, ledger).collect()
+    both = d.unionByName(spark.createDataFrame([("a0@2", "token=abcdefgh9")], "doc_id string, text string"))
+    texts = both.withColumn("blob", secret_scan.blob_id(F.col("text")))
+    fetch = ledger.pending(texts.select("blob", "text"), texts.select("blob"))
+    assert fetch.select("text").collect()[0]["text"] == "token=abcdefgh9" and fetch.count() == 1
+    plan = fetch._jdf.queryExecution().optimizedPlan().toString()
+    # below the aggregate that keeps one text per blob, a broadcast semi-join lets unseen blobs pass alone
+    aggregate = plan[plan.index("first(text"):]
+    assert "LeftSemi" in aggregate and "rightHint=(strategy=broadcast)" in aggregate
+    n = ledger.rows().count()
+    assert ledger.scan(texts.select("blob", "text")).count() == 3 and ledger.rows().count() == n + 3
+    out = {r["doc_id"]: r["spans"] for r in secret_scan.scan_paths(both, ledger).collect()}
+    assert out["a0@2"] == "assign:0:15" and len(out) == 301
+
+
 def slow_canonical(text):
     t = re.sub(license_scan.COPYRIGHT_LINE, "", (text or "").lower())
     for pattern, instead in license_scan.SPELLINGS:

@@ -37,6 +37,19 @@ def test_bpe_on_weird_texts(spark, tokenizer):
     _same_as_library(spark, tokenizer, WEIRD + [None] + [r[1] for r in edge_rows()])
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", " \n\t", "\xa0", "a", "7", "!", "漢"])
+def test_bpe_of_runs_of_two_million_characters(tokenizer, unit):
+    c = bpe_codec.codec(bpe_codec.default_vocabulary())
+    run = (unit * 2_000_000)[:2_000_000]
+    for text in ("a b" + run + "x", "a" + run + "<|endoftext|>" + run[:20_000]):
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.array_equal(np.frombuffer(c.ids(text.encode()), "<u4"), want)
+
+
+def test_bpe_of_long_runs_in_documents(spark, tokenizer):
+    _same_as_library(spark, tokenizer, [" " * 1_200_000 + "x", sentence(1, 50) + "\n" * 30_000, "\t" * 10_000 + " 's"])
+
+
 def test_bpe_with_shared_passages(spark, tokenizer):
     rng = random.Random(4)
     shared = [sentence(s, 400) for s in range(4)] + ["x" * 2500, "<|endoftext|>" * 150, ("né  " * 700)]
@@ -98,6 +111,136 @@ def test_language_gradients_and_windows():
     assert bytes(w[5][:88]) == b"y" * 88 and not w[5][88:].any()
 
 
+def test_network_against_plain_loops():
+    """Every filter at every place of a window, one multiplication at a time."""
+    model = language_id.ByteCNN(["a", "b", "c"], seed=3)
+    texts = [b"Der Hund", b"", b"x" * 300, "é漢字 text".encode()]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    x, _, _ = language_id.windows(data, off)
+    w, got = model.weights, model.log_probabilities(x)
+    for window, row in zip(x, got):
+        hidden = []
+        for f in range(len(w["filter_bias"])):
+            width = language_id.WIDTHS[f // language_id.FILTERS]
+            best = max(sum(float(w["embedding"][window[at + k], e] * w["filters"][k * language_id.EMBEDDING + e, f])
+                           for k in range(width) for e in range(language_id.EMBEDDING))
+                       for at in range(0, language_id.WINDOW - max(language_id.WIDTHS) + 1, language_id.STRIDE))
+            hidden.append(max(0.0, best + float(w["filter_bias"][f])))
+        z = [sum(h * float(w["dense"][i, c]) for i, h in enumerate(hidden)) + float(w["dense_bias"][c]) for c in range(3)]
+        whole = np.log(sum(np.exp(z)))
+        assert np.allclose(row, [v - whole for v in z], atol=1e-4)
+
+
+def test_language_scores_of_texts_are_means_over_windows(spark):
+    model = language_id.ByteCNN(["a", "b"], seed=5)
+    texts = ["short é", sentence(1, 200), "x" * 256]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in language_id.predict(d, model).collect():
+        raw = texts[r["doc_id"]].encode()
+        total = np.zeros(2)
+        for i in range(0, len(raw), language_id.WINDOW):
+            part = raw[i:i + language_id.WINDOW]
+            total += model.log_probabilities(np.frombuffer(part.ljust(language_id.WINDOW, b"\0"), np.uint8)[None])[0] * len(part)
+        p = np.exp(total / len(raw)) / np.exp(total / len(raw)).sum()
+        assert r["lang_pred"] == model.languages[int(p.argmax())] and abs(r["score"] - p.max()) < 1e-4
+
+
+def test_one_id_repeated_many_times(spark, monkeypatch):
+    """Languages, sides and domains whose rows mostly share an id are learnt, from bounded samples."""
+    german = "der Hund läuft über die Straße und die Katze schläft"
+    rows = [(i, sentence(i, 40), "en") for i in range(600)] + [(9999, german, "de")] * 5000
+    rows += [(None, german + " heute", "de")] * 50
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    model = language_id.train(d)
+    assert model.languages == ["de", "en"]
+    pred = language_id.predict(spark.createDataFrame([(1, german), (2, sentence(5000, 40))], "doc_id bigint, text string"), model)
+    assert {r["doc_id"]: r["lang_pred"] for r in pred.collect()} == {1: "de", 2: "en"}
+    junk = "$$$$ #### ==== @@@@ ~~~~ ||||"
+    rows = [(i, sentence(i, 60)) for i in range(300)] + [(9999, junk)] * 5000 + [(9998, sentence(1, 60)), (9998, junk)] * 400
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    sizes = []
+    fit = quality.Scorer.fit
+    monkeypatch.setattr(quality.Scorer, "fit", lambda self, x, y: sizes.append(len(x)) or fit(self, x, y))
+    model = quality.train(d)
+    assert sizes[0] <= 302
+    kept = {(r["doc_id"], r["kept"]) for r in quality.score(d, model).filter("doc_id in (5, 9999)").collect()}
+    assert kept == {(5, True), (9999, False)}
+    named = spark.createDataFrame([(i, "clean") for i in range(300)] + [(9999, "junk")] * 300 + [(9998, "clean")] * 300,
+                                  "doc_id bigint, domain string")
+    seen = []
+    fit_words = mixing._fit
+    monkeypatch.setattr(mixing, "_fit", lambda x, y, k: seen.append(len(x)) or fit_words(x, y, k))
+    assert mixing.train(d, named).domains == ["clean", "junk"] and seen == [302]
+
+
+def test_samples_of_groups_beyond_the_broadcast(spark, monkeypatch):
+    from turnwise.llm import common
+    monkeypatch.setattr(common, "MAX_GROUPS", 2)
+    d = spark.createDataFrame([(i, i % 5, f"t{i}") for i in range(1000)] * 2, "id bigint, g int, t string")
+    got = common.smallest_hashes(d, "g", F.xxhash64("id"), 7).collect()
+    want = {}
+    for i, h in sorted(d.select("id", F.shiftrightunsigned(F.xxhash64("id"), 1).alias("h")).distinct().collect(), key=lambda r: r["h"]):
+        want.setdefault(i % 5, []).append(i)
+    assert {(r["g"], r["id"], r["at"]) for r in got} == {(g, i, k + 1) for g, ids in want.items() for k, i in enumerate(ids[:7])}
+
+
+def slow_quality(texts):
+    """Votes, EM over single rows and features by plain loops: posteriors and feature rows."""
+    good_rate = lambda x, n: x / max(n, 1)
+    votes, feats = [], []
+    for t in texts:
+        raw = t.encode()
+        ws = raw.split()
+        letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+        inked, n = sum(map(len, ws)), len(ws)
+        s = [good_rate(sum(chr(b) in "#$%&*+/<=>@[\\]^_`{|}~" for b in raw), inked),
+             good_rate(sum(map(letter, raw)), inked), good_rate(sum(a == b for a, b in zip(ws, ws[1:])), n),
+             len(set(ws)) / max(n, 1) ** 0.5, good_rate(sum(w[-1:] in (b".", b"!", b"?") for w in ws), n),
+             good_rate(sum(not any(map(letter, w)) for w in ws), n), good_rate(sum(len(w) <= 3 for w in ws), n),
+             good_rate(inked, n)]
+        some, many = n >= 5, n >= 15
+        rules = [(some and s[0] < 0.02, some and s[0] > 0.08), (some and s[1] > 0.90, some and s[1] < 0.80),
+                 (many and s[2] < 0.04, many and s[2] > 0.20), (many and s[3] > 2.2, many and s[3] < 1.8),
+                 (many and 0.02 < s[4] < 0.4, many and s[4] < 0.01), (some and s[5] < 0.05, some and s[5] > 0.20),
+                 (many and s[6] > 0.15 and s[7] < 12, many and (s[6] < 0.03 or s[7] > 25))]
+        votes.append([2 if bad else 1 if good else 0 for good, bad in rules])
+        f = np.zeros(quality.BUCKETS)
+        for a, b in zip(raw, raw[1:]):
+            f[((a << 8 | b) * 0x9E3779B1 % 2**32) >> 20] += 20 / len(raw)
+        for k, (x, scale) in enumerate(zip(s, [0.02, 0.03, 0.05, 0.4, 0.03, 0.05, 0.08, 2.0])):
+            name = bytehash.mix(np.array([k * 1000 + int(min(x / scale, quality.STEPS - 1))], np.uint64))
+            f[int(name[0] % np.uint64(quality.BUCKETS))] += 0.5
+        feats.append(f)
+    up = [(v.count(1), v.count(2)) for v in votes]
+    good = [(a + 1) / (a + 2 * b + 2) if a + b else 0.5 for a, b in up]
+    for _ in range(quality.EM_ROUNDS):
+        weigh = [[(1 - g), g] for g in good]
+        mass = [sum(w[c] for w, (a, b) in zip(weigh, up) if a + b) for c in (0, 1)]
+        prior = [(m + 1) / (sum(mass) + 2) for m in mass]
+        rate = []
+        for j in range(7):
+            each = [[sum(w[c] for w, v in zip(weigh, votes) if v[j] == x) + 0.5 for x in (1, 2)] for c in (0, 1)]
+            rate.append([[1.0, *(y / sum(z) for y in z)] for z in each])
+        odds = []
+        for v in votes:
+            l0, l1 = (np.log(prior[c]) + sum(np.log(rate[j][c][v[j]]) for j in range(7)) for c in (0, 1))
+            odds.append(1 / (1 + np.exp(np.clip(l0 - l1, -500, 500))))
+        good = odds
+    return good, feats
+
+
+def test_quality_against_plain_loops(spark):
+    d = documents(spark, SF_SMALL).filter("length(text) < 4000")
+    rows = {r["doc_id"]: r["text"] for r in d.collect() if (r["text"] or "").split()}
+    model = quality.train(d)
+    got = {r["doc_id"]: r for r in quality.score(d, model).collect()}
+    good, feats = slow_quality(list(rows.values()))
+    for i, g, f in zip(rows, good, feats):
+        assert got[i]["weak_label"] == pytest.approx(g, abs=1e-9)
+        z = float(sum(a * b for a, b in zip(f, model[0].w.tolist()) if a)) + model[0].b
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -60, 60))), abs=1e-3)
+
+
 def test_quality_keeps_clean_and_rejects_junk(spark):
     d = documents(spark, SF_CHECK)
     rows = quality.score(d, quality.train(d)).join(labels(spark, SF_CHECK), "doc_id").collect()
@@ -275,7 +418,7 @@ def test_pipeline_against_its_stages_one_by_one(spark, tokenizer):
     stay = [i for i, c in zip(one, groups) if i == c]
     kept = docs.filter(F.col("doc_id").isin(stay))
     named = labels(spark, SF_CHECK).select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
-    _, steps, member = mixing.plan(kept, named)
+    _, steps, member = mixing.plan(kept, named.filter("domain <> 'junk'"), corpus_pipeline.TARGETS)
     taken = sorted(r["doc_id"] for r in mixing.with_rates(member, steps).collect() if r["copies"])
     assert sorted(got) == taken
     for i in taken:
