@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from turnwise.llm import bpe_codec, exact_dedup, mixing, quality, simhash
 from turnwise.llm.common import documents, labels, materialize
 
+#: Shares of words by domain of ``labels`` after mixing.
+TARGETS = {"clean": 0.98, "toxic": 0.02}
+
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; it learns from the votes on ``docs``."""
@@ -30,10 +33,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are taken at the rates that bring the domains of ``labels`` to their target shares."""
+    """Documents are taken at the rates that bring the domains of ``TARGETS`` to their shares. Junk is no domain
+    here: the first stage has rejected it, and copies of what is left of it would undo the dedup stages."""
     named = labels(spark, sf_dir).select(
-        "doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
-    model, steps, _ = mixing.plan(docs, named)
+        "doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain")).filter(F.col("domain").isin(*TARGETS))
+    model, steps, _ = mixing.plan(docs, named, TARGETS)
     return mixing.apply_rates(docs, model, steps)
 
 
