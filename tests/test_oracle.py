@@ -40,7 +40,7 @@ def duck():
 
 def test_every_query_has_oracle_or_is_rows_only():
     rows_only = set(registry.queries()) - set(SQL)
-    assert rows_only == set()
+    assert rows_only == {"knn_approx"}  # approximate: recall is tested in test_ivf
 
 
 @pytest.mark.parametrize("key", sorted(SQL))

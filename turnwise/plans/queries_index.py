@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators import context as ctx
+from ..operators import ivf as IVF
 from ..operators import knn as KN
 from ..operators import sampling as SMP
 from ..sources import fixtures as FX
@@ -91,6 +92,16 @@ def q_fewshot_examples(spark, d):
     return KN.examples_text(_knn(spark, d), e, "vec_id", "nn_vec_id", ["label"])
 
 
+@register("knn_approx")
+def q_knn_approx(spark, d):
+    """The same queries over an index of inverted lists, with as many probes as a sample needs for its recall."""
+    e = FX.table(spark, d, "embeddings")
+    index = IVF.build_index(e, IVF.train_centroids(e))
+    probes = IVF.probes_for(e, index, K)
+    found = IVF.search(e.filter("vec_id % 20 = 0"), index, K, probes, exclude_self=True)
+    return found.select("vec_id", "rank", "nn_vec_id", F.round("dist", 6).alias("dist"))
+
+
 # ----------------------------------------------------------------------------- goal texts
 
 def _goal_desc(spark, d):
