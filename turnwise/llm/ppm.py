@@ -14,16 +14,18 @@ own symbols do not change the counts. A symbol's probability:
 All symbols of a context are symbols of its shorter ones, so what is excluded depends on the longer
 context alone, and one number per (context, symbol) holds the whole chain. How it runs:
 
-1. Texts are dealt into blocks of about ``BLOCK_BYTES``, written once. Each block gives out its distinct
+1. Texts are dealt into blocks of at most ``BLOCK_BYTES``, written once. Each block gives out its distinct
    (context, symbol) pairs and its distinct words, with their counts in training texts.
 2. Counts are added up per pair; shorter contexts follow from longer ones by dropping the oldest symbol.
    From the empty context upward, each order takes counts and escape sums from the order below by a
    join, so the trie is a set of tables that grow with the corpus and no task holds it whole.
-3. The values of a block's pairs and words come back by a join; the block and its values meet in one
-   cogroup, where numpy looks up every position. Nothing is broadcast.
+3. The pairs that most blocks ask for, at most ``HEAD``, are broadcast. The values of a block's other pairs and
+   of its words come back to it by a join; the block and its values meet in one cogroup, where numpy
+   looks up every position.
 
-The base score takes the words' training counts the same way. Words and pairs are told apart by 64 bits:
-pairs exactly, words by a digest (two of a billion words share one with a chance of 3 %).
+The base score takes the words' training counts the same way, by a sum over each word's blocks. Pairs are
+told apart exactly by non-negative 64-bit keys, words by digests of 63 bits in negative keys (two of a billion
+words share one with a chance of 5 %).
 
 Edge cases: null text counts as empty, which has the end symbol and one token; a null id counts as the
 empty string (held out); repeated rows count and are scored each; without a training text all symbols
@@ -33,6 +35,8 @@ text are not read. A text is held whole by one task; a block holds at least one
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -40,16 +44,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytehash import Spans, words
+from ..operators.joins import planned_bytes
+from ..session import ensure_checkpoint_dir
 from .common import documents, materialize, row_slices, small_batches, text_buffer
 from .registry import register
 
-ORDER = 4
-BLOCK_BYTES = 8 << 20
+ORDER = 5
+BLOCK_BYTES, TASK_BYTES = 40 << 20, 24 << 20
 SLICE = 1 << 20
+HEAD = 500_000
 SYMBOLS, START, END = 257, 256, 256   # the start only stands in contexts, the end only after them
 BITS = 9
-WORD, PAIR = 0, 1
-END_WORD = 0
+END_WORD = -1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -76,17 +82,29 @@ def pairs(data: np.ndarray, off: np.ndarray, order: int = ORDER) -> tuple[np.nda
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Digest of every word, and each row's first word."""
+    """Key of every word, and each row's first word."""
     start, end, first = words(data, off)
     digest = Spans(data).digest(start, end).view(np.int64) if len(start) else np.zeros(0, np.int64)
-    digest[digest == END_WORD] = 1  # the digest of the end token is its own
-    return digest, first
+    key = digest | np.int64(-1 << 63)
+    key[key == END_WORD] = END_WORD - 1  # the end token's key is its own
+    return key, first
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """``materialize`` with more compression, for the large tables of a run."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/ppm-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``block, id, text, held_out`` of all rows, written; a block is a run of rows of one task."""
+    """``block, id, text, held_out`` of all rows, written; a block is a run of rows of one task. Scan tasks of
+    less than ``TASK_BYTES`` are put together, as few large blocks ask for fewer values than many small ones."""
     kind = df.schema[id_col].dataType.simpleString()
     out = held_out(F.col(id_col))
+    size = planned_bytes(df)
+    df = df.select(id_col, text_col)
+    df = df.coalesce(max(1, min(df.rdd.getNumPartitions(), -(-size // TASK_BYTES))))
 
     def run(batches):
         block, held = TaskContext.get().partitionId() << 31, 0
@@ -99,7 +117,7 @@ def blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 held += int(off[j] - off[i])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, block)), *rows.columns],
                                                  ["block", "id", "text", "held_out"])
-    return materialize(df.select(F.col(id_col), F.col(text_col), out.alias("held_out")).mapInArrow(
+    return _written(df.withColumn("_held_out", out).mapInArrow(
         run, f"block bigint, id {kind}, text string, held_out boolean"))
 
 
@@ -107,31 +125,40 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their counts."""
-    key, n = (np.concatenate(x) for x in zip(*parts))
-    each, place = np.unique(key, return_inverse=True)
-    return each, np.bincount(place, n, len(each)).astype(np.int64)
+class _Counts:
+    """Distinct keys and the sums of their counts, gathered piece by piece."""
 
+    def __init__(self):
+        self.parts, self.held, self.most = [], 0, SLICE
 
-def _counted(key: np.ndarray, trained: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    a, n = np.unique(key[trained], return_counts=True)
-    b = np.unique(key[~trained])
-    return [(a, n), (b, np.zeros(len(b), np.int64))]
+    def add(self, key: np.ndarray, trained: np.ndarray) -> None:
+        each, n = np.unique(key[trained], return_counts=True)
+        other = np.unique(key[~trained])
+        self.parts += [(each, n), (other, np.zeros(len(other), np.int64))]
+        self.held += len(each) + len(other)
+        if self.held > self.most:
+            self.parts = [self.total()]
+            self.held = len(self.parts[0][0])
+            self.most = max(SLICE, 2 * self.held)
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        key, n = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.zeros(0, np.int64)
+        return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def wanted(dealt: DataFrame, order: int = ORDER) -> DataFrame:
-    """``block, kind, key, n``: the distinct pairs and words of each block, and how often training texts have them.
+    """``block, key, n``: the distinct pairs and words of each block, and how often training texts have them.
     A block that is read in several pieces has several rows for a key."""
     def give(block, found):
-        for kind, parts in found.items():
-            key, n = _distinct(parts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(key), block)), pa.array(np.full(len(key), kind, np.int8)), pa.array(key),
-                 pa.array(n)], ["block", "kind", "key", "n"])
+        key, n = found.total()
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block)), pa.array(key), pa.array(n)],
+                                         ["block", "key", "n"])
 
     def run(batches):
-        block, found = None, {}
+        block, found = None, None
         for batch in batches:
             which = batch.column(0).to_numpy()
             edges = np.flatnonzero(np.diff(which)) + 1
@@ -141,22 +168,18 @@ def wanted(dealt: DataFrame, order: int = ORDER) -> DataFrame:
                 if which[i] != block:
                     if found:
                         yield from give(block, found)
-                    block, found = int(which[i]), {WORD: [], PAIR: []}
+                    block, found = int(which[i]), _Counts()
                 part = batch.slice(i, j - i)
                 data, off = _lowered(part.column(1))
                 learn = ~np.asarray(part.column(2).to_numpy(zero_copy_only=False), bool)
                 for a, b in row_slices(off, SLICE):
                     d, o, y = data[off[a]:off[b]], off[a:b + 1] - off[a], learn[a:b]
-                    for kind, (key, first) in ((WORD, tokens(d, o)), (PAIR, pairs(d, o, order))):
-                        found[kind] += _counted(key, np.repeat(y, np.diff(first)))
-                    found[WORD].append((np.full(1, END_WORD), np.full(1, int(y.sum()))))
-                    for kind in found:
-                        if sum(len(x) for x, _ in found[kind]) > SLICE:
-                            found[kind] = [_distinct(found[kind])]
+                    for key, first in (tokens(d, o), pairs(d, o, order)):
+                        found.add(key, np.repeat(y, np.diff(first)))
+                    found.add(np.full(b - a, END_WORD), y)
         if found:
             yield from give(block, found)
-    return materialize(dealt.select("block", "text", "held_out").mapInArrow(
-        run, "block bigint, kind tinyint, key bigint, n bigint"))
+    return _written(dealt.select("block", "text", "held_out").mapInArrow(run, "block bigint, key bigint, n bigint"))
 
 
 def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -233,35 +256,54 @@ def _sums(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+def most_asked(counts: DataFrame, head: int) -> DataFrame:
+    """``key`` of the pairs that most blocks ask for: as many whole levels of ``asked`` as fit ``head`` rows."""
+    levels = counts.filter("asked > 1").groupBy("asked").count()
+    upto = F.sum("count").over(Window.orderBy(F.desc("asked")))  # one row per number of blocks
+    least = levels.withColumn("upto", upto).filter(F.col("upto") <= head).agg(F.min("asked")).head()[0]
+    return counts.filter(F.col("asked") >= least if least else F.lit(False)).select("key")
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
+          head: int = HEAD) -> DataFrame:
     """One row per row of ``df``: id, ``held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Learns from the rows that are not held out (``held_out``) and scores all."""
     if not 0 <= order <= 6:
         raise ValueError("a context and its symbol fit 64 bits up to order 6")
-    small_batches(df.sparkSession)
+    spark = df.sparkSession
+    small_batches(spark)
     kind = df.schema[id_col].dataType.simpleString()
     dealt = blocks(df, id_col, text_col)
     want = wanted(dealt, order)
-    counts = materialize(want.groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    known = counts.filter((F.col("kind") == WORD) & (F.col("n") > 0))
-    n_all, distinct = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).head()
-    lengths = code_lengths(counts.filter(F.col("kind") == PAIR), order)
-    values = (counts.filter(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("value"))
-              .unionByName(lengths.select(F.lit(PAIR).cast("tinyint").alias("kind"), "key", "value")))
-    answers = want.select("block", "kind", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
+    is_word = F.col("key") < 0
+    pair, word = want.filter(~is_word), want.filter(is_word)
+    counts = materialize(pair.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("asked")))
+    lengths = materialize(code_lengths(counts, order))
+    head = F.broadcast(materialize(most_asked(counts, head)))
+    first = lengths.join(head, "key", "left_semi").toArrow()  # at most ``head`` rows
+    known = spark.sparkContext.broadcast(tuple(first.column(c).to_numpy() for c in ("key", "value")))
+    # a word has at most one row for each block and reading task
+    of_word = Window.partitionBy("key")
+    counted = _written(word.select("block", "key", F.sum("n").over(of_word).alias("c"),
+                                   (F.row_number().over(of_word.orderBy("block")) == 1).alias("once")))
+    n_all = word.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    distinct = counted.filter("once and c > 0").count()
+    answers = (pair.select("block", "key").join(head, "key", "left_anti").join(lengths, "key").select("block", "key", "value")
+               .unionByName(counted.select("block", "key", F.col("c").cast("double").alias("value"))))
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        is_pair = found.column("kind").to_numpy() == PAIR
         key, value = found.column("key").to_numpy(), found.column("value").to_numpy()
-        pair, word = _Lookup(key[is_pair], value[is_pair]), _Lookup(key[~is_pair], value[~is_pair])
+        mine = key >= 0
+        word = _Lookup(key[~mine], value[~mine])
+        pair = _Lookup(*(np.concatenate(x) for x in zip((key[mine], value[mine]), known.value)))
         end = word.of(np.full(1, END_WORD))[0]
         scale = n_all + 0.1 * (distinct + 1)
         out = []
-        for batch in texts.combine_chunks().to_batches():
-            data, off = _lowered(batch.column("text"))
+        for batch in texts.to_batches():
+            data, off = text_buffer(batch.column("text"))
             for i, j in row_slices(off, SLICE):
-                d, o = data[off[i]:off[j]], off[i:j + 1] - off[i]
+                d, o = _LOWER[data[off[i]:off[j]]], off[i:j + 1] - off[i]
                 k, first = pairs(d, o, order)
                 total = _sums(pair.of(k), first)
                 t, first = tokens(d, o)
