@@ -143,7 +143,7 @@ def test_session_fold_stream_equals_batch(spark):
     d = _tmp()
     # one session's inputs must arrive in order across micro-batches: split by session
     stream = _stream_from(spark, inp.repartition(3, "session_id"), d)
-    out = STR.session_fold_stream(stream, 6, answer="answer", idle_ms=3_600_000)
+    out = STR.session_fold_stream(stream, 6, answer="answer")
     q = out.writeStream.format("memory").queryName("fold_stream").outputMode("append") \
         .option("checkpointLocation", os.path.join(d, "ckpt")).start()
     q.processAllAvailable()

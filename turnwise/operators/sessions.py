@@ -38,6 +38,11 @@ def goal_list(goals: DataFrame, key: str, desc: str = "desc") -> DataFrame:
     return goals.select(key, F.concat(F.lit("<ol>"), F.array_join(li, ""), F.lit("</ol>")).alias("html"))
 
 
+def phrase_is(text, phrase: str) -> bool:
+    """``functions.text.phrase_equals`` of one Python string."""
+    return isinstance(text, str) and text.strip().lower() == phrase.lower()
+
+
 def phrase_flags(inputs: DataFrame, text: str = "input_text", success: str = S.SUCCESS_PHRASE,
                  failure: str = S.FAILURE_PHRASE) -> DataFrame:
     return (inputs.withColumn("is_success", phrase_equals(F.col(text), success))

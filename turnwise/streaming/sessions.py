@@ -3,8 +3,8 @@
 Both keep one small state per key (``applyInPandasWithState``): the session fold keeps the
 number of logged exchanges and whether the session is over; the slot memory keeps the last
 value of every slot. Rows of one micro-batch are sorted by sequence inside the function;
-across micro-batches a key's inputs must arrive in order (a documented limit of the source).
-Results equal the batch operators ``operators.sessions.session_fold`` and
+across micro-batches a key's inputs must arrive in order (a documented limit of the source), and the
+state of a key stays. ``streaming.events`` takes inputs in any order and removes idle keys. Results equal the batch operators ``operators.sessions.session_fold`` and
 ``operators.state.carry_forward``.
 """
 
@@ -17,23 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import schemas as S
-
-
-def _phrase(text, phrase: str) -> bool:
-    return isinstance(text, str) and text.strip().lower() == phrase.lower()
-
-
-def _timeout(idle_ms: int | None):
-    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+from ..operators.sessions import phrase_is
 
 
 def session_fold_stream(inputs: DataFrame, max_turns: int = S.MAX_SESSION_TURNS, key: str = "session_id",
-                        seq: str = "seq", text: str = "input_text", answer: str | None = None,
-                        idle_ms: int | None = None) -> DataFrame:
-    """Per input row: ``(key, seq, status, ends_session[, response])`` with the batch fold's values.
-
-    With ``idle_ms`` the state of a session without inputs for that long is removed; a later input
-    then starts it anew, so choose more than the longest pause of a session."""
+                        seq: str = "seq", text: str = "input_text", answer: str | None = None) -> DataFrame:
+    """Per input row: ``(key, seq, status, ends_session[, response])`` with the batch fold's values."""
     out_schema = f"{key} long, {seq} long, status string, ends_session boolean" + (", response string" if answer else "")
     state_schema = "n long, ended boolean"
     names = [key, seq, "status", "ends_session"]
@@ -43,19 +32,16 @@ def session_fold_stream(inputs: DataFrame, max_turns: int = S.MAX_SESSION_TURNS,
         return [ends[r[2]] if r[2] in ends else a + (S.SESSION_LIMIT_TEXT if r[3] else "") for r, a in zip(rows, answers)]
 
     def fold(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         n, ended = state.get if state.exists else (0, False)
         rows = []
         pdf = pd.concat(list(batches)).sort_values(seq)
         for s, t in zip(pdf[seq].tolist(), pdf[text].tolist()):
             if ended:
                 rows.append((k[0], s, "after_end", False))
-            elif _phrase(t, S.SUCCESS_PHRASE):
+            elif phrase_is(t, S.SUCCESS_PHRASE):
                 ended = True
                 rows.append((k[0], s, "success", True))
-            elif _phrase(t, S.FAILURE_PHRASE):
+            elif phrase_is(t, S.FAILURE_PHRASE):
                 ended = True
                 rows.append((k[0], s, "failure", True))
             else:
@@ -63,21 +49,19 @@ def session_fold_stream(inputs: DataFrame, max_turns: int = S.MAX_SESSION_TURNS,
                 ended = 2 * n >= max_turns
                 rows.append((k[0], s, "exchange", ended))
         state.update((n, ended))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
         out = pd.DataFrame(rows, columns=names)
         if answer:
             out["response"] = pd.Series(response(rows, pdf[answer].tolist()), dtype=object)
         yield out
 
-    return inputs.groupBy(key).applyInPandasWithState(fold, out_schema, state_schema, "append", _timeout(idle_ms))
+    return inputs.groupBy(key).applyInPandasWithState(fold, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
 def slot_memory_stream(updates: DataFrame, key: str, order: Sequence[str], slots: Sequence[str],
-                       key_type: str = "long", idle_ms: int | None = None) -> DataFrame:
+                       key_type: str = "long") -> DataFrame:
     """Streaming carry-forward: per update row the memory after it (last non-empty value of
     every slot for the key). Output ``(key, order..., slots...)``; order columns must be
-    orderable in pandas. With ``idle_ms`` the memory of a key without updates for that long is removed."""
+    orderable in pandas."""
     order = list(order)
     cols = ", ".join(f"{s} string" for s in slots)
     order_types = {f.name: f.dataType.simpleString() for f in updates.schema.fields if f.name in order}
@@ -85,9 +69,6 @@ def slot_memory_stream(updates: DataFrame, key: str, order: Sequence[str], slots
     state_schema = cols
 
     def fold(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         mem = list(state.get) if state.exists else [None] * len(slots)
         pdf = pd.concat(list(batches)).sort_values(order)
         out = []
@@ -99,9 +80,7 @@ def slot_memory_stream(updates: DataFrame, key: str, order: Sequence[str], slots
                     mem[i] = v
             out.append((k[0], *[r[o] for o in order], *mem))
         state.update(tuple(mem))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[key, *order, *slots])
 
     return updates.groupBy(key).applyInPandasWithState(
-        fold, out_schema, state_schema, "append", _timeout(idle_ms))
+        fold, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
