@@ -90,7 +90,7 @@ def test_db_result_and_sampling(spark):
     ])
     req, sets = EN.constraint_sets(req, ["domain", "city", "genre", "size"])
     assert sorted(r.n_requests for r in sets.collect()) == [1, 1, 2]
-    cands = EN.entity_names(sets, ents, ["genre", "size"], {}, key="set_id")
+    cands = EN.candidate_bitmaps(sets, ents, ["genre", "size"])
     stats = EN.candidate_stats(req, cands, oracle_name="oracle")
     db = {r.request_id: (r.total, r.active_name, r.active_pos) for r in EN.db_result(req, stats, ents).collect()}
     assert db[1] == (3, "inn b", 2)
@@ -147,15 +147,78 @@ def test_unknown_slot_is_an_error(spark):
         EN.entity_query(req.withColumn("genre", F.array("genre")), ents, ["genre"])
 
 
-def test_sample_numbers_go_round(spark):
+def test_samples_are_whole_and_reach_all_candidates(spark):
     """Every request gets ``cap`` different candidates, and all candidates get their turn."""
     _, ents = _entities(spark)
     req, sets = EN.constraint_sets(_req(spark, [(i, "hotel", None, None, None, None, None) for i in range(40)]),
                                    ["domain", "city", "genre", "size"])
-    cands = EN.entity_names(sets, ents, ["genre", "size"], {}, key="set_id")
+    cands = EN.candidate_bitmaps(sets, ents, ["genre", "size"])
     sample = EN.rank_candidates(cands, EN.candidate_stats(req, cands), cap=3).collect()
     per = {}
     for r in sample:
         per.setdefault(r.request_id, {})[r.rank] = r.entity_pos
     assert all(sorted(x) == [0, 1, 2] and x[0] == 1 and len(set(x.values())) == 3 for x in per.values())
     assert {p for x in per.values() for p in x.values()} == {1, 2, 3, 4} and len(per) == 40
+
+
+def test_all_pairs_are_drawn_alike(spark):
+    """Ordered pairs of ranks over many keys: few numbers (all hashed) and many (drawn and deduplicated)."""
+    for n in (5, 14):
+        d = spark.range(40_000).select(EN.draws(F.col("id"), F.lit(n).cast("long"), 2 if n == 5 else 3, "s").alias("x"))
+        assert d.filter(F.size(F.array_distinct("x")) != F.size("x")).count() == 0
+        got = {(r[0], r[1]): r[2] for r in d.groupBy(F.col("x")[0], F.col("x")[1]).count().collect()}
+        mean = 40_000 / (n * (n - 1))
+        assert len(got) == n * (n - 1) and all(abs(c - mean) < 6 * mean ** 0.5 for c in got.values())
+    all_of_three = spark.range(50).select(EN.draws(F.col("id"), F.lit(3).cast("long"), 9, "s").alias("x")).collect()
+    assert all(sorted(r.x) == [0, 1, 2] for r in all_of_three)
+    # should the draws run out of different numbers, the smallest ones follow
+    one = spark.range(5).select(F.size(EN.draws(F.col("id"), F.lit(10**12).cast("long"), 3, "s")).alias("x")).collect()
+    assert all(r.x == 3 for r in one)
+
+
+def test_bitmaps_against_python_sets(spark):
+    import random
+    from turnwise.operators import bitmaps as BM
+    rng = random.Random(6)
+    top = 3 * BM.BUCKET
+    lists = {v: sorted(rng.sample(range(top), n)) for v, n in (("a", 3000), ("b", 900), ("c", 40), ("edge", 0))}
+    lists["edge"] = [0, 31, 32, BM.BUCKET - 1, BM.BUCKET, top - 1]
+    rows = [(v, p) for v, ps in lists.items() for p in ps] + [("a", lists["a"][0]), ("a", None)]
+    index = BM.build(spark.createDataFrame(rows, "v string, entity_pos long"), ["v"])
+    asked = {"k1": ("a", None), "k2": ("a b", None), "k3": ("a", "b"), "k4": ("a b", "c edge"), "k5": ("edge", "a b"),
+             "k6": ("nothing", None), "k7": ("a nothing", None), "k8": ("b", "nothing"), "k9": ("edge", None)}
+    terms = [(k, v, False) for k, (p, _) in asked.items() for v in p.split()]
+    terms += [(k, v, True) for k, (_, n) in asked.items() for v in (n or "").split()]
+    found = BM.combine(spark.createDataFrame(terms, "k string, v string, negative boolean"), index, "k", ["v"])
+    want = {}
+    for k, (p, n) in asked.items():
+        s = set.intersection(*[set(lists.get(v, [])) for v in p.split()])
+        if n:
+            s -= set.intersection(*[set(lists.get(v, [])) for v in n.split()])
+        if s:
+            want[k] = sorted(s)
+    got = {}
+    for r in BM.members(found, "k").orderBy("k", "entity_pos").collect():
+        got.setdefault(r["k"], []).append(r["entity_pos"])
+    assert got == want
+    assert {r[0]: r[1] for r in found.groupBy("k").sum("n").collect()} == {k: len(v) for k, v in want.items()}
+    ranks = [(k, i) for k, v in want.items() for i in sorted({0, len(v) - 1, *rng.sample(range(len(v)), min(20, len(v)))})]
+    picked = BM.pick(spark.createDataFrame(ranks, "k string, r long"), found, "k", "r").collect()
+    assert len(picked) == len(ranks) and all(want[x["k"]][x["r"]] == x["entity_pos"] for x in picked)
+
+
+def test_plans_of_counts_and_samples_have_no_row_per_set_and_entity(spark):
+    """5,000 entities and sets without city: the largest join of the statistics has buckets, not entities."""
+    rows = [(i, "hotel", s, v) for i in range(5000) for s, v in (("city", f"c{i % 3}"), ("name", f"n{i}"), ("size", "1"))]
+    slots = spark.createDataFrame(rows, "entity_pos long, domain string, slot string, value string")
+    ents = EN.entities_wide(slots, ["city", "name", "size"], [])
+    req = spark.createDataFrame([(i, "hotel", None, str(i % 2), f"n{i}") for i in range(60)],
+                                "request_id long, domain string, city string, size string, oracle string")
+    req, sets = EN.constraint_sets(req, ["domain", "city", "size"])
+    cands = EN.candidate_bitmaps(sets, ents, ["size"])
+    assert cands.bitmaps.count() == 3  # one set has candidates, 5,000 positions are 3 buckets
+    stats = EN.candidate_stats(req, cands, oracle_name="oracle")
+    got = {r["request_id"]: (r["total"], r["sel_pos"]) for r in stats.collect()}
+    assert got == {i: (5000, i) for i in range(60) if i % 2}
+    sample = EN.rank_candidates(cands, stats, cap=4)
+    assert "members" not in sample.columns and sample.count() == 30 * 4

@@ -2,20 +2,22 @@
 negative constraints, lookup by name, per-turn DB result, candidate sampling and rendering.
 
 Many requests ask the same thing. ``constraint_sets`` reduces them to their distinct constraint
-sets; candidates, counts and numbering are worked out once per set, and requests join back by
-``set_id``. So the work grows with the number of sets, not with requests times entities. Lookups by
+sets; a set's candidates are bitmaps from an inverted index (``operators.bitmaps``), from which counts, first
+and n-th candidates follow without one row per set and entity; requests join back by ``set_id``. Lookups by
 name go through the first entity per (domain, name, city) and per (domain, name), one row each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from .joins import salted_join
+from . import bitmaps as BM
+from .joins import materialize, salted_join
 
 INACTIVE = [v for v in S.NOT_QUERY_VALUES if v is not None]
 DOMAIN_SALTS = 16
@@ -49,11 +51,6 @@ def _scalar(attrs: Column, slot: str) -> Column:
     return F.get(F.try_element_at(attrs, F.lit(slot)), 0)
 
 
-def hash60(c: Column, seed: str) -> Column:
-    """First 60 bits of md5("seed:value") as a long: a reproducible pseudo-random key."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), c.cast("string"))), 1, 15), 16, 10).cast("long")
-
-
 def constraint_sets(requests: DataFrame, cols: Sequence[str], name: str = "set_id") -> tuple[DataFrame, DataFrame]:
     """Requests with the id of their constraint set, and the distinct sets ``(set_id, cols..., n_requests)``."""
     key = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
@@ -83,44 +80,75 @@ def check_constraints(requests: DataFrame, constraint_cols: Sequence[str], entit
         raise ValueError(f"unknown slot: {', '.join(unknown)}")
 
 
-def _all_match(cols: dict[str, str]) -> Column:
-    """Every active constraint matches: ``{slot: request column}``; the activity flag is a
-    request-side column computed once per request (``_a_<column>``)."""
-    out = F.lit(True)
-    for slot, c in cols.items():
-        out = out & (~F.col(f"_a_{c}") | F.coalesce(F.array_contains(F.col(f"_e_{slot}"), F.col(c)), F.lit(False)))
-    return out
+@dataclass
+class Candidates:
+    """The answers of constraint sets as bitmaps (``key, bucket, words, n``, written), the index that they come
+    from, and the name of every entity position."""
+
+    bitmaps: DataFrame
+    index: DataFrame
+    names: DataFrame
+    key: str
+
+    def rows(self) -> DataFrame:
+        """``key, entity_pos, name``: every candidate listed."""
+        return BM.members(self.bitmaps, self.key).join(self.names, "entity_pos")
+
+
+def entity_index(entities: DataFrame, slots: Sequence[str]) -> DataFrame:
+    """``_domain, _slot, _value, bucket, words``: bitmaps of the positions that have a value, and of all of a domain.
+    City and name have their first value only, other slots all of theirs."""
+    def of(slot):
+        v = F.coalesce(F.try_element_at("attrs", F.lit(slot)), F.array().cast("array<string>"))
+        v = F.slice(v, 1, 1) if slot in ("city", "name") else v
+        return F.transform(v, lambda x: F.struct(F.lit(slot).alias("_slot"), x.alias("_value")))
+    values = [of(s) for s in dict.fromkeys(slots)]
+    whole = F.array(F.struct(F.lit(BM.EVERY).alias("_slot"), F.lit("").alias("_value")))
+    rows = entities.select(F.col("domain").alias("_domain"), "entity_pos", F.inline(F.flatten(F.array(whole, *values))))
+    return BM.build(rows.filter("_value is not null"), ["_domain", "_slot", "_value"])
+
+
+def candidate_bitmaps(requests: DataFrame, entities: DataFrame, constraint_cols: Sequence[str],
+                      negative_cols: dict[str, str] | None = None, key: str = "set_id", domain: str = "domain",
+                      city: str = "city") -> Candidates:
+    """Conjunctive query with optional negative constraints, answered by bitmaps of the inverted index.
+
+    ``requests`` are distinct constraint sets (``constraint_sets``). Active constraints are ANDed; without any, the
+    answer is the whole domain. Constraint columns are named after their slot; a slot that no entity has is an
+    error. Negative constraints (``{slot: request column}``) take away what matches all active ones of them
+    in the request's city; an all-inactive negative dict takes away every entity of the city."""
+    negative_cols = negative_cols or {}
+    check_constraints(requests, constraint_cols, entities)
+    index = materialize(entity_index(entities, ["city", "name", *constraint_cols, *negative_cols]))
+
+    def term(slot, value, negative):
+        return F.when(is_active(F.col(value)), F.struct(F.lit(slot).alias("_slot"), F.col(value).cast("string").alias("_value"),
+                                                        F.lit(negative).alias("negative")))
+    positive = [term("city", city, False), *[term(c, c, False) for c in constraint_cols]]
+    negative = [term(s, c, True) for s, c in negative_cols.items()]
+    stated = F.lit(False)
+    for c in negative_cols.values():
+        stated = stated | F.col(c).isNotNull()
+    listed = F.filter(F.array(*positive), lambda x: x.isNotNull())
+    taken = F.filter(F.array(*negative), lambda x: x.isNotNull()) if negative else F.filter(listed, lambda x: F.lit(False))
+    whole = F.array(F.struct(F.lit(BM.EVERY).alias("_slot"), F.lit("").alias("_value"), F.lit(False).alias("negative")))
+    r = requests.select(F.col(key), F.col(domain).alias("_domain"), listed.alias("_p"), taken.alias("_n"), stated.alias("_s"))
+    r = r.filter(~F.col("_s") | (F.size("_n") > 0))  # all-inactive negatives leave nothing
+    terms = r.select(key, "_domain", F.inline(F.array_distinct(F.concat(
+        F.when(F.size("_p") > 0, F.col("_p")).otherwise(whole), "_n"))))
+    bitmaps = materialize(BM.combine(terms, index, key, ["_domain", "_slot", "_value"]))
+    names = entities.select("entity_pos", _scalar(F.col("attrs"), "name").alias("name"))
+    return Candidates(bitmaps, index, names, key)
 
 
 def candidates(requests: DataFrame, entities: DataFrame, constraint_cols: Sequence[str],
                negative_cols: dict[str, str] | None = None, key: str = "request_id", domain: str = "domain",
                city: str = "city", carry: Sequence[str] = ()) -> DataFrame:
-    """Conjunctive query with optional negative constraints: ``(key, entity_pos, name, carry...)``.
-
-    ``requests`` are best distinct constraint sets (``constraint_sets``). A request with an active
-    city meets the entities of its domain and city; one without meets those of its domain, which
-    are spread over salts since there are few domains. Constraint columns are named after their
-    slot; a slot that no entity has is an error. The negative query has the same candidates, so
-    "matches minus negative matches" is a condition on each row; an all-inactive negative dict
-    removes every entity of the city.
-    """
-    negative_cols = negative_cols or {}
-    check_constraints(requests, constraint_cols, entities)
-    e = _prepare(entities, [*constraint_cols, *negative_cols])
-    cols = dict.fromkeys([key, domain, city, *constraint_cols, *negative_cols.values(), *carry])
-    r = requests.select(*cols, *[is_active(F.col(c)).alias(f"_a_{c}")
-                                 for c in dict.fromkeys([*constraint_cols, *negative_cols.values()])])
-    located = r.filter(is_active(F.col(city))).join(
-        e, (F.col(domain) == F.col("_e_domain")) & (F.col(city) == F.col("_e_city")))
-    anywhere = salted_join(e.withColumn("_domain", F.col("_e_domain")),
-                           r.filter(~is_active(F.col(city))).withColumn("_domain", F.col(domain)),
-                           ["_domain"], DOMAIN_SALTS).drop("_domain")
-    keep = _all_match({c: c for c in constraint_cols})
-    if negative_cols:
-        has_neg = F.coalesce(*[F.col(c).isNotNull() for c in negative_cols.values()], F.lit(False))
-        keep = keep & ~(has_neg & _all_match(negative_cols))
-    out = [key, "entity_pos", F.col("_e_name").alias("name"), *carry]
-    return located.filter(keep).select(*out).unionByName(anywhere.filter(keep).select(*out))
+    """The candidates of ``candidate_bitmaps`` listed: ``(key, entity_pos, name, carry...)``."""
+    rows = candidate_bitmaps(requests, entities, constraint_cols, negative_cols, key, domain, city).rows()
+    if carry:
+        rows = rows.join(requests.select(key, *carry), key)
+    return rows.select(key, "entity_pos", "name", *carry)
 
 
 def entity_query(requests: DataFrame, entities: DataFrame, constraint_cols: Sequence[str],
@@ -203,24 +231,31 @@ def entity_info(lookups: DataFrame, entities: DataFrame, key: str = "request_id"
                         F.when(F.col("active_pos").isNotNull(), ~F.col("_far")).alias("in_city"))
 
 
-def candidate_stats(requests: DataFrame, cands: DataFrame, key: str = "request_id", domain: str = "domain",
-                    oracle_name: str | None = None, drop_multi_domain: str = S.MULTI_CANDIDATE_DROP_DOMAIN,
-                    set_id: str = "set_id") -> DataFrame:
+def candidate_stats(requests: DataFrame, cands: Candidates, key: str = "request_id", domain: str = "domain",
+                    oracle_name: str | None = None, drop_multi_domain: str = S.MULTI_CANDIDATE_DROP_DOMAIN) -> DataFrame:
     """Per request whose set has candidates: ``total`` (the drop domain with more than one candidate
     gets none), ``sel_pos`` (first occurrence of the oracle's name if it is a candidate, else the
     first candidate in file order), ``active_name`` and ``n_all`` (candidates before the drop).
 
-    ``cands`` are candidates per set (``set_id, entity_pos, name``); counts and firsts are taken per
-    set, and requests join one row each."""
-    per_set = cands.groupBy(set_id).agg(F.count(F.lit(1)).alias("n_all"),
-                                        F.min(F.struct("entity_pos", "name")).alias("_first"))
+    Counts and firsts are taken per set from its bitmaps; a name is met by ANDing its own bitmap. Requests join
+    one row each."""
+    set_id = cands.key
+    first = BM.select(F.col("words"), F.col("bucket"), F.lit(0))
+    per_set = cands.bitmaps.groupBy(set_id).agg(F.sum("n").alias("n_all"), F.min_by(first, "bucket").cast("long").alias("_pos"))
+    per_set = per_set.join(cands.names.withColumnsRenamed({"entity_pos": "_pos", "name": "_first"}), "_pos")
     r = requests.select(key, set_id, domain, *([F.col(oracle_name).alias("_oracle")] if oracle_name else []))
     g = r.join(per_set, set_id)
-    sel, name = F.col("_first.entity_pos"), F.col("_first.name")
+    sel, name = F.col("_pos"), F.col("_first")
     if oracle_name:
-        per_name = cands.groupBy(F.col(set_id).alias("_set"), F.col("name").alias("_name")).agg(
-            F.min("entity_pos").alias("_oracle_pos"))
-        g = g.join(per_name, (F.col(set_id) == F.col("_set")) & (F.col("_oracle") == F.col("_name")), "left")
+        asked = r.filter("_oracle is not null").select(F.col(set_id).alias("_set"), F.col(domain).alias("_domain"),
+                                                       F.col("_oracle").alias("_value")).distinct()
+        named = cands.index.filter("_slot = 'name'").select("_domain", "_value", "bucket", F.col("words").alias("_named"))
+        met = asked.join(named, ["_domain", "_value"]).join(
+            cands.bitmaps.select(F.col(set_id).alias("_set"), "bucket", "words"), ["_set", "bucket"])
+        met = met.withColumn("_both", BM.both(F.col("words"), F.col("_named"))).filter(BM.count(F.col("_both")) > 0)
+        per_name = met.groupBy("_set", "_value").agg(F.min_by(BM.select(F.col("_both"), F.col("bucket"), F.lit(0)), "bucket")
+                                                     .cast("long").alias("_oracle_pos"))
+        g = g.join(per_name, (F.col(set_id) == F.col("_set")) & (F.col("_oracle") == F.col("_value")), "left")
         name = F.when(F.col("_oracle_pos").isNotNull(), F.col("_oracle")).otherwise(name)
         sel = F.coalesce(F.col("_oracle_pos"), sel)
     total = F.when((F.col(domain) == drop_multi_domain) & (F.col("n_all") > 1), F.lit(0)).otherwise(F.col("n_all"))
@@ -228,33 +263,44 @@ def candidate_stats(requests: DataFrame, cands: DataFrame, key: str = "request_i
                     F.when(total > 0, name).alias("active_name"), "n_all")
 
 
-def rank_candidates(cands: DataFrame, stats: DataFrame, key: str = "request_id",
-                    cap: int = S.MAX_CANDIDATE_ENTITIES, seed: str = "0", set_id: str = "set_id") -> DataFrame:
-    """Candidate truncation: the selected entity first, then a deterministic pseudo-random
-    sample of the rest, ``cap`` rows in all: ``(key, rank, entity_pos, name)``, rank 0 = the
-    selected entity.
+def draws(key: Column, n: Column, cap: int, seed: str) -> Column:
+    """``cap`` different numbers below ``n`` (all of them if there are fewer) in random order, from hashes of the key.
+
+    Of few numbers (up to ``4 * cap``) each gets a hash and the least are taken; of many, hashes modulo ``n`` are drawn
+    and repeats skipped. Should more than ``_draws`` draws be needed (a chance of about 1e-9), the smallest numbers follow."""
+    spot = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key.cast("string"), i.cast("string"))), 1, 15),
+                            16, 10).cast("long")
+    few = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.struct(
+        spot(i).alias("h"), i.alias("i")))), lambda x: x["i"])
+    many = F.array_distinct(F.concat(F.transform(F.sequence(F.lit(0), F.lit(_draws(cap) - 1)), lambda i: F.pmod(spot(i), n)),
+                                     F.sequence(F.lit(0).cast("long"), F.lit(cap - 1).cast("long"))))
+    return F.slice(F.when(n <= 4 * cap, few).otherwise(many), 1, cap)
+
+
+def _draws(cap: int) -> int:
+    return 2 * cap + 10
+
+
+def rank_candidates(cands: Candidates, stats: DataFrame, key: str = "request_id",
+                    cap: int = S.MAX_CANDIDATE_ENTITIES, seed: str = "0") -> DataFrame:
+    """Candidate truncation: the selected entity first, then a random sample of the others without
+    replacement, ``cap`` rows in all: ``(key, rank, entity_pos, name)``, rank 0 = the selected entity.
 
-    The candidates of a set are numbered once, in the order of a hash of their position. A request
-    takes ``cap`` numbers in a row, from a place that the hash of its key picks (past the last
-    number it goes on at the first), so only the rows taken are joined."""
-    from pyspark.sql import Window
+    A request draws ``cap`` ranks among its set's candidates (``draws``: reproducible, every choice equally likely);
+    the bitmaps give the entities of those ranks, so only the rows drawn are joined. The selected one is left
+    out of them if it was drawn."""
     if cap < 1:
         raise ValueError("cap must be >= 1")
-    order = Window.partitionBy(set_id).orderBy(hash60(F.col("entity_pos"), seed), "entity_pos")
-    numbered = cands.select(F.col(set_id).alias("_set"), "entity_pos", "name",
-                            (F.row_number().over(order) - 1).alias("_at"))
+    set_id = cands.key
     st = stats.filter(F.col("total") > 0)
-    take = st.select(key, F.col(set_id).alias("_r_set"), "sel_pos", "n_all", F.posexplode(F.sequence(
-        F.lit(0), (F.least(F.col("n_all"), F.lit(cap)) - 1).cast("int"))).alias("_i", "_step"))
-    take = take.withColumn("_want", F.pmod(hash60(F.col(key), seed) + F.col("_i"), F.col("n_all")).cast("int"))
-    got = (take.join(numbered, (F.col("_r_set") == F.col("_set")) & (F.col("_want") == F.col("_at")))
-           .filter(F.col("entity_pos") != F.col("sel_pos")))
+    take = st.select(key, set_id, "sel_pos", F.posexplode(draws(F.col(key), F.col("n_all"), cap, seed)).alias("_i", "_rank"))
+    got = BM.pick(take, cands.bitmaps, set_id, "_rank").filter(F.col("entity_pos") != F.col("sel_pos"))
     w = Window.partitionBy(key).orderBy("_i")
-    rest = (got.select(key, "entity_pos", "name", F.row_number().over(w).cast("bigint").alias("rank"))
-            .filter(F.col("rank") < cap))
+    rest = (got.select(key, "entity_pos", F.row_number().over(w).cast("bigint").alias("rank"))
+            .filter(F.col("rank") < cap).join(cands.names, "entity_pos"))
     first = st.select(key, F.col("sel_pos").alias("entity_pos"), F.col("active_name").alias("name"),
                       F.lit(0).cast("bigint").alias("rank"))
-    return first.unionByName(rest).select(key, "rank", "entity_pos", "name")
+    return first.select(key, "rank", "entity_pos", "name").unionByName(rest.select(key, "rank", "entity_pos", "name"))
 
 
 def db_result(requests: DataFrame, stats: DataFrame, entities: DataFrame, key: str = "request_id",
@@ -305,6 +351,6 @@ def flatten_record(record: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(record, _render_value), ", "), F.lit("]"))
 
 
-__all__ = ["is_active", "entities_wide", "constraint_sets", "candidates", "entity_query", "entity_query_long", "entity_names",
+__all__ = ["is_active", "entities_wide", "constraint_sets", "candidates", "candidate_bitmaps", "entity_query", "entity_query_long", "entity_names",
            "names_text", "entity_info", "candidate_stats", "rank_candidates", "db_result", "render_record",
            "db_result_text", "flatten_record"]

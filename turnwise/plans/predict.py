@@ -88,7 +88,7 @@ def look_up(states: DataFrame, entities: DataFrame, goals: DataFrame, belief: di
                         _of_active(belief, city).alias(city), *[_of_active(belief, s).alias(s) for s in slots])
     req, sets = EN.constraint_sets(req.filter("domain is not null"), ["domain", city, *slots])
     constraints = [s for s in slots if s != "name"]
-    cands = EN.entity_names(sets, entities, constraints, {}, key="set_id", city=city)
+    cands = EN.candidate_bitmaps(sets, entities, constraints, city=city)
     stats = EN.candidate_stats(req, cands, oracle_name="name" if "name" in slots else None)
     sample = EN.rank_candidates(cands, stats, cap=cap)
     db = EN.db_result(req, stats, entities, city=city, sample=sample)

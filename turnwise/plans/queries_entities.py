@@ -36,20 +36,20 @@ def _entities(spark, d, reused: bool = True):
 SET_COLS = ["domain", "city", *CONSTRAINTS, *NEGATIVE.values()]
 
 
-def _cands(spark, d, ents):
-    """Requests with their set, the sets, and the candidates per set (written: several steps read them)."""
-    from ..operators.joins import materialize
-    req, sets = EN.constraint_sets(FX.v_requests(spark, d), SET_COLS)
-    return req, sets, materialize(EN.entity_names(sets, ents, CONSTRAINTS, NEGATIVE, key="set_id"))
+def _cands(spark, d, ents, requests=None):
+    """Requests with their set, the sets, and the candidates per set (written bitmaps: several steps read them)."""
+    requests = FX.v_requests(spark, d) if requests is None else requests
+    req, sets = EN.constraint_sets(requests, SET_COLS)
+    return req, sets, EN.candidate_bitmaps(sets, ents, CONSTRAINTS, NEGATIVE)
 
 
 def _stats(req, cands):
     return EN.candidate_stats(req, cands, oracle_name="name_hint", drop_multi_domain=DROP_DOMAIN)
 
 
-def _db(spark, d, ents=None, with_sample=False):
+def _db(spark, d, ents=None, with_sample=False, requests=None):
     ents = ents if ents is not None else _entities(spark, d)
-    req, _, cands = _cands(spark, d, ents)
+    req, _, cands = _cands(spark, d, ents, requests)
     stats = _stats(req, cands)
     sample = EN.rank_candidates(cands, stats, cap=CAP, seed=SEED) if with_sample else None
     return EN.db_result(req, stats, ents, sample=sample)
@@ -88,14 +88,21 @@ c as (select k.request_id, k.entity_pos, k.name, a.active_name from cands k join
 sel as (select request_id, min(entity_pos) as sel_pos from c where name = active_name group by request_id),
 c2 as (select c.*, sel.sel_pos from c left join sel using (request_id)),
 numbered as (select c2.*, count(*) over (partition by request_id) as n,
-    row_number() over (partition by request_id order by ('0x' || substr(md5('0:' || cast(entity_pos as string)), 1, 15))::bigint, entity_pos) - 1 as nr
-  from c2),
-drawn as (select *, (nr - ('0x' || substr(md5('0:' || cast(request_id as string)), 1, 15))::bigint % n + n) % n as i from numbered),
+    row_number() over (partition by request_id order by entity_pos) - 1 as nr from c2),
+sizes as (select distinct request_id, n from numbered),
+spots as (select request_id, n, t, ('0x' || substr(md5('{SEED}:' || cast(request_id as string) || ':' || cast(t as string)), 1, 15))::bigint as h
+  from sizes, unnest(range(case when n <= {4 * CAP} then n else {2 * CAP + 10} end)) as u(t)),
+drawn as (select request_id, v, min(o) as o from (
+    select request_id, case when n <= {4 * CAP} then t else h % n end as v,
+      case when n <= {4 * CAP} then row_number() over (partition by request_id order by h, t) else t + 1 end as o from spots
+    union all select request_id, unnest(range({CAP})), 1000 + unnest(range({CAP})) from sizes where n > {4 * CAP}) x
+  group by request_id, v),
+firsts as (select * from drawn qualify row_number() over (partition by request_id order by o) <= {CAP}),
 sampled as (select request_id, cast(0 as bigint) as rank, entity_pos, name from c2 where entity_pos = sel_pos
   union all
   select request_id, rank, entity_pos, name from (
-    select request_id, entity_pos, name, cast(row_number() over (partition by request_id order by i) as bigint) as rank
-    from drawn where i < {CAP} and entity_pos <> sel_pos) x
+    select m.request_id, entity_pos, name, cast(row_number() over (partition by m.request_id order by f.o) as bigint) as rank
+    from numbered m join firsts f on f.request_id = m.request_id and f.v = m.nr where entity_pos <> sel_pos) x
   where rank < {CAP}),
 rec as (select e.entity_pos, 'city ' || e.city || ', name ' || e.name || ', genre [' ||
           (select string_agg(g.value, ', ' order by g.value) from genres g where g.entity_pos = e.entity_pos) ||
@@ -163,7 +170,7 @@ select r.request_id, count(c.entity_pos) as n_names, coalesce(string_agg(c.name,
 from req r left join cands c using (request_id) group by r.request_id""")
 def q_entity_names(spark, d):
     req, sets, cands = _cands(spark, d, _entities(spark, d))
-    return req.select("request_id", "set_id").join(EN.names_text(cands, sets, key="set_id"), "set_id").drop("set_id")
+    return req.select("request_id", "set_id").join(EN.names_text(cands.rows(), sets, key="set_id"), "set_id").drop("set_id")
 
 
 @register("entity_info", _ENT + f"""
