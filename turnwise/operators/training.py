@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from .ordering import ordinal
 
+#: Rows of ``training_pairs`` for one system turn.
+ROWS_PER_TURN = 2
+
 
 def training_pairs(turns: DataFrame, context_text: Column, state_text: Column, db_text: Column, book_text: Column,
                    response: Column, dst_prefix: str = S.DST_TASK_PREFIX, rg_prefix: str = S.RG_TASK_PREFIX) -> DataFrame:
@@ -23,6 +26,15 @@ def training_pairs(turns: DataFrame, context_text: Column, state_text: Column, d
     return turns.select(*keep, F.inline(F.array(dst, rg)))
 
 
+def sample_counts(turns: DataFrame, splits: DataFrame, cap: int, key: str = "conv_id") -> DataFrame:
+    """``split, n_rows, n_used``: training rows of each split (``training_pairs`` gives ``ROWS_PER_TURN`` for a system
+    turn) and how many a run of at most ``cap`` takes. Counts turns; no text is read."""
+    n = turns.filter("speaker <> 'USER'").groupBy(key).agg(F.count(F.lit(ROWS_PER_TURN)).alias("_n"))
+    return (splits.select(key, "split").join(n, key).groupBy("split")
+            .agg((F.sum("_n") * ROWS_PER_TURN).cast("bigint").alias("n_rows"))
+            .withColumn("n_used", F.least(F.lit(cap).cast("bigint"), F.col("n_rows"))))
+
+
 def first_rows(df: DataFrame, n: int, groups: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first ``n`` rows of each group: the row limit of a training run. Planned with a group limit, so
     a task keeps only its first ``n`` rows of a group."""

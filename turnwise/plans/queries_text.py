@@ -11,6 +11,7 @@ from ..operators import bleu as BL
 from ..operators import context as ctx
 from ..operators import prompts as PR
 from ..operators import training as TR
+from ..operators.joins import materialize
 from ..sources import fixtures as FX
 from .registry import register
 
@@ -37,24 +38,36 @@ from v_turns"""
 # conv_id * 32 + turn % 8 (orders have keys of that form); a turn without one has empty texts. Its
 # active domain is the booking's domain.
 
-def _annotations(spark, d):
+def _request_of(turns):
+    return turns.withColumn("request_id", (F.col("conv_id") * 32 + F.col("turn") % 8).cast("bigint"))
+
+
+def _annotations(spark, d, turns):
+    """State, database and booking texts of the requests of ``turns``: only those are worked out."""
     from .queries_entities import CONSTRAINTS, _bookings, _db, _entities
     from ..operators import booking as BK
     from ..operators import entities as EN
-    r = FX.v_requests(spark, d)
+    from ..operators.joins import broadcast_if_small
+    ids, _ = broadcast_if_small(materialize(_request_of(turns).select("request_id").distinct()))
+    r = materialize(FX.v_requests(spark, d).join(ids, "request_id", "left_semi"))
     part = lambda s: F.when(EN.is_active(F.col(s)), F.concat_ws(" ", "domain", F.lit(s), s))
     ents = _entities(spark, d)
-    db = EN.db_result_text(_db(spark, d, ents, with_sample=True), ents)
-    book = _bookings(spark, d).select("request_id", F.col("domain").alias("active_domain"), BK.book_result_text(
-        F.col("domain"), F.col("success"), F.col("ref")).alias("book_text"))
+    db = EN.db_result_text(_db(spark, d, ents, with_sample=True, requests=r), ents)
+    book = _bookings(spark, d).join(ids, "request_id", "left_semi").select(
+        "request_id", F.col("domain").alias("active_domain"), BK.book_result_text(
+            F.col("domain"), F.col("success"), F.col("ref")).alias("book_text"))
     state = r.select("request_id", F.concat_ws(", ", part("city"), *[part(s) for s in CONSTRAINTS]).alias("state_text"))
     return state.join(db, "request_id").join(book, "request_id")
 
 
-def _annotated(spark, d, k):
-    t = ctx.context_strings(FX.v_turns(spark, d), k)
-    t = t.withColumn("request_id", (F.col("conv_id") * 32 + F.col("turn") % 8).cast("bigint"))
-    t = t.join(_annotations(spark, d), "request_id", "left")
+def _annotated(spark, d, k, only=None):
+    """System turns (those of ``only``: conv_id, turn) with context of ``k`` turns, state, database and booking texts."""
+    turns = FX.v_turns(spark, d)
+    t = ctx.context_strings(turns if only is None else turns.join(only, "conv_id", "left_semi"), k)
+    said = turns.filter("speaker = 'SYSTEM'").select("conv_id", "turn") if only is None else only
+    if only is not None:
+        t = t.join(only.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi")
+    t = _request_of(t).join(_annotations(spark, d, said), "request_id", "left")
     return t.fillna({"state_text": "", "db_text": EMPTY_DB_TEXT, "book_text": "", "active_domain": "general"})
 
 
@@ -77,8 +90,8 @@ turns as (select s.*, coalesce(a.state_text, '') as state_text, coalesce(a.db_te
 
 # ----------------------------------------------------------------------------- training pairs
 
-def _pairs(spark, d):
-    t = _annotated(spark, d, 0).join(FX.v_splits(spark, d).select("conv_id", "split"), "conv_id")
+def _pairs(spark, d, only=None):
+    t = _annotated(spark, d, 0, only).join(FX.v_splits(spark, d).select("conv_id", "split"), "conv_id")
     p = TR.training_pairs(t, F.col("context_text"), F.col("state_text"), F.col("db_text"), F.col("book_text"),
                           F.col("utterance"))
     return p.select("split", "conv_id", "turn", "task", "input_text", "output_text")
@@ -102,16 +115,20 @@ def q_training_pairs(spark, d):
 
 @register("sample_counts", _PAIRS_SQL + f"select split, count(*) as n_rows, least({TRAIN_CAP}, count(*)) as n_used from pairs group by split")
 def q_sample_counts(spark, d):
-    return (_pairs(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
-            .withColumn("n_used", F.least(F.lit(TRAIN_CAP).cast("bigint"), F.col("n_rows"))))
+    return TR.sample_counts(FX.v_turns(spark, d), FX.v_splits(spark, d), TRAIN_CAP)
 
 
 @register("train_rows", _PAIRS_SQL + f"""
 select split, conv_id, turn, task, input_text, output_text from pairs
 qualify row_number() over (partition by split order by conv_id, turn, task) <= {TRAIN_CAP}""")
 def q_train_rows(spark, d):
-    """The first rows of every split, as many as a training run takes."""
-    return TR.first_rows(_pairs(spark, d), TRAIN_CAP, ["split"], ["conv_id", "turn", "task"])
+    """The first rows of every split, as many as a training run takes. The turns are chosen first, so that no state,
+    database result or text of any other turn is made."""
+    turns = FX.v_turns(spark, d).filter("speaker = 'SYSTEM'").select("conv_id", "turn")
+    turns = turns.join(FX.v_splits(spark, d).select("conv_id", "split"), "conv_id")
+    chosen = TR.first_rows(turns, -(-TRAIN_CAP // TR.ROWS_PER_TURN), ["split"], ["conv_id", "turn"])
+    only = materialize(chosen.select("conv_id", "turn"))
+    return TR.first_rows(_pairs(spark, d, only), TRAIN_CAP, ["split"], ["conv_id", "turn", "task"])
 
 
 # ----------------------------------------------------------------------------- prompts
