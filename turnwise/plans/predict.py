@@ -80,7 +80,7 @@ def _nested(slots: dict[str, Sequence[str]]) -> Column:
 
 def look_up(states: DataFrame, entities: DataFrame, goals: DataFrame, belief: dict[str, Sequence[str]],
             book: dict[str, Sequence[str]], key: str = "conv_id", cap: int = S.MAX_CANDIDATE_ENTITIES,
-            city: str = "city") -> DataFrame:
+            city: str = "city", drop_multi_domain: str = S.MULTI_CANDIDATE_DROP_DOMAIN) -> DataFrame:
     """Per turn ``request_id``, ``db_text`` and ``book_text``: the database result of the active domain's
     belief slots, and the booking of its booking slots against the goal ``(key, domain, booking map)``."""
     slots = list(dict.fromkeys(s for ss in belief.values() for s in ss if s != city))
@@ -89,7 +89,8 @@ def look_up(states: DataFrame, entities: DataFrame, goals: DataFrame, belief: di
     req, sets = EN.constraint_sets(req.filter("domain is not null"), ["domain", city, *slots])
     constraints = [s for s in slots if s != "name"]
     cands = EN.candidate_bitmaps(sets, entities, constraints, city=city)
-    stats = EN.candidate_stats(req, cands, oracle_name="name" if "name" in slots else None)
+    stats = EN.candidate_stats(req, cands, oracle_name="name" if "name" in slots else None,
+                               drop_multi_domain=drop_multi_domain)
     sample = EN.rank_candidates(cands, stats, cap=cap)
     db = EN.db_result(req, stats, entities, city=city, sample=sample)
     db_text = EN.db_result_text(db, entities)
@@ -113,11 +114,12 @@ def predict_turns(turns: DataFrame, state_model: Callable[[str], str], response_
                   belief: dict[str, Sequence[str]], book: dict[str, Sequence[str]], entities: DataFrame,
                   goals: DataFrame, allowed: dict[str, Sequence[str]] | None = None,
                   k: int = S.LLM_CONTEXT_TURNS, key: str = "conv_id", order: str = "turn",
-                  cap: int = S.MAX_CANDIDATE_ENTITIES) -> DataFrame:
+                  cap: int = S.MAX_CANDIDATE_ENTITIES,
+                  drop_multi_domain: str = S.MULTI_CANDIDATE_DROP_DOMAIN) -> DataFrame:
     """One row per system turn: ``key, order, state_text, db_text, book_text, response, belief_state, book_state``."""
     states = track_states(turns, state_model, belief, book, allowed, k, key, order)
     states = materialize(states.withColumn("request_id", F.concat_ws(":", F.col(key), F.col(order))))
-    found = look_up(states, entities, goals, belief, book, key, cap)
+    found = look_up(states, entities, goals, belief, book, key, cap, drop_multi_domain=drop_multi_domain)
     text = ST.render_wide([(d, s, f"{d}__{s}") for d, ss in belief.items() for s in ss])
     t = states.withColumn("state_text", text).join(found, "request_id")
     t = t.withColumn("_in", F.concat_ws(" ", "context_text", F.lit(S.STATE_PREFIX), "state_text",

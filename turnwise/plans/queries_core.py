@@ -77,16 +77,6 @@ def q_work_parts(spark, d):
     return SMP.work_parts(FX.v_splits(spark, d), 4).select("split", "conv_id", "split_pos", "part")
 
 
-@register("pack_dialogues", """
-select conv_id, count(*) as n_turns, count(*) filter (where speaker = 'USER') as n_user,
-  count(*) filter (where speaker = 'SYSTEM') as n_system, cast(sum(length(utterance)) as bigint) as n_chars,
-  min(turn) as first_turn, max(turn) as last_turn
-from v_turns group by conv_id""")
-def q_pack_dialogues(spark, d):
-    from ..sources.sinks import dialogue_summary
-    return dialogue_summary(FX.v_turns(spark, d))
-
-
 # ----------------------------------------------------------------------------- resume / merge
 
 @register("resume_latest", """

@@ -33,6 +33,7 @@ def _load_all() -> None:
     from . import queries_state  # noqa: F401
     from . import queries_entities  # noqa: F401
     from . import queries_text  # noqa: F401
+    from . import queries_predict  # noqa: F401
     from . import queries_index  # noqa: F401
     from . import queries_sessions  # noqa: F401
 
