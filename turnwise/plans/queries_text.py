@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -133,21 +134,64 @@ def q_train_rows(spark, d):
 
 # ----------------------------------------------------------------------------- prompts
 
+#: Letters whose counts are the vector of a context: an embedding that DuckDB can follow.
+LETTERS = "aeinorst"
+EXAMPLE_QUOTA = 5
+
+
+def letter_counts(df, text: str = "context_text", out: str = "embedding"):
+    return df.withColumn(out, F.array(*[(F.length(text) - F.length(F.replace(F.col(text), F.lit(c), F.lit("")))).cast("double")
+                                        for c in LETTERS]))
+
+
 def _prompt_base(spark, d, kind):
-    """Turns with the template of their active domain; the examples are the two turns before."""
-    t = _annotated(spark, d, S.LLM_CONTEXT_TURNS)
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, -1)
-    ex = F.struct("context_text", "state_text", "db_text", "book_text", F.col("utterance").alias("response"))
-    t = t.withColumn("examples", F.collect_list(ex).over(w))
+    """System turns with the template of their active domain and the nearest examples of a stored index.
+
+    The index holds the turns of a domain-balanced sample of training dialogues, with their texts, and the
+    arguments it was built with; the query contexts are rendered by these arguments."""
+    from ..operators import sampling as SMP
+    from ..session import ensure_checkpoint_dir
+    from ..sources import files as FL
+    from .jobs import query_contexts, with_examples
+    turns = FX.v_turns(spark, d)
+    t = materialize(_annotated(spark, d, S.LLM_CONTEXT_TURNS).withColumn("query_id", F.col("conv_id") * 1000 + F.col("turn")))
+    args = {"context_turns": S.INDEX_CONTEXT_TURNS, "quota": EXAMPLE_QUOTA}
+    short = query_contexts(turns, args).select("conv_id", "turn", "context_text")
+    goals = FX.v_conv_goals(spark, d).join(
+        FX.v_splits(spark, d).filter("split = 'train'").select("conv_id", "split_pos"), "conv_id")
+    picked = SMP.balanced_sample(goals, EXAMPLE_QUOTA, key="conv_id", order="split_pos")
+    docs = t.drop("context_text").join(picked, "conv_id", "left_semi").join(short, ["conv_id", "turn"]).select(
+        F.col("query_id").alias("example_id"), "context_text", "state_text", "db_text", "book_text",
+        F.col("utterance").alias("response"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/examples-{uuid.uuid4().hex}"
+    FL.write_index(docs, path, args)
+    index, args = FL.read_index(spark, path)
+    asked = t.withColumnRenamed("context_text", "long_context").join(
+        query_contexts(turns, args).select("conv_id", "turn", "context_text"), ["conv_id", "turn"])
+    t = with_examples(asked, index, S.FEWSHOT_EXAMPLES, embed=letter_counts).drop("context_text").withColumnRenamed(
+        "long_context", "context_text")
     templates = PR.template_table(spark).filter(F.col("kind") == kind).select(
         F.col("domain").alias("active_domain"), F.col("text").alias("template"))
     return t.join(F.broadcast(templates), "active_domain")  # a few rows per domain
 
 
+_COUNTS = "[" + ", ".join(f"cast(length(ctx) - length(replace(ctx, '{c}', '')) as double)" for c in LETTERS) + "]"
+
 _PROMPT_BASE_SQL = _annotated_sql(S.LLM_CONTEXT_TURNS) + f""",
 tpl(domain, kind, text) as (values {", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in PR.default_templates())}),
-e as (select t.*, list({{'ctx': ctx, 'st': state_text, 'db': db_text, 'bk': book_text, 'resp': utterance}})
-        over (partition by conv_id order by turn rows between 2 preceding and 1 preceding) as ex from turns t)
+short as (select conv_id, turn, ctx, {_COUNTS} as v from ({_ctx_sql(S.INDEX_CONTEXT_TURNS)}) where speaker = 'SYSTEM'),
+goal_pos as (select c.conv_id, c.domain, s.split_pos from v_conv_goals c join v_splits s using (conv_id) where s.split = 'train'),
+picked as (select distinct conv_id from (
+    select conv_id, row_number() over (partition by domain order by split_pos, conv_id) as rn from goal_pos) x where rn <= {EXAMPLE_QUOTA}),
+docs as (select t.conv_id * 1000 + t.turn as id, s.ctx, s.v, t.state_text, t.db_text, t.book_text, t.utterance
+  from turns t join short s using (conv_id, turn) where t.conv_id in (select conv_id from picked)),
+near as (select s.conv_id, s.turn, docs.*, list_sum(list_transform(list_zip(s.v, docs.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as dist
+  from short s cross join docs),
+best as (select *, row_number() over (partition by conv_id, turn order by dist, id) as rank from near
+  qualify row_number() over (partition by conv_id, turn order by dist, id) <= {S.FEWSHOT_EXAMPLES}),
+shown as (select conv_id, turn, list({{'ctx': ctx, 'st': state_text, 'db': db_text, 'bk': book_text, 'resp': utterance}} order by rank) as ex
+  from best group by conv_id, turn),
+e as (select t.*, coalesce(shown.ex, []) as ex from turns t left join shown using (conv_id, turn))
 """
 
 
