@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import state as ST
+from ..operators.joins import materialize
 
 
 def _items(text: Column) -> Column:
@@ -146,6 +147,57 @@ def guarded(predictor, max_attempts: int = 3, retry_on: tuple = (ConnectionError
     return call
 
 
+ANSWERS = "digest string, value string, error string, attempts long"
+
+
+def ask_all(df: DataFrame, input_col: str, output_col: str, model, store: str, window: int = 16, waves: int = 1,
+            **retries) -> DataFrame:
+    """``df`` plus ``output_col``, ``error`` and ``attempts``: a slow per-text model asked once per distinct prompt.
+
+    Prompts are reduced to distinct digests, and those that ``store`` (a Parquet folder on shared storage) has an
+    answer for are not asked. A task keeps up to ``window`` calls in flight (threads, for models that wait on a
+    network) over its batches, so memory is bounded by the window. Answers are committed to ``store`` by Spark's
+    own writer in ``waves`` parts: a job that dies goes on after its last wave, and a lost task repeats
+    only its part of the running wave. Prompts that ended in an error are asked again by the next run.
+    ``retries`` are those of ``guarded``."""
+    from pyspark.sql.types import StructType
+    spark = df.sparkSession
+    spark.createDataFrame([], ANSWERS).write.mode("append").parquet(store)
+    call = guarded(model, **retries)
+
+    def answer(batches):
+        from collections import deque
+        from concurrent.futures import ThreadPoolExecutor
+
+        import pandas as pd
+        with ThreadPoolExecutor(max_workers=max(1, window)) as pool:
+            flying = deque()
+
+            def landed():
+                digest, future = flying.popleft()
+                return future.result().assign(digest=digest)[["digest", "value", "error", "attempts"]]
+            for pdf in batches:
+                for digest, prompt in zip(pdf["digest"], pdf["prompt"]):
+                    if len(flying) >= window:
+                        yield landed()
+                    flying.append((digest, pool.submit(call, pd.Series([prompt], dtype=object))))
+            while flying:
+                yield landed()
+
+    key = F.sha2(F.coalesce(F.col(input_col), F.lit("")), 256)
+    known = spark.read.schema(ANSWERS).parquet(store)
+    todo = materialize(df.select(key.alias("digest"), F.coalesce(input_col, F.lit("")).alias("prompt"))
+                       .groupBy("digest").agg(F.first("prompt").alias("prompt"))
+                       .join(known.filter("error is null").select("digest"), "digest", "left_anti"))
+    for wave in range(waves):
+        part = todo.filter(F.pmod(F.xxhash64("digest"), F.lit(waves)) == wave)
+        part.mapInPandas(answer, StructType.fromDDL(ANSWERS)).write.mode("append").parquet(store)
+    best = F.min_by(F.struct(F.col("value").alias(output_col), "error", "attempts"), F.col("error").isNotNull())
+    answers = spark.read.schema(ANSWERS).parquet(store).groupBy("digest").agg(best.alias("_a"))
+    # the answers are one row per prompt; AQE splits a prompt that very many rows ask
+    return df.withColumn("_digest", key).join(answers, F.col("_digest") == F.col("digest"), "left").select(*df.columns, "_a.*")
+
+
 def call_with_errors(df: DataFrame, raw_col: str, error_col: str, error_as_text: bool = True,
                      name: str = "prediction") -> DataFrame:
     """Keep model output and transport error apart; with ``error_as_text`` the prediction

@@ -24,6 +24,10 @@ from ..sources.sinks import pack_dialogues
 from .jobs import call_with_errors, guarded, run_predictor
 
 
+def _ask(df: DataFrame, input_col: str, output_col: str, model) -> DataFrame:
+    return run_predictor(df, input_col, output_col, guarded(model))
+
+
 def _items(text: Column) -> Column:
     """"domain slot value, ..." as an array of items; malformed items have no value."""
     parts = F.transform(F.split(F.coalesce(text, F.lit("")), ", "), lambda x: F.split(x, " ", 3))
@@ -45,13 +49,13 @@ def _accepted(items: Column, pairs: Sequence[tuple[str, str]], allowed: dict[str
 
 def track_states(turns: DataFrame, state_model: Callable[[str], str], belief: dict[str, Sequence[str]],
                  book: dict[str, Sequence[str]], allowed: dict[str, Sequence[str]] | None = None,
-                 k: int = S.LLM_CONTEXT_TURNS, key: str = "conv_id", order: str = "turn") -> DataFrame:
+                 k: int = S.LLM_CONTEXT_TURNS, key: str = "conv_id", order: str = "turn", ask=None) -> DataFrame:
     """Per system turn: ``context_text``, the predicted items merged into the dialogue's memory as one
     column ``<domain>__<slot>`` per slot, ``active_domain`` (of the last accepted item, else the one
     before) and the model's ``error``."""
     pairs = [(d, s) for part in (belief, book) for d, ss in part.items() for s in ss]
     t = ctx.context_strings(turns, k, [key], order).select(key, order, "context_text")
-    t = run_predictor(t, "context_text", "_raw", guarded(state_model))
+    t = (ask or _ask)(t, "context_text", "_raw", state_model)
     t = t.withColumn("_got", _accepted(_items(F.col("_raw")), pairs, allowed or {}))
     last = lambda d, s: F.try_element_at(  # noqa: E731  a repeated slot: the last item wins
         F.filter("_got", lambda x: (x["domain"] == d) & (x["slot"] == s)), F.lit(-1))["value"]
@@ -115,9 +119,12 @@ def predict_turns(turns: DataFrame, state_model: Callable[[str], str], response_
                   goals: DataFrame, allowed: dict[str, Sequence[str]] | None = None,
                   k: int = S.LLM_CONTEXT_TURNS, key: str = "conv_id", order: str = "turn",
                   cap: int = S.MAX_CANDIDATE_ENTITIES,
-                  drop_multi_domain: str = S.MULTI_CANDIDATE_DROP_DOMAIN) -> DataFrame:
-    """One row per system turn: ``key, order, state_text, db_text, book_text, response, belief_state, book_state``."""
-    states = track_states(turns, state_model, belief, book, allowed, k, key, order)
+                  drop_multi_domain: str = S.MULTI_CANDIDATE_DROP_DOMAIN, ask=None) -> DataFrame:
+    """One row per system turn: ``key, order, state_text, db_text, book_text, response, belief_state, book_state``.
+
+    ``ask(df, input_col, output_col, model)`` runs a model and adds its output and ``error, attempts``; the default calls
+    it batch by batch, ``jobs.ask_all`` with a store asks each prompt once and keeps calls in flight."""
+    states = track_states(turns, state_model, belief, book, allowed, k, key, order, ask)
     states = materialize(states.withColumn("request_id", F.concat_ws(":", F.col(key), F.col(order))))
     found = look_up(states, entities, goals, belief, book, key, cap, drop_multi_domain=drop_multi_domain)
     text = ST.render_wide([(d, s, f"{d}__{s}") for d, ss in belief.items() for s in ss])
@@ -126,7 +133,7 @@ def predict_turns(turns: DataFrame, state_model: Callable[[str], str], response_
                                         F.lit(S.DB_RESULT_PREFIX), "db_text", F.lit(S.BOOK_RESULT_PREFIX), "book_text"))
     t = t.select(key, order, "state_text", "db_text", "book_text", _nested(belief).alias("belief_state"),
                  _nested(book).alias("book_state"), "_in")
-    out = call_with_errors(run_predictor(t, "_in", "_raw", guarded(response_model)), "_raw", "error", name="response")
+    out = call_with_errors((ask or _ask)(t, "_in", "_raw", response_model), "_raw", "error", name="response")
     return out.drop("_in", "_raw", "error", "attempts")
 
 
