@@ -1,10 +1,10 @@
 """Readers for the dialogue corpus file formats.
 
-JSON objects keyed by name (dialogues, ontology, split lists, allowed values) are read with
+Small JSON objects keyed by name (ontology, split lists, allowed values) are read with
 ``read.text(wholetext=True)`` + ``from_json`` into a map, and exploded with ``posexplode``
-so file order becomes an explicit position column. A single JSON document is one task; large
-corpora come as JSON Lines or Parquet (``read_dialogues`` takes all three), which are split over
-tasks, and ``ingest_dialogues`` writes any of them as Parquet partitioned for the later jobs.
+so file order becomes an explicit position column. Dialogues and predictions, whose objects can be large,
+are split over tasks inside one file (``sources.bigjson``). Corpora come as JSON Lines or Parquet as well,
+and ``ingest_dialogues`` writes any of them as Parquet partitioned for the later jobs.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from .bigjson import read_keyed
 
 STR_MAP = T.MapType(T.StringType(), T.StringType())
 
@@ -80,28 +81,43 @@ def _keyed_object(spark: SparkSession, path: str, value_type: T.DataType) -> Dat
         F.col("file_pos").cast("bigint"), F.col("e.key").alias("name"), F.col("e.value").alias("value"))
 
 
+def _with_line_positions(df: DataFrame) -> DataFrame:
+    """Add ``_at``, the row's number in the order of file names and places in the files, however Spark packs splits
+    into tasks. Row counts per split are summed (one row each); the rows themselves are not shuffled."""
+    from ..operators.joins import broadcast_if_small
+    d = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                  F.monotonically_increasing_id().alias("_mid"))
+    splits = d.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    table, _ = broadcast_if_small(splits.select("_file", "_block", "_first", "_before"))
+    return d.join(table, ["_file", "_block"]).withColumn("_at", F.col("_before") + F.col("_mid") - F.col("_first")).drop(
+        "_file", "_block", "_mid", "_first", "_before")
+
+
 def read_dialogues(spark: SparkSession, path: str) -> DataFrame:
     """Dialogue corpus: one row per dialogue with its file position (SRC1).
 
-    ``*.json`` is one object keyed by dialogue name (one task); ``*.jsonl`` has one dialogue a line, and
-    ``*.parquet`` one a row (a folder of either is read whole), both split over tasks. Their file
-    position is the stored ``file_pos``, or else the order of lines in the files."""
+    ``*.json`` is one object keyed by dialogue name; ``*.jsonl`` has one dialogue a line, and ``*.parquet`` one a
+    row (a folder of either is read whole). All are split over tasks. The file position is the stored
+    ``file_pos``, or else the place in the file, in the order of file names."""
     cols = ["dialogue_name", "dialogue_id", "system_name", "user_name", "goal", "goal_description", "turns"]
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext in (".jsonl", ".parquet"):
         lines = T.StructType([*DIALOGUE.fields, T.StructField("file_pos", T.LongType())])
         d = spark.read.parquet(path) if ext == ".parquet" else spark.read.schema(lines).json(path)
-        at = F.monotonically_increasing_id()
-        return d.select((F.coalesce("file_pos", at) if "file_pos" in d.columns else at).alias("file_pos"), *cols)
+        d = _with_line_positions(d)
+        at = F.coalesce("file_pos", "_at") if "file_pos" in d.columns else F.col("_at")
+        return d.select(at.alias("file_pos"), *cols)
     if ext != ".json":
         raise ValueError(f"dialogues must be .json, .jsonl or .parquet, got {path!r}")
-    d = _keyed_object(spark, path, DIALOGUE)
+    d = read_keyed(spark, path, DIALOGUE)
     return d.select("file_pos", F.col("name").alias("dialogue_name"), *[f"value.{c}" for c in cols[1:]])
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Prediction file of one run and task (SRC6)."""
-    d = _keyed_object(spark, path, PREDICTION)
+    d = read_keyed(spark, path, PREDICTION)
     return d.select("file_pos", F.col("name").alias("dialogue_name"), "value.turns")
 
 
@@ -212,9 +228,9 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
     orders lines by run time and then by position in the run's files (SRC7); later lines win via
     ``sampling.latest_per_key``. Lines of a log without run times come first."""
     schema = T.StructType([*PREDICTION.fields, T.StructField("run_at", T.LongType())])
-    log = spark.read.schema(schema).json(path)
-    return log.withColumn("line_no", F.struct(F.coalesce("run_at", F.lit(0)).alias("run_at"),
-                                              F.monotonically_increasing_id().alias("at"))).drop("run_at")
+    log = _with_line_positions(spark.read.schema(schema).json(path))
+    return log.withColumn("line_no", F.struct(F.coalesce("run_at", F.lit(0)).alias("run_at"), F.col("_at").alias("at"))).drop(
+        "run_at", "_at")
 
 
 def read_training_pairs(spark: SparkSession, path: str, input_col: str = "input_text",
