@@ -147,3 +147,15 @@ def test_prompts_with_retrieved_examples(spark):
     few = J.with_examples(queries, index, 1).select(PR.state_prompt(F.lit("T\n"), F.col("context_text"), F.col("examples")).alias("p"))
     zero = J.with_examples(queries, index, 0).select(PR.state_prompt(F.lit("T\n"), F.col("context_text"), F.col("examples")).alias("p"))
     assert all("#1" in r.p for r in few.collect()) and not any("#1" in r.p for r in zero.collect())
+
+
+def test_materialized_tables_are_released(spark):
+    import os
+
+    from turnwise.operators import joins
+    joins.release_materialized(spark)
+    d = joins.materialize(spark.range(10))
+    folder = os.path.dirname(d.inputFiles()[0].removeprefix("file://"))
+    assert d.count() == 10 and os.path.isdir(folder)
+    assert joins.release_materialized(spark) == 1 and not os.path.exists(folder)
+    assert joins.release_materialized(spark) == 0

@@ -39,15 +39,33 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], salts: int,
     return out.drop(b["_salt"]).drop(s["_salt"])
 
 
+#: Folders that ``materialize`` has written, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute a reused intermediate once and cut its lineage: write it as Parquet under the
     session's shared checkpoint folder (``spark.checkpoint.dir`` on a cluster) and read it
     back. Unlike ``Dataset.checkpoint`` this computes the input a single time, survives
-    executor loss, and the read-back carries real file sizes for broadcast decisions."""
+    executor loss, and the read-back carries real file sizes for broadcast decisions.
+
+    Results are lazy, so the folders stay until ``release_materialized``."""
     import uuid
 
     from ..session import ensure_checkpoint_dir
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/turnwise-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
+
+
+def release_materialized(spark) -> int:
+    """Delete what ``materialize`` has written in this application, once no result that reads it is needed any more
+    (after a job has written its output). Returns the number of folders."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
