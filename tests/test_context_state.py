@@ -159,3 +159,24 @@ def test_chunked_context_equals_plain(spark):
             a = {(r.conv_id, r.turn): r.context_text for r in ctx.context_strings(t, k).collect()}
             b = {(r.conv_id, r.turn): r.context_text for r in ctx.context_strings(t, k, chunk_size=c).collect()}
             assert a == b, (k, c)
+
+
+def test_context_ranges_render_the_same_texts_from_linear_tables(spark):
+    import random
+    rnd = random.Random(5)
+    data = []
+    for conv in range(6):
+        for t in sorted(rnd.sample(range(0, 200), rnd.randint(1, 60))):      # gaps in turn numbers
+            data.append((conv, t, rnd.choice(["USER", "SYSTEM"]), None if rnd.random() < 0.1 else f"é{conv} " * rnd.randrange(4)))
+    t = _turns(spark, data)
+    sizes = {}
+    for k in (0, 1, 3, 10):
+        want = rows(ctx.context_strings(t, k), ["conv_id", "turn", "context_text"])
+        for c in (1, 16, 1000):
+            chunks, ranges = ctx.context_ranges(t, k, chunk_size=c)
+            assert rows(ctx.render_ranges(chunks, ranges), ["conv_id", "turn", "context_text"]) == want, (k, c)
+            sizes[c] = chunks.agg(F.sum(F.length("text"))).head()[0]
+    # each turn is in one chunk once, whatever the contexts
+    once = t.filter("utterance is not null").select(F.length(ctx.speaker_prefix(F.col("speaker"))) + F.length("utterance") + 2)
+    assert set(sizes.values()) == {sum(r[0] for r in once.collect())}
+    assert rows(ctx.render_ranges(*ctx.context_ranges(t.limit(0)))) == []

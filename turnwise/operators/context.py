@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.text import context_text
+from ..functions.text import context_text, speaker_prefix
 
 
 def with_context(turns: DataFrame, k: int = 0, keys: Sequence[str] = ("conv_id",), order: str = "turn",
@@ -61,3 +61,54 @@ def context_strings(turns: DataFrame, k: int = 0, keys: Sequence[str] = ("conv_i
     """System turns with their rendered context text (bounded frame when ``k > 0``)."""
     out = system_turns_with_context(turns, k, keys, order, name="_ctx", chunk_size=chunk_size)
     return out.withColumn(name, context_text(F.col("_ctx"), 0, user_prefix, system_prefix)).drop("_ctx")
+
+
+def context_ranges(turns: DataFrame, k: int = 0, keys: Sequence[str] = ("conv_id",), order: str = "turn",
+                   user_prefix: str = S.USER_PREFIX, system_prefix: str = S.SYSTEM_PREFIX, chunk_size: int = 64
+                   ) -> tuple[DataFrame, DataFrame]:
+    """Contexts without their text: every turn is rendered once, and a context is a range of the dialogue's text.
+
+    Returns ``chunks (keys..., chunk, start, text)``, the rendered turns of each ``chunk_size`` units of ``order``
+    in one text (numbered from 0 in a dialogue; ``start`` is the place of its first character in the dialogue),
+    and for every system turn ``ranges (keys..., order, first_chunk, chunk, first, last)``: its context of the
+    ``k`` (0 = all) turns before it is the characters from ``first`` up to ``last``. Both grow with the turns, while
+    the texts of full histories grow with their square; ``render_ranges`` makes them where they are needed. Turns
+    are unique by ``keys`` and ``order``."""
+    if k < 0:
+        raise ValueError("k must be >= 0 (0 means the whole history)")
+    keys = list(keys)
+    piece = F.concat(speaker_prefix(F.col("speaker"), user_prefix, system_prefix), F.lit(" "), F.col("utterance"), F.lit(" "))
+    t = turns.select(*keys, order, "speaker", piece.alias("_piece"), F.floor(F.col(order) / chunk_size).alias("_c"))
+    t = t.withColumn("_size", F.coalesce(F.length("_piece"), F.lit(0)).cast("long"))
+    # one row of numbers per chunk
+    sizes = t.groupBy(*keys, "_c").agg(F.sum("_size").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_c")
+    at = sizes.select(*keys, "_c", (F.row_number().over(w) - 1).alias("chunk"),
+                      F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_piece"))), lambda x: x["_piece"]), "")
+    chunks = t.groupBy(*keys, "_c").agg(text.alias("text")).join(at, [*keys, "_c"]).select(*keys, "chunk", "start", "text")
+    # the place of a turn: in its chunk first, then in the dialogue
+    inside = Window.partitionBy(*keys, "_c").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    r = (t.select(*keys, order, "speaker", "_c", F.coalesce(F.sum("_size").over(inside), F.lit(0)).alias("_in"))
+         .join(at, [*keys, "_c"]).withColumn("last", F.col("start") + F.col("_in")))
+    if k:
+        back = Window.partitionBy(*keys).orderBy(order)  # numbers only
+        r = r.withColumn("first", F.coalesce(F.lag("last", k).over(back), F.lit(0)))
+        r = r.withColumn("first_chunk", F.coalesce(F.lag("chunk", k).over(back), F.lit(0)))
+    else:
+        r = r.withColumn("first", F.lit(0).cast("long")).withColumn("first_chunk", F.lit(0))
+    return chunks, r.filter(F.col("speaker") != "USER").select(*keys, order, "first_chunk", "chunk", "first", "last")
+
+
+def render_ranges(chunks: DataFrame, ranges: DataFrame, keys: Sequence[str] = ("conv_id",), order: str = "turn",
+                  name: str = "context_text") -> DataFrame:
+    """``keys..., order, name``: the context texts, equal to ``context_strings``. A turn meets the chunks of its range."""
+    keys = list(keys)
+    each = ranges.select(*keys, order, "first", "last", F.explode(F.sequence("first_chunk", "chunk")).alias("chunk"))
+    j = each.join(chunks, [*keys, "chunk"])
+    begin = F.greatest(F.col("first"), F.col("start"))
+    size = F.least(F.col("last"), F.col("start") + F.length("text")) - begin
+    part = F.col("text").substr((begin - F.col("start") + 1).cast("int"), F.greatest(size, F.lit(0)).cast("int"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", part.alias("p")))), lambda x: x["p"]), "")
+    g = j.groupBy(*keys, order).agg(whole.alias("_t"))
+    return g.select(*keys, order, F.col("_t").substr(F.lit(1), F.greatest(F.length("_t") - 1, F.lit(0))).alias(name))

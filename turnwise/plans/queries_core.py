@@ -130,7 +130,18 @@ def q_ctx_full(spark, d):
 
 @register("ctx_text", f"select conv_id, turn, context_text from ({_ctx_sql(0)}) x where speaker <> 'USER'")
 def q_ctx_text(spark, d):
-    return ctx.context_strings(FX.v_turns(spark, d), 0).select("conv_id", "turn", "context_text")
+    chunks, ranges = ctx.context_ranges(FX.v_turns(spark, d), 0)
+    return ctx.render_ranges(chunks, ranges)
+
+
+@register("ctx_ranges", f"""
+select conv_id, turn, first, last from (
+  select conv_id, turn, speaker, coalesce(lag(upto, 5) over (partition by conv_id order by turn), 0) as first, upto as last from (
+    select conv_id, turn, speaker, cast(coalesce(sum(length(case speaker when 'USER' then '{S.USER_PREFIX}' else '{S.SYSTEM_PREFIX}' end) +
+        length(utterance) + 2) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as bigint) as upto
+    from v_turns) a) b where speaker <> 'USER'""")
+def q_ctx_ranges(spark, d):
+    return ctx.context_ranges(FX.v_turns(spark, d), 5, chunk_size=CTX_CHUNK)[1].select("conv_id", "turn", "first", "last")
 
 
 @register("ctx_last2", f"select conv_id, turn, context_text from ({_ctx_sql(2)}) x where speaker <> 'USER'")
