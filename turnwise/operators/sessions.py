@@ -93,16 +93,23 @@ def session_fold(inputs: DataFrame, max_turns: int = S.MAX_SESSION_TURNS, key: s
                     *[c for c in inputs.columns if c not in (key, seq)])
 
 
+#: What an exchange's log entry holds besides its texts, where the model gives it.
+LOG_DETAILS = ("belief_state", "book_state", "db_result", "book_result")
+
+
 def session_log(folded: DataFrame, key: str = "session_id", seq: str = "seq", text: str = "input_text",
                 answer: str = "answer") -> DataFrame:
     """Per session its ``log`` (one entry per exchange) and ``context`` (speaker and utterance, the answers
-    without added texts). Both are bounded by the turn limit."""
-    entry = F.struct(F.col(seq).alias("seq"), F.col(text).alias("input_text"), F.col(answer).alias("answer"), "response",
-                     F.col("ends_session").alias("session_over"))
-    g = folded.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("status") == "exchange", entry))).alias("_l"))
+    without added texts). An entry holds the input, those of ``LOG_DETAILS`` that are columns of ``folded`` (of any
+    type, maps too), the response and whether the session is over. Both are bounded by the turn limit."""
+    details = [c for c in LOG_DETAILS if c in folded.columns]
+    entry = F.struct(F.col(seq).alias("seq"), F.col(text).alias("input_text"), *details, F.col(answer).alias("answer"),
+                     "response", F.col("ends_session").alias("session_over"))
+    by_seq = lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)
+    g = folded.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("status") == "exchange", entry)), by_seq).alias("_l"))
     pair = lambda who, x: F.array(F.lit(who), x)
-    return g.select(key, F.transform("_l", lambda x: F.struct(x["input_text"].alias("input_text"), x["response"].alias("response"),
-                                                              x["session_over"].alias("session_over"))).alias("log"),
+    kept = ["input_text", *details, "response", "session_over"]
+    return g.select(key, F.transform("_l", lambda x: F.struct(*[x[c].alias(c) for c in kept])).alias("log"),
                     F.flatten(F.transform("_l", lambda x: F.array(pair("USER", x["input_text"]), pair("SYSTEM", x["answer"]))))
                     .alias("context"))
 

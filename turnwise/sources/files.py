@@ -65,7 +65,7 @@ SESSION = T.StructType([
     T.StructField("eval_scores", T.ArrayType(T.StringType())),
     T.StructField("context", T.ArrayType(T.ArrayType(T.StringType()))),
     T.StructField("log", T.ArrayType(T.StructType([
-        T.StructField("input_text", T.StringType()), T.StructField("response", T.StringType()),
+        T.StructField("input_text", T.StringType()), *DIALOGUE_STATE.fields, T.StructField("response", T.StringType()),
         T.StructField("session_over", T.BooleanType())]))),
 ])
 
@@ -249,9 +249,10 @@ def read_training_pairs(spark: SparkSession, path: str, input_col: str = "input_
     return df.select(F.col(input_col).alias("input_text"), F.col(output_col).alias("output_text"))
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Exported session files (one JSON document each) with an explicit schema (SRC10)."""
-    return spark.read.schema(SESSION).option("multiLine", True).json(path)
+def read_sessions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Exported sessions with an explicit schema (SRC10): one JSON document per file, or with ``lines`` one a line (as
+    ``sinks.export_sessions`` writes them)."""
+    return spark.read.schema(SESSION).option("multiLine", not lines).json(path)
 
 
 def write_index(examples: DataFrame, prefix: str, build_args: dict, counters: DataFrame | None = None) -> None:
