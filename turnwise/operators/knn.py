@@ -63,7 +63,8 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "qid", c
               c_blocks: int | None = None) -> DataFrame:
     """Exact top-k by squared L2 distance: ``(qid, rank, cid, dist)``, ties by corpus id."""
     spark = queries.sparkSession
-    q_blocks = q_blocks or blocks_for(queries.count())
+    # large query blocks: each corpus row is copied once per block of queries
+    q_blocks = q_blocks or blocks_for(queries.count(), 4 * ROWS_PER_BLOCK)
     c_blocks = c_blocks or blocks_for(corpus.count())
     q = queries.select(F.col(qid).alias("id"), F.col(vec).alias("vec"),
                        F.pmod(F.xxhash64(qid), F.lit(q_blocks)).alias("qb"),
