@@ -222,3 +222,15 @@ def test_plans_of_counts_and_samples_have_no_row_per_set_and_entity(spark):
     assert got == {i: (5000, i) for i in range(60) if i % 2}
     sample = EN.rank_candidates(cands, stats, cap=4)
     assert "members" not in sample.columns and sample.count() == 30 * 4
+
+
+def test_broadcast_and_shuffled_index_agree(spark, monkeypatch):
+    import itertools
+    _, ents = _entities(spark)
+    values = itertools.product(["hotel", "weather", "none"], ["kyoto", "", None], ["spa", "cheap", None], ["10", "x", None],
+                               ["spa", "dontcare", None, "cheap"])
+    req = _req(spark, [(i, *v, None) for i, v in enumerate(values)])
+    ask = lambda: sorted(map(tuple, EN.entity_names(req, ents, ["genre", "size"], {"genre": "neg_genre"}).collect()))
+    plain = ask()
+    monkeypatch.setattr(EN, "broadcast_if_small", lambda df: (df, False))
+    assert ask() == plain and len(plain) > 50

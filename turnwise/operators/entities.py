@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from . import bitmaps as BM
-from .joins import materialize, salted_join
+from .joins import broadcast_if_small, materialize, salted_join
 
 INACTIVE = [v for v in S.NOT_QUERY_VALUES if v is not None]
 DOMAIN_SALTS = 16
@@ -129,18 +129,55 @@ def candidate_bitmaps(requests: DataFrame, entities: DataFrame, constraint_cols:
     stated = F.lit(False)
     for c in negative_cols.values():
         stated = stated | F.col(c).isNotNull()
-    listed = F.filter(F.array(*positive), lambda x: x.isNotNull())
-    taken = F.filter(F.array(*negative), lambda x: x.isNotNull()) if negative else F.filter(listed, lambda x: F.lit(False))
-    whole = F.array(F.struct(F.lit(BM.EVERY).alias("_slot"), F.lit("").alias("_value"), F.lit(False).alias("negative")))
-    r = requests.select(F.col(key), F.col(domain).alias("_domain"), listed.alias("_p"), taken.alias("_n"), stated.alias("_s"))
-    r = r.filter(~F.col("_s") | (F.size("_n") > 0))  # all-inactive negatives leave nothing
-    terms = r.select(key, "_domain", F.inline(F.array_distinct(F.concat(
-        F.when(F.size("_p") > 0, F.col("_p")).otherwise(whole), "_n"))))
-    bitmaps = materialize(BM.combine(terms, index, key, ["_domain", "_slot", "_value"]))
+    known = index.filter("_slot <> 'name'")
+    table, small = broadcast_if_small(known)
+    if small:
+        bitmaps = _narrowed(requests, table, constraint_cols, negative_cols, stated, key, domain, city)
+    else:
+        listed = F.filter(F.array(*positive), lambda x: x.isNotNull())
+        taken = F.filter(F.array(*negative), lambda x: x.isNotNull()) if negative else F.filter(listed, lambda x: F.lit(False))
+        whole = F.array(F.struct(F.lit(BM.EVERY).alias("_slot"), F.lit("").alias("_value"), F.lit(False).alias("negative")))
+        r = requests.select(F.col(key), F.col(domain).alias("_domain"), listed.alias("_p"), taken.alias("_n"), stated.alias("_s"))
+        r = r.filter(~F.col("_s") | (F.size("_n") > 0))  # all-inactive negatives leave nothing
+        terms = r.select(key, "_domain", F.inline(F.array_distinct(F.concat(
+            F.when(F.size("_p") > 0, F.col("_p")).otherwise(whole), "_n"))))
+        bitmaps = BM.combine(terms, known, key, ["_domain", "_slot", "_value"])
+    bitmaps = materialize(bitmaps)
     names = entities.select("entity_pos", _scalar(F.col("attrs"), "name").alias("name"))
     return Candidates(bitmaps, index, names, key)
 
 
+def _narrowed(requests: DataFrame, index: DataFrame, constraint_cols: Sequence[str], negative_cols: dict[str, str],
+              stated: Column, key: str, domain: str, city: str) -> DataFrame:
+    """``bitmaps.combine`` for an index that is broadcast: a constraint is one map-side join, nothing is shuffled."""
+    cols = dict.fromkeys([*constraint_cols, *negative_cols.values()])
+    r = requests.select(F.col(key), F.col(domain).alias("_d"), F.col(city).alias("_city"), stated.alias("_s"),
+                        *[F.col(c).cast("string").alias(f"_v_{c}") for c in cols])
+    some = F.lit(False)
+    for c in negative_cols.values():
+        some = some | is_active(F.col(f"_v_{c}"))
+    r = r.filter(~F.col("_s") | some)  # all-inactive negatives leave nothing
+    of = lambda slot: index.filter(F.col("_slot") == slot)
+    located = r.filter(is_active(F.col("_city"))).join(
+        of("city").select("_domain", "_value", "bucket", "words"), (F.col("_d") == F.col("_domain")) & (F.col("_city") == F.col("_value")))
+    whole = r.filter(~is_active(F.col("_city"))).join(of(BM.EVERY).select("_domain", "_value", "bucket", "words"),
+                                                      F.col("_d") == F.col("_domain"))
+    t = located.unionByName(whole).drop("_domain", "_value")
+    for c in constraint_cols:
+        on = is_active(F.col(f"_v_{c}"))
+        t = BM.narrow(t, of(c), {"_d": "_domain", f"_v_{c}": "_value"}, on).filter(~on | F.col("_w").isNotNull())
+        t = t.withColumn("words", F.when(on, BM.both(F.col("words"), F.col("_w"))).otherwise(F.col("words"))).drop("_w")
+    gone = F.col("_s")
+    for i, (slot, c) in enumerate(negative_cols.items()):
+        on = is_active(F.col(f"_v_{c}"))
+        t = BM.narrow(t, of(slot), {"_d": "_domain", f"_v_{c}": "_value"}, on, f"_n{i}")
+        gone = gone & (~on | F.col(f"_n{i}").isNotNull())
+    if negative_cols:
+        every = F.filter(F.array(*[F.col(f"_n{i}") for i in range(len(negative_cols))]), lambda x: x.isNotNull())
+        t = t.withColumn("words", F.when(gone, BM.without(F.col("words"), BM.every(every))).otherwise(F.col("words")))
+    return t.select(key, "bucket", "words").withColumn("n", BM.count(F.col("words"))).filter(F.col("n") > 0)
+
+
 def candidates(requests: DataFrame, entities: DataFrame, constraint_cols: Sequence[str],
                negative_cols: dict[str, str] | None = None, key: str = "request_id", domain: str = "domain",
                city: str = "city", carry: Sequence[str] = ()) -> DataFrame:
