@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from . import bitmaps as BM
-from .joins import broadcast_if_small, materialize, salted_join
+from .joins import broadcast_if_small, materialize, salted_join, spread
 
 INACTIVE = [v for v in S.NOT_QUERY_VALUES if v is not None]
 DOMAIN_SALTS = 16
@@ -82,11 +82,11 @@ def check_constraints(requests: DataFrame, constraint_cols: Sequence[str], entit
 
 @dataclass
 class Candidates:
-    """The answers of constraint sets as bitmaps (``key, bucket, words, n``, written), the index that they come
-    from, and the name of every entity position."""
+    """The answers of constraint sets as bitmaps (``key, bucket, words, n``, written), the positions of every name
+    (``_domain, _value, bucket, at, bits``, word by word), and the name of every entity position."""
 
     bitmaps: DataFrame
-    index: DataFrame
+    named: DataFrame
     names: DataFrame
     key: str
 
@@ -97,10 +97,10 @@ class Candidates:
 
 def entity_index(entities: DataFrame, slots: Sequence[str]) -> DataFrame:
     """``_domain, _slot, _value, bucket, words``: bitmaps of the positions that have a value, and of all of a domain.
-    City and name have their first value only, other slots all of theirs."""
+    A city has its first value only, other slots all of theirs."""
     def of(slot):
         v = F.coalesce(F.try_element_at("attrs", F.lit(slot)), F.array().cast("array<string>"))
-        v = F.slice(v, 1, 1) if slot in ("city", "name") else v
+        v = F.slice(v, 1, 1) if slot == "city" else v
         return F.transform(v, lambda x: F.struct(F.lit(slot).alias("_slot"), x.alias("_value")))
     values = [of(s) for s in dict.fromkeys(slots)]
     whole = F.array(F.struct(F.lit(BM.EVERY).alias("_slot"), F.lit("").alias("_value")))
@@ -119,7 +119,7 @@ def candidate_bitmaps(requests: DataFrame, entities: DataFrame, constraint_cols:
     in the request's city; an all-inactive negative dict takes away every entity of the city."""
     negative_cols = negative_cols or {}
     check_constraints(requests, constraint_cols, entities)
-    index = materialize(entity_index(entities, ["city", "name", *constraint_cols, *negative_cols]))
+    index = materialize(entity_index(entities, ["city", *constraint_cols, *negative_cols]))
 
     def term(slot, value, negative):
         return F.when(is_active(F.col(value)), F.struct(F.lit(slot).alias("_slot"), F.col(value).cast("string").alias("_value"),
@@ -129,8 +129,7 @@ def candidate_bitmaps(requests: DataFrame, entities: DataFrame, constraint_cols:
     stated = F.lit(False)
     for c in negative_cols.values():
         stated = stated | F.col(c).isNotNull()
-    known = index.filter("_slot <> 'name'")
-    table, small = broadcast_if_small(known)
+    table, small = broadcast_if_small(index)
     if small:
         bitmaps = _narrowed(requests, table, constraint_cols, negative_cols, stated, key, domain, city)
     else:
@@ -141,10 +140,12 @@ def candidate_bitmaps(requests: DataFrame, entities: DataFrame, constraint_cols:
         r = r.filter(~F.col("_s") | (F.size("_n") > 0))  # all-inactive negatives leave nothing
         terms = r.select(key, "_domain", F.inline(F.array_distinct(F.concat(
             F.when(F.size("_p") > 0, F.col("_p")).otherwise(whole), "_n"))))
-        bitmaps = BM.combine(terms, known, key, ["_domain", "_slot", "_value"])
+        bitmaps = BM.combine(terms, index, key, ["_domain", "_slot", "_value"])
     bitmaps = materialize(bitmaps)
     names = entities.select("entity_pos", _scalar(F.col("attrs"), "name").alias("name"))
-    return Candidates(bitmaps, index, names, key)
+    named = BM.build_words(entities.select(F.col("domain").alias("_domain"), "entity_pos", _scalar(F.col("attrs"), "name").alias("_value"))
+                           .filter("_value is not null"), ["_domain", "_value"])
+    return Candidates(bitmaps, named, names, key)
 
 
 def _narrowed(requests: DataFrame, index: DataFrame, constraint_cols: Sequence[str], negative_cols: dict[str, str],
@@ -156,13 +157,14 @@ def _narrowed(requests: DataFrame, index: DataFrame, constraint_cols: Sequence[s
     some = F.lit(False)
     for c in negative_cols.values():
         some = some | is_active(F.col(f"_v_{c}"))
-    r = r.filter(~F.col("_s") | some)  # all-inactive negatives leave nothing
+    r = spread(r.filter(~F.col("_s") | some), key)  # all-inactive negatives leave nothing
     of = lambda slot: index.filter(F.col("_slot") == slot)
-    located = r.filter(is_active(F.col("_city"))).join(
-        of("city").select("_domain", "_value", "bucket", "words"), (F.col("_d") == F.col("_domain")) & (F.col("_city") == F.col("_value")))
-    whole = r.filter(~is_active(F.col("_city"))).join(of(BM.EVERY).select("_domain", "_value", "bucket", "words"),
-                                                      F.col("_d") == F.col("_domain"))
-    t = located.unionByName(whole).drop("_domain", "_value")
+    located = is_active(F.col("_city"))
+    places = index.filter(F.col("_slot").isin("city", BM.EVERY))
+    t = r.withColumn("_at", F.when(located, F.lit("city")).otherwise(F.lit(BM.EVERY))).withColumn(
+        "_of", F.when(located, F.col("_city")).otherwise(F.lit("")))
+    t = t.join(places, (F.col("_d") == F.col("_domain")) & (F.col("_at") == F.col("_slot")) & (F.col("_of") == F.col("_value")))
+    t = t.drop("_domain", "_slot", "_value", "_at", "_of")
     for c in constraint_cols:
         on = is_active(F.col(f"_v_{c}"))
         t = BM.narrow(t, of(c), {"_d": "_domain", f"_v_{c}": "_value"}, on).filter(~on | F.col("_w").isNotNull())
@@ -274,11 +276,11 @@ def candidate_stats(requests: DataFrame, cands: Candidates, key: str = "request_
     gets none), ``sel_pos`` (first occurrence of the oracle's name if it is a candidate, else the
     first candidate in file order), ``active_name`` and ``n_all`` (candidates before the drop).
 
-    Counts and firsts are taken per set from its bitmaps; a name is met by ANDing its own bitmap. Requests join
-    one row each."""
+    Counts and firsts are taken per set from its bitmaps; a name is met by ANDing its own words. Requests join
+    one row each. The result is written, since samples and DB results read it several times."""
     set_id = cands.key
-    first = BM.select(F.col("words"), F.col("bucket"), F.lit(0))
-    per_set = cands.bitmaps.groupBy(set_id).agg(F.sum("n").alias("n_all"), F.min_by(first, "bucket").cast("long").alias("_pos"))
+    first = BM.first(F.col("words"), F.col("bucket"))
+    per_set = cands.bitmaps.groupBy(set_id).agg(F.sum("n").alias("n_all"), F.min(first).cast("long").alias("_pos"))
     per_set = per_set.join(cands.names.withColumnsRenamed({"entity_pos": "_pos", "name": "_first"}), "_pos")
     r = requests.select(key, set_id, domain, *([F.col(oracle_name).alias("_oracle")] if oracle_name else []))
     g = r.join(per_set, set_id)
@@ -286,18 +288,17 @@ def candidate_stats(requests: DataFrame, cands: Candidates, key: str = "request_
     if oracle_name:
         asked = r.filter("_oracle is not null").select(F.col(set_id).alias("_set"), F.col(domain).alias("_domain"),
                                                        F.col("_oracle").alias("_value")).distinct()
-        named = cands.index.filter("_slot = 'name'").select("_domain", "_value", "bucket", F.col("words").alias("_named"))
-        met = asked.join(named, ["_domain", "_value"]).join(
+        met = asked.join(cands.named, ["_domain", "_value"]).join(
             cands.bitmaps.select(F.col(set_id).alias("_set"), "bucket", "words"), ["_set", "bucket"])
-        met = met.withColumn("_both", BM.both(F.col("words"), F.col("_named"))).filter(BM.count(F.col("_both")) > 0)
-        per_name = met.groupBy("_set", "_value").agg(F.min_by(BM.select(F.col("_both"), F.col("bucket"), F.lit(0)), "bucket")
+        met = met.withColumn("_both", F.col("bits").bitwiseAND(F.get("words", F.col("at")))).filter("_both <> 0")
+        per_name = met.groupBy("_set", "_value").agg(F.min(BM.first_bit(F.col("_both"), F.col("bucket"), F.col("at")))
                                                      .cast("long").alias("_oracle_pos"))
         g = g.join(per_name, (F.col(set_id) == F.col("_set")) & (F.col("_oracle") == F.col("_value")), "left")
         name = F.when(F.col("_oracle_pos").isNotNull(), F.col("_oracle")).otherwise(name)
         sel = F.coalesce(F.col("_oracle_pos"), sel)
     total = F.when((F.col(domain) == drop_multi_domain) & (F.col("n_all") > 1), F.lit(0)).otherwise(F.col("n_all"))
-    return g.select(key, set_id, total.cast("bigint").alias("total"), F.when(total > 0, sel).alias("sel_pos"),
-                    F.when(total > 0, name).alias("active_name"), "n_all")
+    return materialize(g.select(key, set_id, total.cast("bigint").alias("total"), F.when(total > 0, sel).alias("sel_pos"),
+                                F.when(total > 0, name).alias("active_name"), "n_all"))
 
 
 def draws(key: Column, n: Column, cap: int, seed: str) -> Column:
@@ -330,8 +331,8 @@ def rank_candidates(cands: Candidates, stats: DataFrame, key: str = "request_id"
         raise ValueError("cap must be >= 1")
     set_id = cands.key
     st = stats.filter(F.col("total") > 0)
-    take = st.select(key, set_id, "sel_pos", F.posexplode(draws(F.col(key), F.col("n_all"), cap, seed)).alias("_i", "_rank"))
-    got = BM.pick(take, cands.bitmaps, set_id, "_rank").filter(F.col("entity_pos") != F.col("sel_pos"))
+    take = spread(st, key).select(key, set_id, "sel_pos", F.posexplode(draws(F.col(key), F.col("n_all"), cap, seed)).alias("_i", "_rank"))
+    got = BM.pick(materialize(take), cands.bitmaps, set_id, "_rank").filter(F.col("entity_pos") != F.col("sel_pos"))
     w = Window.partitionBy(key).orderBy("_i")
     rest = (got.select(key, "entity_pos", F.row_number().over(w).cast("bigint").alias("rank"))
             .filter(F.col("rank") < cap).join(cands.names, "entity_pos"))

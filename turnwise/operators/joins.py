@@ -39,6 +39,12 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], salts: int,
     return out.drop(b["_salt"]).drop(s["_salt"])
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` by hash of ``cols`` over ``spark.sql.shuffle.partitions`` tasks. Adaptive execution joins partitions of few
+    bytes into one task; those named here stay, for small rows that take much work each (bitmaps, draws)."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 #: Folders that ``materialize`` has written, by application.
 _WRITTEN: dict[str, list[str]] = {}
 
