@@ -234,3 +234,31 @@ def test_broadcast_and_shuffled_index_agree(spark, monkeypatch):
     plain = ask()
     monkeypatch.setattr(EN, "broadcast_if_small", lambda df: (df, False))
     assert ask() == plain and len(plain) > 50
+
+
+def test_named_candidates_by_agreeing_entities(spark):
+    """The first candidate of a name, whatever city, constraints and negative constraints its set has, against plain loops;
+    6,000 entities of one name are met as the few rows that differ in what is asked."""
+    import itertools
+    ents = [(i, "hotel", ("kyoto", "osaka", None)[i % 3], ("inn", "inn", "spa")[i % 5 % 3],
+             sorted({("old", "new", "hot")[i % 7 % 3], "big" if i % 4 else "new"}), str(i % 2)) for i in range(50, 6050)]
+    slots = [(i, d, s, v) for i, d, c, n, g, z in ents for s, v in
+             ([("city", c)] if c else []) + [("name", n), ("size", z)] + [("genre", x) for x in g]]
+    e = EN.entities_wide(spark.createDataFrame(slots, "entity_pos long, domain string, slot string, value string"),
+                         ["city", "name", "genre", "size"], ["genre"])
+    asked = list(itertools.product(["kyoto", "", None], ["old", "hot", None], ["1", ""], ["new", "dontcare", "none", None],
+                                   ["inn", "spa", "no such", None]))
+    req = spark.createDataFrame([(i, "hotel", *a) for i, a in enumerate(asked)],
+                                "request_id long, domain string, city string, genre string, size string, neg_genre string, oracle string")
+    req, sets = EN.constraint_sets(req, ["domain", "city", "genre", "size", "neg_genre"])
+    cands = EN.candidate_bitmaps(sets, e, ["genre", "size"], {"genre": "neg_genre"})
+    got = {r["request_id"]: (r["n_all"], r["sel_pos"]) for r in EN.candidate_stats(req, cands, oracle_name="oracle").collect()}
+    want = {}
+    for i, (city, genre, size, neg, name) in enumerate(asked):
+        left = [(p, n) for p, _, c, n, g, z in ents if (not city or c == city) and (not genre or genre in g) and (not size or z == size)
+                and not (neg is not None and (neg == "dontcare" or neg in g))]
+        if left:
+            want[i] = (len(left), min([p for p, n in left if n == name] or [left[0][0]]))
+    assert got == want
+    table = EN.agreeing_entities(e, ["genre", "size"])  # what a name is looked up in
+    assert table.count() < 150 and table.filter("_e_name = 'inn' and _e_city = 'kyoto'").agg(F.min("_at")).first()[0] == 51
