@@ -180,3 +180,22 @@ def test_context_ranges_render_the_same_texts_from_linear_tables(spark):
     once = t.filter("utterance is not null").select(F.length(ctx.speaker_prefix(F.col("speaker"))) + F.length("utterance") + 2)
     assert set(sizes.values()) == {sum(r[0] for r in once.collect())}
     assert rows(ctx.render_ranges(*ctx.context_ranges(t.limit(0)))) == []
+
+
+def test_long_metrics_take_more_tasks_for_more_input(spark, tmp_path, monkeypatch):
+    """A key of 3,000 items, small keys, and a turn without items: counts as by sets, over as many tasks as the input asks for."""
+    from turnwise.operators import joins as J
+    from turnwise.operators import metrics as M
+    items = [("ref", 1, f"a {i}") for i in range(3000)] + [("hyp", 1, f"a {i}") for i in range(1000, 3500)]
+    items += [(s, k, f"b {k % 3}") for k in range(2, 60) for s in ("ref", "hyp")] * 2
+    turns = [(s, k) for k in [*range(1, 60), 99] for s in ("ref", "hyp")]
+    spark.createDataFrame(items, "side string, k long, item string").write.parquet(str(tmp_path / "i"))
+    spark.createDataFrame(turns, "side string, k long").write.parquet(str(tmp_path / "t"))
+    i, t = spark.read.parquet(str(tmp_path / "i")), spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(J, "TASK_BYTES", J.input_bytes(i.unionByName(t.withColumn("item", F.lit("")))) // 40)
+    m = M.state_metrics_long(i, ["k"], t)
+    got = {r["k"]: (r["tp"], r["fp"], r["fn"], r["joint_goal_accuracy"]) for r in m.collect()}
+    assert got == {1: (2000, 500, 1000, 0), **{k: (1, 0, 0, 1) for k in range(2, 60)}, 99: (1, 0, 0, 1)}
+    assert m.rdd.getNumPartitions() >= 40 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = i.join(t, ["side", "k"])
+    assert J.input_bytes(both) == J.input_bytes(i) + J.input_bytes(t) < J.planned_bytes(both)

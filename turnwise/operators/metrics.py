@@ -3,8 +3,9 @@
 Two equal forms of the state metrics:
 
 * ``state_metrics_long`` works on long-form items ``(key, side, item)``: one shuffle on
-  (key, item) to form the set flags, a partially aggregated one on key for the counts. No set
-  is ever gathered into one row, so a hot key only costs its share of the item shuffle.
+  (key, salt of the item) to form the set flags and their counts, one on key to add these up.
+  No set is ever gathered into one row, and a hot key is spread over ``ITEM_SALTS`` tasks. Both
+  shuffles have as many partitions as the input asks for, so a task's memory does not grow.
 * ``state_metrics`` works on two rendered state strings per row with array set functions
   (no shuffle at all); states are bounded by the slot catalogue.
 """
@@ -16,9 +17,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import sized
 from .ordering import running_total
 
 ITEM_SEP = ", "
+#: Parts of one key's items that are counted apart.
+ITEM_SALTS = 256
 
 
 def f1_from_counts(tp: Column, fp: Column, fn: Column) -> Column:
@@ -39,7 +43,8 @@ def state_metrics_long(items: DataFrame, keys: Sequence[str], turns: DataFrame |
     rows = items.select(*keys, side, item)
     if turns is not None:
         rows = rows.unionByName(turns.select(*keys, side, F.lit(None).cast("string").alias(item)))
-    flags = (rows.groupBy(*keys, item)
+    rows = sized(rows.withColumn("_salt", F.pmod(F.xxhash64(item), F.lit(ITEM_SALTS)).cast("int")), *keys, "_salt")
+    flags = (rows.groupBy(*keys, "_salt", item)
              .agg(F.max((F.col(side) == ref).cast("int")).alias("in_ref"),
                   F.max((F.col(side) == hyp).cast("int")).alias("in_hyp")))
     real = F.col(item).isNotNull().cast("int")
@@ -47,10 +52,11 @@ def state_metrics_long(items: DataFrame, keys: Sequence[str], turns: DataFrame |
                                 F.col("in_ref") * (1 - F.col("in_hyp")))
     no_ref = F.col("_tp") + F.col("_fn") == 0
     no_hyp = F.col("_tp") + F.col("_fp") == 0
-    per_key = (flags.groupBy(*keys)
-               .agg(F.sum(both * real).alias("_tp"), F.sum(only_hyp * real).alias("_fp"),
-                    F.sum(only_ref * real).alias("_fn"), F.max("in_ref").alias("_has_ref"),
-                    F.max("in_hyp").alias("_has_hyp"))
+    per_salt = flags.groupBy(*keys, "_salt").agg(
+        F.sum(both * real).alias("_tp"), F.sum(only_hyp * real).alias("_fp"), F.sum(only_ref * real).alias("_fn"),
+        F.max("in_ref").alias("_has_ref"), F.max("in_hyp").alias("_has_hyp"))
+    per_key = (sized(per_salt, *keys).groupBy(*keys)
+               .agg(*[F.sum(c).alias(c) for c in ("_tp", "_fp", "_fn")], *[F.max(c).alias(c) for c in ("_has_ref", "_has_hyp")])
                .filter((F.col("_has_ref") == 1) & (F.col("_has_hyp") == 1))
                .select(*keys, (F.col("_tp") + (no_ref & no_hyp).cast("int")).alias("tp"),
                        (F.col("_fp") + (~no_ref & no_hyp).cast("int")).alias("fp"),
