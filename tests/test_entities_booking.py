@@ -262,3 +262,24 @@ def test_named_candidates_by_agreeing_entities(spark):
     assert got == want
     table = EN.agreeing_entities(e, ["genre", "size"])  # what a name is looked up in
     assert table.count() < 150 and table.filter("_e_name = 'inn' and _e_city = 'kyoto'").agg(F.min("_at")).first()[0] == 51
+
+
+def test_texts_of_names_are_joined_by_bucket(spark):
+    """Texts of sets over five buckets, with absent, empty and repeated names, equal those of the listed candidates; no
+    list of candidates is gathered per set."""
+    rows = []
+    for i in range(9000):
+        rows += [(i, "hotel", s, v) for s, v in (("city", f"c{i % 3}"), ("name", "" if i % 11 == 0 else f"n{i % 50}"), ("size", str(i % 400)))
+                 if not (s == "name" and (i % 7 == 0 or 2048 <= i < 4096))]
+    rows += [(20_000, "inn", "city", "c0"), (20_001, "inn", "city", "c0"), (20_001, "inn", "name", "last")]
+    ents = EN.entities_wide(spark.createDataFrame(rows, "entity_pos long, domain string, slot string, value string"),
+                            ["city", "name", "size"], [])
+    req = spark.createDataFrame([(i, d, c, z) for i, (d, c, z) in enumerate(
+        [("hotel", None, None), ("hotel", "c1", None), ("hotel", None, "7"), ("hotel", "c2", "0"), ("inn", None, None),
+         ("inn", "c0", "1"), ("none", None, None)])], "request_id long, domain string, city string, size string")
+    _, sets = EN.constraint_sets(req, ["domain", "city", "size"])
+    cands = EN.candidate_bitmaps(sets, ents, ["size"])
+    text = EN.set_names_text(cands, sets)
+    assert sorted(map(tuple, text.collect())) == sorted(map(tuple, EN.names_text(cands.rows(), sets, key="set_id").collect()))
+    assert max(r["n_names"] for r in text.collect()) == 9000 and text.filter("n_names = 2 and names = 'last'").count() == 1
+    assert "collect_list(struct(entity_pos" not in text._jdf.queryExecution().optimizedPlan().toString()
