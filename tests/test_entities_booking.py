@@ -283,3 +283,35 @@ def test_texts_of_names_are_joined_by_bucket(spark):
     assert sorted(map(tuple, text.collect())) == sorted(map(tuple, EN.names_text(cands.rows(), sets, key="set_id").collect()))
     assert max(r["n_names"] for r in text.collect()) == 9000 and text.filter("n_names = 2 and names = 'last'").count() == 1
     assert "collect_list(struct(entity_pos" not in text._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_requests_of_one_set_do_not_follow_each_other(spark):
+    """Texts of names come in the order of the requests: a sink that buffers a hundred rows meets all kinds of sets, not the
+    longest text a hundred times."""
+    slots = spark.createDataFrame([(i, "hotel", s, v) for i in range(300) for s, v in (("city", f"c{i % 20}"), ("name", f"n{i}"))],
+                                  "entity_pos long, domain string, slot string, value string")
+    ents = EN.entities_wide(slots, ["city", "name"], [])
+    cities = [None, "nowhere", *[f"c{i}" for i in range(20)]]
+    req = spark.createDataFrame([(None if i == 7 else i // 2, "hotel", cities[i % 22]) for i in range(8800)],
+                                "request_id long, domain string, city string").repartition(2, "request_id")
+    req, sets = EN.constraint_sets(req, ["domain", "city"])
+    cands = EN.candidate_bitmaps(sets, ents, [])
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        got = EN.request_names_text(req, cands, sets)
+        texts = [[*g] for g in got.rdd.map(tuple).glom().collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    want = EN.names_text(cands.rows(), sets, key="set_id").join(req, "set_id").select("request_id", "n_names", "names")
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    assert order(x for g in texts for x in g) == order(want.collect())
+    run = longest = 0
+    for g in texts:
+        last = None
+        for _, _, text in g:
+            run = run + 1 if text == last else 1
+            last, longest = text, max(longest, run)
+    assert longest < 30  # a set has 400 requests
