@@ -285,6 +285,29 @@ def test_texts_of_names_are_joined_by_bucket(spark):
     assert "collect_list(struct(entity_pos" not in text._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_rank_directory_is_broadcast_by_bytes_held(spark):
+    """A directory of few compressed bytes and many rows with long keys: a broadcast would hold what its files do not show."""
+    from turnwise.operators import bitmaps as BM
+    from turnwise.operators import joins
+    word = F.transform(F.sequence(F.lit(0), F.lit(BM.WORDS - 1)), lambda i: F.when(i == 1, F.lit(5).cast("long")).otherwise(F.lit(0)))
+    rows = spark.range(300 * 400).select(F.concat(F.repeat(F.lit("key "), 80), (F.col("id") % 300).cast("string")).alias("k"),
+                                         F.floor(F.col("id") / 300).alias("bucket"), word.alias("words"), F.lit(2).cast("long").alias("n"))
+    bitmaps = joins.materialize(rows)
+    assert joins.planned_bytes(bitmaps) < joins.BROADCAST_MAX_BYTES < joins.held_bytes(bitmaps)
+    assert not joins.fits_broadcast(bitmaps) and joins.fits_broadcast(bitmaps.limit(10))
+    wanted = bitmaps.filter("bucket = 0").select("k", F.explode(F.array(*[F.lit(r).cast("long") for r in (0, 3, 799)])).alias("r"))
+    picked = BM.pick(wanted, bitmaps, "k", "r")
+    assert "strategy=broadcast" not in picked._jdf.queryExecution().optimizedPlan().toString()
+    at = {0: BM.WORD, 3: BM.BUCKET + BM.WORD + 2, 799: 399 * BM.BUCKET + BM.WORD + 2}
+    got = picked.collect()
+    assert len(got) == 900 and all(at[x["r"]] == x["entity_pos"] for x in got)
+    # an index of that kind is met by shuffles as well
+    index = bitmaps.select(F.col("k").alias("v"), "bucket", "words")
+    found = BM.combine(spark.createDataFrame([("a", rows.first()["k"], False)], "k string, v string, negative boolean"), index, "k", ["v"])
+    assert "strategy=broadcast" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 400
+
+
 def test_requests_of_one_set_do_not_follow_each_other(spark):
     """Texts of names come in the order of the requests: a sink that buffers a hundred rows meets all kinds of sets, not the
     longest text a hundred times."""
